@@ -152,10 +152,12 @@ def urls(c: Column | str) -> Column:
 
 
 def strip_html(c: Column | str) -> Column:
-    """HTML to text: drop script/style blocks and tags, decode a few entities."""
+    """HTML to text: drop script/style blocks and tags, decode basic entities,
+    collapse white space."""
     c = F.col(c) if isinstance(c, str) else c
-    no_blocks = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    no_tags = F.regexp_replace(no_blocks, r"(?s)<[^>]*>", " ")
-    ent = F.regexp_replace(F.regexp_replace(F.regexp_replace(no_tags, "&lt;", "<"), "&gt;", ">"), "&nbsp;", " ")
-    ent = F.regexp_replace(F.regexp_replace(ent, "&quot;", '"'), "&amp;", "&")
-    return F.trim(F.regexp_replace(ent, r"\s+", " "))
+    t = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
+    t = F.regexp_replace(t, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
+    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&")):
+        t = F.replace(t, F.lit(ent), F.lit(ch))
+    return F.trim(F.regexp_replace(t, r"[ \t\n\r\f]+", " "))
