@@ -47,7 +47,8 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
 
 PARTS_LINEITEM = """(SELECT l.l_orderkey AS doc_id, l.l_linenumber AS part_index, lower(p.p_type) AS type,
   string_split(lower(p.p_name), ' ')[-1] AS subtype,
-  lower(p.p_type) || '/' || string_split(lower(p.p_name), ' ')[-1] AS mime_type,
+  CASE WHEN p.p_type = 'STANDARD' THEN 'text/plain' WHEN p.p_type = 'PROMO' THEN 'text/html'
+       ELSE lower(p.p_type) || '/' || string_split(lower(p.p_name), ' ')[-1] END AS mime_type,
   CAST(p.p_size AS BIGINT) AS size, p.p_name AS filename,
   CASE WHEN l.l_returnflag = 'A' THEN 'attachment' WHEN l.l_returnflag = 'R' THEN 'inline' END AS disposition,
   'part' || CAST(l.l_partkey AS VARCHAR) AS cid

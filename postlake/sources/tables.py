@@ -135,7 +135,8 @@ def parts_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("part_index"),
         F.lower("p_type").alias("type"),
         F.element_at(words, -1).alias("subtype"),
-        F.concat(F.lower("p_type"), F.lit("/"), F.element_at(words, -1)).alias("mime_type"),
+        F.when(F.col("p_type") == "STANDARD", F.lit("text/plain")).when(F.col("p_type") == "PROMO", F.lit("text/html"))
+        .otherwise(F.concat(F.lower("p_type"), F.lit("/"), F.element_at(words, -1))).alias("mime_type"),
         F.col("p_size").cast("bigint").alias("size"),
         F.col("p_name").alias("filename"),
         F.when(F.col("l_returnflag") == "A", "attachment").when(F.col("l_returnflag") == "R", "inline").alias("disposition"),
