@@ -1 +1,225 @@
-"""Queries."""
+"""File ingest, streams, sinks and user functions (SRC1-4, SRC12, PRT8-10,
+STR1-4, SNK1-8, UDF1-9)."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions import udfs as U
+from ..operators import contacts as C
+from ..operators import predicates as Q
+from ..operators.projection import header
+from ..session import scratch_path
+from ..sinks import link_manifest, write_contacts_csv, write_json, write_xml
+from ..sources import maildir as MD
+from ..sources import tables as T
+from ..streaming import streams as S
+from .catalog import query
+from .sqlviews import CONV_MSGS, EVENT_MSGS, OCC_ORDERS
+
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def maildir_root(spark, sf) -> str:
+    """A maildir written (once per session) from the conversations table into the
+    shared checkpoint folder, plus one excluded folder holding a .noindex marker."""
+    key = (sf, spark.sparkContext.getCheckpointDir() or "")
+    if key not in _ROOTS:
+        root = scratch_path(spark, "maildir")
+        msgs = T.rfc822_from_conversations(spark, sf)
+        MD.write_files(msgs.select("relpath", "content"), root)
+        marker = msgs.limit(1).select(F.lit("/junk/.noindex").alias("relpath"), F.lit(b"").alias("content"))
+        junk = msgs.limit(1).select(F.lit("/junk/cur/copy!2,S").alias("relpath"), "content")
+        MD.write_files(marker.unionByName(junk), root)
+        _ROOTS[key] = root
+    return _ROOTS[key]
+
+
+_PARSE_SQL = f"""
+SELECT msgid || '@conv.example' AS msgid, subject, "from" AS from_name, "to" AS to_name,
+  array_to_string(list_transform(refs, lambda r: r || '@conv.example'), ' ') AS refs,
+  strftime(date, '%Y-%m-%d %H:%M:%S') AS date,
+  CAST(CASE WHEN flags & 64 <> 0 THEN 64 ELSE flags END | CASE WHEN turn % 4 = 1 THEN 512 ELSE 0 END AS INTEGER) AS flags, maildir,
+  CAST(CASE WHEN turn % 4 = 1 THEN 2 ELSE 1 END AS BIGINT) AS n_parts, md5(body_text) AS body_md5,
+  "from" AS tags, 'normal' AS prio, "from" AS x_label
+FROM {CONV_MSGS} m"""
+
+
+def _parsed_out(m):
+    return m.select("msgid", "subject", F.col("from").alias("from_name"), F.col("to").alias("to_name"),
+                    F.array_join("refs", " ").alias("refs"), F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"),
+                    "flags", "maildir", F.size("parts").cast("bigint").alias("n_parts"),
+                    F.md5("body_text").alias("body_md5"), F.array_join("tags", ",").alias("tags"), "prio",
+                    header("headers", "X-Label").alias("x_label"))
+
+
+@query("scan_parse_maildir", sql=_PARSE_SQL)
+def scan_parse_maildir(spark, sf):
+    return _parsed_out(MD.index_maildir(spark, maildir_root(spark, sf)))
+
+
+@query("parsed_parts", sql=f"""
+SELECT msgid || '@conv.example' AS msgid, CAST(1 AS INTEGER) AS part_index, 'text/plain' AS mime_type,
+  CAST(octet_length(encode(body_text)) AS BIGINT) AS size, NULL AS disposition, NULL AS filename, 'utf-8' AS charset
+FROM {CONV_MSGS} m
+UNION ALL SELECT msgid || '@conv.example', CAST(2 AS INTEGER), 'text/plain', CAST(octet_length(encode(body_text)) AS BIGINT),
+  'attachment', 'turn' || CAST(turn AS VARCHAR) || '.txt', 'utf-8' FROM {CONV_MSGS} m WHERE turn % 4 = 1""")
+def parsed_parts(spark, sf):
+    m = MD.index_maildir(spark, maildir_root(spark, sf))
+    p = m.select("msgid", F.explode("parts").alias("p")).select("msgid", "p.*")
+    return p.select("msgid", F.col("index").alias("part_index"), "mime_type", "size", "disposition", "filename", "charset")
+
+
+@query("stream_index", sql=f"""
+SELECT msgid || '@conv.example' AS msgid, maildir,
+  CAST(CASE WHEN flags & 64 <> 0 THEN 64 ELSE flags END | CASE WHEN turn % 4 = 1 THEN 512 ELSE 0 END AS INTEGER) AS flags
+FROM {CONV_MSGS} m""")
+def stream_index(spark, sf):
+    root = maildir_root(spark, sf)
+    store = S.stream_index(spark, root, max_files_per_trigger=200)
+    # the stream sees the excluded folder too; apply the same exclusion as the batch index
+    st = store.select("path", "msgid", "maildir", "flags")
+    kept = MD.exclude_dirs(st, MD.marker_dirs(st.select("path")))
+    return kept.select("msgid", "maildir", "flags")
+
+
+@query("stream_dedupe", sql="""
+SELECT DISTINCT CAST(user_id AS VARCHAR) || '-' || event_type AS msgid FROM events""")
+def stream_dedupe(spark, sf):
+    s = T.events_as_msgs(S.events_stream(spark, sf))
+    s = s.withColumn("msgid", F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")))
+    d = S.stream_dedupe(s.select("msgid", F.col("date").cast("timestamp").alias("date")), "msgid", "date", "1 day")
+    return S.collect_stream(spark, d, "stream-dedupe").select("msgid")
+
+
+@query("stream_contacts", sql=f"""
+SELECT lower(email) AS key, CAST(count(*) AS BIGINT) AS freq, strftime(max(date), '%Y-%m-%d %H:%M:%S') AS last_seen
+FROM {OCC_ORDERS} o GROUP BY lower(email)""")
+def stream_contacts(spark, sf):
+    orders = S.table_stream(spark, sf, "orders")
+    cust = T.read(spark, sf, "customer")
+    j = orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
+    email = F.concat(F.lower(F.regexp_replace("c_name", "#", "")), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example"))
+    occ = j.select(email.alias("email"), F.col("o_orderdate").alias("date"))
+    c = S.stream_contacts(spark, occ)
+    return c.select("key", "freq", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+
+
+_SAVED = {
+    "errors": ("lower(maildir) = '/error'", lambda: Q.maildir_is("maildir", "/error")),
+    "flagged": ("(flags & 2) <> 0", lambda: Q.has_flag("flags", "F")),
+    "big": ("value > 50", lambda: F.col("value") > 50),
+}
+
+
+@query("stream_counts", sql=" UNION ALL ".join(
+    f"SELECT '{k}' AS name, CAST(count(*) FILTER (WHERE {s}) AS BIGINT) AS total, "
+    f"CAST(count(*) FILTER (WHERE ({s}) AND ((flags & 64) <> 0 OR (flags & 16) = 0)) AS BIGINT) AS unread FROM {EVENT_MSGS} e"
+    for k, (s, _) in _SAVED.items()))
+def stream_counts(spark, sf):
+    s = T.events_as_msgs(S.events_stream(spark, sf))
+    return S.stream_saved_counts(spark, s, {k: f() for k, (_, f) in _SAVED.items()})
+
+
+_HDR_SQL = f"""SELECT doc_id, "from", "to", subject, size, msgid, path, maildir,
+  strftime(date, '%Y-%m-%d %H:%M:%S') AS date FROM {CONV_MSGS} m"""
+
+
+def _hdr(spark, sf):
+    m = T.msgs_from_conversations(spark, sf)
+    return m.select("doc_id", "from", "to", "subject", "size", "msgid", "path", "maildir",
+                    F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"))
+
+
+@query("json_out", sql=_HDR_SQL)
+def json_out(spark, sf):
+    out = scratch_path(spark, "json-out")
+    h = _hdr(spark, sf)
+    write_json(h, out, fields=h.columns)
+    return spark.read.schema(h.schema).json(out)
+
+
+@query("xml_out", sql=_HDR_SQL)
+def xml_out(spark, sf):
+    out = scratch_path(spark, "xml-out")
+    h = _hdr(spark, sf)
+    write_xml(h, out)
+    return (spark.read.format("xml").option("rowTag", "message").option("ignoreSurroundingSpaces", "false")
+            .schema(h.schema).load(out))
+
+
+@query("csv_out", sql=f"""
+SELECT arg_max(name, {{'d': date, 'i': doc_id}}) AS name, arg_max(email, {{'d': date, 'i': doc_id}}) AS email
+FROM {OCC_ORDERS} o GROUP BY lower(email)""")
+def csv_out(spark, sf):
+    out = scratch_path(spark, "csv-out")
+    c = C.build_contacts(T.occ_from_orders(spark, sf))
+    write_contacts_csv(c, out)
+    return spark.read.schema("name string, email string").option("escape", '"').csv(out)
+
+
+@query("manifest", sql=f"""
+SELECT path, '/links/' || regexp_extract(path, '/(cur|new)/[^/]+$', 1) || '/' || substring(md5(path), 1, 8) || '_'
+  || regexp_extract(path, '/([^/]+)$', 1) AS link FROM {CONV_MSGS} m WHERE list_contains(string_split(lower(body_text), ' '), 'und')""")
+def manifest(spark, sf):
+    m = T.msgs_from_conversations(spark, sf)
+    res = m.where(F.array_contains(F.split(F.lower("body_text"), " "), "und"))
+    return link_manifest(res, "/links")
+
+
+@query("udf_predicate", sql="SELECT doc_id FROM documents WHERE contains(text, ',') AND lang = 'en'")
+def udf_predicate(spark, sf):
+    has_q = U.user_predicate(lambda s: s.str.contains(",", regex=False))
+    d = T.msgs_from_documents(spark, sf)
+    return d.where(has_q("body_text") & (F.col("lang") == "en")).select("doc_id")
+
+
+@query("udf_custom_field", sql="SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars_py FROM documents")
+def udf_custom_field(spark, sf):
+    n = U.user_column(lambda s: s.str.len().astype("int64"), "bigint")
+    d = T.msgs_from_documents(spark, sf)
+    return d.select("doc_id", n("body_text").alias("n_chars_py"))
+
+
+@query("udf_tabulate", sql="""
+SELECT value, CAST(count(*) AS BIGINT) AS freq FROM (SELECT CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END || '-' || lang AS value
+FROM documents) GROUP BY value""")
+def udf_tabulate(spark, sf):
+    from ..operators.aggregates import tabulate
+    key = U.user_column(lambda n, lang: (n < 1000).map({True: "short", False: "long"}) + "-" + lang, "string")
+    d = T.msgs_from_documents(spark, sf)
+    return tabulate(d, key("size", "lang"))
+
+
+@query("per_partition", sql="""
+SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS n_newlines FROM documents WHERE lang = 'de'""")
+def per_partition(spark, sf):
+    d = T.msgs_from_documents(spark, sf)
+    return U.for_each_message(d.select("doc_id", "body_text", "lang"),
+                              lambda r: {"doc_id": r["doc_id"], "n_newlines": r["body_text"].count("\n")},
+                              "doc_id bigint, n_newlines bigint", F.col("lang") == "de")
+
+
+@query("contact_rewrite", sql=f"""
+SELECT email, freq FROM (
+  SELECT CASE WHEN contains(e, 'household') THEN NULL ELSE upper(split_part(e, '@', 1)) || '@' || split_part(e, '@', 2) END AS email, freq
+  FROM (SELECT arg_max(email, {{'d': date, 'i': doc_id}}) AS e, CAST(count(*) AS BIGINT) AS freq FROM {OCC_ORDERS} o GROUP BY lower(email)))
+WHERE email IS NOT NULL""")
+def contact_rewrite(spark, sf):
+    def fn(e: str):
+        if "household" in e:
+            return None
+        local, _, dom = e.partition("@")
+        return local.upper() + "@" + dom
+    c = C.build_contacts(T.occ_from_orders(spark, sf))
+    return C.process_contacts(c, U.contact_rewriter(fn)("email")).select("email", "freq")
+
+
+@query("token_udtf", sql="""
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS t
+FROM documents) WHERE t <> '' GROUP BY doc_id""")
+def token_udtf(spark, sf):
+    d = T.read(spark, sf, "documents")
+    t = d.select("doc_id", "text").lateralJoin(U.TokenTable(F.col("text").outer()))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))

@@ -14,6 +14,7 @@ def get_spark(app: str = "postlake", cpus: int | str | None = None,
     cpus = cpus or os.environ.get("BENCH_CPUS") or "*"
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

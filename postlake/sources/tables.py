@@ -94,7 +94,11 @@ EVENT_FLAGS = {"error": "F", "click": "S", "view": "R", "signup": "N", "purchase
 
 def msgs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One message per event; the type decides the flag, value feeds statistics."""
-    e = read(spark, sf_dir, "events")
+    return events_as_msgs(read(spark, sf_dir, "events"))
+
+
+def events_as_msgs(e: DataFrame) -> DataFrame:
+    """The events view over any events DataFrame (batch or stream)."""
     flags = F.coalesce(*[F.when(F.col("event_type") == et, F.lit(FLAG_BITS[l])) for et, l in EVENT_FLAGS.items()], F.lit(0))
     return e.select(
         F.col("event_id").alias("doc_id"),
@@ -147,3 +151,36 @@ def parts_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages")
     return p.select(F.col("page_id").alias("doc_id"), F.col("url").alias("path"), F.col("html").alias("body_html"))
+
+
+def rfc822_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as RFC 822 message files (relpath, content): a
+    maildir derived from the table, for the file-ingest path. Every fourth
+    turn (turn % 4 == 1) is multipart with the text also attached."""
+    m = msgs_from_conversations(spark, sf_dir)
+    mid = lambda c: F.concat(F.lit("<"), c, F.lit("@conv.example>"))
+    refs = F.array_join(F.transform("refs", lambda r: mid(r)), " ")
+    date = F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss '+0000'")
+    subj = F.concat(F.lit("=?utf-8?b?"), F.base64(F.encode(F.coalesce("subject", F.lit("")), "UTF-8")), F.lit("?="))
+    hdr = F.concat(
+        F.lit("Message-Id: "), mid(F.col("msgid")), F.lit("\n"),
+        F.lit("Date: "), date, F.lit("\n"),
+        F.lit("From: "), F.col("from"), F.lit(" <"), F.col("from_email"), F.lit(">\n"),
+        F.lit("To: "), F.col("to"), F.lit(" <"), F.col("to"), F.lit("@conv.example>\n"),
+        F.lit("Subject: "), subj, F.lit("\n"),
+        F.when(F.col("turn") > 0, F.concat(F.lit("References: "), refs, F.lit("\nIn-Reply-To: "),
+                                             mid(F.element_at("refs", -1)), F.lit("\n"))).otherwise(F.lit("")),
+        F.lit("X-Label: "), F.col("from"), F.lit("\nMIME-Version: 1.0\n"))
+    boundary = F.concat(F.lit("b-"), F.col("msgid"))
+    single = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.col("body_text"))
+    fname = F.concat(F.lit("turn"), F.col("turn").cast("string"), F.lit(".txt"))
+    multi = F.concat(
+        F.lit('Content-Type: multipart/mixed; boundary="'), boundary, F.lit('"\n\n--'), boundary,
+        F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.col("body_text"),
+        F.lit("\n--"), boundary, F.lit('\nContent-Type: text/plain; charset=utf-8\nContent-Disposition: attachment; filename="'),
+        fname, F.lit('"\nContent-Transfer-Encoding: base64\n\n'), F.base64(F.encode("body_text", "UTF-8")),
+        F.lit("\n--"), boundary, F.lit("--\n"))
+    content = F.concat(hdr, F.when(F.col("turn") % 4 == 1, multi).otherwise(single))
+    # '!' separator: Hadoop paths cannot hold ':' (an accepted maildir variant)
+    relpath = F.regexp_replace(F.regexp_replace("path", "^/mail", ""), ":2,", "!2,")
+    return m.select("doc_id", relpath.alias("relpath"), F.encode(content, "UTF-8").alias("content"))
