@@ -25,21 +25,39 @@ BINARY_FILE_SCHEMA = T.StructType([
 ])
 
 
-class VersionedStore:
-    """A Parquet table kept as numbered versions in a shared folder."""
+class EpochStore:
+    """An append-only Parquet table in a shared folder: each micro-batch writes
+    only its own rows under ``epoch=<n>``; readers take the newest row per key
+    (a partial aggregation), so a batch never rewrites or reads the whole store.
+    Writing an epoch is idempotent (a replayed batch overwrites its own folder)."""
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base, self.version = spark, base.rstrip("/"), -1
+    def __init__(self, spark: SparkSession, base: str, key: str | None = None):
+        self.spark, self.base, self.key, self.epochs = spark, base.rstrip("/"), key, []
 
     def path(self, v: int) -> str:
-        return f"{self.base}/v{v:08d}"
-
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path(self.version)) if self.version >= 0 else None
+        return f"{self.base}/epoch={v}"
 
     def write(self, df: DataFrame, v: int) -> None:
         df.write.mode("overwrite").parquet(self.path(v))
-        self.version = v
+        if v not in self.epochs:
+            self.epochs.append(v)
+
+    def read_all(self) -> DataFrame | None:
+        if not self.epochs:
+            return None
+        return self.spark.read.option("basePath", self.base).parquet(*[self.path(v) for v in self.epochs])
+
+    def read_latest(self) -> DataFrame | None:
+        """Newest row per key (rows of the last epoch without a key)."""
+        df = self.read_all()
+        if df is None:
+            return None
+        cols = [c for c in df.columns if c != "epoch"]
+        if self.key is None:
+            return df.where(F.col("epoch") == max(self.epochs)).select(*cols)
+        latest = df.groupBy(self.key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols if c != self.key]),
+                                                    F.col("epoch")).alias("_r"))
+        return latest.select(self.key, "_r.*").select(*[F.col(f"`{c}`") for c in cols])
 
 
 def _run(writer, name: str, spark: SparkSession):
@@ -49,9 +67,9 @@ def _run(writer, name: str, spark: SparkSession):
 
 
 def stream_index(spark: SparkSession, root: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """STR1: new message files below root are parsed and upserted (by path)
-    into a versioned store; returns the final store."""
-    store = VersionedStore(spark, scratch_path(spark, "stream-index"))
+    """STR1: new message files below root are parsed batch by batch and
+    appended; the store reads as the newest version per path (upsert)."""
+    store = EpochStore(spark, scratch_path(spark, "stream-index"), key="path")
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_per_trigger).load(root))
     files = files.where(F.col("path").rlike(MAILDIR_FILE)).select(
@@ -59,15 +77,13 @@ def stream_index(spark: SparkSession, root: str, max_files_per_trigger: int = 10
         F.col("modificationTime").cast("timestamp_ntz").alias("mtime"), F.col("length").alias("size"), "content")
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        parsed = parse_messages(batch, root)
-        cur = store.read()
-        new = parsed if cur is None else cur.join(parsed.select("path"), "path", "left_anti").unionByName(parsed)
-        store.write(new, epoch)
+        store.write(parse_messages(batch, root), epoch)
 
     _run(files.writeStream.foreachBatch(upsert), "stream-index", spark)
-    out = store.read()
+    out = store.read_latest()
     if out is None:
-        return spark.createDataFrame([], parse_messages(spark.createDataFrame([], "path string, mtime timestamp_ntz, size bigint, content binary")).schema)
+        empty = spark.createDataFrame([], "path string, mtime timestamp_ntz, size bigint, content binary")
+        return parse_messages(empty, root)
     return out
 
 
@@ -91,38 +107,28 @@ def stream_dedupe(s: DataFrame, key: str = "msgid", event_time: str = "date", de
 
 
 def collect_stream(spark: SparkSession, s: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream to completion into a versioned store; return what it wrote."""
-    store = VersionedStore(spark, scratch_path(spark, name))
-    parts: list[int] = []
+    """Run a stream to completion into an epoch store; return what it wrote
+    (all epochs in append mode, the last result in complete mode)."""
+    store = EpochStore(spark, scratch_path(spark, name))
 
     def sink(batch: DataFrame, epoch: int) -> None:
         store.write(batch, epoch)
-        parts.append(epoch)
 
     _run(s.writeStream.outputMode(mode).foreachBatch(sink), name, spark)
-    if not parts:
+    out = store.read_latest() if mode == "complete" else store.read_all()
+    if out is None:
         return spark.createDataFrame([], s.schema)
-    if mode == "complete":
-        return store.read()
-    return spark.read.parquet(*[store.path(v) for v in parts])
+    return out.drop("epoch")
 
 
 def stream_contacts(spark: SparkSession, occ: DataFrame) -> DataFrame:
-    """STR3: running freq / last_seen per e-mail, merged batch by batch (update
-    mode) into a versioned contact table."""
-    store = VersionedStore(spark, scratch_path(spark, "stream-contacts"))
+    """STR3: running freq / last_seen per e-mail. Update mode emits the new
+    running totals of the keys a batch touched; they are appended and the
+    newest per key is the contact table."""
+    store = EpochStore(spark, scratch_path(spark, "stream-contacts"), key="key")
     agg = occ.groupBy(F.lower("email").alias("key")).agg(F.count("*").alias("freq"), F.max("date").alias("last_seen"))
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        cur = store.read()
-        if cur is None:
-            store.write(batch, epoch)
-            return
-        # update mode emits the new running totals for the keys that changed
-        store.write(cur.join(batch.select("key"), "key", "left_anti").unionByName(batch), epoch)
-
-    _run(agg.writeStream.outputMode("update").foreachBatch(merge), "stream-contacts", spark)
-    return store.read()
+    _run(agg.writeStream.outputMode("update").foreachBatch(lambda b, e: store.write(b, e)), "stream-contacts", spark)
+    return store.read_latest()
 
 
 def stream_saved_counts(spark: SparkSession, s: DataFrame, queries: dict[str, Column], flags: str = "flags") -> DataFrame:
