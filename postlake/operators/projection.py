@@ -25,7 +25,9 @@ def project(m: DataFrame, fields: str | list[str], keep: list[str] | None = None
 
 def headers_only(m: DataFrame) -> DataFrame:
     """PRJ2: header fields with contacts grouped per type; no bodies or parts."""
-    by_type = {t: F.filter("contacts", lambda c, t=t: c["type"] == t) for t in ("from", "to", "cc", "bcc")}
+    def of_type(t):
+        return F.filter("contacts", lambda c: c["type"] == t)
+    by_type = {t: of_type(t) for t in ("from", "to", "cc", "bcc")}
     base = [c for c in ("doc_id", "path", "maildir", "msgid", "subject", "date", "size", "flags", "prio", "tags")
             if c in m.columns]
     return m.select(*base, *[v.alias(f"{k}_contacts") for k, v in by_type.items()])

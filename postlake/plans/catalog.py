@@ -27,4 +27,4 @@ def query(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import search, stats, relate, textq, textindex, maintain, threadq, partq, people, io  # noqa: F401
+    from . import search, stats, relate, textq, textindex, maintain, threadq, partq, people, io, headers  # noqa: F401
