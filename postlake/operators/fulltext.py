@@ -26,6 +26,15 @@ def build_postings(m: DataFrame, fields: dict[str, str] | list[str]) -> DataFram
     return out.select("doc_id", "field", "term", F.col("pos").cast("bigint").alias("pos"))
 
 
+def write_postings(postings: DataFrame, path: str, num_partitions: int | None = None) -> None:
+    """Store postings as the index table: partitioned by field, hashed by term and
+    sorted inside each file, so a term lookup reads only the row groups whose
+    min/max cover it (no sampling pass over the tokenizer, unlike a range sort)."""
+    n = num_partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (postings.repartition(n, "field", "term").sortWithinPartitions("field", "term", "doc_id", "pos")
+     .write.mode("overwrite").partitionBy("field").parquet(path))
+
+
 def term_dictionary(postings: DataFrame, field: str | None = None) -> DataFrame:
     """FTS2: distinct terms with document and occurrence counts."""
     p = postings.where(F.col("field") == field) if field else postings

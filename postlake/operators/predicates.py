@@ -30,9 +30,23 @@ def match_all() -> Column:
     return F.lit(True)
 
 
+_B = r"[^\p{L}\p{N}]"
+
+
+def _is_token(w: str) -> bool:
+    return bool(w) and all(ch.isalpha() or ch.isdigit() for ch in w)
+
+
 def has_term(text: Column | str, word: str) -> Column:
-    """FLT2: the word occurs as a token of the text (case and accent blind)."""
-    return _safe(F.array_contains(tokens(text), flatten_py(word)))
+    """FLT2: the word occurs as a token of the text (case and accent blind).
+
+    Tokens are the letter/digit runs of the flattened text, so for a word
+    that is itself one token this is a boundary-anchored regex on the
+    flattened text: one pass, no token array is built."""
+    w = flatten_py(word)
+    if not _is_token(w):
+        return _safe(F.array_contains(tokens(text), w))
+    return _safe(flatten(text).rlike(f"(^|{_B}){w}({_B}|$)"))
 
 
 DEFAULT_FIELDS = ("to", "cc", "bcc", "from", "subject", "body_text")
@@ -72,9 +86,12 @@ def recip(contacts: Column | str, x: str) -> Column:
 def phrase(text: Column | str, words: str) -> Column:
     """FLT6: the words occur consecutively as tokens."""
     ws = [w for w in re.split(r"[^\w]+", flatten_py(words)) if w]
-    target = " " + " ".join(ws) + " "
-    joined = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-    return _safe(F.instr(joined, target) > 0)
+    if not all(_is_token(w) for w in ws):
+        target = " " + " ".join(ws) + " "
+        joined = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+        return _safe(F.instr(joined, target) > 0)
+    body = f"{_B}+".join(ws)
+    return _safe(flatten(text).rlike(f"(^|{_B}){body}({_B}|$)"))
 
 
 def prefix(text: Column | str, p: str) -> Column:
@@ -82,7 +99,9 @@ def prefix(text: Column | str, p: str) -> Column:
     p = flatten_py(p.rstrip("*"))
     if not p:
         raise ValueError("a prefix needs at least one character")
-    return _safe(F.exists(tokens(text), lambda t: t.startswith(p)))
+    if not _is_token(p):
+        return _safe(F.exists(tokens(text), lambda t: t.startswith(p)))
+    return _safe(flatten(text).rlike(f"(^|{_B}){p}"))
 
 
 def regex_terms(text: Column | str, rx: str) -> Column:

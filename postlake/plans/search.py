@@ -259,8 +259,11 @@ UNION ALL SELECT 'xor', CAST(count(*) AS BIGINT) FROM ((SELECT doc_id FROM a EXC
                                                      UNION ALL (SELECT doc_id FROM b EXCEPT SELECT doc_id FROM a))""")
 def set_ops(spark, sf):
     d = T.msgs_from_documents(spark, sf)
-    a = d.where(Q.has_term("body_text", "the")).select("doc_id")
-    b = d.where((F.col("lang") == "en") & (F.col("size") > 1000)).select("doc_id")
+    # both predicates in one scan; the narrow result is checkpointed and feeds all four set operations
+    sel = d.select("doc_id", Q.has_term("body_text", "the").alias("in_a"),
+                   ((F.col("lang") == "en") & (F.col("size") > 1000)).alias("in_b")).checkpoint()
+    a = sel.where("in_a").select("doc_id")
+    b = sel.where("in_b").select("doc_id")
     parts = [("union", ordering.union_docs(a, b)), ("intersect", ordering.intersect_docs(a, b)),
              ("except", ordering.except_docs(a, b)), ("xor", ordering.xor_docs(a, b))]
     out = None

@@ -13,8 +13,19 @@ _POSTINGS_SQL = f"""(SELECT doc_id, 'body' AS field, unnest(toks) AS term, CAST(
   FROM (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents))"""
 
 
+_INDEX: dict[tuple[str, str], str] = {}
+
+
 def _postings(spark, sf):
-    return FT.build_postings(T.msgs_from_documents(spark, sf), {"body": "body_text"})
+    """The documents' postings index: built by Spark from the table once per
+    session, written as a sorted Parquet table, then read by every query."""
+    from ..session import scratch_path
+    key = (sf, spark.sparkContext.getCheckpointDir() or "")
+    if key not in _INDEX:
+        path = scratch_path(spark, "postings")
+        FT.write_postings(FT.build_postings(T.msgs_from_documents(spark, sf), {"body": "body_text"}), path)
+        _INDEX[key] = path
+    return spark.read.parquet(_INDEX[key])
 
 
 @query("postings", sql=f"""
