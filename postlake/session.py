@@ -20,6 +20,8 @@ def get_spark(app: str = "postlake", cpus: int | str | None = None,
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # message files are small: a low open cost packs many per task
+         .config("spark.sql.files.openCostInBytes", str(256 * 1024))
          .config("spark.driver.memory", "16g")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8)))
     for k, v in (extra or {}).items():

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import datetime as dt
 import email
-import email.policy
+import email.errors
+import email.header
+
 import email.utils
 import re
 from collections.abc import Iterator
@@ -139,19 +141,30 @@ def _prio(msg) -> str:
     return "normal"
 
 
+def _decode(value) -> str | None:
+    """Header value with RFC 2047 encoded words decoded."""
+    if value is None:
+        return None
+    try:
+        return str(email.header.make_header(email.header.decode_header(str(value))))
+    except (UnicodeError, LookupError, email.errors.HeaderParseError):
+        return str(value)
+
+
 def _text_of(part) -> str:
+    payload = part.get_payload(decode=True) or b""
+    charset = part.get_content_charset() or "utf-8"
     try:
-        c = part.get_content()
-        return c if isinstance(c, str) else ""
-    except Exception:  # noqa: BLE001  (undecodable part: no text)
-        payload = part.get_payload(decode=True) or b""
+        return payload.decode(charset, "replace")
+    except LookupError:
         return payload.decode("utf-8", "replace")
 
 
 def parse_one(path: str, content: bytes) -> dict:
-    """Parse one RFC 822 message into the PARSED fields."""
-    msg = email.message_from_bytes(content, policy=email.policy.default)
-    headers = {k.lower(): str(v) for k, v in msg.items()}
+    """Parse one RFC 822 message into the PARSED fields (compat32 parser: the
+    fast path of the standard package; headers decoded explicitly)."""
+    msg = email.message_from_bytes(content)
+    headers = {k.lower(): _decode(v) for k, v in msg.items()}
     mid = _ids(msg.get("message-id"))
     refs = _ids(msg.get("references"))
     for r in _ids(msg.get("in-reply-to")):
@@ -162,23 +175,25 @@ def parse_one(path: str, content: bytes) -> dict:
         try:
             d = email.utils.parsedate_to_datetime(str(msg.get("date")))
             date = d.astimezone(dt.timezone.utc).replace(tzinfo=None) if d.tzinfo else d
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, IndexError):
             date = None
     contacts = []
     for ctype in ("from", "to", "cc", "bcc", "reply-to"):
-        for name, addr in email.utils.getaddresses([str(v) for v in msg.get_all(ctype, [])]):
+        values = [_decode(v) for v in msg.get_all(ctype, [])]
+        for name, addr in email.utils.getaddresses(values):
             if addr:
                 contacts.append({"type": ctype.replace("-", ""), "name": name or None, "email": addr,
                                  "full_address": email.utils.formataddr((name, addr)) if name else addr})
-    list_id = msg.get("list-id")
+    list_id = _decode(msg.get("list-id"))
     mlist = None
     if list_id:
-        m = re.search(r"<([^>]*)>", str(list_id))
-        mlist = m.group(1) if m else str(list_id).strip()
+        m = re.search(r"<([^>]*)>", list_id)
+        mlist = m.group(1) if m else list_id.strip()
     tags = []
     for h, sep in (("x-label", r"\s+"), ("x-keywords", ","), ("keywords", ",")):
-        if msg.get(h):
-            tags += [t.strip() for t in re.split(sep, str(msg.get(h)).strip()) if t.strip()]
+        v = headers.get(h)
+        if v:
+            tags += [t.strip() for t in re.split(sep, v.strip()) if t.strip()]
     parts, texts, htmls, embedded = [], [], [], []
     flags = 0
     idx = 0
@@ -192,7 +207,7 @@ def parse_one(path: str, content: bytes) -> dict:
             continue
         idx += 1
         disp = part.get_content_disposition()
-        fname = part.get_filename()
+        fname = _decode(part.get_filename())
         payload = part.get_payload(decode=True) or b""
         is_att = (ctype not in ("text/plain", "text/html")) or disp == "attachment"
         if is_att:
@@ -213,9 +228,9 @@ def parse_one(path: str, content: bytes) -> dict:
         return ", ".join(c["name"] or c["email"] for c in contacts if c["type"] == t) or None
 
     return {"path": path, "msgid": mid[0] if mid else None, "refs": refs,
-            "subject": str(msg.get("subject")) if msg.get("subject") is not None else None,
-            "date": date, "from": disp_of("from"), "to": disp_of("to"), "cc": disp_of("cc"), "bcc": disp_of("bcc"),
-            "contacts": contacts, "mailing_list": mlist, "prio": _prio(msg), "content_flags": flags, "tags": tags,
+            "subject": headers.get("subject"), "date": date, "from": disp_of("from"), "to": disp_of("to"),
+            "cc": disp_of("cc"), "bcc": disp_of("bcc"), "contacts": contacts, "mailing_list": mlist,
+            "prio": _prio(msg), "content_flags": flags, "tags": tags,
             "body_text": "\n".join(texts) if texts else None, "body_html": "\n".join(htmls) if htmls else None,
             "embedded_text": "\n".join(embedded) if embedded else None, "parts": parts, "headers": headers}
 
@@ -296,7 +311,7 @@ def part_payloads(files: DataFrame) -> DataFrame:
         for pdf in it:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                msg = email.message_from_bytes(bytes(content), policy=email.policy.default)
+                msg = email.message_from_bytes(bytes(content))
                 mid = _ids(msg.get("message-id"))
                 idx = 0
                 for part in msg.walk():
@@ -305,6 +320,6 @@ def part_payloads(files: DataFrame) -> DataFrame:
                     idx += 1
                     rows.append({"path": path, "msgid": mid[0] if mid else None, "part_index": idx,
                                  "mime_type": part.get_content_type(), "disposition": part.get_content_disposition(),
-                                 "filename": part.get_filename(), "payload": part.get_payload(decode=True) or b""})
+                                 "filename": _decode(part.get_filename()), "payload": part.get_payload(decode=True) or b""})
             yield pd.DataFrame(rows, columns=cols)
     return files.select("path", "content").mapInPandas(run, PART_PAYLOAD)
