@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,20 +44,26 @@ def is_unread(flags: Column | str) -> Column:
     return (f.bitwiseAND(F.lit(FLAG_BITS["N"])) != 0) | (f.bitwiseAND(F.lit(FLAG_BITS["S"])) == 0)
 
 
+def _table(kinds: tuple[str, ...] | None) -> Column:
+    """The flag table as a literal array of (letter, bit) structs. Used through
+    higher-order functions, so the input expression appears once in the tree
+    (nesting these functions does not multiply generated code)."""
+    return F.array(*[F.struct(F.lit(l).alias("l"), F.lit(FLAG_BITS[l]).alias("b"))
+                     for l, _, kind in FLAG_TABLE if kinds is None or kind in kinds])
+
+
 def flags_to_string(flags: Column | str, kinds: tuple[str, ...] | None = None) -> Column:
     """FN16: letters of the set bits in table order."""
     f = _col(flags)
-    parts = [F.when(f.bitwiseAND(F.lit(FLAG_BITS[l])) != 0, F.lit(l)).otherwise(F.lit(""))
-             for l, _, kind in FLAG_TABLE if kinds is None or kind in kinds]
-    return F.concat(*parts)
+    hits = F.filter(_table(kinds), lambda x: f.bitwiseAND(x["b"]) != 0)
+    return F.array_join(F.transform(hits, lambda x: x["l"]), "")
 
 
 def flags_from_string(s: Column | str, kinds: tuple[str, ...] | None = None) -> Column:
     """FN17: bitset of the flag letters in a string; unknown letters ignored."""
     s = _col(s)
-    terms = [F.when(F.instr(s, l) > 0, F.lit(FLAG_BITS[l])).otherwise(F.lit(0))
-             for l, _, kind in FLAG_TABLE if kinds is None or kind in kinds]
-    return reduce(lambda a, b: a.bitwiseOR(b), terms).cast("int")
+    hits = F.filter(_table(kinds), lambda x: F.instr(s, x["l"]) > 0)
+    return F.aggregate(hits, F.lit(0), lambda acc, x: acc.bitwiseOR(x["b"])).cast("int")
 
 
 def parse_delta(spec: str) -> tuple[int, int]:
