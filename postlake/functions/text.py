@@ -139,7 +139,7 @@ def subject_tail(c: Column | str) -> Column:
 def line_count(c: Column | str) -> Column:
     """FN36: number of newline characters."""
     c = F.col(c) if isinstance(c, str) else c
-    return (F.length(c) - F.length(F.regexp_replace(c, "\n", ""))).cast("bigint")
+    return (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))).cast("bigint")
 
 
 URL_PATTERN = r"((https?://|mailto:)[^\s<>\"'()]+)"
