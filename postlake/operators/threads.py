@@ -115,7 +115,7 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
     ensure_checkpoint_dir(spark)
     base = m.select("doc_id", F.coalesce("msgid", "path").alias("id"), "refs", "date", "subject")
     firsts = base.groupBy("id").agg(F.min("doc_id").alias("first_doc"))
-    b = _ckpt(base.join(firsts, "id").withColumn("is_dup", F.col("doc_id") != F.col("first_doc")).drop("first_doc"))
+    b = base.join(firsts, "id").withColumn("is_dup", F.col("doc_id") != F.col("first_doc")).drop("first_doc")
     real = b.where(~F.col("is_dup"))
     dups = b.where(F.col("is_dup"))
 
@@ -131,7 +131,6 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
              .select("id", F.coalesce("is_real", F.lit(False)).alias("is_real"),
                      F.coalesce(F.try_element_at("anc", F.lit(-1)), F.col("id")).alias("root"),
                      F.transform(F.filter(F.coalesce("chain", F.array()), lambda s: s["r"]), lambda s: s["a"]).alias("real_anc")))
-    nodes = _ckpt(nodes)
     top = nodes.where(F.col("is_real") & (F.size("real_anc") == 0) & (F.col("root") != F.col("id")))
     kept = (top.groupBy("root").agg(F.count("*").alias("n_top")).where(F.col("n_top") >= 2)
             .select(F.col("root").alias("kept_root"), F.lit(True).alias("is_kept")))
