@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import subject_tail
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed, ensure_checkpoint_dir
 from .windows import ranked
 
 DUP_PREFIX = "\u0000dup-"
@@ -38,7 +38,7 @@ MAX_ROUNDS = 64
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
 
 
 def parent_edges(m: DataFrame) -> tuple[DataFrame, DataFrame]:

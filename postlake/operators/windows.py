@@ -28,9 +28,8 @@ def ranked(df: DataFrame, order: list[Column], group: list[str] | None = None, o
     parted = parted.withColumn("_pid", F.spark_partition_id())
     # local number inside (task, group): a window on (pid, group) keeps hot groups split
     w_local = Window.partitionBy("_pid", *group).orderBy(*order)
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    local = parted.withColumn("_lrn", F.row_number().over(w_local)).checkpoint(eager=True)
+    from ..session import checkpointed
+    local = checkpointed(parted.withColumn("_lrn", F.row_number().over(w_local)))
     # per (task, group) counts; only first and last group of each task can span tasks
     counts = local.groupBy("_pid", *group).agg(F.max("_lrn").alias("_cnt"))
     if group:

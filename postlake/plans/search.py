@@ -260,8 +260,9 @@ UNION ALL SELECT 'xor', CAST(count(*) AS BIGINT) FROM ((SELECT doc_id FROM a EXC
 def set_ops(spark, sf):
     d = T.msgs_from_documents(spark, sf)
     # both predicates in one scan; the narrow result is checkpointed and feeds all four set operations
-    sel = d.select("doc_id", Q.has_term("body_text", "the").alias("in_a"),
-                   ((F.col("lang") == "en") & (F.col("size") > 1000)).alias("in_b")).checkpoint()
+    from ..session import checkpointed
+    sel = checkpointed(d.select("doc_id", Q.has_term("body_text", "the").alias("in_a"),
+                                ((F.col("lang") == "en") & (F.col("size") > 1000)).alias("in_b")))
     a = sel.where("in_a").select("doc_id")
     b = sel.where("in_b").select("doc_id")
     parts = [("union", ordering.union_docs(a, b)), ("intersect", ordering.intersect_docs(a, b)),

@@ -51,3 +51,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/postlake-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df, eager: bool = True):
+    """Reliable checkpoint into the shared folder (never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
