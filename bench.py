@@ -55,6 +55,11 @@ def main() -> None:
         index_maildir(spark, root).write.format("noop").mode("overwrite").save()
         dt_ = time.time() - t0
         times["index_maildir"] = round(dt_, 3)
+        from postlake.sources.maildir import index_maildir_distributed
+        t0 = time.time()
+        index_maildir_distributed(spark, root).write.format("noop").mode("overwrite").save()
+        dt3 = time.time() - t0
+        times["index_maildir_distributed"] = round(dt3, 3)
         # re-index with nothing changed: list files (content not read), compare stamps, parse nothing
         from postlake.session import scratch_path
         from postlake.sources.incremental import new_or_changed
@@ -68,6 +73,7 @@ def main() -> None:
         dt2 = time.time() - t0
         times["reindex_nochange"] = round(dt2, 3)
         ingest = {"ingest_msgs": n, "ingest_msgs_per_sec": round(n / dt_, 1),
+                  "ingest_distributed_msgs_per_sec": round(n / dt3, 1),
                   "reindex_nochange_msgs_per_sec": round(n / dt2, 1), "reindex_changed": todo}
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

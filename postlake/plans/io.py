@@ -59,6 +59,11 @@ def scan_parse_maildir(spark, sf):
     return _parsed_out(MD.index_maildir(spark, maildir_root(spark, sf)))
 
 
+@query("scan_distributed", sql=_PARSE_SQL)
+def scan_distributed(spark, sf):
+    return _parsed_out(MD.index_maildir_distributed(spark, maildir_root(spark, sf)))
+
+
 @query("parsed_parts", sql=f"""
 SELECT msgid || '@conv.example' AS msgid, CAST(1 AS INTEGER) AS part_index, 'text/plain' AS mime_type,
   CAST(octet_length(encode(body_text)) AS BIGINT) AS size, NULL AS disposition, NULL AS filename, 'utf-8' AS charset
