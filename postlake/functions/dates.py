@@ -99,6 +99,13 @@ def parse_date_bound(expr: str | None, is_lower: bool, as_of: dt.datetime, tz: s
     return t
 
 
+def ntz_lit(d: dt.datetime | dt.date) -> Column:
+    """A wall-clock TIMESTAMP_NTZ literal (no time-zone conversion on the way)."""
+    if not isinstance(d, dt.datetime):
+        d = dt.datetime(d.year, d.month, d.day)
+    return F.lit(d.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def epoch_to_local(t: int, tz: str) -> dt.datetime:
     return dt.datetime.fromtimestamp(t, ZoneInfo(tz)).replace(tzinfo=None)
 
@@ -113,9 +120,9 @@ def date_between(c: Column | str, lo: str | None, hi: str | None, as_of: dt.date
     col = _col(c)
     pred = col.isNotNull()
     if a != OPEN_LOW:
-        pred = pred & (col >= F.lit(epoch_to_local(a, tz)).cast("timestamp_ntz"))
+        pred = pred & (col >= ntz_lit(epoch_to_local(a, tz)))
     if b != OPEN_HIGH:
-        pred = pred & (col <= F.lit(epoch_to_local(b, tz)).cast("timestamp_ntz"))
+        pred = pred & (col <= ntz_lit(epoch_to_local(b, tz)))
     return pred
 
 

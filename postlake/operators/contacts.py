@@ -8,6 +8,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import ntz_lit
 from ..functions.people import first_name, last_name, nick_base
 from .windows import ranked
 
@@ -56,14 +57,14 @@ def contacts_of(m: DataFrame, expr: Column | None = None, personal: list[str] |
 
 
 def rank_key(as_of: dt.datetime) -> list[Column]:
-    recent = F.col("last_seen") > F.lit(as_of - dt.timedelta(days=RECENT_DAYS))
+    recent = F.col("last_seen") > ntz_lit(as_of - dt.timedelta(days=RECENT_DAYS))
     return [F.col("personal").desc(), recent.desc(), F.col("freq").desc(), F.lower("email").asc(), F.col("email").asc()]
 
 
 def rank_contacts(c: DataFrame, as_of: dt.datetime) -> DataFrame:
     """CON1 + WIN2: rank 1..n (personal first, then recent, then frequent, then
     e-mail), numbered with the distributed ranking (no single-task window)."""
-    recent = (F.col("last_seen") > F.lit(as_of - dt.timedelta(days=RECENT_DAYS))).cast("int")
+    recent = (F.col("last_seen") > ntz_lit(as_of - dt.timedelta(days=RECENT_DAYS))).cast("int")
     keyed = c.withColumn("_p", F.col("personal").cast("int")).withColumn("_r", recent).withColumn("_le", F.lower("email"))
     order = [F.col("_p").desc(), F.col("_r").desc(), F.col("freq").desc(), F.col("_le").asc(), F.col("email").asc()]
     return ranked(keyed, order, out="rank").drop("_p", "_r", "_le")
@@ -79,13 +80,13 @@ def find_contacts(c: DataFrame, rx: str | None = None, personal_only: bool = Fal
     if personal_only:
         out = out.where("personal")
     if after is not None:
-        out = out.where(F.col("last_seen") >= F.lit(after))
+        out = out.where(F.col("last_seen") >= ntz_lit(after))
     return out
 
 
 def contacts_since(c: DataFrame, as_of: dt.datetime, since: dt.datetime) -> DataFrame:
     """CON3: ranked contacts changed after a stamp (rank is over all contacts)."""
-    return rank_contacts(c, as_of).where(F.col("last_seen") > F.lit(since))
+    return rank_contacts(c, as_of).where(F.col("last_seen") > ntz_lit(since))
 
 
 def process_contacts(c: DataFrame, fn: Column | None = None) -> DataFrame:

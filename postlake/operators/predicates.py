@@ -164,7 +164,8 @@ def and_not(a: Column, b: Column) -> Column:
 
 def modified_after(mtime: Column | str, ts) -> Column:
     """FLT20."""
-    return _safe(_col(mtime) >= F.lit(ts))
+    from ..functions.dates import ntz_lit
+    return _safe(_col(mtime) >= ntz_lit(ts))
 
 
 def narrow(expr: Column, extra: Column) -> Column:
