@@ -66,14 +66,18 @@ def scan_distributed(spark, sf):
 
 @query("parsed_parts", sql=f"""
 SELECT msgid || '@conv.example' AS msgid, CAST(1 AS INTEGER) AS part_index, 'text/plain' AS mime_type,
-  CAST(octet_length(encode(body_text)) AS BIGINT) AS size, NULL AS disposition, NULL AS filename, 'utf-8' AS charset
+  CAST(octet_length(encode(body_text)) AS BIGINT) AS size, NULL AS disposition, NULL AS filename, 'utf-8' AS charset,
+  'charset=utf-8' AS params
 FROM {CONV_MSGS} m
 UNION ALL SELECT msgid || '@conv.example', CAST(2 AS INTEGER), 'text/plain', CAST(octet_length(encode(body_text)) AS BIGINT),
-  'attachment', 'turn' || CAST(turn AS VARCHAR) || '.txt', 'utf-8' FROM {CONV_MSGS} m WHERE turn % 4 = 1""")
+  'attachment', 'turn' || CAST(turn AS VARCHAR) || '.txt', 'utf-8', 'charset=utf-8' FROM {CONV_MSGS} m WHERE turn % 4 = 1""")
 def parsed_parts(spark, sf):
     m = MD.index_maildir(spark, maildir_root(spark, sf))
     p = m.select("msgid", F.explode("parts").alias("p")).select("msgid", "p.*")
-    return p.select("msgid", F.col("index").alias("part_index"), "mime_type", "size", "disposition", "filename", "charset")
+    params = F.array_join(F.transform(F.array_sort(F.map_entries("params")),
+                                      lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return p.select("msgid", F.col("index").alias("part_index"), "mime_type", "size", "disposition", "filename", "charset",
+                    params.alias("params"))
 
 
 @query("stream_index", sql=f"""

@@ -116,6 +116,7 @@ PARSED = T.StructType([
         T.StructField("filename", T.StringType()),
         T.StructField("cid", T.StringType()),
         T.StructField("charset", T.StringType()),
+        T.StructField("params", T.MapType(T.StringType(), T.StringType())),
     ]))),
     T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
 ])
@@ -220,7 +221,8 @@ def parse_one(path: str, content: bytes) -> dict:
             htmls.append(_text_of(part))
         parts.append({"index": idx, "mime_type": ctype, "size": len(payload), "disposition": disp,
                       "filename": fname, "cid": (part.get("content-id") or "").strip("<> ") or None,
-                      "charset": part.get_content_charset()})
+                      "charset": part.get_content_charset(),
+                      "params": {k.lower(): str(v) for k, v in (part.get_params() or [])[1:]}})
     if mlist:
         flags |= FLAG_BITS["l"]
 
