@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.flags import is_unread
 
@@ -36,7 +37,7 @@ def tabulate(m: DataFrame, fn: Column, expr: Column | None = None, name: str = "
     """AGG4: value -> frequency; an array value counts each element."""
     src = m.where(expr) if expr is not None else m
     v = src.select(fn.alias(name))
-    if isinstance(v.schema[name].dataType, __import__("pyspark.sql.types", fromlist=["ArrayType"]).ArrayType):
+    if isinstance(v.schema[name].dataType, ArrayType):
         v = v.select(F.explode(name).alias(name))
     return v.groupBy(name).agg(F.count("*").alias("freq"))
 

@@ -3,7 +3,6 @@ STR1-4, SNK1-8, UDF1-9)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import udfs as U

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.flags import FLAG_BITS
 from ..operators import changes as CH
 from ..operators import predicates as Q
 from ..sources import incremental as INC

@@ -15,7 +15,7 @@ from ..operators import dedupe, ordering
 from ..operators import predicates as Q
 from ..sources import tables as T
 from .catalog import query
-from .sqlviews import CONV_MSGS, DOC_MSGS, EVENT_MSGS, flatten_sql, tokens_sql
+from .sqlviews import CONV_MSGS, DOC_MSGS, EVENT_MSGS, tokens_sql
 
 # Fixed "now" of the queries so results are reproducible.
 AS_OF = dt.datetime(2024, 1, 4, 12, 0, 0)

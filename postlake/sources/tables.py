@@ -32,8 +32,10 @@ def msgs_from_conversations(spark: SparkSession, sf_dir: str, gaps: bool = False
     c = read(spark, sf_dir, "conversations")
     if gaps:
         c = c.where(((F.col("conv_id") * 7 + F.col("turn")) % 5) != 0)
+    # one row per conversation (an aggregate), so Catalyst drops this outer join
+    # entirely from every query that does not use the subject
     first = (read(spark, sf_dir, "conversations").where(F.col("turn") == 0)
-             .select("conv_id", F.substring("text", 1, 40).alias("_base")))
+             .groupBy("conv_id").agg(F.min(F.substring("text", 1, 40)).alias("_base")))
     m = c.join(first, "conv_id", "left")
     v = ((F.col("conv_id") + F.col("turn")) % 8).cast("int")
     flags = (v.bitwiseAND(1) * 16 + v.bitwiseAND(2) + v.bitwiseAND(4) * 16).cast("int")
