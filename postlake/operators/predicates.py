@@ -65,11 +65,13 @@ def contact_term(contacts: Column | str, types: tuple[str, ...], x: str) -> Colu
     local part or domain equals the (flattened) value."""
     v = flatten_py(x)
 
+    from ..functions.people import email_domain, email_local
+
     def one(c):
         email = F.lower(F.coalesce(c["email"], F.lit("")))
         name_hit = F.array_contains(tokens(F.coalesce(c["name"], F.lit(""))), v)
-        return c["type"].isin(*types) & (name_hit | (email == v) | (F.substring_index(email, "@", 1) == v)
-                                         | (F.substring_index(email, "@", -1) == v))
+        return c["type"].isin(*types) & (name_hit | (email == v) | (email_local(email) == v)
+                                         | (email_domain(email) == v))
     return _safe(F.exists(_col(contacts), one))
 
 

@@ -71,7 +71,8 @@ def _display(letter: str) -> Column:
     name = FIELD_SHORTCUTS[letter]
     col = field_column(name)
     if name == "date":
-        return F.date_format(F.col("date"), "yyyy-MM-dd HH:mm:ss")
+        from ..functions.dates import format_date
+        return format_date("date", "yyyy-MM-dd HH:mm:ss")
     if name == "flag":
         return flags_to_string(F.col("flags"))
     if name in ("refs", "tag", "file", "mime"):

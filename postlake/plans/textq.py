@@ -151,6 +151,11 @@ SELECT doc_id,
   strftime(date, '%Y-%m-%d %H:%M:%S') || ' ' || "from" || ' ' || subject AS line,
   '"' || replace(replace(subject, '\\', '\\\\'), '"', '\\"') || '"' AS quoted,
   {_size_disp_sql('(size * 37)')} AS size_disp,
+  CASE WHEN size * 997 >= 1000000 THEN CAST(CAST(floor((size * 997 * 10 + 500000) / 1000000) AS BIGINT) // 10 AS VARCHAR) || '.'
+         || CAST(CAST(floor((size * 997 * 10 + 500000) / 1000000) AS BIGINT) % 10 AS VARCHAR) || 'M'
+       WHEN size * 997 >= 1000 THEN CAST(CAST(floor((size * 997 * 10 + 500) / 1000) AS BIGINT) // 10 AS VARCHAR) || '.'
+         || CAST(CAST(floor((size * 997 * 10 + 500) / 1000) AS BIGINT) % 10 AS VARCHAR) || 'K'
+       ELSE CAST(size * 997 AS VARCHAR) END AS size_short,
   CASE WHEN CAST(date AS DATE) = DATE '{AS_OF.date()}' THEN strftime(date, '%H:%M:%S') ELSE strftime(date, '%Y-%m-%d') END AS human,
   "from" || ', ' || "to" AS people,
   array_to_string(list_transform(string_split(maildir || ',' || "from", ','), lambda x: trim(x)), '|') AS split_join
@@ -162,6 +167,7 @@ def format_lines(spark, sf):
         PR.format_lines("d f s").alias("line"),
         X.quote("subject").alias("quoted"),
         D.size_display(F.col("size") * 37).alias("size_disp"),
+        D.size_short(F.col("size") * 997).alias("size_short"),
         D.human_date("date", AS_OF).alias("human"),
         P.display_contacts("contacts").alias("people"),
         X.join_list(X.split_list(F.concat_ws(",", "maildir", "from"), ","), "|").alias("split_join"),
