@@ -174,7 +174,7 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
     fin = _ckpt(fin.join(n_sibs.withColumnRenamed("parent", "p2"), F.col("parent") == F.col("p2"), "left").drop("p2"))
 
     # id-table size decides the hex width of a path segment
-    n_ids = ids.count() + dups.count()
+    n_ids = anc.count() + dups.count()  # anc is checkpointed: one row per container id
     width = int(math.ceil(math.log2(n_ids) / 4.0)) if n_ids > 0 else 0
     full = (1 << (4 * width)) - 1
 

@@ -122,8 +122,8 @@ def thread_info_struct(spark, sf):
     from ..sinks import with_thread_info
     m = T.msgs_from_conversations(spark, sf)
     res = m.where(Q.has_term("body_text", "und")).select("doc_id", "subject")
-    th = TH.build_threads(T.msgs_from_conversations(spark, sf))
-    out = with_thread_info(res, th)
+    from .threadq import threads_table
+    out = with_thread_info(res, threads_table(spark, sf, gaps=False))
     return out.select("doc_id", "subject", F.col("thread.thread_level").alias("level"), F.col("thread.root").alias("is_root"))
 
 

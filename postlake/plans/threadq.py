@@ -18,6 +18,22 @@ def _gap_msgs(spark, sf):
     return T.msgs_from_conversations(spark, sf, gaps=True)
 
 
+_THREADS: dict[tuple, str] = {}
+
+
+def threads_table(spark, sf, gaps: bool, descending: bool = False):
+    """Thread info of the conversation messages, computed by Spark once per
+    session and stored as a table in the shared folder; every thread query of
+    the catalogue reads it (as a mail store keeps its thread fields)."""
+    from ..session import scratch_path
+    key = (sf, gaps, descending, spark.sparkContext.getCheckpointDir() or "")
+    if key not in _THREADS:
+        path = scratch_path(spark, "threads")
+        TH.build_threads(T.msgs_from_conversations(spark, sf, gaps=gaps), descending).write.parquet(path)
+        _THREADS[key] = path
+    return spark.read.parquet(_THREADS[key])
+
+
 # Oracle: with gaps each conversation is one chain of its present turns under
 # the first present turn; the thread key is the date of the last present turn.
 def _chain_sql(descending: bool = False) -> str:
@@ -41,7 +57,7 @@ SELECT doc_id, root_seg || repeat(':' || zero, CAST(level AS INTEGER)) AS thread
   strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 + t_max * 60), '%Y-%m-%d %H:%M:%S') AS thread_date
 FROM ({_chain_sql()})""")
 def thread_tree(spark, sf):
-    th = TH.build_threads(_gap_msgs(spark, sf))
+    th = threads_table(spark, sf, gaps=True)
     return th.select("doc_id", "thread_path", "thread_level",
                      F.date_format("thread_date", "yyyy-MM-dd HH:mm:ss").alias("thread_date"))
 
@@ -50,7 +66,7 @@ def thread_tree(spark, sf):
 SELECT doc_id, root_seg || repeat(':' || fullseg, CAST(level AS INTEGER)) || ':z' AS thread_path
 FROM ({_chain_sql(descending=True)})""")
 def thread_order(spark, sf):
-    th = TH.build_threads(_gap_msgs(spark, sf), descending=True)
+    th = threads_table(spark, sf, gaps=True, descending=True)
     return th.select("doc_id", "thread_path")
 
 
@@ -60,7 +76,7 @@ SELECT doc_id, level = 0 AS root, false AS orphan, level < n_present - 1 AS has_
   CASE WHEN level = 0 THEN '' ELSE repeat('  ', CAST(level - 1 AS INTEGER)) || '\\-> ' END AS prefix
 FROM ({_chain_sql()})""")
 def thread_flags(spark, sf):
-    th = TH.build_threads(_gap_msgs(spark, sf))
+    th = threads_table(spark, sf, gaps=True)
     return th.select("doc_id", "root", "orphan", "has_child", "first", "last", "duplicate",
                      TH.thread_prefix().alias("prefix"))
 
@@ -70,7 +86,7 @@ SELECT doc_id, level = 0 AS thread_subject, CASE WHEN level = 0 THEN subject ELS
 FROM ({_chain_sql()})""")
 def thread_subject(spark, sf):
     m = _gap_msgs(spark, sf)
-    th = TH.build_threads(m).join(m.select("doc_id", "subject"), "doc_id")
+    th = threads_table(spark, sf, gaps=True).join(m.select("doc_id", "subject"), "doc_id")
     return th.select("doc_id", "thread_subject", thread_prefix_subject("subject", "thread_subject").alias("shown_subject"))
 
 
@@ -98,7 +114,7 @@ def thread_summary(spark, sf):
 
 def _full_threads(spark, sf):
     m = T.msgs_from_conversations(spark, sf)
-    return m, TH.build_threads(m).join(m.select("doc_id", "conv_id", "turn", "msgid"), "doc_id")
+    return m, threads_table(spark, sf, gaps=False).join(m.select("doc_id", "conv_id", "turn", "msgid"), "doc_id")
 
 
 @query("whole_thread", sql=f"SELECT doc_id FROM {CONV_MSGS} m WHERE conv_id = 5")
