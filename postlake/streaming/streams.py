@@ -43,9 +43,14 @@ class EpochStore:
             self.epochs.append(v)
 
     def read_all(self) -> DataFrame | None:
+        """Every committed epoch in the folder (not only those this driver wrote,
+        so a restarted driver sees the same store)."""
         if not self.epochs:
-            return None
-        return self.spark.read.option("basePath", self.base).parquet(*[self.path(v) for v in self.epochs])
+            try:
+                return self.spark.read.parquet(self.base)
+            except Exception:  # noqa: BLE001  (no epoch committed yet)
+                return None
+        return self.spark.read.parquet(self.base)
 
     def read_latest(self) -> DataFrame | None:
         """Newest row per key (rows of the last epoch without a key)."""
@@ -54,7 +59,8 @@ class EpochStore:
             return None
         cols = [c for c in df.columns if c != "epoch"]
         if self.key is None:
-            return df.where(F.col("epoch") == max(self.epochs)).select(*cols)
+            last = df.agg(F.max("epoch")).first()[0]
+            return df.where(F.col("epoch") == last).select(*cols)
         latest = df.groupBy(self.key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols if c != self.key]),
                                                     F.col("epoch")).alias("_r"))
         return latest.select(self.key, "_r.*").select(*[F.col(f"`{c}`") for c in cols])
