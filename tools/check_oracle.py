@@ -47,12 +47,19 @@ def main():
     ap.add_argument("keys", nargs="*")
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--show", action="store_true")
+    ap.add_argument("--plain-session", action="store_true", help="a default SparkSession, as a driver would build")
     args = ap.parse_args()
     import duckdb
     from postlake.session import get_spark
     from postlake.plans.catalog import ORACLE, QUERIES, load_all
     load_all()
-    spark = get_spark("check")
+    if args.plain_session:
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").appName("plain")
+                 .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_spark("check")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{args.sf}/{t}.parquet')")
