@@ -96,6 +96,7 @@ def stream_index(spark: SparkSession, root: str, max_files_per_trigger: int = 10
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int = 1) -> DataFrame:
     """A driver table read as a stream (a file source needs a directory or a
     glob; the one-character class makes the glob match only this table)."""
+    sf_dir = sf_dir.rstrip("/")
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(f"{sf_dir}/{name}.parq[u]et"))
