@@ -88,3 +88,16 @@ def personal_join(occ: DataFrame, personal: DataFrame | list[str], email: str =
     rx_pred = reduce(lambda a, b: a | b, [F.col(email).rlike(f"(?i)^(?:{r})$") for r in rxs]) if rxs else F.lit(False)
     return o.withColumn("is_personal", F.coalesce(F.col("_plain"), F.lit(False)) | F.coalesce(rx_pred, F.lit(False))) \
             .drop("_le", "_plain")
+
+
+def find_with_related(m: DataFrame, expr: Column, max_results: int = 0, field: str = "date",
+                      desc: bool = True) -> DataFrame:
+    """Search with related messages (no threading): the leaders take the limit
+    (date order), the related set takes it again in the requested order."""
+    from .ordering import limit, sort_by, top_k
+    mm = m if "thread_id" in m.columns else m.withColumn("thread_id", thread_id())
+    leaders = mm.where(expr)
+    if max_results > 0:
+        leaders = top_k(leaders, max_results, "date", desc=True)
+    out = include_related(mm, leaders)
+    return limit(sort_by(out, field, desc), max_results)

@@ -219,10 +219,16 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
 
 def run_threaded(m: DataFrame, expr: Column, descending: bool = False, related: bool = True,
                  max_results: int = 0) -> DataFrame:
-    """THR8: match -> (related messages) -> threads -> order by path."""
+    """THR8: match -> (related messages) -> threads -> order by path.
+
+    With a limit, the leaders take it (newest first); the related expansion is
+    not limited; the limit applies again to the final threaded list."""
+    from .ordering import top_k
     from .related import include_related, thread_id
     mm = m.withColumn("thread_id", thread_id())
     res = mm.where(expr)
+    if max_results > 0:
+        res = top_k(res, max_results, "date", desc=True)
     if related:
         res = include_related(mm, res)
     th = build_threads(res, descending)

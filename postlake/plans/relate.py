@@ -187,3 +187,12 @@ def tag_list_mime_file(spark, sf):
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("related_limit", sql=f"""
+WITH m AS (SELECT *, coalesce(refs[1], msgid) AS thread_id FROM {CONV_MSGS} x),
+leaders AS (SELECT * FROM m WHERE list_contains({tokens_sql('body_text')}, 'und') ORDER BY date DESC, doc_id LIMIT 10)
+SELECT doc_id, thread_id FROM m WHERE thread_id IN (SELECT thread_id FROM leaders) ORDER BY date DESC, doc_id LIMIT 10""")
+def related_limit(spark, sf):
+    m = T.msgs_from_conversations(spark, sf)
+    return R.find_with_related(m, Q.has_term("body_text", "und"), 10).select("doc_id", "thread_id")
