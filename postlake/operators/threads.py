@@ -165,11 +165,16 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
     fin = _ckpt(fin)
 
     # --- sibling and root order ----------------------------------------------
-    tie = [F.col("doc_id").asc_nulls_last(), F.col("node").asc()]
-    kids = ranked(fin.where(F.col("parent").isNotNull()), [F.col("key").asc_nulls_first(), *tie], ["parent"], out="sib")
-    roots = ranked(fin.where(F.col("parent").isNull()),
-                   [(F.col("key").desc_nulls_last() if descending else F.col("key").asc_nulls_first()), *tie], out="sib")
-    fin = kids.unionByName(roots).withColumn("sib", F.col("sib") - 1)
+    # siblings by subtree date (ascending), roots ascending or descending: one
+    # distributed ranking pass with the roots as one more group
+    is_root = F.col("parent").isNull()
+    k_asc = F.when(~is_root | F.lit(not descending), F.col("key"))
+    k_desc = F.when(is_root & F.lit(descending), F.col("key"))
+    keyed = fin.withColumn("_grp", F.coalesce(F.col("parent"), F.lit(DUP_PREFIX + "root")))
+    keyed = keyed.withColumn("_ka", k_asc).withColumn("_kd", k_desc)
+    fin = ranked(keyed, [F.col("_ka").asc_nulls_first(), F.col("_kd").desc_nulls_last(),
+                         F.col("doc_id").asc_nulls_last(), F.col("node").asc()], ["_grp"], out="sib")
+    fin = fin.withColumn("sib", F.col("sib") - 1).drop("_grp", "_ka", "_kd")
     n_sibs = fin.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.max("sib").alias("max_sib"))
     fin = _ckpt(fin.join(n_sibs.withColumnRenamed("parent", "p2"), F.col("parent") == F.col("p2"), "left").drop("p2"))
 
