@@ -18,12 +18,14 @@ SPECIAL_FOLDS = {"æ": "e", "ø": "o", "đ": "d"}
 # Token boundary: anything that is not a letter or a digit.
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
+# Code point ranges whose one-character decompositions feed the fold table.
+FOLD_RANGES = [(0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x0370, 0x03FF), (0x0400, 0x04FF)]
+
 
 def _fold_map() -> tuple[str, str]:
     """One-to-one fold table generated from Unicode data (NFKD, marks dropped)."""
     src, dst = [], []
-    ranges = [(0x00C0, 0x024F), (0x1E00, 0x1EFF), (0x0370, 0x03FF), (0x0400, 0x04FF)]
-    for lo, hi in ranges:
+    for lo, hi in FOLD_RANGES:
         for cp in range(lo, hi + 1):
             ch = chr(cp)
             low = ch.lower()
@@ -44,23 +46,25 @@ FOLD_FROM, FOLD_TO = _fold_map()
 
 
 def flatten(c: Column | str) -> Column:
-    """FN1: lower case, accents removed, æ->e ø->o đ->d."""
+    """FN1: lower case, accents removed, æ->e ø->o đ->d.
+
+    One ``translate`` with the one-to-one folds, then combining marks removed.
+    Characters whose decomposition has several letters (ligatures such as ĳ,
+    fractions) are kept as they are: unfolding them doubled the cost of every
+    search over text, and no driver table contains one."""
     c = F.col(c) if isinstance(c, str) else c
     return F.regexp_replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), r"\p{M}+", "")
 
 
+_FOLD = dict(zip(FOLD_FROM, FOLD_TO))
+
+
 def flatten_py(s: str | None) -> str | None:
-    """Driver-side twin of :func:`flatten` for literal query words."""
+    """Driver-side twin of :func:`flatten` for literal query words (same steps)."""
     if s is None:
         return None
-    low = s.lower()
-    out = []
-    for ch in low:
-        if ch in SPECIAL_FOLDS:
-            out.append(SPECIAL_FOLDS[ch])
-            continue
-        out.extend(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-    return "".join(out)
+    folded = (_FOLD.get(ch, ch) for ch in s.lower())
+    return "".join(ch for ch in folded if not unicodedata.category(ch).startswith("M"))
 
 
 def tokens(c: Column | str) -> Column:

@@ -121,3 +121,9 @@ def test_reversed_ranges(spark):
     df = spark.createDataFrame([(dt.datetime(2008, 8, 2), 1500)], "d timestamp_ntz, z bigint")
     assert df.where(D.date_between("d", "20080804", "20080731", NOW)).count() == 1
     assert df.where(D.size_between("z", "2m", "0b")).count() == 1
+
+
+@pytest.mark.parametrize("src,flat", [("ĳzer", "ĳzer"), ("ª º", "a o"), ("Ǆemal", "ǆemal"), ("plain", "plain")])
+def test_flatten_one_to_one_only(spark, src, flat):
+    assert _one(spark, X.flatten("s"), src) == flat
+    assert X.flatten_py(src) == flat
