@@ -80,8 +80,22 @@ def marker_dirs(files: DataFrame, full: bool = False) -> DataFrame:
     return dirs.mapInPandas(check, "dir string")
 
 
+MAX_MARKER_FILTER = 1000
+
+
 def exclude_dirs(files: DataFrame, markers: DataFrame) -> DataFrame:
-    """SRC3: drop files below a marker directory (ancestor dirs exploded, equi anti join)."""
+    """SRC3: drop files below a marker directory.
+
+    Marker folders are few: their number is counted first; none means nothing
+    to do, up to MAX_MARKER_FILTER become one anchored regex filter, more fall
+    back to an equi anti join on the exploded ancestor directories."""
+    n = markers.count()
+    if n == 0:
+        return files
+    if n <= MAX_MARKER_FILTER:
+        dirs = [r["dir"] for r in markers.collect()]
+        rx = "^(?:" + "|".join(re.escape(d.rstrip("/")) for d in dirs) + ")/"
+        return files.where(~F.col("path").rlike(rx))
     ex = files.select("path", F.explode(_ancestor_dirs()).alias("dir"))
     hit = ex.join(markers, "dir", "left_semi").select("path").distinct()
     return files.join(hit, "path", "left_anti")
