@@ -40,7 +40,7 @@ def for_each_message(m: DataFrame, fn: Callable[[dict], dict | None], schema: T.
     """UDF6/UDF8: a Python function per message, run on the executors batch by
     batch (mapInPandas); rows for which it returns None are dropped."""
     src = m.where(expr) if expr is not None else m
-    out_schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    out_schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     names = [f.name for f in out_schema.fields]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
