@@ -52,3 +52,18 @@ def test_incremental_listing(spark, root):
     assert changed.count() == files.count() - 10
     kept, removed = INC.cleanup_missing(store, files.orderBy("path").limit(5))
     assert kept.count() + removed.count() == 10
+
+
+def test_distributed_walk_nested_and_noupdate(spark):
+    r = tempfile.mkdtemp(prefix="postlake-walk-")
+    msg = b"Message-Id: <w@x>\nSubject: s\n\nbody\n"
+    for d in ("top/cur", "top/deep/sub/new", "frozen/cur", "skip/cur"):
+        os.makedirs(f"{r}/{d}")
+        with open(f"{r}/{d}/m1!2,S", "wb") as fh:
+            fh.write(msg)
+    open(f"{r}/frozen/.noupdate", "w").close()
+    open(f"{r}/skip/.noindex", "w").close()
+    dirs = lambda full: sorted(x["dir"][len(r):] for x in MD.list_folders(spark, r, full).collect())
+    assert dirs(False) == ["/top", "/top/deep/sub"]
+    assert dirs(True) == ["/frozen", "/top", "/top/deep/sub"]
+    assert MD.index_maildir_distributed(spark, r, full=True).count() == 3
