@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import stored
 from .words import STEP, Words, mix, slices, span_hashes
 
-#: a boundary falls after one line in EVERY, by the rolling hash of the last WINDOW lines
-EVERY, WINDOW = 3, 2
+#: a boundary may fall after one line in EVERY, by the rolling hash of the last two lines
+EVERY = 2
 #: a chunk is removable with this many lines with words and words in all, or with LONG words on any number of lines
 LINES, FEW, LONG = 2, 10, 50
 
@@ -21,9 +21,9 @@ LINES, FEW, LONG = 2, 10, 50
 def chunks_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Chunks of lines of each text: (text, start byte, end byte, lines, hash, removable), in order.
 
-    Lines are split at \\n. A boundary falls after a line when the rolling hash over the hashes of the
-    last two lines of the text says so, hence lines inserted or removed elsewhere don't move
-    it. A line of LONG words or more is a chunk of its own, for the same reason: its edges follow from its
+    Lines are split at \\n. A boundary may fall after a line when the rolling hash over the hashes of the
+    last two lines of the text says so; of such lines in a row, it falls after every other one, so that
+    chunks have two lines or more. Hence lines inserted or removed elsewhere don't move a boundary. A line of LONG words or more is a chunk of its own, for the same reason: its edges follow from its
     content. Offsets are of bytes in all texts one after another; the \\n that ends a chunk is part of it.
     """
     words = Words(texts)
@@ -43,7 +43,10 @@ def chunks_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     some = np.flatnonzero(inner > starts)
     line[some] = span_hashes(data, starts[some], inner[some])
     rolled = mix(line + np.where(first, np.uint64(0), np.r_[np.uint64(0), line[:-1]]) * STEP, 11)
-    cut = (rolled % np.uint64(EVERY) == 0) | (n >= LONG)
+    may = rolled % np.uint64(EVERY) == 0
+    run = np.flatnonzero(may & ~(np.r_[False, may[:-1]] & ~first))  # where lines in a row that may end a chunk begin
+    nth = np.arange(len(starts)) - run[np.maximum(np.searchsorted(run, np.arange(len(starts)), side="right") - 1, 0)] if len(run) else np.zeros(len(starts), np.int64)
+    cut = (may & (nth % 2 == 0)) | (n >= LONG)
     opens = first | np.r_[True, cut[:-1]] | (n >= LONG)
     at = np.flatnonzero(opens)
     size = np.diff(np.r_[at, len(starts)])

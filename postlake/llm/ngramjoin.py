@@ -194,7 +194,7 @@ def _near(rows: pa.Table) -> pa.Table:
     Compared in blocks of rows; what is sent on are the pairs that pass.
     """
     node, label, n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
-    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
+    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)  # bits of signed numbers would be those of their absolute values
     left, right = [], []
     for a in range(0, len(node), 256):
         for b in range(a, len(node), 256):

@@ -77,9 +77,9 @@ def features(texts: pa.Array, chars: pa.Array | None = None) -> tuple[np.ndarray
     return at, val, out
 
 
-def fit(at: np.ndarray, value: np.ndarray, ptr: np.ndarray, label: np.ndarray, epochs: int = 12, rate: float = 0.1,
+def fit(at: np.ndarray, value: np.ndarray, ptr: np.ndarray, label: np.ndarray, steps: int = 600, rate: float = 0.1,
         decay: float = 1e-4, batch: int = 128, seed: int = 3) -> Machine:
-    """Adagrad on the logistic loss, mini-batches in a fixed random order."""
+    """Adagrad on the logistic loss: so many mini-batches, each pass over the rows in a fixed random order."""
     rng = np.random.default_rng(seed)
     size = BUCKETS + STATISTICS
     m = Machine(0.0, np.zeros(size), rng.normal(0, 0.01, (size, FACTORS)))
@@ -87,9 +87,11 @@ def fit(at: np.ndarray, value: np.ndarray, ptr: np.ndarray, label: np.ndarray, e
         share = min(max(float(label.mean()), 0.01), 0.99)
         m.bias = float(np.log(share / (1 - share)))
     g_b, g_w, g_v = 1e-6, np.full(size, 1e-6), np.full((size, FACTORS), 1e-6)
-    for _ in range(epochs):
+    done = 0
+    while done < steps and len(label):
         order = rng.permutation(len(label))
         for k in range(0, len(order), batch):
+            done += 1
             rows = order[k:k + batch]
             sizes = ptr[rows + 1] - ptr[rows]
             own = np.concatenate([[0], np.cumsum(sizes)])

@@ -74,3 +74,64 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+_LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
+
+ORACLE["op3_chat_format"] = """
+WITH convs AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS turns, count(*) AS n FROM conversations GROUP BY conv_id),
+whole AS (SELECT min(conv_id) AS conv_id, turns, any_value(n) AS n, count(*) AS n_copies FROM convs GROUP BY turns),
+inner_ AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM convs)),
+kept AS (SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM inner_ WHERE inner_.turns = whole.turns)),
+parts AS (SELECT *, unnest(range(0, (n + 255) // 256)) AS part FROM kept)
+SELECT conv_id, part, n AS n_turns, n_copies, array_to_string(list_transform(turns[part * 256 + 1:part * 256 + 256], lambda x:
+  '<|im_start|>' || replace(coalesce(x.r, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(x.t, ''), '<|', '< |') || '<|im_end|>' || chr(10)), '') AS text
+FROM parts"""
+
+ORACLE["op5_ngram_jaccard"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: w[k:k + 4])) END AS s FROM w),
+one AS (SELECT min(doc_id) AS node, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY ALL),
+each AS (SELECT node, len(s) AS n, unnest(s) AS x FROM one),
+pairs AS (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS c FROM each a JOIN each b ON a.x = b.x AND a.node < b.node
+  AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 80 * (na + nb - c)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT r.node, ways.b FROM reach r JOIN ways ON r.other = ways.a),
+least_ AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(least_.low, one.node, sets.doc_id) AS component_id
+FROM sets LEFT JOIN one ON one.s = list_sort(sets.s) LEFT JOIN least_ ON least_.node = one.node"""
+
+
+def _level(name: str, source: str, key: str) -> str:
+    """Common table expressions of one level of reputations: groups with n, k and the parent's mean."""
+    return f"""{name}_fit AS (SELECT sum(n * pow(k / n - up, 2)) AS s, sum(up * (1 - up)) AS v, sum(n * up * (1 - up)) AS t FROM {source} WHERE n > 0),
+{name}_c AS (SELECT (1 - rho) / rho AS c FROM (SELECT least(0.5, greatest(0.001, CASE WHEN t > v THEN (s - v) / (t - v) ELSE 0.001 END)) AS rho FROM {name}_fit)),
+{name} AS (SELECT {key}, n, k, k + c * up AS a, n - k + c * (1 - up) AS b, (k + c * up) / (n + c) AS mean FROM {source}, {name}_c)"""
+
+
+_cases = " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'"
+                  for _, r in sorted(URL_RULES, key=lambda x: (-len(x[1]), x[1])))
+_actions = " ".join(f"WHEN '{r}' THEN '{a}'" for a, r in URL_RULES)
+
+ORACLE["op10_url_filter"] = rf"""
+WITH base AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), {_LOWER}), '') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+marks AS (SELECT doc_id, max(greatest((quality = 0)::INT, (toxic = 1)::INT)) AS bad FROM labels GROUP BY doc_id),
+counted AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS bare, count(bad) AS n, coalesce(sum(bad), 0) AS k
+  FROM base LEFT JOIN marks ON page_id = doc_id GROUP BY host),
+hosts AS (SELECT host, n, k, regexp_extract(bare, '([^.]+\.)?[^.]*$') AS domain, regexp_extract(bare, '[^.]*$') AS suffix FROM counted),
+top AS (SELECT sum(k) + 0.5 AS a, sum(n) - sum(k) + 0.5 AS b FROM hosts),
+s00 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY suffix),
+s0 AS (SELECT suffix, n, k, (a - k) / (a + b - n) AS up FROM s00, top),
+{_level('s1', 's0', 'suffix')},
+d00 AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY suffix, domain),
+d0 AS (SELECT d.domain, d.n, d.k, (s1.a - d.k) / (s1.a + s1.b - d.n) AS up FROM d00 d JOIN s1 USING (suffix)),
+{_level('d1', 'd0', 'domain')},
+h0 AS (SELECT h.host, h.n, h.k, (d1.a - h.k) / (d1.a + d1.b - h.n) AS up FROM hosts h JOIN d1 USING (domain)),
+{_level('h1', 'h0', 'host')},
+bound AS (SELECT host, n, greatest(0.0, mean - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS low FROM h1),
+ruled AS (SELECT *, CASE {_cases} END AS rule FROM base)
+SELECT page_id, host, path, rule, coalesce(CASE rule {_actions} END, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  n::BIGINT AS n_labelled, round(low, 3) AS bad_bound FROM ruled LEFT JOIN bound USING (host)"""

@@ -40,9 +40,9 @@ def reputations(outcomes: DataFrame, z: float = 1.645, least: float = 0.001, mos
     """Posterior of each host's share of bad pages, from ``outcomes`` (host, bad: 1, 0 or null if unlabelled).
 
     Counts (labelled, bad) of a host, its registered domain (last two labels) and its suffix (last
-    label) are beta-binomial: a level's prior is its parent's posterior mean with a strength estimated
-    from how far the level's groups stray from their parents (method of moments, the correlation kept
-    within ``least`` and ``most``). Returns host, n_labelled, bad_rate (posterior mean) and bad_bound
+    label) are beta-binomial: a level's prior is its parent's posterior mean, without the group's own counts, with a
+    strength estimated from how far the level's groups stray from their parents (method of moments, the
+    correlation kept within ``least`` and ``most``). Returns host, n_labelled, bad_rate (posterior mean) and bad_bound
     (``z`` posterior deviations below it, 0 at least); a host without labelled pages has its domain's
     mean and a wide posterior. Pages are counted per host before any shuffle of hosts, so that a hot
     host is one row per task; three one-row sums of group counts come to the driver.
@@ -52,7 +52,9 @@ def reputations(outcomes: DataFrame, z: float = 1.645, least: float = 0.001, mos
                    .withColumn("domain", F.regexp_extract(bare, r"([^.]+\.)?[^.]*$", 0))
                    .withColumn("suffix", F.regexp_extract(bare, r"[^.]*$", 0)), "hosts")
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    prior = ((whole.k or 0) + 0.5) / ((whole.n or 0) + 1.0)
+    # what a parent with posterior (a, b) says of a group without that group's own counts
+    apart = lambda a, b: (a - F.col("k")) / (a + b - F.col("n"))
+    a0, b0 = F.lit((whole.k or 0) + 0.5), F.lit((whole.n or 0) - (whole.k or 0) + 0.5)
 
     def level(groups: DataFrame) -> DataFrame:
         """Add the posterior (a, b, mean) to groups with n, k and their parent's mean as ``up``."""
@@ -66,10 +68,12 @@ def reputations(outcomes: DataFrame, z: float = 1.645, least: float = 0.001, mos
                 .withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))))
 
     suffixes = level(stored(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-                            .withColumn("up", F.lit(prior)), "suffixes"))
+                            .withColumn("up", apart(a0, b0)), "suffixes"))
     domains = level(stored(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-                           .join(suffixes.select("suffix", F.col("mean").alias("up")), "suffix"), "domains"))
-    own = level(stored(hosts.join(domains.select("domain", F.col("mean").alias("up")), "domain"), "own"))
+                           .join(suffixes.select("suffix", F.col("a").alias("pa"), F.col("b").alias("pb")), "suffix")
+                           .withColumn("up", apart(F.col("pa"), F.col("pb"))), "domains"))
+    own = level(stored(hosts.join(domains.select("domain", F.col("a").alias("pa"), F.col("b").alias("pb")), "domain")
+                       .withColumn("up", apart(F.col("pa"), F.col("pb"))), "own"))
     ab = F.col("a") + F.col("b")
     spread = F.sqrt(F.col("a") * F.col("b") / (ab * ab * (ab + 1)))
     return own.select("host", F.col("n").alias("n_labelled"), F.col("mean").alias("bad_rate"),
