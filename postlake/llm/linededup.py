@@ -12,107 +12,116 @@ from pyspark.sql import functions as F
 from .common import stored
 from .words import STEP, Words, mix, slices, span_hashes
 
-#: a boundary may fall after one line in EVERY, by the rolling hash of the last two lines
-EVERY = 2
+#: a boundary may fall after one line in EVERY, by the rolling hash of the last two lines; chunkings by different hashes
+EVERY, DEALS = 2, 4
 #: a chunk is removable with this many lines with words and words in all, or with LONG words on any number of lines
 LINES, FEW, LONG = 2, 10, 50
 
 
-def chunks_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Chunks of lines of each text: (text, start byte, end byte, lines, hash, removable), in order.
-
-    Lines are split at \\n. A boundary may fall after a line when the rolling hash over the hashes of the
-    last two lines of the text says so; of such lines in a row, it falls after every other one, so that
-    chunks have two lines or more. Hence lines inserted or removed elsewhere don't move a boundary. A line of LONG words or more is a chunk of its own, for the same reason: its edges follow from its
-    content. Offsets are of bytes in all texts one after another; the \\n that ends a chunk is part of it.
-    """
-    words = Words(texts)
-    data, offsets = words.data, words.offsets
-    starts = np.unique(np.r_[offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(data == 10) + 1])
-    starts = starts[starts < len(data)]
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64), none.astype(bool)
-    ends = np.r_[starts[1:], len(data)]
-    doc = np.searchsorted(offsets, starts, side="right") - 1
-    first = np.r_[True, doc[1:] != doc[:-1]]
-    n = np.searchsorted(words.start, ends) - np.searchsorted(words.start, starts)
-    # the hash of a line leaves its \n out, so that the last line of a text can equal an inner one
-    inner = ends - (data[ends - 1] == 10)
-    line = np.zeros(len(starts), np.uint64)
-    some = np.flatnonzero(inner > starts)
-    line[some] = span_hashes(data, starts[some], inner[some])
-    rolled = mix(line + np.where(first, np.uint64(0), np.r_[np.uint64(0), line[:-1]]) * STEP, 11)
-    may = rolled % np.uint64(EVERY) == 0
-    run = np.flatnonzero(may & ~(np.r_[False, may[:-1]] & ~first))  # where lines in a row that may end a chunk begin
-    nth = np.arange(len(starts)) - run[np.maximum(np.searchsorted(run, np.arange(len(starts)), side="right") - 1, 0)] if len(run) else np.zeros(len(starts), np.int64)
-    cut = (may & (nth % 2 == 0)) | (n >= LONG)
-    opens = first | np.r_[True, cut[:-1]] | (n >= LONG)
-    at = np.flatnonzero(opens)
-    size = np.diff(np.r_[at, len(starts)])
-    place = np.arange(len(starts)) - np.repeat(at, size)
-    weight = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(size.max()), STEP, np.uint64)])
-    total = mix(np.add.reduceat(mix(line, 3) * weight[place], at) + size.astype(np.uint64), 5)
-    with_words, in_all = np.add.reduceat((n > 0).astype(np.int64), at), np.add.reduceat(n, at)
-    removable = ((with_words >= LINES) & (in_all >= FEW)) | (in_all >= LONG)
-    return doc[at], starts[at], ends[np.r_[at[1:], len(starts)] - 1], size, total, removable
+class Lines:
+    """Lines of each text, split at \\n: ``doc``, ``start`` and ``end`` in the bytes of all texts, the \\n included."""
+
+    def __init__(self, texts: pa.Array):
+        words = Words(texts)
+        self.data, offsets = words.data, words.offsets
+        start = np.unique(np.r_[offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(self.data == 10) + 1])
+        self.start = start[start < len(self.data)]
+        self.end = np.r_[self.start[1:], len(self.data)][:len(self.start)]
+        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
+        self.words = np.searchsorted(words.start, self.end) - np.searchsorted(words.start, self.start)
+        self.of_doc = np.searchsorted(self.doc, np.arange(len(offsets)))  # lines of text d: of_doc[d] to of_doc[d + 1]
+        # the hash of a line leaves its \\n out, so that the last line of a text can equal an inner one
+        inner = self.end - (self.data[self.end - 1] == 10) if len(self.start) else self.end
+        self.hash = np.zeros(len(self.start), np.uint64)
+        some = np.flatnonzero(inner > self.start)
+        self.hash[some] = span_hashes(self.data, self.start[some], inner[some])
+
+    def chunks(self, deal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks of lines in order: (first line, lines, hash, removable).
+
+        A boundary may fall after a line when the rolling hash over the hashes of the last two lines of the
+        text says so; of such lines in a row, it falls after every other one, so that chunks have two lines or
+        more. Hence lines inserted or removed elsewhere don't move a boundary. A line of LONG words or more is a
+        chunk of its own, for the same reason. Each ``deal`` has boundaries of its own: where the edge of a
+        repeated passage falls inside a chunk of one, it may not in another.
+        """
+        n = len(self.start)
+        if not n:
+            none = np.zeros(0, np.int64)
+            return none, none, none.astype(np.uint64), none.astype(bool)
+        first = np.r_[True, self.doc[1:] != self.doc[:-1]]
+        rolled = mix(self.hash + np.where(first, np.uint64(0), np.r_[np.uint64(0), self.hash[:-1]]) * STEP, 11 + deal)
+        may = rolled % np.uint64(EVERY) == 0
+        run = np.flatnonzero(may & ~(np.r_[False, may[:-1]] & ~first))  # where lines in a row that may end a chunk begin
+        nth = np.arange(n) - run[np.maximum(np.searchsorted(run, np.arange(n), side="right") - 1, 0)] if len(run) else np.zeros(n, np.int64)
+        cut = (may & (nth % 2 == 0)) | (self.words >= LONG)
+        at = np.flatnonzero(first | np.r_[True, cut[:-1]] | (self.words >= LONG))
+        size = np.diff(np.r_[at, n])
+        place = np.arange(n) - np.repeat(at, size)
+        weight = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(size.max()), STEP, np.uint64)])
+        total = mix(np.add.reduceat(mix(self.hash, 3) * weight[place], at) + size.astype(np.uint64), 5)
+        with_words, in_all = np.add.reduceat((self.words > 0).astype(np.int64), at), np.add.reduceat(self.words, at)
+        return at, size, total, ((with_words >= LINES) & (in_all >= FEW)) | (in_all >= LONG)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per distinct place of a removable chunk: the line of its text that it begins at, its lines and its hash."""
     for batch in batches:
         for part in slices(batch):
-            doc, _, _, _, h, removable = chunks_of(part.column("text"))
-            seq = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            keep = np.flatnonzero(removable)
-            take = pa.array(doc[keep])
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("id", "k1", "k2")), pa.array(seq[keep], pa.int32()), pa.array(h[keep].view(np.int64))],
-                                             names=["id", "k1", "k2", "seq", "h"])
+            lines = Lines(part.column("text"))
+            found = []
+            for deal in range(DEALS):
+                at, size, h, removable = lines.chunks(deal)
+                found.append(np.stack([at, size, h.view(np.int64)], axis=1)[removable])
+            at, size, h = np.unique(np.concatenate(found), axis=0).T
+            doc = lines.doc[at]
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("id", "k1", "k2")), pa.array((at - lines.of_doc[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h)],
+                                             names=["id", "k1", "k2", "line", "lines", "h"])
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the chunks named in ``marks``."""
+    """The bytes of the chunks named in ``marks``, without a \\n at the end."""
     for batch in batches:
         for part in slices(batch):
-            doc, start, end, _, _, _ = chunks_of(part.column("text"))
-            first = np.searchsorted(doc, np.arange(part.num_rows))
-            raw = Words(part.column("text")).data.tobytes()
-            rows, seqs, hs, keeps, texts = [], [], [], [], []
-            for r, marks in enumerate(part.column("marks").to_pylist()):
-                for m in marks:
-                    c = first[r] + m["seq"]
-                    rows.append(r), seqs.append(m["seq"]), hs.append(m["h"]), keeps.append(m["keep"])
-                    texts.append(raw[start[c]:end[c]].removesuffix(b"\n"))
+            lines = Lines(part.column("text"))
+            raw = lines.data.tobytes()
+            rows, marks, texts = [], [], []
+            for r, own in enumerate(part.column("marks").to_pylist()):
+                for m in own:
+                    a = lines.of_doc[r] + m["line"]
+                    rows.append(r), marks.append(m)
+                    texts.append(raw[lines.start[a]:lines.end[a + m["lines"] - 1]].removesuffix(b"\n"))
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("k1").take(take), part.column("k2").take(take), pa.array(seqs, pa.int32()), pa.array(hs, pa.int64()),
-                                              pa.array(keeps, pa.bool_()), pa.array(texts, pa.binary())], names=["k1", "k2", "seq", "h", "keep", "bytes"])
+            yield pa.RecordBatch.from_arrays([part.column("k1").take(take), part.column("k2").take(take), *(pa.array([m[c] for m in marks], kind) for c, kind in (
+                ("line", pa.int32()), ("lines", pa.int32()), ("h", pa.int64()), ("keep", pa.bool_()))), pa.array(texts, pa.binary())], names=["k1", "k2", "line", "lines", "h", "keep", "bytes"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the chunks in ``gone``, with their numbers of lines, of chunks and of lines removed."""
+    """Texts without the lines of the chunks in ``gone``, with their numbers of lines and of lines removed."""
     for batch in batches:
         for part in slices(batch):
             texts = part.column("text")
-            doc, start, end, size, _, _ = chunks_of(texts)
-            first = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            gone = np.zeros(len(doc), bool)
-            raw = Words(texts).data.tobytes()
-            out, lists = texts.to_pylist(), part.column("gone").to_pylist()
-            for r, g in enumerate(lists):
-                if not g:
+            lines = Lines(texts)
+            raw, out = lines.data.tobytes(), texts.to_pylist()
+            removed = np.zeros(part.num_rows, np.int64)
+            for r, own in enumerate(part.column("gone").to_pylist()):
+                if not own:
                     continue
-                gone[first[r] + np.array(g)] = True
-                kept = [c for c in range(first[r], first[r + 1]) if not gone[c]]
-                out[r] = b"".join(raw[start[c]:end[c]] for c in kept).decode()
-                if gone[first[r + 1] - 1] and out[r].endswith("\n") and not raw[start[first[r + 1] - 1]:end[first[r + 1] - 1]].endswith(b"\n"):
-                    out[r] = out[r][:-1]  # the text didn't end in a line end before
-            lines = np.bincount(doc, size, part.num_rows).astype(np.int64)
-            removed = np.bincount(doc, size * gone, part.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, pa.string()), pa.array(lines), pa.array(np.diff(first)), pa.array(removed)],
-                                             names=["row", "text", "n_lines", "n_chunks", "n_removed"])
+                a, b = lines.of_doc[r], lines.of_doc[r + 1]
+                stays = np.ones(b - a, bool)
+                for m in own:
+                    stays[m["line"]:m["line"] + m["lines"]] = False
+                removed[r] = (~stays).sum()
+                kept = b"".join(raw[i:j] for i, j in zip(lines.start[a:b][stays].tolist(), lines.end[a:b][stays].tolist()))
+                if not stays[-1] and raw[lines.end[b - 1] - 1:lines.end[b - 1]] != b"\n":
+                    kept = kept.removesuffix(b"\n")  # the text didn't end in a line end before
+                out[r] = kept.decode()
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, pa.string()), pa.array(np.diff(lines.of_doc)), pa.array(removed)], names=["row", "text", "n_lines", "n_removed"])
 
 
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k1, k2, seq): chunks whose bytes an earlier place has, by smallest id (null last), then place.
+    """(k1, k2, line, lines): chunks whose bytes an earlier place has, by smallest id (null last), then place.
 
     k1 and k2 hash id and text, and name a document, repeated rows included. Hashes find candidates;
     then the candidates' bytes are read and compared. Copies of a hot chunk are counted per task before the
@@ -121,33 +130,34 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"),
                        F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("k2"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    index = stored(rows.mapInArrow(_index, f"id {kind}, k1 long, k2 long, seq int, h long"), "chunks")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2", "seq")
+    index = stored(rows.mapInArrow(_index, f"id {kind}, k1 long, k2 long, line int, lines int, h long"), "chunks")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2", "line")
     first = (index.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
-             .select("h", F.col("lo.k1").alias("f1"), F.col("lo.k2").alias("f2"), F.col("lo.seq").alias("fs")))
-    found = stored(index.join(first, "h").select("k1", "k2", "seq", "h", ((F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & (F.col("seq") == F.col("fs"))).alias("keep")).distinct(), "found")
-    marks = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("seq", "h", "keep")).alias("marks"))
+             .select("h", F.col("lo.k1").alias("f1"), F.col("lo.k2").alias("f2"), F.col("lo.line").alias("fl")))
+    found = stored(index.join(first, "h").select("k1", "k2", "line", "lines", "h", ((F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & (F.col("line") == F.col("fl"))).alias("keep")).distinct(), "found")
+    marks = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "lines", "h", "keep")).alias("marks"))
     texts = rows.select("k1", "k2", "text").join(marks, ["k1", "k2"])
-    read = stored(texts.mapInArrow(_bytes_of, "k1 long, k2 long, seq int, h long, keep boolean, bytes binary"), "bytes")
+    read = stored(texts.mapInArrow(_bytes_of, "k1 long, k2 long, line int, lines int, h long, keep boolean, bytes binary"), "bytes")
     kept = read.where("keep").select("h", F.col("bytes").alias("kept")).distinct()
-    return read.where("not keep").join(kept, "h").where("bytes = kept").select("k1", "k2", "seq").distinct()
+    return read.where("not keep").join(kept, "h").where("bytes = kept").select("k1", "k2", "line", "lines").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with repeated chunks of lines removed, and n_lines, n_chunks, n_removed (lines) added.
+    """The documents with repeated chunks of lines removed, and n_lines and n_removed (lines) added.
 
     Removable are chunks of at least two lines with words and ten words, or of fifty words. The
     first of equal chunks stays, by smallest id (null last), then place; later ones go, within one document
-    too. Lines that stay keep their bytes. Null texts stay null, empty ones empty. Rows of equal id and text
+    too. So a line goes only if a smaller id, or an earlier place, has it in the same chunk, and some place keeps
+    it. Lines that stay keep their bytes. Null texts stay null, empty ones empty. Rows of equal id and text
     are one document, and their copies fare alike. Other columns pass; added columns replace ones of the
     same name.
     """
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_chunks", "n_removed")]
-    gone = (repeated_chunks(docs, id_col, text_col).groupBy("k1", "k2").agg(F.collect_list("seq").alias("gone")))
+    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    gone = (repeated_chunks(docs, id_col, text_col).groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "lines")).alias("gone")))
     rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(text_col).alias("text"),
                        F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("k2"))
     joined = rows.join(gone, ["k1", "k2"], "left").select("row", "text", "gone")
-    out = joined.mapInArrow(_cut, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_lines long, n_chunks long, n_removed long")
+    out = joined.mapInArrow(_cut, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed long")
     named = {text_col: "text"} | {c: f"row.`{c}`" for c in others}
     order = [c for c in docs.columns if c in named]
-    return out.select(*[F.col(named[c]).alias(c) for c in order], "n_lines", "n_chunks", "n_removed")
+    return out.select(*[F.col(named[c]).alias(c) for c in order], "n_lines", "n_removed")
