@@ -114,7 +114,7 @@ def gram_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     with one pseudo-count per bucket, so that a bucket without evidence says nothing. Counts
     are summed per task before the shuffle; the driver gets one row per bucket, 2 ** BITS at most.
     """
-    ids = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(True))
+    ids = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(True)).hint("merge")  # target ids grow with the corpus: never broadcast
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left").select("text", "trusted"))
     got = (rows.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket")
            .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())
