@@ -34,7 +34,9 @@ def flags_mask(letters: str, kinds: tuple[str, ...] | None = None) -> int:
 
 
 def has_flag(flags: Column | str, flag: str) -> Column:
-    """FLT14."""
+    """FLT14; ``unread`` is new or not seen, as no file holds it."""
+    if flag.lower() == "unread":
+        return is_unread(flags)
     return (_col(flags).bitwiseAND(F.lit(flag_bit(flag))) != 0)
 
 

@@ -96,9 +96,9 @@ def msgid_or_hash(msgid: Column | str, content: Column | str, max_len: int = 240
 
 def tags_from_headers(x_label: Column | str | None = None, x_keywords: Column | str | None = None,
                       keywords: Column | str | None = None) -> Column:
-    """FN32: X-Label (space separated), X-Keywords and Keywords (comma separated)."""
+    """FN32: X-Label and Keywords (space separated), X-Keywords (comma separated)."""
     arrs = []
-    for c, sep in ((x_label, r"\s+"), (x_keywords, ","), (keywords, ",")):
+    for c, sep in ((x_label, r"\s+"), (x_keywords, ","), (keywords, r"\s+")):
         if c is None:
             continue
         arrs.append(F.coalesce(F.split(F.trim(_col(c)), sep), F.array().cast("array<string>")))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import flatten_py, tokens
+from .predicates import words_of
 
 
 def build_postings(m: DataFrame, fields: dict[str, str] | list[str]) -> DataFrame:
@@ -27,11 +28,11 @@ def build_postings(m: DataFrame, fields: dict[str, str] | list[str]) -> DataFram
 
 
 def write_postings(postings: DataFrame, path: str, num_partitions: int | None = None) -> None:
-    """Store postings as the index table: partitioned by field, hashed by term and
-    sorted inside each file, so a term lookup reads only the row groups whose
-    min/max cover it (no sampling pass over the tokenizer, unlike a range sort)."""
+    """Store postings as the index table: partitioned by field, dealt by range of
+    (field, term, doc_id) and sorted inside each file, so a term lookup reads only the row groups
+    whose min/max cover it, and a stop word's postings are spread over many tasks."""
     n = num_partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (postings.repartition(n, "field", "term").sortWithinPartitions("field", "term", "doc_id", "pos")
+    (postings.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id", "pos")
      .write.mode("overwrite").partitionBy("field").parquet(path))
 
 
@@ -63,8 +64,10 @@ def match_terms(postings: DataFrame, terms: list[tuple[str, str]], op: str = "an
 
 def match_phrase(postings: DataFrame, field: str, words: str) -> DataFrame:
     """FTS4: documents where the words occur at consecutive positions."""
-    ws = [w for w in re.split(r"[^\w]+", flatten_py(words)) if w]
+    ws = words_of(words)
     p = postings.where(F.col("field") == field)
+    if not ws:
+        return p.where(F.lit(False)).select("doc_id")
     hits = None
     for i, w in enumerate(ws):
         step = p.where(F.col("term") == w).select("doc_id", (F.col("pos") - i).alias("start"))

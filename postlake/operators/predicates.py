@@ -7,9 +7,9 @@ helpers below. Leaves are null-safe (a missing field is "no match"), so
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +33,25 @@ def match_all() -> Column:
 _B = r"[^\p{L}\p{N}]"
 
 
-def _is_token(w: str) -> bool:
-    return bool(w) and all(ch.isalpha() or ch.isdigit() for ch in w)
+def words_of(text: str) -> list[str]:
+    """The tokens of a search text, split as ``functions.text.tokens`` splits a message: at all but letters and digits."""
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", flatten_py(text)) if w]
+
+
+def _tokens_in_a_row(text: Column | str, words: str, end: str) -> Column:
+    ws = words_of(words)
+    if not ws:
+        return F.lit(False)
+    return _safe(flatten(text).rlike(f"(^|{_B}){f'{_B}+'.join(ws)}{end}"))
 
 
 def has_term(text: Column | str, word: str) -> Column:
     """FLT2: the word occurs as a token of the text (case and accent blind).
 
-    Tokens are the letter/digit runs of the flattened text, so for a word
-    that is itself one token this is a boundary-anchored regex on the
-    flattened text: one pass, no token array is built."""
-    w = flatten_py(word)
-    if not _is_token(w):
-        return _safe(F.array_contains(tokens(text), w))
-    return _safe(flatten(text).rlike(f"(^|{_B}){w}({_B}|$)"))
+    Tokens are the letter/digit runs of the flattened text, so this is a boundary-anchored regex on the
+    flattened text: one pass, no token array is built. A word that holds other characters, as
+    ``foo_bar``, is its tokens in a row; one without tokens matches nothing."""
+    return _tokens_in_a_row(text, word, f"({_B}|$)")
 
 
 DEFAULT_FIELDS = ("to", "cc", "bcc", "from", "subject", "body_text")
@@ -87,23 +92,14 @@ def recip(contacts: Column | str, x: str) -> Column:
 
 def phrase(text: Column | str, words: str) -> Column:
     """FLT6: the words occur consecutively as tokens."""
-    ws = [w for w in re.split(r"[^\w]+", flatten_py(words)) if w]
-    if not all(_is_token(w) for w in ws):
-        target = " " + " ".join(ws) + " "
-        joined = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-        return _safe(F.instr(joined, target) > 0)
-    body = f"{_B}+".join(ws)
-    return _safe(flatten(text).rlike(f"(^|{_B}){body}({_B}|$)"))
+    return _tokens_in_a_row(text, words, f"({_B}|$)")
 
 
 def prefix(text: Column | str, p: str) -> Column:
     """FLT7: some token starts with the prefix (trailing '*' only)."""
-    p = flatten_py(p.rstrip("*"))
-    if not p:
+    if not flatten_py(p.rstrip("*")):
         raise ValueError("a prefix needs at least one character")
-    if not _is_token(p):
-        return _safe(F.exists(tokens(text), lambda t: t.startswith(p)))
-    return _safe(flatten(text).rlike(f"(^|{_B}){p}"))
+    return _tokens_in_a_row(text, p.rstrip("*"), "")
 
 
 def regex_terms(text: Column | str, rx: str) -> Column:
@@ -230,9 +226,10 @@ def sent_by_me(contacts: Column | str, personal: list[str]) -> Column:
     return _safe(F.exists(_col(contacts), lambda c: (c["type"] == "from") & is_personal(c["email"], personal)))
 
 
-def by_msgid(m: DataFrame, ids: list[str], max_hits: int = 100) -> DataFrame:
-    """FLT28: messages with one of the ids (first ``max_hits`` by doc_id)."""
-    return m.where(F.col("msgid").isin(*ids)).orderBy("doc_id").limit(max_hits)
+def by_msgid(m: DataFrame, ids: list[str], max_hits: int | None = None) -> DataFrame:
+    """FLT28: messages with one of the ids; the first ``max_hits`` by doc_id if the caller names a number."""
+    hits = m.where(F.col("msgid").isin(*ids))
+    return hits if max_hits is None else hits.orderBy("doc_id").limit(max_hits)
 
 
 def by_docid(m: DataFrame, ids: list[int]) -> DataFrame:

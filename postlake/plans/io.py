@@ -168,7 +168,7 @@ def csv_out(spark, sf):
 
 
 @query("manifest", sql=f"""
-SELECT path, '/links/' || regexp_extract(path, '/(cur|new)/[^/]+$', 1) || '/' || substring(md5(path), 1, 8) || '_'
+SELECT path, '/links/' || regexp_extract(path, '/(cur|new)/[^/]+$', 1) || '/' || md5(path) || '_'
   || regexp_extract(path, '/([^/]+)$', 1) AS link FROM {CONV_MSGS} m WHERE list_contains(string_split(lower(body_text), ' '), 'und')""")
 def manifest(spark, sf):
     m = T.msgs_from_conversations(spark, sf)

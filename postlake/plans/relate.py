@@ -130,7 +130,7 @@ def personal_join(spark, sf):
 
 
 @query("by_msgid", sql=f"""
-SELECT doc_id, msgid FROM {CONV_MSGS} m WHERE msgid IN ('3-1', '5-0', '7-2', '11-3', '2-0') ORDER BY doc_id LIMIT 100""")
+SELECT doc_id, msgid FROM {CONV_MSGS} m WHERE msgid IN ('3-1', '5-0', '7-2', '11-3', '2-0')""")
 def by_msgid(spark, sf):
     m = T.msgs_from_conversations(spark, sf)
     return Q.by_msgid(m, ["3-1", "5-0", "7-2", "11-3", "2-0"]).select("doc_id", "msgid")

@@ -51,7 +51,7 @@ def link_manifest(res: DataFrame, link_dir: str) -> DataFrame:
     <link_dir>/cur or /new (as the source) and is named <hash>_<file name>."""
     base = F.regexp_extract("path", r"/([^/]+)$", 1)
     sub = F.regexp_extract("path", r"/(cur|new)/[^/]+$", 1)
-    h = F.substring(F.md5(F.col("path")), 1, 8)
+    h = F.md5(F.col("path"))
     target = F.concat(F.lit(link_dir.rstrip("/")), F.lit("/"), sub, F.lit("/"), h, F.lit("_"), base)
     return res.select("path", target.alias("link"))
 

@@ -27,7 +27,6 @@ from ..functions.flags import flags_from_path, maildir_from_path
 from ..schema import CONTACT, FLAG_BITS
 
 MAILDIR_FILE = r"/(cur|new)/[^/]+$"
-DEFAULT_MAX_SIZE = 100_000_000
 
 
 def scan_maildir(spark: SparkSession, root: str) -> DataFrame:
@@ -39,9 +38,9 @@ def scan_maildir(spark: SparkSession, root: str) -> DataFrame:
         F.col("length").alias("size"), "content")
 
 
-def cap_size(files: DataFrame, max_bytes: int = DEFAULT_MAX_SIZE) -> DataFrame:
-    """SRC2: drop files over the size cap (pushed into the binaryFile scan)."""
-    return files.where(F.col("size") <= max_bytes)
+def cap_size(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """SRC2: drop files over a size cap, if the caller names one (pushed into the binaryFile scan)."""
+    return files if max_bytes is None else files.where(F.col("size") <= max_bytes)
 
 
 def _fs_for(path: str):
@@ -80,22 +79,8 @@ def marker_dirs(files: DataFrame, full: bool = False) -> DataFrame:
     return dirs.mapInPandas(check, "dir string")
 
 
-MAX_MARKER_FILTER = 1000
-
-
 def exclude_dirs(files: DataFrame, markers: DataFrame) -> DataFrame:
-    """SRC3: drop files below a marker directory.
-
-    Marker folders are few: their number is counted first; none means nothing
-    to do, up to MAX_MARKER_FILTER become one anchored regex filter, more fall
-    back to an equi anti join on the exploded ancestor directories."""
-    n = markers.count()
-    if n == 0:
-        return files
-    if n <= MAX_MARKER_FILTER:
-        dirs = [r["dir"] for r in markers.collect()]
-        rx = "^(?:" + "|".join(re.escape(d.rstrip("/")) for d in dirs) + ")/"
-        return files.where(~F.col("path").rlike(rx))
+    """SRC3: drop files below a marker directory: an anti join on the exploded ancestor directories."""
     ex = files.select("path", F.explode(_ancestor_dirs()).alias("dir"))
     hit = ex.join(markers, "dir", "left_semi").select("path").distinct()
     return files.join(hit, "path", "left_anti")
@@ -205,7 +190,7 @@ def parse_one(path: str, content: bytes) -> dict:
         m = re.search(r"<([^>]*)>", list_id)
         mlist = m.group(1) if m else list_id.strip()
     tags = []
-    for h, sep in (("x-label", r"\s+"), ("x-keywords", ","), ("keywords", ",")):
+    for h, sep in (("x-label", r"\s+"), ("x-keywords", ","), ("keywords", r"\s+")):
         v = headers.get(h)
         if v:
             tags += [t.strip() for t in re.split(sep, v.strip()) if t.strip()]
@@ -284,7 +269,7 @@ def parse_messages(files: DataFrame, root: str | None = None) -> DataFrame:
     return out.withColumn("doc_id", F.xxhash64("path"))
 
 
-def index_maildir(spark: SparkSession, root: str, max_size: int = DEFAULT_MAX_SIZE, full: bool = False) -> DataFrame:
+def index_maildir(spark: SparkSession, root: str, max_size: int | None = None, full: bool = False) -> DataFrame:
     """SRC1-SRC4 composed: scan, cap, exclude marked dirs, parse."""
     files = cap_size(scan_maildir(spark, root), max_size)
     files = exclude_dirs(files, marker_dirs(files.select("path"), full))
@@ -352,7 +337,7 @@ def _list_children(fs_path: str):
         return [], base
 
 
-def list_folders(spark: SparkSession, root: str, full: bool = False, max_depth: int = 64) -> DataFrame:
+def list_folders(spark: SparkSession, root: str, full: bool = False) -> DataFrame:
     """Directories below root that hold a cur/ or new/ folder, found by a
     breadth-first walk whose frontier is a DataFrame listed on the executors.
     Subtrees with a .noindex marker (and .noupdate unless ``full``) are not
@@ -379,15 +364,14 @@ def list_folders(spark: SparkSession, root: str, full: bool = False, max_depth:
     root_dir = re.sub(r"^file:/*", "/", root) if root.startswith("file:") else root
     frontier = spark.createDataFrame([(root_dir,)], "dir string")
     found = None
-    for _ in range(max_depth):
+    while True:
         step = checkpoint_df(frontier.repartition(max(1, spark.sparkContext.defaultParallelism), "dir")
                              .mapInPandas(expand, out_schema))
         maildirs = step.where(F.col("kind") == "maildir").select("dir")
         found = maildirs if found is None else found.unionByName(maildirs)
         frontier = step.where(F.col("kind") == "dir").select("dir")
         if frontier.isEmpty():
-            break
-    return found
+            return found
 
 
 def checkpoint_df(df: DataFrame) -> DataFrame:
@@ -434,17 +418,17 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
-def scan_maildir_distributed(spark: SparkSession, root: str, max_bytes: int = DEFAULT_MAX_SIZE,
+def scan_maildir_distributed(spark: SparkSession, root: str, max_bytes: int | None = None,
                              full: bool = False, num_partitions: int | None = None) -> DataFrame:
     """SRC1-SRC3 without a driver-side file list: folders walked and files listed
     and read on the executors; files are spread by a hash of the path."""
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folders = list_folders(spark, root, full)
-    listed = list_files(folders.repartition(n, "dir")).where(F.col("size") <= max_bytes)
+    listed = cap_size(list_files(folders.repartition(n, "dir")), max_bytes)
     return read_files(listed.repartition(n, "path"))
 
 
-def index_maildir_distributed(spark: SparkSession, root: str, max_size: int = DEFAULT_MAX_SIZE,
+def index_maildir_distributed(spark: SparkSession, root: str, max_size: int | None = None,
                               full: bool = False) -> DataFrame:
     """SRC1-SRC4 for very large archives (see scan_maildir_distributed)."""
     return parse_messages(scan_maildir_distributed(spark, root, max_size, full), root)
