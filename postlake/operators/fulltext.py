@@ -7,7 +7,6 @@ matches are semi joins, phrases equi joins on (doc_id, pos - i).
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
