@@ -18,6 +18,8 @@ SECOND = 3
 SUBSETS = np.array([[s in c for s in range(SECOND)] for c in combinations(range(SECOND), SECOND - 1)])
 #: bits of a document's sketch, as words of 64; signatures that a task holds before it sends them on
 SKETCH, HELD = 16, 2_000_000
+#: sets of one signature that one task compares with as many others, about
+BLOCK = 4096
 
 
 def bands(most: int) -> np.ndarray:
@@ -189,24 +191,25 @@ def _shared(rows: pa.Table) -> pa.Table:
 
 
 def _near(rows: pa.Table) -> pa.Table:
-    """Pairs of the sets that share a signature which may be similar enough, by size and sketch, across components.
-
-    Compared in blocks of rows; what is sent on are the pairs that pass.
+    """Pairs of two blocks of sets of one signature, or within one, which may be similar enough, by size and
+    sketch, across components. What is sent on are the pairs that pass.
     """
-    node, label, n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
+    node, label, n, block = (rows.column(c).to_numpy() for c in ("node", "label", "n", "block"))
+    lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
     sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)  # bits of signed numbers would be those of their absolute values
-    left, right = [], []
-    for a in range(0, len(node), 256):
-        for b in range(a, len(node), 256):
-            i, j = slice(a, a + 256), slice(b, b + 256)
+    one, two = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(one), 256):
+        for b in range(a if lo == hi else 0, len(two), 256):
+            i, j = one[a:a + 256], two[b:b + 256]
             small, large = np.minimum(n[i, None], n[None, j]), np.maximum(n[i, None], n[None, j])
             ok = (label[i, None] != label[None, j]) & (5 * small >= 4 * large)
-            x, y = np.nonzero(np.triu(ok, 1) if a == b else ok)
+            x, y = np.nonzero(np.triu(ok, 1) if lo == hi and a == b else ok)
             differ = np.bitwise_count(sketch[i][x] ^ sketch[j][y]).sum(axis=1, dtype=np.int64)
             near = 9 * differ <= (small + large)[x, y]
             u, v = node[i][x[near]], node[j][y[near]]
             left.append(np.minimum(u, v)), right.append(np.maximum(u, v))
-    return pa.table({"a": np.concatenate(left).astype(np.int64), "b": np.concatenate(right).astype(np.int64)})
+    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -227,7 +230,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        form a star around one of them. Stars' pairs pass an exact bound by size and sketch, then the sets
        themselves are intersected.
     3. Links join nodes to components. Of a signature's sets that fell into several components, pairs across
-       components are checked too (bound in blocks, then the sets), so no link between different sets is lost.
+       components are checked too (bound in pairs of blocks, then the sets), so no link between different sets is lost.
 
     Null and empty texts, or texts without words, have no shingles and link with nothing; their component is
     their own id. Rows with a null id take part in linking, and have a null component_id if they reach no
@@ -283,8 +286,12 @@ def _linked(rows: DataFrame) -> DataFrame:
     placed = stored(members.join(label, "h1"), "members")
     groups = (placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"))
               .where("lo <> hi").groupBy("m", "x").agg(F.min("sig").alias("sig")))
-    open_ = placed.join(groups.select("sig"), "sig").join(brief.select("node", "n", "sketch"), "node")
-    across = open_.groupBy("sig").applyInArrow(_near, "a long, b long").distinct()
+    # a group is dealt to blocks, and a task gets two of them, so a hot signature's sets never meet in one task
+    blocks = F.ceil(F.col("m") / BLOCK)
+    open_ = (placed.join(groups.select("sig", "m"), "sig").join(brief.select("node", "n", "sketch"), "node")
+             .withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+             .select("sig", "node", "label", "n", "sketch", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+    across = open_.groupBy("sig", "lo", "hi").applyInArrow(_near, "a long, b long").distinct()
     more = _verified(stored(across, "across"), classes, rows)
     final = _labels(links.union(more), classes).join(classes.select("node", "n", "h2"), "node").select("n", "h1", "h2", "label")
     return stored(info.join(final, ["n", "h1", "h2"], "left").select("id", "k1", "k2", "n", "label"), "classed")

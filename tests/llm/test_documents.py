@@ -68,7 +68,9 @@ def test_similar_sets_share_a_signature():
     assert [p for p in near if not held[p[0]] & held[p[1]]] == []
 
 
-def test_join_links_as_brute_force(spark):
+@pytest.mark.parametrize("block", [ngramjoin.BLOCK, 3])
+def test_join_links_as_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)  # groups of a signature in one block, and in many
     shared = " ".join(f"shared{k}" for k in range(60))
     texts = _variants(2, 150) + [f"{shared} " + " ".join(f"own{k}x{j}" for j in range(12 + k % 5)) for k in range(40)]
     rows = [(k * 3 + 1, t, "en", "s", len(t)) for k, t in enumerate(texts)]
