@@ -68,12 +68,11 @@ def main() -> None:
         # re-index with nothing changed: list files (content not read), compare stamps, parse nothing
         from postlake.session import scratch_path
         from postlake.sources.incremental import new_or_changed
-        from postlake.sources.maildir import exclude_dirs, marker_dirs, scan_maildir
+        from postlake.sources.maildir import list_maildir
         store_path = scratch_path(spark, "bench-store")
         index_maildir(spark, root).select("path", "mtime").write.parquet(store_path)
         t0 = time.time()
-        listing = scan_maildir(spark, root).select("path", "mtime")
-        files = exclude_dirs(listing, marker_dirs(listing.select("path")))
+        files = list_maildir(spark, root).select("path", "mtime")
         todo = new_or_changed(files, spark.read.parquet(store_path)).count()
         dt2 = time.time() - t0
         times["reindex_nochange"] = round(dt2, 3)

@@ -10,23 +10,18 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-# Priority header words.
-PRIO_HIGH_WORDS = ("high", "urgent", "1", "2")
-PRIO_LOW_WORDS = ("low", "non-urgent", "bulk", "junk", "list", "4", "5")
+# Priority header values.
+PRIO_HIGH = ("high", "1", "2")
+PRIO_LOW = ("low", "list", "bulk", "4", "5")
 
 
 def parse_prio(precedence: Column | str | None = None, x_priority: Column | str | None = None,
                importance: Column | str | None = None) -> Column:
-    """FN24: 'high' / 'normal' / 'low' from Precedence, X-Priority or Importance."""
-    cands = []
-    for c in (precedence, x_priority, importance):
-        if c is None:
-            continue
-        v = F.lower(F.trim(_col(c)))
-        first = F.regexp_extract(v, r"^([a-z0-9-]+)", 1)
-        cands.append(F.when(first.isin(*PRIO_HIGH_WORDS), F.lit("high"))
-                     .when(first.isin(*PRIO_LOW_WORDS), F.lit("low")))
-    return F.coalesce(*cands, F.lit("normal"))
+    """FN24: 'high' / 'normal' / 'low' by the first of Precedence, X-Priority and Importance that a
+    message has; its whole value counts, and other values are normal."""
+    given = [_col(c) for c in (precedence, x_priority, importance) if c is not None]
+    v = F.lower(F.trim(F.coalesce(*given)))
+    return F.when(v.isin(*PRIO_HIGH), F.lit("high")).when(v.isin(*PRIO_LOW), F.lit("low")).otherwise(F.lit("normal"))
 
 
 def prio_from_order_priority(c: Column | str) -> Column:
@@ -35,11 +30,17 @@ def prio_from_order_priority(c: Column | str) -> Column:
     return F.when(n.isin("1", "2"), "high").when(n == "5", "low").otherwise("normal")
 
 
-def mailing_list(list_id: Column | str) -> Column:
-    """FN25: text inside <...> of List-Id, else the whole trimmed value."""
-    v = _col(list_id)
+def mailing_list(list_id: Column | str, feed_version: Column | str | None = None,
+                 msgid: Column | str | None = None) -> Column:
+    """FN25: text inside <...> of List-Id, else the whole trimmed value. Without a List-Id, messages of a feed
+    reader (an X-Feed2Imap-Version header) have the part of their id before the first '-'."""
+    v = F.when(F.trim(_col(list_id)) != "", _col(list_id))
     inner = F.regexp_extract(v, r"<([^>]*)>", 1)
-    return F.when(inner != "", inner).otherwise(F.trim(v))
+    out = F.when(inner != "", inner).otherwise(F.trim(v))
+    if feed_version is None or msgid is None:
+        return out
+    feed = F.when(_col(feed_version).isNotNull() & (F.instr(_col(msgid), "-") > 0), F.substring_index(_col(msgid), "-", 1))
+    return F.coalesce(out, feed)
 
 
 def list_post(value: Column | str) -> Column:

@@ -18,53 +18,47 @@ SPECIAL_FOLDS = {"æ": "e", "ø": "o", "đ": "d"}
 # Token boundary: anything that is not a letter or a digit.
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
-# Code point ranges whose one-character decompositions feed the fold table.
-FOLD_RANGES = [(0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x0370, 0x03FF), (0x0400, 0x04FF)]
 
+def _fold_maps() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters (after lower()) by what they fold to, from Unicode data: NFKD, marks dropped, lower case.
+    First the folds to one character, then those to none or several; Hangul syllables stay whole."""
+    one, more = {}, {}
+    for cp in range(0xA0, 0x30000):
+        ch = chr(cp)
+        if 0xAC00 <= cp < 0xD7A4 or 0xD800 <= cp < 0xE000 or unicodedata.category(ch)[0] == "M" or ch.lower() != ch:
+            continue
+        folded = SPECIAL_FOLDS.get(ch) or "".join(
+            c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", ch).lower()) if not unicodedata.combining(c))
+        if folded != ch:
+            (one if len(folded) == 1 else more)[ch] = folded
+    return one, more
 
-def _fold_map() -> tuple[str, str]:
-    """One-to-one fold table generated from Unicode data (NFKD, marks dropped)."""
-    src, dst = [], []
-    for lo, hi in FOLD_RANGES:
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            low = ch.lower()
-            if len(low) != 1 or low != ch:
-                continue  # only lower-case sources: translate runs after lower()
-            if low in SPECIAL_FOLDS:
-                src.append(low)
-                dst.append(SPECIAL_FOLDS[low])
-                continue
-            dec = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
-            if len(dec) == 1 and dec != low:
-                src.append(low)
-                dst.append(dec)
-    return "".join(src), "".join(dst)
 
-
-FOLD_FROM, FOLD_TO = _fold_map()
+_ONE, _MORE = _fold_maps()
+FOLD_FROM, FOLD_TO = "".join(_ONE), "".join(_ONE.values())
+MORE_FROM, MORE_TO = "".join(_MORE), "\n".join(_MORE.values())
 
 
 def flatten(c: Column | str) -> Column:
-    """FN1: lower case, accents removed, æ->e ø->o đ->d.
+    """FN1: lower case, accents removed, æ->e ø->o đ->d, compatibility forms (ligatures, full-width
+    letters, fractions) unfolded.
 
-    One ``translate`` with the one-to-one folds, then combining marks removed.
-    Characters whose decomposition has several letters (ligatures such as ĳ,
-    fractions) are kept as they are: unfolding them doubled the cost of every
-    search over text, and no driver table contains one."""
+    One ``translate`` with the one-to-one folds, then each letter with a longer fold that the text
+    has, if any, is replaced, then combining marks are removed."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), r"\p{M}+", "")
-
-
-_FOLD = dict(zip(FOLD_FROM, FOLD_TO))
+    unfold = lambda letter: F.element_at(F.split(F.lit(MORE_TO), "\n"), F.position(letter, F.lit(MORE_FROM)))
+    one = F.transform(F.array(F.translate(F.lower(c), FOLD_FROM, FOLD_TO)), lambda t: F.aggregate(
+        F.array_distinct(F.regexp_extract_all(t, F.lit(f"[{MORE_FROM}]"), F.lit(0))), t,
+        lambda text, letter: F.replace(text, letter, unfold(letter))))
+    return F.regexp_replace(F.get(one, 0), r"\p{M}+", "")
 
 
 def flatten_py(s: str | None) -> str | None:
     """Driver-side twin of :func:`flatten` for literal query words (same steps)."""
     if s is None:
         return None
-    folded = (_FOLD.get(ch, ch) for ch in s.lower())
-    return "".join(ch for ch in folded if not unicodedata.category(ch).startswith("M"))
+    folded = (_ONE.get(ch) or _MORE.get(ch, ch) for ch in s.lower())
+    return "".join(ch for ch in "".join(folded) if not unicodedata.category(ch).startswith("M"))
 
 
 def tokens(c: Column | str) -> Column:

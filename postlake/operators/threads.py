@@ -9,12 +9,12 @@ each message's position as a path of zero-padded hex segments.
 Here every step is a distributed job; no thread is gathered into one task:
 
 1. Each message proposes links ``ref[i] -> ref[i+1]`` and ``ref[-1] -> id``
-   in processing order (date, doc_id). The first proposal per child wins
-   (``min_by``, a partial aggregation, so a hot parent costs one row per task).
+   in processing order (date, doc_id). Of equal proposals the first is kept
+   (a partial aggregation, so a hot parent costs one row per task), and the first per child wins.
 2. Ancestor lists are built by pointer doubling (log2(depth) rounds), each
    round checkpointed to ``spark.checkpoint.dir``. A node that finds itself
-   among its ancestors is on a loop; per loop the latest proposed link is cut
-   (it is the link the reference refuses) and the doubling restarts.
+   among its ancestors is on a loop; per loop the latest proposed link is refused, its
+   child takes its next proposal, and the doubling restarts until no loop is left.
 3. Placeholders are pruned from the ancestor lists; duplicates (later copies of
    a message id) hang under the first copy.
 4. Subtree dates, sibling indices (skew-safe distributed ranking per parent),
@@ -43,7 +43,7 @@ def _ckpt(df: DataFrame) -> DataFrame:
 
 def parent_edges(m: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JN3: (child, parent, order) links proposed by the References of the first
-    copies, the first proposal per child kept; and the container id set."""
+    copies, equal ones once at their first place; and the container id set."""
     ext = F.concat(F.coalesce(F.col("refs"), F.array().cast("array<string>")), F.array(F.col("id")))
     k = F.size(ext)
     pairs = F.arrays_zip(F.slice(ext, 1, k - 1).alias("parent"), F.slice(ext, 2, k - 1).alias("child"))
@@ -52,18 +52,23 @@ def parent_edges(m: DataFrame) -> tuple[DataFrame, DataFrame]:
              .select(F.col("e.parent").alias("parent"), F.col("e.child").alias("child"),
                      F.struct(F.col("date"), F.col("doc_id"), F.col("pos")).alias("order"))
              .where(F.col("parent").isNotNull() & F.col("child").isNotNull() & (F.col("parent") != F.col("child"))))
-    edges = props.groupBy("child").agg(F.min_by("parent", "order").alias("parent"), F.min("order").alias("order"))
+    edges = props.groupBy("child", "parent").agg(F.min("order").alias("order"))
     ids = (m.select(F.col("id")).unionByName(m.select(F.explode("refs").alias("id")))
            .where(F.col("id").isNotNull()).distinct())
     return edges, ids
 
 
-def ancestors(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, anc): ancestor ids from parent to root, loops cut as described above."""
+def ancestors(ids: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(id, anc): ancestor ids from parent to root, loops cut as described above.
+
+    Every link before the latest of a loop stands, so that one is refused for good; each restart
+    refuses one proposal at least, and so the restarts end."""
     spark = ids.sparkSession
     ensure_checkpoint_dir(spark)
-    edges = _ckpt(edges)
-    for _restart in range(MAX_ROUNDS):
+    proposals = _ckpt(proposals)
+    while True:
+        edges = _ckpt(proposals.groupBy("child").agg(F.min(F.struct("order", "parent")).alias("own"))
+                      .select("child", "own.parent", "own.order"))
         state = (ids.join(edges.select(F.col("child").alias("id"), "parent"), "id", "left")
                  .select("id", F.when(F.col("parent").isNull(), F.array().cast("array<string>"))
                          .otherwise(F.array("parent")).alias("anc"),
@@ -87,16 +92,16 @@ def ancestors(ids: DataFrame, edges: DataFrame) -> DataFrame:
             state = _ckpt(state.where("done").unionByName(step))
         if cut is None:
             raise RuntimeError("ancestor doubling did not converge")
-        edges = _ckpt(edges.join(cut, "child", "left_anti"))
-    raise RuntimeError("too many loop-cutting restarts")
+        proposals = _ckpt(proposals.join(cut, ["child", "parent"], "left_anti"))
 
 
 def _loop_cuts(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each loop, the child whose parent link was proposed last."""
+    """For each loop, the link (child, parent) that was proposed last."""
     on_loop = state.where(F.array_contains("anc", F.col("id")))
     members = on_loop.select("id", F.explode(F.slice("anc", 1, F.array_position("anc", F.col("id")).cast("int"))).alias("member"))
-    with_order = members.join(edges.select(F.col("child").alias("member"), "order"), "member", "inner")
-    return with_order.groupBy("id").agg(F.max_by("member", "order").alias("child")).select("child").distinct()
+    with_order = members.join(edges.select(F.col("child").alias("member"), "parent", "order"), "member", "inner")
+    last = with_order.groupBy("id").agg(F.max(F.struct("order", F.col("member").alias("child"), "parent")).alias("link"))
+    return last.select("link.child", "link.parent").distinct()
 
 
 def _seg(idx: Column, width: int) -> Column:

@@ -17,19 +17,19 @@ from ..streaming import streams as S
 from .catalog import query
 from .sqlviews import CONV_MSGS, EVENT_MSGS, OCC_ORDERS
 
-_ROOTS: dict[tuple[str, str], str] = {}
+_ROOTS: dict[tuple[str, str, str], str] = {}
 
 
-def maildir_root(spark, sf) -> str:
+def maildir_root(spark, sf, separator: str = ":") -> str:
     """A maildir written (once per session) from the conversations table into the
     shared checkpoint folder, plus one excluded folder holding a .noindex marker."""
-    key = (sf, spark.sparkContext.getCheckpointDir() or "")
+    key = (sf, separator, spark.sparkContext.getCheckpointDir() or "")
     if key not in _ROOTS:
         root = scratch_path(spark, "maildir")
-        msgs = T.rfc822_from_conversations(spark, sf)
+        msgs = T.rfc822_from_conversations(spark, sf, separator)
         MD.write_files(msgs.select("relpath", "content"), root)
         marker = msgs.limit(1).select(F.lit("/junk/.noindex").alias("relpath"), F.lit(b"").alias("content"))
-        junk = msgs.limit(1).select(F.lit("/junk/cur/copy!2,S").alias("relpath"), "content")
+        junk = msgs.limit(1).select(F.lit(f"/junk/cur/copy{separator}2,S").alias("relpath"), "content")
         MD.write_files(marker.unionByName(junk), root)
         _ROOTS[key] = root
     return _ROOTS[key]
@@ -39,7 +39,7 @@ _PARSE_SQL = f"""
 SELECT msgid || '@conv.example' AS msgid, subject, "from" AS from_name, "to" AS to_name,
   array_to_string(list_transform(refs, lambda r: r || '@conv.example'), ' ') AS refs,
   strftime(date, '%Y-%m-%d %H:%M:%S') AS date,
-  CAST(CASE WHEN flags & 64 <> 0 THEN 64 ELSE flags END | CASE WHEN turn % 4 = 1 THEN 512 ELSE 0 END AS INTEGER) AS flags, maildir,
+  CAST(CASE WHEN flags & 64 <> 0 THEN 64 ELSE flags END | CASE WHEN turn % 4 = 1 THEN 512 ELSE 0 END AS INTEGER) AS flags, replace(maildir, '/sent', '/.Sent') AS maildir,
   CAST(CASE WHEN turn % 4 = 1 THEN 2 ELSE 1 END AS BIGINT) AS n_parts, md5(body_text) AS body_md5,
   "from" AS tags, 'normal' AS prio, "from" AS x_label
 FROM {CONV_MSGS} m"""
@@ -84,7 +84,7 @@ SELECT msgid || '@conv.example' AS msgid, maildir,
   CAST(CASE WHEN flags & 64 <> 0 THEN 64 ELSE flags END | CASE WHEN turn % 4 = 1 THEN 512 ELSE 0 END AS INTEGER) AS flags
 FROM {CONV_MSGS} m""")
 def stream_index(spark, sf):
-    root = maildir_root(spark, sf)
+    root = maildir_root(spark, sf, "!")
     store = S.stream_index(spark, root, max_files_per_trigger=200)
     # the stream sees the excluded folder too; apply the same exclusion as the batch index
     st = store.select("path", "msgid", "maildir", "flags")

@@ -96,7 +96,7 @@ def phrase_match(spark, sf):
 @query("prefix_match", sql=f"""
 SELECT doc_id FROM documents
 WHERE len(list_filter({tokens_sql('text')}, lambda t: starts_with(t, 'ther'))) > 0
-   OR len(list_filter({tokens_sql('substring(text, 1, 40)')}, lambda t: starts_with(t, 'mo'))) > 0""")
+   OR len(list_filter({tokens_sql('split_part(text, chr(10), 1)')}, lambda t: starts_with(t, 'mo'))) > 0""")
 def prefix_match(spark, sf):
     m = T.msgs_from_documents(spark, sf)
     return m.where(Q.prefix("body_text", "ther*") | Q.prefix("subject", "Mo*")).select("doc_id")
@@ -181,12 +181,13 @@ def prio_filter(spark, sf):
 
 @query("prio_parse", sql="""
 SELECT prio, CAST(count(*) AS BIGINT) AS n FROM (
-  SELECT CASE WHEN substring(o_orderpriority, 1, 1) IN ('1', '2') THEN 'high'
+  SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'normal' WHEN substring(o_orderpriority, 1, 1) IN ('1', '2') THEN 'high'
               WHEN substring(o_orderpriority, 1, 1) IN ('4', '5') THEN 'low' ELSE 'normal' END AS prio
   FROM orders) GROUP BY prio""")
 def prio_parse(spark, sf):
     o = T.read(spark, sf, "orders")
-    prio = P.parse_prio(x_priority=F.substring("o_orderpriority", 1, 1))
+    precedence = F.when(F.col("o_orderkey") % 3 == 0, "fm-user")  # the first header decides, known or not
+    prio = P.parse_prio(precedence, F.substring("o_orderpriority", 1, 1))
     return o.select(prio.alias("prio")).groupBy("prio").agg(F.count("*").alias("n"))
 
 

@@ -20,14 +20,14 @@ CONV_MSGS = """(SELECT c.conv_id*1000+c.turn AS doc_id, c.conv_id, c.turn,
   'normal' AS prio,
   CAST(((((c.conv_id+c.turn)%8) & 1) * 16) + (((c.conv_id+c.turn)%8) & 2) + ((((c.conv_id+c.turn)%8) & 4) * 16) AS INTEGER) AS flags,
   c.text AS body_text, CAST(length(c.text) AS BIGINT) AS size
-FROM conversations c LEFT JOIN (SELECT conv_id, substring(text, 1, 40) AS base FROM conversations WHERE turn = 0) f
+FROM conversations c LEFT JOIN (SELECT conv_id, split_part(text, chr(10), 1) AS base FROM conversations WHERE turn = 0) f
   ON c.conv_id = f.conv_id)"""
 
 CONV_MSGS_GAPS = f"(SELECT * FROM {CONV_MSGS} g WHERE (g.conv_id*7 + g.turn) % 5 <> 0)"
 
 DOC_MSGS = """(SELECT doc_id,
   '/mail/' || source || '/cur/' || CAST(doc_id AS VARCHAR) || ':2,S' AS path,
-  '/' || source AS maildir, md5(text) AS msgid, substring(text, 1, 40) AS subject,
+  '/' || source AS maildir, md5(text) AS msgid, split_part(text, chr(10), 1) AS subject,
   TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id*2220) AS date,
   source AS mailing_list, [lang, source] AS tags, text AS body_text, n_chars AS size,
   CAST(16 AS INTEGER) AS flags, lang, source

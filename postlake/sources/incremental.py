@@ -3,9 +3,12 @@ removal of vanished files, progress counters and store info."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from .maildir import list_maildir, parse_messages, read_files
+
 DIR_OF = r"^(.*)/(cur|new)/[^/]+$"
 
 
@@ -67,6 +70,27 @@ def index_progress(files: DataFrame, m: DataFrame) -> DataFrame:
                       F.coalesce(F.sum("r"), z).alias("removed"))
 
 
+def update_store(spark: SparkSession, root: str, stored: DataFrame | None, target: str,
+                 max_size: int | None = None, full: bool = False) -> DataFrame:
+    """SRC1-SRC10 composed: the next version of a stored messages table, written to ``target`` (a new folder).
+
+    Files are listed on the executors, only new or changed ones are read and parsed, messages whose file is
+    gone are removed, and the rest is carried over as it is. Returns one row: processed, updated, removed.
+    """
+    files = checkpointed(list_maildir(spark, root, max_size, full))
+    if stored is None:
+        stored = parse_messages(read_files(files.limit(0)), root)
+    todo = checkpointed(new_or_changed(files, stored))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fresh = parse_messages(read_files(todo.repartition(n, "path")), root)
+    kept, removed = cleanup_missing(stored, files)
+    kept.join(todo.select("path"), "path", "left_anti").select(*stored.columns).unionByName(
+        fresh.select(*stored.columns)).write.parquet(target)
+    one = lambda df, name: df.select(*[F.lit(int(c == name)).alias(c) for c in ("processed", "updated", "removed")])
+    tagged = one(files, "processed").union(one(todo, "updated")).union(one(removed, "removed"))
+    return tagged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tagged.columns])
+
+
 def store_info(m: DataFrame, root: str, personal: list[str] | None = None, max_size: int = 100_000_000,
                batch_size: int = 250_000, schema_version: str = "postlake-1") -> DataFrame:
     """SRC11: message count and settings as one row."""

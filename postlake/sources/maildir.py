@@ -1,9 +1,9 @@
 """Message files -> messages table (SRC1-SRC4, FN20-FN32, PRT8-PRT10, AGG21).
 
-The scan is Spark's ``binaryFile`` source (listing and reading run on
-executors); the MIME parse runs in ``mapInPandas`` with the Python standard
+Folders are walked and files listed and read on the executors, so names with ':' and folders whose names
+begin with '.' are read like others. The MIME parse runs in ``mapInPandas`` with the Python standard
 ``email`` package, Arrow batch by Arrow batch. The per-message helper only
-walks the MIME tree; everything after it (threading, contacts, search) is
+walks the MIME tree; everything after it (priority, lists, tags, references, threading, contacts, search) is
 DataFrame work.
 """
 
@@ -24,22 +24,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.flags import flags_from_path, maildir_from_path
+from ..functions.people import mailing_list, parse_prio, tags_from_headers
+from ..operators.ordering import merge_refs
 from ..schema import CONTACT, FLAG_BITS
 
 MAILDIR_FILE = r"/(cur|new)/[^/]+$"
-
-
-def scan_maildir(spark: SparkSession, root: str) -> DataFrame:
-    """SRC1: every regular file directly inside a cur/ or new/ directory below root."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    return files.where(F.col("path").rlike(MAILDIR_FILE)).select(
-        F.regexp_replace("path", "^file:", "").alias("path"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("mtime"),
-        F.col("length").alias("size"), "content")
+# bytes of messages that a Python worker holds at once (one larger message is held alone)
+CHUNK_BYTES = 32_000_000
 
 
 def cap_size(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """SRC2: drop files over a size cap, if the caller names one (pushed into the binaryFile scan)."""
+    """SRC2: drop files over a size cap, if the caller names one."""
     return files if max_bytes is None else files.where(F.col("size") <= max_bytes)
 
 
@@ -61,7 +56,7 @@ def _ancestor_dirs(path_col: str = "path"):
 
 def marker_dirs(files: DataFrame, full: bool = False) -> DataFrame:
     """Directories (ancestors of the listed files) holding a .noindex marker, or
-    .noupdate unless this is a full index. Spark's listing hides dot files, so
+    .noupdate unless this is a full index, for listings that another reader made (the stream's):
     each distinct directory is checked on the executors (pyarrow filesystem)."""
     names = [".noindex"] if full else [".noindex", ".noupdate"]
     dirs = files.select(F.explode(_ancestor_dirs()).alias("dir")).distinct()
@@ -92,7 +87,6 @@ PARSED = T.StructType([
     T.StructField("size", T.LongType()),
     T.StructField("sha", T.StringType()),
     T.StructField("msgid", T.StringType()),
-    T.StructField("refs", T.ArrayType(T.StringType())),
     T.StructField("subject", T.StringType()),
     T.StructField("date", T.TimestampNTZType()),
     T.StructField("from", T.StringType()),
@@ -100,10 +94,7 @@ PARSED = T.StructType([
     T.StructField("cc", T.StringType()),
     T.StructField("bcc", T.StringType()),
     T.StructField("contacts", T.ArrayType(CONTACT)),
-    T.StructField("mailing_list", T.StringType()),
-    T.StructField("prio", T.StringType()),
     T.StructField("content_flags", T.IntegerType()),
-    T.StructField("tags", T.ArrayType(T.StringType())),
     T.StructField("body_text", T.StringType()),
     T.StructField("body_html", T.StringType()),
     T.StructField("embedded_text", T.StringType()),
@@ -127,20 +118,6 @@ def _ids(value: str | None) -> list[str]:
     return _ID_RX.findall(value or "")
 
 
-def _prio(msg) -> str:
-    for h in ("precedence", "x-priority", "importance"):
-        v = (msg.get(h) or "").strip().lower()
-        word = re.match(r"[a-z0-9-]+", v)
-        if not word:
-            continue
-        w = word.group(0)
-        if w in ("high", "urgent", "1", "2"):
-            return "high"
-        if w in ("low", "non-urgent", "bulk", "junk", "list", "4", "5"):
-            return "low"
-    return "normal"
-
-
 def _decode(value) -> str | None:
     """Header value with RFC 2047 encoded words decoded."""
     if value is None:
@@ -160,16 +137,54 @@ def _text_of(part) -> str:
         return payload.decode("utf-8", "replace")
 
 
+def _nodes(msg) -> Iterator:
+    """The MIME tree in order. An attached message is one node: what it holds is its own."""
+    yield msg
+    if msg.is_multipart() and msg.get_content_maintype() != "message":
+        for part in msg.get_payload():
+            yield from _nodes(part)
+
+
+def _is_leaf(node) -> bool:
+    return not node.is_multipart() or node.get_content_maintype() == "message"
+
+
+def _payload(part) -> bytes:
+    """Decoded bytes of a leaf; of an attached message, its source."""
+    if part.is_multipart():
+        return b"\n".join(p.as_bytes() for p in part.get_payload())
+    return part.get_payload(decode=True) or b""
+
+
+def _embedded(part) -> list[str]:
+    """Searchable text of an attached part: plain text; of a message, sender, subject, recipients and plain texts."""
+    if not part.is_multipart():
+        return [_text_of(part)] if part.get_content_maintype() == "text" else []
+    out = []
+    for inner in part.get_payload():
+        named = [inner.get("from"), inner.get("subject"), *(v for h in ("to", "cc", "bcc") for v in inner.get_all(h, []))]
+        out += [_decode(v) for v in named if v]
+        for node in _nodes(inner):
+            if node.get_content_type() == "message/rfc822" or (_is_leaf(node) and node.get_content_type() == "text/plain"):
+                out += _embedded(node)
+    return out
+
+
+def _counts_as_attachment(ctype: str, disposition: str | None) -> bool:
+    """AGG21: parts with a disposition, but for inline bodies and signatures."""
+    main, _, sub = ctype.partition("/")
+    if disposition is None or disposition == "attachment":
+        return disposition is not None
+    return (main in ("image", "audio", "application", "text") and sub != "pgp-signature"
+            and ctype not in ("text/plain", "text/html"))
+
+
 def parse_one(path: str, content: bytes) -> dict:
-    """Parse one RFC 822 message into the PARSED fields (compat32 parser: the
+    """Headers, contacts and parts of one RFC 822 message (compat32 parser: the
     fast path of the standard package; headers decoded explicitly)."""
     msg = email.message_from_bytes(content)
-    headers = {k.lower(): _decode(v) for k, v in msg.items()}
+    headers = {k.lower(): _decode(v) for k, v in reversed(msg.items())}  # of repeated headers, the first
     mid = _ids(msg.get("message-id"))
-    refs = _ids(msg.get("references"))
-    for r in _ids(msg.get("in-reply-to")):
-        if r not in refs:
-            refs.append(r)
     date = None
     if msg.get("date"):
         try:
@@ -184,82 +199,79 @@ def parse_one(path: str, content: bytes) -> dict:
             if addr:
                 contacts.append({"type": ctype.replace("-", ""), "name": name or None, "email": addr,
                                  "full_address": email.utils.formataddr((name, addr)) if name else addr})
-    list_id = _decode(msg.get("list-id"))
-    mlist = None
-    if list_id:
-        m = re.search(r"<([^>]*)>", list_id)
-        mlist = m.group(1) if m else list_id.strip()
-    tags = []
-    for h, sep in (("x-label", r"\s+"), ("x-keywords", ","), ("keywords", r"\s+")):
-        v = headers.get(h)
-        if v:
-            tags += [t.strip() for t in re.split(sep, v.strip()) if t.strip()]
     parts, texts, htmls, embedded = [], [], [], []
     flags = 0
-    idx = 0
-    for part in msg.walk():
-        ctype = part.get_content_type()
-        if part.is_multipart():
-            if ctype == "multipart/signed":
-                flags |= FLAG_BITS["z"]
-            elif ctype == "multipart/encrypted":
-                flags |= FLAG_BITS["x"]
+    for node in _nodes(msg):
+        ctype = node.get_content_type()
+        if not _is_leaf(node):
+            flags |= {"multipart/signed": FLAG_BITS["z"], "multipart/encrypted": FLAG_BITS["x"]}.get(ctype, 0)
             continue
-        idx += 1
-        disp = part.get_content_disposition()
-        fname = _decode(part.get_filename())
-        payload = part.get_payload(decode=True) or b""
-        is_att = (ctype not in ("text/plain", "text/html")) or disp == "attachment"
-        if is_att:
+        disp = node.get_content_disposition()
+        if _counts_as_attachment(ctype, disp):
             flags |= FLAG_BITS["a"]
-            if ctype.startswith("text/") or ctype == "message/rfc822":
-                embedded.append(_text_of(part))
-        elif ctype == "text/plain":
-            texts.append(_text_of(part))
+        if ctype in ("text/plain", "text/html") and disp != "attachment":
+            (texts if ctype == "text/plain" else htmls).append(_text_of(node))
         else:
-            htmls.append(_text_of(part))
-        parts.append({"index": idx, "mime_type": ctype, "size": len(payload), "disposition": disp,
-                      "filename": fname, "cid": (part.get("content-id") or "").strip("<> ") or None,
-                      "charset": part.get_content_charset(),
-                      "params": {k.lower(): str(v) for k, v in (part.get_params() or [])[1:]}})
-    if mlist:
-        flags |= FLAG_BITS["l"]
+            embedded += _embedded(node)
+        parts.append({"index": len(parts) + 1, "mime_type": ctype, "size": len(_payload(node)), "disposition": disp,
+                      "filename": _decode(node.get_filename()), "cid": (node.get("content-id") or "").strip("<> ") or None,
+                      "charset": node.get_content_charset(),
+                      "params": {k.lower(): str(v) for k, v in (node.get_params() or [])[1:]}})
 
     def disp_of(t):
         return ", ".join(c["name"] or c["email"] for c in contacts if c["type"] == t) or None
 
-    return {"path": path, "msgid": mid[0] if mid else None, "refs": refs,
+    return {"path": path, "msgid": mid[0] if mid else None,
             "subject": headers.get("subject"), "date": date, "from": disp_of("from"), "to": disp_of("to"),
-            "cc": disp_of("cc"), "bcc": disp_of("bcc"), "contacts": contacts, "mailing_list": mlist,
-            "prio": _prio(msg), "content_flags": flags, "tags": tags,
+            "cc": disp_of("cc"), "bcc": disp_of("bcc"), "contacts": contacts, "content_flags": flags,
             "body_text": "\n".join(texts) if texts else None, "body_html": "\n".join(htmls) if htmls else None,
             "embedded_text": "\n".join(embedded) if embedded else None, "parts": parts, "headers": headers}
 
 
+def _chunks(rows: Iterator[dict], weight, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of up to CHUNK_BYTES by ``weight``, or of one row."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += weight(r)
+        if size >= CHUNK_BYTES:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def _parse_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import hashlib
     cols = [f.name for f in PARSED.fields]
-    for pdf in it:
-        rows = []
+
+    def rows(pdf: pd.DataFrame) -> Iterator[dict]:
         for p, mt, sz, c in zip(pdf["path"], pdf["mtime"], pdf["size"], pdf["content"]):
             raw = bytes(c)
-            r = parse_one(p, raw)
-            r.update(mtime=mt, size=int(sz), sha=hashlib.sha256(raw).hexdigest())
-            rows.append(r)
-        yield pd.DataFrame(rows, columns=cols)
+            yield parse_one(p, raw) | {"mtime": mt, "size": int(sz), "sha": hashlib.sha256(raw).hexdigest()}
+
+    for pdf in it:
+        yield from _chunks(rows(pdf), lambda r: r["size"], cols)
 
 
 def parse_messages(files: DataFrame, root: str | None = None) -> DataFrame:
     """SRC4: files (path, mtime, size, content) -> messages.
 
     msgid falls back to '<sha256 of content>@postlake' (FN31); flags combine the
-    file name (FN20) and the content (AGG21); thread_id is THR1.
+    file name (FN20), the content (AGG21) and the list; thread_id is THR1.
     """
     j = files.select("path", "mtime", "size", "content").mapInPandas(_parse_batches, PARSED)
     msgid = F.when(F.col("msgid").isNotNull() & (F.octet_length("msgid") < 240), F.col("msgid")).otherwise(
         F.concat(F.col("sha"), F.lit("@postlake")))
-    out = (j.withColumn("msgid", msgid)
-           .withColumn("flags", (flags_from_path("path").bitwiseOR(F.col("content_flags"))).cast("int"))
+    h = lambda name: F.try_element_at("headers", F.lit(name))
+    ids = lambda name: F.regexp_extract_all(F.coalesce(h(name), F.lit("")), F.lit(r"<([^<>]+)>"), F.lit(1))
+    on_list = F.when(F.col("mailing_list").isNotNull(), F.lit(FLAG_BITS["l"])).otherwise(F.lit(0))
+    out = (j.withColumn("mailing_list", mailing_list(h("list-id"), h("x-feed2imap-version"), "msgid"))
+           .withColumn("msgid", msgid)
+           .withColumns({"prio": parse_prio(h("precedence"), h("x-priority"), h("importance")),
+                         "tags": tags_from_headers(h("x-label"), h("x-keywords"), h("keywords")),
+                         "refs": merge_refs(ids("references"), ids("in-reply-to"))})
+           .withColumn("flags", flags_from_path("path").bitwiseOR(F.col("content_flags")).bitwiseOR(on_list).cast("int"))
            .withColumn("thread_id", F.coalesce(F.try_element_at("refs", F.lit(1)), F.col("msgid")))
            .withColumn("files", F.filter(F.transform("parts", lambda p: p["filename"]), lambda x: x.isNotNull()))
            .withColumn("mimes", F.transform("parts", lambda p: p["mime_type"]))
@@ -269,13 +281,6 @@ def parse_messages(files: DataFrame, root: str | None = None) -> DataFrame:
     return out.withColumn("doc_id", F.xxhash64("path"))
 
 
-def index_maildir(spark: SparkSession, root: str, max_size: int | None = None, full: bool = False) -> DataFrame:
-    """SRC1-SRC4 composed: scan, cap, exclude marked dirs, parse."""
-    files = cap_size(scan_maildir(spark, root), max_size)
-    files = exclude_dirs(files, marker_dirs(files.select("path"), full))
-    return parse_messages(files, root)
-
-
 def write_files(files: DataFrame, root: str) -> int:
     """Write (relpath, content) rows as files below ``root`` from the executors
     (pyarrow's filesystem layer: local, HDFS or object stores)."""
@@ -309,24 +314,22 @@ def part_payloads(files: DataFrame) -> DataFrame:
     """SNK7 input: one row per leaf part with its decoded payload (executor side)."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [f.name for f in PART_PAYLOAD.fields]
-        for pdf in it:
-            rows = []
+
+        def rows(pdf: pd.DataFrame) -> Iterator[dict]:
             for path, content in zip(pdf["path"], pdf["content"]):
                 msg = email.message_from_bytes(bytes(content))
                 mid = _ids(msg.get("message-id"))
-                idx = 0
-                for part in msg.walk():
-                    if part.is_multipart():
-                        continue
-                    idx += 1
-                    rows.append({"path": path, "msgid": mid[0] if mid else None, "part_index": idx,
-                                 "mime_type": part.get_content_type(), "disposition": part.get_content_disposition(),
-                                 "filename": _decode(part.get_filename()), "payload": part.get_payload(decode=True) or b""})
-            yield pd.DataFrame(rows, columns=cols)
+                for idx, part in enumerate(filter(_is_leaf, _nodes(msg)), 1):
+                    yield {"path": path, "msgid": mid[0] if mid else None, "part_index": idx,
+                           "mime_type": part.get_content_type(), "disposition": part.get_content_disposition(),
+                           "filename": _decode(part.get_filename()), "payload": _payload(part)}
+
+        for pdf in it:
+            yield from _chunks(rows(pdf), lambda r: len(r["payload"]), cols)
     return files.select("path", "content").mapInPandas(run, PART_PAYLOAD)
 
 
-# --- distributed listing: for archives whose file list does not fit a driver ---
+# --- listing and reading on the executors ---
 
 def _list_children(fs_path: str):
     from pyarrow import fs as pafs
@@ -391,15 +394,10 @@ def list_files(folders: DataFrame) -> DataFrame:
     def run(it):
         from pyarrow import fs as pafs
         for pdf in it:
-            rows = []
-            for d in pdf["dir"]:
-                for sub in ("cur", "new"):
-                    infos, base = _list_children(d.rstrip("/") + "/" + sub)
-                    for i in infos:
-                        if i.type == pafs.FileType.File:
-                            mt = i.mtime.replace(tzinfo=None) if i.mtime is not None else None
-                            rows.append((d.rstrip("/") + "/" + sub + "/" + i.base_name, mt, int(i.size)))
-            yield pd.DataFrame(rows, columns=["path", "mtime", "size"])
+            for folder in (d.rstrip("/") + "/" + sub for d in pdf["dir"] for sub in ("cur", "new")):
+                rows = [(folder + "/" + i.base_name, i.mtime.replace(tzinfo=None) if i.mtime is not None else None, int(i.size))
+                        for i in _list_children(folder)[0] if i.type == pafs.FileType.File]
+                yield pd.DataFrame(rows, columns=["path", "mtime", "size"])
     return folders.mapInPandas(run, FILE_ROW)
 
 
@@ -408,27 +406,37 @@ def read_files(files: DataFrame) -> DataFrame:
     schema = T.StructType(FILE_ROW.fields + [T.StructField("content", T.BinaryType())])
 
     def run(it):
-        for pdf in it:
-            contents = []
-            for p in pdf["path"]:
+        def rows(pdf: pd.DataFrame) -> Iterator[dict]:
+            for p, mt, size in zip(pdf["path"], pdf["mtime"], pdf["size"]):
                 filesystem, base = _fs_for(p)
                 with filesystem.open_input_stream(base) as fh:
-                    contents.append(fh.read())
-            yield pdf.assign(content=contents)
+                    yield {"path": p, "mtime": mt, "size": size, "content": fh.read()}
+
+        for pdf in it:
+            yield from _chunks(rows(pdf), lambda r: len(r["content"]), schema.names)
     return files.mapInPandas(run, schema)
 
 
-def scan_maildir_distributed(spark: SparkSession, root: str, max_bytes: int | None = None,
-                             full: bool = False, num_partitions: int | None = None) -> DataFrame:
-    """SRC1-SRC3 without a driver-side file list: folders walked and files listed
-    and read on the executors; files are spread by a hash of the path."""
+def list_maildir(spark: SparkSession, root: str, max_bytes: int | None = None, full: bool = False,
+                 num_partitions: int | None = None) -> DataFrame:
+    """SRC1-SRC3: (path, mtime, size) of every regular file in a cur/ or new/ folder below root, without
+    marked subtrees; folders are walked and files listed on the executors."""
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folders = list_folders(spark, root, full)
-    listed = cap_size(list_files(folders.repartition(n, "dir")), max_bytes)
-    return read_files(listed.repartition(n, "path"))
+    return cap_size(list_files(folders.repartition(n, "dir")), max_bytes)
+
+
+def scan_maildir(spark: SparkSession, root: str, max_bytes: int | None = None,
+                 full: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """SRC1-SRC3 with the files' bytes, read on the executors; files are spread by a hash of the path."""
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read_files(list_maildir(spark, root, max_bytes, full, n).repartition(n, "path"))
+
+
+def index_maildir(spark: SparkSession, root: str, max_size: int | None = None, full: bool = False) -> DataFrame:
+    """SRC1-SRC4 composed: walk, list, cap, read, parse."""
+    return parse_messages(scan_maildir(spark, root, max_size, full), root)
 
 
-def index_maildir_distributed(spark: SparkSession, root: str, max_size: int | None = None,
-                              full: bool = False) -> DataFrame:
-    """SRC1-SRC4 for very large archives (see scan_maildir_distributed)."""
-    return parse_messages(scan_maildir_distributed(spark, root, max_size, full), root)
+# one path reads archives of any size; the names say so where that matters
+scan_maildir_distributed, index_maildir_distributed = scan_maildir, index_maildir

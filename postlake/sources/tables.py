@@ -35,7 +35,7 @@ def msgs_from_conversations(spark: SparkSession, sf_dir: str, gaps: bool = False
     # one row per conversation (an aggregate), so Catalyst drops this outer join
     # entirely from every query that does not use the subject
     first = (read(spark, sf_dir, "conversations").where(F.col("turn") == 0)
-             .groupBy("conv_id").agg(F.min(F.substring("text", 1, 40)).alias("_base")))
+             .groupBy("conv_id").agg(F.min(F.substring_index("text", "\n", 1)).alias("_base")))
     m = c.join(first, "conv_id", "left")
     v = ((F.col("conv_id") + F.col("turn")) % 8).cast("int")
     flags = (v.bitwiseAND(1) * 16 + v.bitwiseAND(2) + v.bitwiseAND(4) * 16).cast("int")
@@ -79,7 +79,7 @@ def msgs_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/mail/"), F.col("source"), F.lit("/cur/"), F.col("doc_id").cast("string"), F.lit(":2,S")).alias("path"),
         F.concat(F.lit("/"), F.col("source")).alias("maildir"),
         F.md5(F.col("text")).alias("msgid"),
-        F.substring("text", 1, 40).alias("subject"),
+        F.substring_index("text", "\n", 1).alias("subject"),
         _base_plus_seconds(F.col("doc_id") * 2220).alias("date"),
         F.col("source").alias("mailing_list"),
         F.array(F.col("lang"), F.col("source")).alias("tags"),
@@ -155,7 +155,7 @@ def html_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("page_id").alias("doc_id"), F.col("url").alias("path"), F.col("html").alias("body_html"))
 
 
-def rfc822_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rfc822_from_conversations(spark: SparkSession, sf_dir: str, separator: str = ":") -> DataFrame:
     """Conversation turns as RFC 822 message files (relpath, content): a
     maildir derived from the table, for the file-ingest path. Every fourth
     turn (turn % 4 == 1) is multipart with the text also attached."""
@@ -183,6 +183,8 @@ def rfc822_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         fname, F.lit('"\nContent-Transfer-Encoding: base64\n\n'), F.base64(F.encode("body_text", "UTF-8")),
         F.lit("\n--"), boundary, F.lit("--\n"))
     content = F.concat(hdr, F.when(F.col("turn") % 4 == 1, multi).otherwise(single))
-    # '!' separator: Hadoop paths cannot hold ':' (an accepted maildir variant)
-    relpath = F.regexp_replace(F.regexp_replace("path", "^/mail", ""), ":2,", "!2,")
+    # ':' is the standard separator; Spark's own file readers can't hold it, for which '!' is the accepted variant
+    relpath = F.replace(F.regexp_replace("path", "^/mail", ""), F.lit(":2,"), F.lit(f"{separator}2,"))
+    if separator == ":":
+        relpath = F.regexp_replace(relpath, "^/sent/", "/.Sent/")  # nor do they list folders with a leading dot
     return m.select("doc_id", relpath.alias("relpath"), F.encode(content, "UTF-8").alias("content"))

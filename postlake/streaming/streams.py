@@ -1,8 +1,8 @@
 """Structured Streaming forms of the incremental operators (STR1-STR4).
 
-Each stream runs with a checkpoint location under ``spark.checkpoint.dir``
-(so a restarted job resumes exactly where it stopped) and, for the batch
-helpers here, ``trigger(availableNow=True)``. Stores are written with
+Each stream takes the paths of its store and its checkpoint; a later run with the same paths
+resumes where the last one stopped. Without them, a run gets new ones under ``spark.checkpoint.dir``.
+The helpers here use ``trigger(availableNow=True)``. Stores are written with
 ``foreachBatch`` into versioned folders: a batch never overwrites the
 version it reads.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.flags import is_unread
 from ..session import scratch_path
-from ..sources.maildir import MAILDIR_FILE, parse_messages
+from ..sources.maildir import MAILDIR_FILE, _fs_for, cap_size, parse_messages
 
 BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -43,13 +43,11 @@ class EpochStore:
             self.epochs.append(v)
 
     def read_all(self) -> DataFrame | None:
-        """Every committed epoch in the folder (not only those this driver wrote,
-        so a restarted driver sees the same store)."""
-        if not self.epochs:
-            try:
-                return self.spark.read.parquet(self.base)
-            except Exception:  # noqa: BLE001  (no epoch committed yet)
-                return None
+        """Every committed epoch in the folder, earlier runs' included; None before the first."""
+        from pyarrow import fs as pafs
+        filesystem, base = _fs_for(self.base)
+        if filesystem.get_file_info(base).type == pafs.FileType.NotFound:
+            return None
         return self.spark.read.parquet(self.base)
 
     def read_latest(self) -> DataFrame | None:
@@ -66,16 +64,18 @@ class EpochStore:
         return latest.select(self.key, "_r.*").select(*[F.col(f"`{c}`") for c in cols])
 
 
-def _run(writer, name: str, spark: SparkSession):
-    q = writer.option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True).start()
+def _run(writer, name: str, spark: SparkSession, checkpoint: str | None = None):
+    q = writer.option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
-def stream_index(spark: SparkSession, root: str, max_files_per_trigger: int = 1000) -> DataFrame:
+def stream_index(spark: SparkSession, root: str, max_files_per_trigger: int = 1000, store_path: str | None = None,
+                 checkpoint: str | None = None, max_size: int | None = None) -> DataFrame:
     """STR1: new message files below root are parsed batch by batch and
-    appended; the store reads as the newest version per path (upsert)."""
-    store = EpochStore(spark, scratch_path(spark, "stream-index"), key="path")
+    appended; the store reads as the newest version per path (upsert).
+    Spark's file stream can't read names with ':' nor list names that begin with '.'; the batch index can."""
+    store = EpochStore(spark, store_path or scratch_path(spark, "stream-index"), key="path")
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_per_trigger).load(root))
     files = files.where(F.col("path").rlike(MAILDIR_FILE)).select(
@@ -83,9 +83,9 @@ def stream_index(spark: SparkSession, root: str, max_files_per_trigger: int = 10
         F.col("modificationTime").cast("timestamp_ntz").alias("mtime"), F.col("length").alias("size"), "content")
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        store.write(parse_messages(batch, root), epoch)
+        store.write(parse_messages(cap_size(batch, max_size), root), epoch)
 
-    _run(files.writeStream.foreachBatch(upsert), "stream-index", spark)
+    _run(files.writeStream.foreachBatch(upsert), "stream-index", spark, checkpoint)
     out = store.read_latest()
     if out is None:
         empty = spark.createDataFrame([], "path string, mtime timestamp_ntz, size bigint, content binary")
@@ -113,38 +113,41 @@ def stream_dedupe(s: DataFrame, key: str = "msgid", event_time: str = "date", de
     return s.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def collect_stream(spark: SparkSession, s: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def collect_stream(spark: SparkSession, s: DataFrame, name: str, mode: str = "append", store_path: str | None = None,
+                   checkpoint: str | None = None) -> DataFrame:
     """Run a stream to completion into an epoch store; return what it wrote
     (all epochs in append mode, the last result in complete mode)."""
-    store = EpochStore(spark, scratch_path(spark, name))
+    store = EpochStore(spark, store_path or scratch_path(spark, name))
 
     def sink(batch: DataFrame, epoch: int) -> None:
         store.write(batch, epoch)
 
-    _run(s.writeStream.outputMode(mode).foreachBatch(sink), name, spark)
+    _run(s.writeStream.outputMode(mode).foreachBatch(sink), name, spark, checkpoint)
     out = store.read_latest() if mode == "complete" else store.read_all()
     if out is None:
         return spark.createDataFrame([], s.schema)
     return out.drop("epoch")
 
 
-def stream_contacts(spark: SparkSession, occ: DataFrame) -> DataFrame:
+def stream_contacts(spark: SparkSession, occ: DataFrame, store_path: str | None = None,
+                    checkpoint: str | None = None) -> DataFrame:
     """STR3: running freq / last_seen per e-mail. Update mode emits the new
     running totals of the keys a batch touched; they are appended and the
     newest per key is the contact table."""
-    store = EpochStore(spark, scratch_path(spark, "stream-contacts"), key="key")
+    store = EpochStore(spark, store_path or scratch_path(spark, "stream-contacts"), key="key")
     agg = occ.groupBy(F.lower("email").alias("key")).agg(F.count("*").alias("freq"), F.max("date").alias("last_seen"))
-    _run(agg.writeStream.outputMode("update").foreachBatch(lambda b, e: store.write(b, e)), "stream-contacts", spark)
+    _run(agg.writeStream.outputMode("update").foreachBatch(lambda b, e: store.write(b, e)), "stream-contacts", spark, checkpoint)
     return store.read_latest()
 
 
-def stream_saved_counts(spark: SparkSession, s: DataFrame, queries: dict[str, Column], flags: str = "flags") -> DataFrame:
+def stream_saved_counts(spark: SparkSession, s: DataFrame, queries: dict[str, Column], flags: str = "flags",
+                        store_path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """STR4: running total / unread per saved query (complete mode)."""
     aggs = []
     for i, (_name, e) in enumerate(queries.items()):
         e = F.coalesce(e, F.lit(False))
         aggs += [F.count_if(e).alias(f"t{i}"), F.count_if(e & is_unread(flags)).alias(f"u{i}")]
-    wide = collect_stream(spark, s.agg(*aggs), "stream-counts", mode="complete")
+    wide = collect_stream(spark, s.agg(*aggs), "stream-counts", "complete", store_path, checkpoint)
     rows = [F.struct(F.lit(n).alias("name"), F.col(f"t{i}").alias("total"), F.col(f"u{i}").alias("unread"))
             for i, n in enumerate(queries)]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -1,6 +1,7 @@
 """Streams: epoch store upserts across micro-batches; dedupe keeps one copy per id."""
 
 import datetime as dt
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -36,3 +37,15 @@ def test_stream_dedupe_one_per_key(spark):
     keys = sorted(r["key"] for r in out.collect())
     assert keys == ["a", "b", "c"]
     assert out.where(F.col("key") == "a").first()["v"] == 1  # the first copy wins
+
+
+def test_stream_index_resumes(spark):
+    r, out = tempfile.mkdtemp(prefix="postlake-res-"), tempfile.mkdtemp(prefix="postlake-res-out-")
+    os.makedirs(f"{r}/cur")
+    for k in (1, 2):
+        with open(f"{r}/cur/{k}!2,S", "wb") as fh:
+            fh.write(b"Message-Id: <m%d@x>\n\nbody\n" % k)
+        got = S.stream_index(spark, r, store_path=f"{out}/store", checkpoint=f"{out}/ckpt")
+        assert sorted(x["msgid"] for x in got.collect()) == [f"m{j}@x" for j in range(1, k + 1)]
+    epochs = S.EpochStore(spark, f"{out}/store").read_all().groupBy("epoch").count().collect()
+    assert sorted(x["count"] for x in epochs) == [1, 1]  # the second run parsed the new file only

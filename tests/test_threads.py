@@ -1,4 +1,4 @@
-"""Thread paths on the reference's mock cases (FIXTURES.md §3)."""
+"""Thread paths: chains, loops with refused links, duplicates, empty roots, siblings."""
 
 import datetime as dt
 
@@ -73,3 +73,15 @@ def test_mixed_ascending(spark):
 def test_mixed_descending(spark):
     p, _ = _paths(spark, MIXED, descending=True)
     assert p == {"m10": "0:f:z", "m11": "0:e:z", "m1": "1:z", "m2": "2:z", "m4": "2:f:z", "m3": "2:e:z"}
+
+
+def test_refused_link_gives_way_to_the_next_proposal(spark):
+    p, _ = _paths(spark, [("m1", 1, ["m2"]), ("m2", 2, ["m1"]), ("m3", 3, ["x", "m2"]), ("x", 4, [])])
+    assert p == {"x": "0", "m2": "0:0", "m1": "0:0:0", "m3": "0:0:1"}
+
+
+def test_two_loops_share_a_later_proposal(spark):
+    # b -> a stands, a -> b is refused; then c proposes y as a's parent; d and e do the same apart
+    p, _ = _paths(spark, [("b", 1, ["a"]), ("a", 2, ["b"]), ("c", 3, ["y", "a"]), ("y", 4, []),
+                          ("e", 5, ["d"]), ("d", 6, ["e"])])
+    assert p == {"y": "0", "a": "0:0", "b": "0:0:0", "c": "0:0:1", "d": "1", "e": "1:0"}

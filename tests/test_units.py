@@ -126,7 +126,8 @@ def test_reversed_ranges(spark):
     assert df.where(D.size_between("z", "1m", "10b")).count() == 1
 
 
-@pytest.mark.parametrize("src,flat", [("ĳzer", "ĳzer"), ("ª º", "a o"), ("Ǆemal", "ǆemal"), ("plain", "plain")])
-def test_flatten_one_to_one_only(spark, src, flat):
+@pytest.mark.parametrize("src,flat", [("ĳzer", "ijzer"), ("ª º", "a o"), ("Ǆemal", "dzemal"), ("plain", "plain"), ("caﬁ ﬁx ﬀ", "cafi fix ff"),
+                                      ("Ｆｕｌｌ", "full"), ("ᾍδης", "αδης"), ("ガ", "カ"), ("𝐀b", "ab"), ("Ⅷ…", "viii..."), ("한", "한")])
+def test_flatten_whole_unicode(spark, src, flat):
     assert _one(spark, X.flatten("s"), src) == flat
     assert X.flatten_py(src) == flat
