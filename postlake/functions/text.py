@@ -39,6 +39,20 @@ FOLD_FROM, FOLD_TO = "".join(_ONE), "".join(_ONE.values())
 MORE_FROM, MORE_TO = "".join(_MORE), "\n".join(_MORE.values())
 
 
+def _char_class(letters: str) -> str:
+    """A regular expression for one of ``letters``, as ranges; plain ASCII fails at its first test."""
+    ranges: list[list[int]] = []
+    for cp in map(ord, letters):
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return r"[[^\x00-\x7F]&&[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]]"
+
+
+MORE_CLASS = _char_class(MORE_FROM)
+
+
 def flatten(c: Column | str) -> Column:
     """FN1: lower case, accents removed, æ->e ø->o đ->d, compatibility forms (ligatures, full-width
     letters, fractions) unfolded.
@@ -48,7 +62,7 @@ def flatten(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     unfold = lambda letter: F.element_at(F.split(F.lit(MORE_TO), "\n"), F.position(letter, F.lit(MORE_FROM)))
     one = F.transform(F.array(F.translate(F.lower(c), FOLD_FROM, FOLD_TO)), lambda t: F.aggregate(
-        F.array_distinct(F.regexp_extract_all(t, F.lit(f"[{MORE_FROM}]"), F.lit(0))), t,
+        F.array_distinct(F.regexp_extract_all(t, F.lit(MORE_CLASS), F.lit(0))), t,
         lambda text, letter: F.replace(text, letter, unfold(letter))))
     return F.regexp_replace(F.get(one, 0), r"\p{M}+", "")
 

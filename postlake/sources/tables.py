@@ -163,7 +163,7 @@ def rfc822_from_conversations(spark: SparkSession, sf_dir: str, separator: str =
     mid = lambda c: F.concat(F.lit("<"), c, F.lit("@conv.example>"))
     refs = F.array_join(F.transform("refs", lambda r: mid(r)), " ")
     date = F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss '+0000'")
-    subj = F.concat(F.lit("=?utf-8?b?"), F.base64(F.encode(F.coalesce("subject", F.lit("")), "UTF-8")), F.lit("?="))
+    subj = F.concat(F.lit("=?utf-8?b?"), F.replace(F.base64(F.encode(F.coalesce("subject", F.lit("")), "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("?="))
     hdr = F.concat(
         F.lit("Message-Id: "), mid(F.col("msgid")), F.lit("\n"),
         F.lit("Date: "), date, F.lit("\n"),
