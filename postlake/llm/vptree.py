@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: vectors to a shard on average, to a leaf, and queries to a block
-SHARD, LEAF, BLOCK = 8192, 128, 1024
+#: vectors to a shard on average, to a leaf, queries to a block, and blocks that a task holds beside a tree
+SHARD, LEAF, BLOCK, HELD = 8192, 128, 1024, 16
 #: distances are square roots of small differences; what rounding may add to them
 SLACK = 1e-6
 
@@ -120,12 +119,37 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return stored(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, tree binary"), "trees")
 
 
+HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _ranked(tree: Tree, asked: pa.StructArray, k: int, factor: float) -> pa.Table:
+    """(query_id, vec_id, score) of the best 2 k candidates of each query in one tree, its own id left out."""
+    qid = asked.field("id").to_numpy()
+    q = asked.field("vector").flatten().to_numpy().reshape(len(qid), -1)
+    found, _ = tree.search(q, k, factor)
+    # of each point found the first k + 1 ids: the query's own may be one
+    at, col = np.nonzero(found >= 0)
+    point = found[at, col]
+    size = np.minimum(np.diff(tree.ptr)[point], k + 1)
+    each = np.repeat(np.arange(len(point)), size)
+    inside = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+    vec = tree.ids[tree.ptr[point[each]] + inside]
+    score = cosines(q[at], tree.raw[point])[each]
+    who = at[each]
+    ok = vec != qid[who]
+    who, vec, score = who[ok], vec[ok], score[ok]
+    order = np.lexsort((vec, -score, who))
+    who, vec, score = who[order], vec[order], score[order]
+    ok = np.arange(len(who)) - np.searchsorted(who, who) < 2 * k
+    return pa.table([qid[who[ok]], vec[ok], score[ok]], schema=HITS)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 0.25, id_col: str = "vec_id",
            vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query by cosine, the query's own id left out.
 
-    Queries go in blocks to every shard of their dimension; each shard gives its best ``k`` per query, and the
-    best of these are ranked, ties to the smaller id. ``factor`` 1 is an exact search; a smaller one relaxes the
+    Queries go in blocks to every shard of their dimension; a task holds one tree and about ``HELD`` blocks. Each
+    shard gives its best ``k`` per query, and the best of these are ranked, ties to the smaller id. ``factor`` 1 is an exact search; a smaller one relaxes the
     triangle inequality's bound and passes over more of a tree. Unusable queries take no part. Of repeated
     query ids each usable row is searched, and equal results count once; repeated ids among the vectors
     count as one candidate by their best score.
@@ -135,31 +159,21 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 0.2
     dealt = (rows.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"), F.struct("id", "vector").alias("query"))
              .groupBy("dim", "block").agg(F.sort_array(F.collect_list("query")).alias("queries")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                tree = pickle.loads(batch.column("tree")[r].as_py())
-                asked = batch.column("queries")[r].values
-                qid = asked.field("id").to_numpy()
-                q = asked.field("vector").flatten().to_numpy().reshape(len(qid), -1)
-                found, _ = tree.search(q, k, factor)
-                # of each point found the first k + 1 ids: the query's own may be one
-                at, col = np.nonzero(found >= 0)
-                point = found[at, col]
-                size = np.minimum(np.diff(tree.ptr)[point], k + 1)
-                each = np.repeat(np.arange(len(point)), size)
-                inside = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-                vec = tree.ids[tree.ptr[point[each]] + inside]
-                score = cosines(q[at], tree.raw[point])[each]
-                who = at[each]
-                ok = vec != qid[who]
-                who, vec, score = who[ok], vec[ok], score[ok]
-                order = np.lexsort((vec, -score, who))
-                who, vec, score = who[order], vec[order], score[order]
-                ok = np.arange(len(who)) - np.searchsorted(who, who) < 2 * k
-                yield pa.RecordBatch.from_arrays([pa.array(qid[who[ok]]), pa.array(vec[ok]), pa.array(score[ok])], names=["query_id", "vec_id", "score"])
-
-    pairs = index.join(dealt, "dim").select("tree", "queries").repartition(max(1, blocks) * 8)
-    hits = pairs.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def run(trees: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [HITS.empty_table()]
+        for raw in trees.column("tree").to_pylist():
+            tree = pickle.loads(raw)
+            for r in range(asked.num_rows):
+                out.append(_ranked(tree, asked.column("queries")[r].values, k, factor))
+        return pa.concat_tables(out)
+
+    parts = -(-blocks // HELD)
+    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))  # a row per dimension
+    asked = (dealt.join(shards, "dim").withColumn("part", F.pmod("block", F.lit(parts)))
+             .select("dim", "part", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("shard"), "queries"))
+    trees = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    key = ["dim", "shard", "part"]
+    hits = (trees.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score double")
+            .groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
