@@ -138,7 +138,7 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marks = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "lines", "h", "keep")).alias("marks"))
     texts = rows.select("k1", "k2", "text").join(marks, ["k1", "k2"])
     read = stored(texts.mapInArrow(_bytes_of, "k1 long, k2 long, line int, lines int, h long, keep boolean, bytes binary"), "bytes")
-    kept = read.where("keep").select("h", F.col("bytes").alias("kept")).distinct()
+    kept = stored(read.where("keep").select("h", F.col("bytes").alias("kept")).distinct(), "kept")  # so that the join on a hot chunk can be split
     return read.where("not keep").join(kept, "h").where("bytes = kept").select("k1", "k2", "line", "lines").distinct()
 
 
