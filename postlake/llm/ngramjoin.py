@@ -237,7 +237,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id. Repeated rows are copies. An empty table gives no rows. Other columns are ignored.
     """
     linked = _linked(_rows(docs, id_col, text_col))
-    smallest = linked.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
+    # written, so that the join on the label of a hot component can be split
+    smallest = stored(linked.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id")), "smallest")
     return (linked.join(smallest, "label", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
