@@ -1,4 +1,4 @@
-"""Line dedup: content-defined chunks of lines; a chunk that an earlier place of the corpus has goes."""
+"""Line dedup: shortest removable runs of lines (chunks); a chunk that an earlier place of the corpus has goes."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import stored
 from .words import STEP, Words, mix, slices, span_hashes
 
-#: a boundary may fall after one line in EVERY, by the rolling hash of the last two lines; chunkings by different hashes
-EVERY, DEALS = 2, 4
+#: kinds of chunks: by first line, by last line, and both with the blank lines beside them
+DEALS = 4
 #: a chunk is removable with this many lines with words and words in all, or with LONG words on any number of lines
 LINES, FEW, LONG = 2, 10, 50
 
@@ -37,31 +37,44 @@ class Lines:
         self.hash[some] = span_hashes(self.data, self.start[some], inner[some])
 
     def chunks(self, deal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Chunks of lines in order: (first line, lines, hash, removable).
-
-        A boundary may fall after a line when the rolling hash over the hashes of the last two lines of the
-        text says so; of such lines in a row, it falls after every other one, so that chunks have two lines or
-        more. Hence lines inserted or removed elsewhere don't move a boundary. A line of LONG words or more is a
-        chunk of its own, for the same reason. Each ``deal`` has boundaries of its own: where the edge of a
-        repeated passage falls inside a chunk of one, it may not in another.
+        """Chunks of lines in order of their first line: (first line, lines, hash, removable); all are removable.
+
+        A chunk is a shortest run of at least LINES lines with words and FEW words in all. ``deal`` 0 has the shortest
+        that begins at each line with words, deal 1 the shortest that ends at each; deals 2 and 3 have those of 0 with the
+        blank lines before them, and those of 1 with the blank lines after them, where there are any. A line of LONG
+        words or more is a chunk by itself too. So a chunk depends on its own lines only, and every line of a passage that
+        may be removed is in a chunk that lies inside the passage, whatever lines are around it. A line is in a
+        bounded number of chunks, as a chunk has fewer than FEW lines with words besides its last or first.
         """
+        some = np.flatnonzero(self.words)
+        doc, long = self.doc[some], self.words[some] >= LONG
+        total = np.r_[0, np.cumsum(self.words[some])]
+        i = np.arange(len(some))
+        if deal in (0, 2):
+            j = np.maximum(np.searchsorted(total, total[:-1] + FEW) - 1, i + LINES - 1)
+        else:
+            i, j = np.minimum(np.searchsorted(total, total[1:] - FEW, side="right") - 1, i - LINES + 1), i
+        within = (i >= 0) & (j < len(some))
+        i, j = i[within], j[within]
+        within = doc[i] == doc[j]
+        i, j = np.r_[i[within], np.flatnonzero(long)], np.r_[j[within], np.flatnonzero(long)]
+        at, last = some[i], some[j]
+        if deal == 2:
+            before = np.where(i > 0, some[i - 1] + 1, 0) if len(i) else at
+            wide = np.maximum(before, self.of_doc[self.doc[at]])
+            at, last = wide[wide < at], last[wide < at]
+        elif deal == 3:
+            after = np.r_[some, len(self.start)][j + 1] - 1
+            wide = np.minimum(after, self.of_doc[self.doc[last] + 1] - 1)
+            at, last = at[wide > last], wide[wide > last]
+        order = np.lexsort((last, at))
+        at, size = at[order], (last - at + 1)[order]
+        # sums over runs of lines as differences of sums from the first line on, scaled back by the inverse of the weight
         n = len(self.start)
-        if not n:
-            none = np.zeros(0, np.int64)
-            return none, none, none.astype(np.uint64), none.astype(bool)
-        first = np.r_[True, self.doc[1:] != self.doc[:-1]]
-        rolled = mix(self.hash + np.where(first, np.uint64(0), np.r_[np.uint64(0), self.hash[:-1]]) * STEP, 11 + deal)
-        may = rolled % np.uint64(EVERY) == 0
-        run = np.flatnonzero(may & ~(np.r_[False, may[:-1]] & ~first))  # where lines in a row that may end a chunk begin
-        nth = np.arange(n) - run[np.maximum(np.searchsorted(run, np.arange(n), side="right") - 1, 0)] if len(run) else np.zeros(n, np.int64)
-        cut = (may & (nth % 2 == 0)) | (self.words >= LONG)
-        at = np.flatnonzero(first | np.r_[True, cut[:-1]] | (self.words >= LONG))
-        size = np.diff(np.r_[at, n])
-        place = np.arange(n) - np.repeat(at, size)
-        weight = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(size.max()), STEP, np.uint64)])
-        total = mix(np.add.reduceat(mix(self.hash, 3) * weight[place], at) + size.astype(np.uint64), 5)
-        with_words, in_all = np.add.reduceat((self.words > 0).astype(np.int64), at), np.add.reduceat(self.words, at)
-        return at, size, total, ((with_words >= LINES) & (in_all >= FEW)) | (in_all >= LONG)
+        weight = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, STEP, np.uint64)])
+        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(int(STEP), -1, 2**64), np.uint64)])
+        sums = np.r_[np.uint64(0), np.add.accumulate(mix(self.hash, 3) * weight[:n])]
+        return at, size, mix((sums[at + size] - sums[at]) * back[at] + size.astype(np.uint64), 5), np.ones(len(at), bool)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +145,8 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     index = stored(rows.mapInArrow(_index, f"id {kind}, k1 long, k2 long, line int, lines int, h long"), "chunks")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2", "line")
-    first = (index.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
-             .select("h", F.col("lo.k1").alias("f1"), F.col("lo.k2").alias("f2"), F.col("lo.line").alias("fl")))
+    first = stored(index.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
+             .select("h", F.col("lo.k1").alias("f1"), F.col("lo.k2").alias("f2"), F.col("lo.line").alias("fl")), "first")  # so that the join on a hot chunk can be split
     found = stored(index.join(first, "h").select("k1", "k2", "line", "lines", "h", ((F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & (F.col("line") == F.col("fl"))).alias("keep")).distinct(), "found")
     marks = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "lines", "h", "keep")).alias("marks"))
     texts = rows.select("k1", "k2", "text").join(marks, ["k1", "k2"])
@@ -145,10 +158,11 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with repeated chunks of lines removed, and n_lines and n_removed (lines) added.
 
-    Removable are chunks of at least two lines with words and ten words, or of fifty words. The
-    first of equal chunks stays, by smallest id (null last), then place; later ones go, within one document
-    too. So a line goes only if a smaller id, or an earlier place, has it in the same chunk, and some place keeps
-    it. Lines that stay keep their bytes. Null texts stay null, empty ones empty. Rows of equal id and text
+    Removable are runs of at least two lines with words and ten words, or of one line of fifty words. A run that
+    occurs again goes whole, whatever lines are around it: the first place of equal lines stays, by smallest id (null
+    last), then place; later ones go, within one document too, and where the two overlap. So a line goes
+    only if a smaller id, or an earlier place, has it in an equal run, and some place keeps it. Blank lines at the edge of
+    a run go if all of the blank lines there are repeated with it. Lines that stay keep their bytes. Null texts stay null, empty ones empty. Rows of equal id and text
     are one document, and their copies fare alike. Other columns pass; added columns replace ones of the
     same name.
     """

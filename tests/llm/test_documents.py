@@ -150,6 +150,22 @@ def test_line_dedup_boundaries_resist_shifts():
     assert len(whole - shifted) <= 3 and len(whole) > 10
 
 
+@pytest.mark.parametrize("sizes", [(30, 30), (20, 20, 20), (15, 15, 15, 15), (5, 5), (3, 0, 3, 4), (60,), (60, 0, 60)])
+def test_line_dedup_removes_whole_passages(spark, sizes):
+    """Passages shared by two documents, between lines that differ, some of them long."""
+    rng = random.Random(8)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        passage = [own(n) for n in sizes]
+        for i in (2 * k, 2 * k + 1):
+            before, after = ([own(rng.choice([1, 8, 20, 80])) for _ in range(rng.randint(1, 4))] for _ in range(2))
+            rows.append((i, "\n".join(before + passage + after), "en", "s", 1))
+            want[i] = "\n".join(before + (passage if i % 2 == 0 else []) + after)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 def test_line_dedup_odd_rows(odd, empty):
     out = linededup.dedup_lines(odd)
     assert out.columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_removed"]
