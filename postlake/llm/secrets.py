@@ -107,16 +107,34 @@ def features(found: DataFrame, labelled: DataFrame, words: DataFrame) -> DataFra
     return out.fillna(0.0, [f for f in FEATURES])
 
 
+def known_form() -> Column:
+    """Whether a finding is a cloud access key id, or hexadecimal assigned to a name like password or token."""
+    return F.col("candidate").rlike(r"^AKIA[0-9A-Z]{16}$") | (F.col("candidate").rlike(r"^[0-9a-f]{18,}$") & F.col("left").rlike(r"(?i)(password|passwd|secret|token|api_?key)\W{1,4}$"))
+
+
 def seed_labels(found: DataFrame) -> DataFrame:
     """Labelled findings where no reviewed ones are at hand: (id, start, label).
 
-    A finding with a known form is a secret: a cloud access key id, or hexadecimal assigned to a name like
-    password or token. One of letters alone in the case of ordinary words, or within a url, is none. All others
+    A finding with a known form is a secret (see ``known_form``). One of letters alone in the case of ordinary words, or within a url, is none. All others
     stay unlabelled, for the forest to judge.
     """
-    known = F.col("candidate").rlike(r"^AKIA[0-9A-Z]{16}$") | (F.col("candidate").rlike(r"^[0-9a-f]{18,}$") & F.col("left").rlike(r"(?i)(password|passwd|secret|token|api_?key)\W{1,4}$"))
     plain = F.col("candidate").rlike(r"^[A-Z]?[a-z]+$") | F.col("left").rlike(r"://\S*$")
-    return found.select("id", "start", F.when(known, 1).when(plain, 0).alias("label")).where("label is not null")
+    return found.select("id", "start", F.when(known_form(), 1).when(plain, 0).alias("label")).where("label is not null")
+
+
+def sample(marks: DataFrame, bound: int) -> DataFrame:
+    """(id, start, label, weight): up to ``bound`` labelled findings, the first of each label by hash of id and place.
+
+    A label has bound / 2 places, and those that the other one leaves free; up to ``bound`` findings, all are taken.
+    ``weight`` is how many findings of its label one stands for.
+    """
+    n = {0: 0, 1: 0} | {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
+    parts = []
+    for label in (0, 1):
+        most = max(bound // 2, bound - n[1 - label])
+        parts.append(marks.where(F.col("label") == label).orderBy(F.xxhash64("id", "start"), "id", "start").limit(most)
+                     .withColumn("weight", F.lit(max(n[label] / most, 1.0))))
+    return parts[0].union(parts[1])
 
 
 def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
@@ -124,23 +142,32 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id
     """Every candidate of every whole text, judged: id, start, candidate, score, is_secret.
 
     ``labels`` (id, start, label 0 or 1) has labelled findings; without, ``seed_labels``. The forest learns from
-    at most ``bound`` of them, the first by hash of id and place. ``is_secret`` is score >= ``threshold``. With
-    findings of one label only, or none, there is nothing to learn, and every score is their mean label, or 0.
+    at most ``bound`` of them, bound / 2 of each label or more where the other has fewer (see ``sample``), weighted
+    to the true counts of the labels. ``is_secret`` is score >= ``threshold``. Findings of a known form are
+    secrets with score 1 where labels are seeded, and where reviewed ones have no secret, unless they are labelled
+    none themselves. Without labelled secrets there is nothing to learn, and every other score is 0; with
+    labelled secrets only, every score is 1.
 
     Null and empty texts have no candidates. Rows of null id are scanned, and never labelled. Repeated rows
     give repeated findings. An empty table gives no rows. Other columns are ignored.
     """
     found = stored(candidates(docs, id_col, text_col, path_col).withColumn("key", F.monotonically_increasing_id()), "candidates")
-    marks = (seed_labels(found) if labels is None else labels.select("id", "start", "label")).where("id is not null").groupBy("id", "start").agg(F.max("label").alias("label"))
-    chosen = marks.orderBy(F.xxhash64("id", "start"), "id", "start").limit(bound)
-    labelled = stored(found.dropDuplicates(["id", "start"]).join(F.broadcast(chosen), ["id", "start"]), "labelled")
+    marks = seed_labels(found) if labels is None else labels.select("id", "start", "label").join(found.select("id", "start"), ["id", "start"], "left_semi")
+    marks = stored(marks.where("id is not null and label is not null").groupBy("id", "start").agg(F.max("label").cast("int").alias("label")), "marks")
+    labelled = stored(found.dropDuplicates(["id", "start"]).join(F.broadcast(stored(sample(marks, bound), "sample")), ["id", "start"]), "labelled")
     table = stored(features(found, labelled, dictionary(docs, text_col)), "features")
-    got = labelled.agg(F.avg("label").alias("p")).first().p
-    if got is None or got in (0.0, 1.0):
-        judged = table.withColumn("score", F.lit(float(got or 0.0)))
+    got = labelled.agg(F.avg("label").alias("p")).first().p or 0.0
+    if got in (0.0, 1.0):
+        judged = table.withColumn("score", F.lit(got))
     else:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = vectors.transform(table.join(F.broadcast(labelled.select("key", "label")), "key").orderBy("id", "start"))
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label").fit(train.select("features", "label"))
+        train = vectors.transform(table.join(F.broadcast(labelled.select("key", "label", "weight")), "key").orderBy("id", "start"))
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", weightCol="weight").fit(train.select("features", "label", "weight"))
         judged = forest.transform(vectors.transform(table)).withColumn("score", vector_to_array("probability")[1])
+    if labels is None:
+        judged = judged.withColumn("score", F.when(known_form(), 1.0).otherwise(F.col("score")))
+    elif not got:
+        none = marks.select(F.col("id").alias("_id"), F.col("start").alias("_start"), F.lit(True).alias("_none"))
+        judged = (judged.join(none, (F.col("id") == F.col("_id")) & (F.col("start") == F.col("_start")), "left")
+                  .withColumn("score", F.when(known_form() & F.col("_none").isNull(), 1.0).otherwise(F.col("score"))))
     return judged.select(F.col("id").alias(id_col), "start", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))

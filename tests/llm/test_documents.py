@@ -417,6 +417,26 @@ def test_secret_forest_held_out(spark):
     assert sum(r.is_secret == any(c.isdigit() for c in r.candidate) for r in got) / len(got) > 0.95
 
 
+def test_secret_scan_learns_rare_secrets(spark):
+    """Few secrets among many words, and a bound that a uniform sample would fill with words."""
+    rng = random.Random(9)
+    token = lambda: "".join(rng.choice("ABCDEFGHabcdefgh23456789") for _ in range(24))
+    known = [f'set token = "{r[1].split(chr(34))[1]}" now' for r in _secret_rows() if r[0] % 4 == 0]
+    rows = [(k, "read the internationalization responsibilities and characteristically", "en", "s", 0) for k in range(3000)]
+    docs = spark.createDataFrame(rows + [(5000 + k, t, "en", "s", 0) for k, t in enumerate(known[:6])], DOCS)
+    assert {r.doc_id for r in secrets.scan(docs, bound=20).where("is_secret").collect()} == set(range(5000, 5006))
+    docs = spark.createDataFrame(rows + [(5000 + k, f"with {token()} in it", "en", "s", 0) for k in range(12)], DOCS)
+    labels = secrets.candidates(docs).where("id % 2 = 0").selectExpr("id", "start", "cast(candidate rlike '[0-9]' as int) as label")
+    assert {r.doc_id for r in secrets.scan(docs, labels, bound=20).where("is_secret").collect()} == set(range(5000, 5012))
+
+
+def test_secret_scan_without_labelled_secrets(spark):
+    docs = spark.createDataFrame(_secret_rows(), DOCS)
+    labels = secrets.candidates(docs).where("id < 4").selectExpr("id", "start", "0 as label")
+    got = secrets.scan(docs, labels).where("is_secret").collect()
+    assert {r.doc_id for r in got} == {k for k in range(4, 120) if k % 4 in (0, 2)}
+
+
 def test_secret_odd_rows(spark, odd, empty):
     got = secrets.scan(odd).collect()
     assert {r.doc_id for r in got} == {7}
