@@ -17,6 +17,10 @@ from .common import stored
 
 #: characters of a candidate and its least length
 CLASS, LEAST = "A-Za-z0-9+/_-", 16
+#: names that a secret of any form and length is assigned to, and what may stand between; the password of a url's user
+NAMES = "password|passwd|pwd|passphrase|secret|token|api_?key|access_?key|private_?key"
+GIVEN = (rf"(?<=[=:>\"'\s])(?=[^\s\"'=>])(?<=[=:>][ \t]{{0,4}}[\"']?)(?i)(?<=(?:{NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|==?|:)[ \t]{{0,4}}[\"']?)"
+         r"|(?<=:)(?=[^\s/@]{1,256}@)(?<=://[^\s/:@?#]{0,64}:)")
 #: characters of context kept on either side
 CONTEXT = 80
 FEATURES = ["f_length", "f_digits", "f_upper", "f_symbols", "f_switches", "f_chars", "f_dictionary", "f_slashes", "f_url", "f_path",
@@ -24,22 +28,37 @@ FEATURES = ["f_length", "f_digits", "f_upper", "f_symbols", "f_switches", "f_cha
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(id, start, candidate, left, right, path): every run of 16 or more of A-Za-z0-9+/_- of every whole text, with padding.
+    """(id, start, candidate, left, right, path): every run of 16 or more of A-Za-z0-9+/_- of every whole text, and every
+    value given to a secret's name, with padding.
 
-    ``start`` is the place of its first character in the text, from 0. The text is cut before each
-    candidate, so the scan is linear in its length.
+    A value is the non-blank run, of any length, after a name like password and an assignment, without its quotes,
+    punctuation at its end, or further parameters of a url; or the password of a url's user. A run that begins where a
+    value does is one candidate with it. ``start`` is the place of its first character in the text, from 0.
+    The text is cut before each candidate of a form, so the scan is linear in its length.
     """
-    cut = F.split(F.concat(F.lit(" "), F.col("text")), f"(?<![{CLASS}])(?=[{CLASS}]{{{LEAST},}})")
-    starts = F.aggregate(F.col("cut"), F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<long>").alias("all")),
-                         lambda acc, s: F.struct((acc["at"] + F.length(s)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
-    pieces = F.transform(F.sequence(F.lit(1), F.size("cut") - 1), lambda i: F.struct(
-        F.get("starts", i).alias("start"), F.get("cut", i).alias("piece"), F.substring(F.get("cut", i - 1), -CONTEXT, CONTEXT).alias("left")))
+    def starts(cut: str) -> Column:
+        return F.aggregate(F.col(cut), F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<long>").alias("all")),
+                           lambda acc, s: F.struct((acc["at"] + F.length(s)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+
+    def pieces(cut: str, at: str, run: bool) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(cut) - 1), lambda i: i > 0), lambda i: F.struct(
+            F.get(at, i).alias("start"), F.lit(run).alias("run"), F.get(cut, i).alias("piece"), F.substring(F.get(cut, i - 1), -CONTEXT, CONTEXT).alias("left")))
+
     path = F.col(path_col) if path_col and path_col in docs.columns else F.lit(None)
+    text = F.concat(F.lit(" "), F.col("text"))
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.cast("string").alias("path"))
-            .select("id", "path", cut.alias("cut")).where(F.size("cut") > 1).withColumn("starts", starts))
-    found = rows.select("id", "path", F.explode(pieces).alias("c")).select("id", "path", "c.*")
-    hit = F.regexp_extract("piece", f"^[{CLASS}]+={{0,2}}", 0)
-    return (found.withColumn("candidate", hit)
+            .select("id", "path", F.split(text, f"(?<![{CLASS}])(?=[{CLASS}]{{{LEAST},}})").alias("runs"), F.split(text, GIVEN).alias("given"))
+            .where((F.size("runs") > 1) | (F.size("given") > 1)).withColumns({"runs_at": starts("runs"), "given_at": starts("given")})
+            .withColumn("all", F.sort_array(F.concat(pieces("runs", "runs_at", True), pieces("given", "given_at", False)))))
+    once = F.filter("all", lambda x, i: (i == 0) | (x["start"] != F.get("all", i - 1)["start"]))  # a value stands before a run
+    found = rows.select("id", "path", F.explode(once).alias("c")).select("id", "path", "c.*")
+    end = ",;.)\\]}>\"'"
+    value = (F.when(F.col("left").endswith('"'), F.regexp_extract("piece", r'^[^\s"]+', 0)).when(F.col("left").endswith("'"), F.regexp_extract("piece", r"^[^\s']+", 0))
+             .when(F.col("left").rlike(r"://[^\s/:@?#]*:$"), F.regexp_extract("piece", r"^[^\s/]+(?=@)", 0))
+             .when(F.col("left").rlike(r"[?&][^\s?&]*=$"), F.regexp_extract("piece", r"^[^\s&#]+", 0))
+             .otherwise(F.regexp_replace(F.regexp_extract("piece", r"^\S+", 0), f"(?<=[^{end}])[{end}]+$", "")))
+    hit = F.when(F.col("run"), F.regexp_extract("piece", f"^[{CLASS}]+={{0,2}}", 0)).otherwise(value)
+    return (found.withColumn("candidate", hit).where("candidate <> ''")
             .select("id", "start", "candidate", "left", F.expr(f"substring(piece, length(candidate) + 1, {CONTEXT})").alias("right"), "path"))
 
 
@@ -85,7 +104,7 @@ def features(found: DataFrame, labelled: DataFrame, words: DataFrame) -> DataFra
     size = F.length("candidate")
     share = lambda what: F.regexp_count("candidate", F.lit(what)) / size
     pairs = lambda df: df.withColumn("f", folded(F.col("candidate"))).select(
-        *[c for c in ("key", "label") if c in df.columns], F.explode(F.transform(F.sequence(F.lit(1), F.length("f") - 1), lambda i: F.substr("f", i, F.lit(2)))).alias("pair"))
+        *[c for c in ("key", "label") if c in df.columns], F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.length("f") - 1), lambda i: i > 0), lambda i: F.substr("f", i, F.lit(2)))).alias("pair"))
     yes = F.sum("label")
     moves = pairs(labelled).groupBy("pair").agg(yes.alias("yes"), (F.count("*") - yes).alias("no"))
     total = moves.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).first()
@@ -115,10 +134,11 @@ def known_form() -> Column:
 def seed_labels(found: DataFrame) -> DataFrame:
     """Labelled findings where no reviewed ones are at hand: (id, start, label).
 
-    A finding with a known form is a secret (see ``known_form``). One of letters alone in the case of ordinary words, or within a url, is none. All others
-    stay unlabelled, for the forest to judge.
+    A finding with a known form is a secret (see ``known_form``). One of letters alone in the case of ordinary
+    words is none, nor are words and short numbers in a url's path. All others stay unlabelled, for the forest to judge.
     """
-    plain = F.col("candidate").rlike(r"^[A-Z]?[a-z]+$") | F.col("left").rlike(r"://\S*$")
+    words = F.col("candidate").rlike(r"^[/_+-]*([A-Z]?[a-z]+|[0-9]{1,4})([/_+-]+([A-Z]?[a-z]+|[0-9]{1,4}))*[/_+-]*$")
+    plain = F.col("candidate").rlike(r"^[A-Z]?[a-z]+$") | (F.col("left").rlike(r"://[^\s?#]*$") & words)
     return found.select("id", "start", F.when(known_form(), 1).when(plain, 0).alias("label")).where("label is not null")
 
 

@@ -437,6 +437,25 @@ def test_secret_scan_without_labelled_secrets(spark):
     assert {r.doc_id for r in got} == {k for k in range(4, 120) if k % 4 in (0, 2)}
 
 
+GIVEN = [('password = "hunter2x" is set', "hunter2x"), ("api_key: k9$Zq!77pW, then", "k9$Zq!77pW"), ("Passwd := 'a b'", "a"), ("see https://user:p@ss@db.example/x", "p@ss"),
+         ('{"secret": "x"}', "x"), ("https://h.example/a?token=q7&b=1 there", "q7"), ("token = " + "ab12" * 6 + ".c", "ab12" * 6 + ".c"), ("the password is long", None), ("https://host:8080/p@q", None), ("a token =", None)]
+
+
+def test_secret_candidates_of_any_form_after_a_name(spark):
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, (t, _) in enumerate(GIVEN)], DOCS)
+    got = [(r.id, r.start, r.candidate) for r in secrets.candidates(docs).collect()]
+    assert sorted(got) == [(k, t.rindex(c), c) for k, (t, c) in enumerate(GIVEN) if c]
+
+
+def test_secret_scan_of_short_values_and_url_keys(spark):
+    """Short values are judged, and url text that is no word isn't taken for harmless."""
+    rows = _secret_rows() + [(1000, 'now password = "hunter2x7" holds', "en", "s", 0), (1001, "https://h.example/a?id=9f8e7d6c5b4a39281706f5e4 there", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.candidate for r in secrets.scan(docs).where("doc_id = 1000").collect()} == {"hunter2x7"}
+    labels = {(r.id, r.label) for r in secrets.seed_labels(secrets.candidates(docs)).where("id >= 1000 or id = 3").collect()}
+    assert labels == {(3, 0)}
+
+
 def test_secret_odd_rows(spark, odd, empty):
     got = secrets.scan(odd).collect()
     assert {r.doc_id for r in got} == {7}
