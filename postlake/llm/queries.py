@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, mixing, ngramjoin, quality, rules, secrets, spieces, urls, vptree
+from . import chat, linededup, mixing, ngramjoin, phrases, quality, rules, secrets, spieces, urls, vptree
 from .common import table
 
 QUERIES: dict = {}
@@ -76,6 +76,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 _LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
 
 ORACLE["op3_chat_format"] = """
@@ -135,3 +140,19 @@ bound AS (SELECT host, n, greatest(0.0, mean - 1.645 * sqrt(a * b / ((a + b) * (
 ruled AS (SELECT *, CASE {_cases} END AS rule FROM base)
 SELECT page_id, host, path, rule, coalesce(CASE rule {_actions} END, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
   n::BIGINT AS n_labelled, round(low, 3) AS bad_bound FROM ruled LEFT JOIN bound USING (host)"""
+
+ORACLE["op11_phrase_mining"] = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) ms(m)),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM starts GROUP BY ALL),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM cand),
+scored AS (SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f::HUGEINT + y.f))::BIGINT AS score FROM cuts
+  JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[k + 1:cuts.m], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+whole AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.lang = b.lang AND c.m > len(string_split(b.phrase, ' ')) AND 100 * c.a >= 80 * b.a
+  AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM whole JOIN n USING (lang)
+QUALIFY rank <= 2000"""
