@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, mixing, ngramjoin, phrases, quality, rules, secrets, spieces, urls, vptree
+from . import chat, divergence, linededup, maxscore, mixing, ngramjoin, phrases, quality, rules, secrets, spieces, urls, vptree
 from .common import table
 
 QUERIES: dict = {}
@@ -81,6 +81,17 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return maxscore.search(maxscore.build_index(vectors), vectors.where("vec_id % 100 = 0"))
+
+
 _LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
 
 ORACLE["op3_chat_format"] = """
@@ -156,3 +167,29 @@ whole AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.la
   AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM whole JOIN n USING (lang)
 QUALIFY rank <= 2000"""
+
+ORACLE["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(c.c), 0) AS n, coalesce(any_value(v.v), 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN v USING (lang) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c, (1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 5) // (g.n + 5 * g.v))::BIGINT AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+whole AS (SELECT lang, term, sum(c.c) AS c FROM c GROUP BY lang, term),
+sizes AS (SELECT lang, sum(c) AS n FROM whole GROUP BY lang),
+q AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (c + 5) // (n + 5 * v))::BIGINT AS q FROM whole JOIN sizes USING (lang) JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM rows QUALIFY part = 'pair' OR rank <= 50"""
+
+ORACLE["op13_maxscore_search"] = """
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.id AS query_id, v.id AS vec_id, max(coalesce(list_sum(list_transform(range(1, least(len(q.w), len(v.w)) + 1), lambda i: q.w[i] * v.w[i])), 0))::BIGINT AS score
+  FROM v q JOIN v ON q.id % 100 = 0 AND q.id <> v.id GROUP BY ALL)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
