@@ -11,8 +11,10 @@ from ..operators import predicates as Q
 from ..operators.projection import header
 from ..session import scratch_path
 from ..sinks import link_manifest, write_contacts_csv, write_json, write_xml
+from ..sources import incremental as INC
 from ..sources import maildir as MD
 from ..sources import tables as T
+from ..sources.store import KeyedStore
 from ..streaming import streams as S
 from .catalog import query
 from .sqlviews import CONV_MSGS, EVENT_MSGS, OCC_ORDERS
@@ -84,12 +86,33 @@ SELECT msgid || '@conv.example' AS msgid, maildir,
   CAST(CASE WHEN flags & 64 <> 0 THEN 64 ELSE flags END | CASE WHEN turn % 4 = 1 THEN 512 ELSE 0 END AS INTEGER) AS flags
 FROM {CONV_MSGS} m""")
 def stream_index(spark, sf):
-    root = maildir_root(spark, sf, "!")
-    store = S.stream_index(spark, root, max_files_per_trigger=200)
-    # the stream sees the excluded folder too; apply the same exclusion as the batch index
-    st = store.select("path", "msgid", "maildir", "flags")
-    kept = MD.exclude_dirs(st, MD.marker_dirs(st.select("path")))
-    return kept.select("msgid", "maildir", "flags")
+    return S.stream_index(spark, maildir_root(spark, sf, "!"), settle=0).select("msgid", "maildir", "flags")
+
+
+@query("stream_index_standard", sql=_PARSE_SQL)
+def stream_index_standard(spark, sf):
+    """Names with ':', folders with a leading dot and a marked folder; later turns arrive between two runs of one stream."""
+    root, store, ckpt = (scratch_path(spark, name) for name in ("stream-tree", "stream-store", "stream-ckpt"))
+    first = T.rfc822_from_conversations(spark, sf).withColumn("later", F.contains("content", F.lit(b"\nReferences: ")))
+    junk = first.limit(1).select(F.explode(F.array(*[F.struct(F.lit(p).alias("relpath"), c.alias("content")) for p, c in (
+        ("/junk/.noindex", F.lit(b"")), ("/junk/cur/copy:2,S", F.col("content")))])).alias("f")).select("f.*")
+    for part in (first.where("not later").select("relpath", "content").unionByName(junk), first.where("later").select("relpath", "content")):
+        MD.write_files(part, root)
+        m = S.stream_index(spark, root, store, ckpt, settle=0)
+    return _parsed_out(m)
+
+
+@query("refresh_store", sql=_PARSE_SQL)
+def refresh_store(spark, sf):
+    """A store kept up to date: the stream's part of it, then what came after by a lazy batch run, then a run with nothing new."""
+    root, base = scratch_path(spark, "refresh-tree"), scratch_path(spark, "refresh-store")
+    files = T.rfc822_from_conversations(spark, sf).withColumn("later", F.contains("content", F.lit(b"\nReferences: ")))
+    MD.write_files(files.where("not later").select("relpath", "content"), root)
+    S.stream_index(spark, root, base, settle=0)
+    MD.write_files(files.where("later").select("relpath", "content"), root)
+    for _ in range(2):
+        INC.refresh_store(spark, root, KeyedStore(spark, base), settle=0)
+    return _parsed_out(KeyedStore(spark, base).read())
 
 
 @query("stream_dedupe", sql="""

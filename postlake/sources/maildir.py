@@ -109,32 +109,61 @@ PARSED = T.StructType([
         T.StructField("params", T.MapType(T.StringType(), T.StringType())),
     ]))),
     T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("error", T.StringType()),
 ])
 
 _ID_RX = re.compile(r"<([^<>]+)>")
+# what a display name can't hold unquoted
+_QUOTED_RX = re.compile(r'[][\\()<>@,:;".]')
 
 
-def _ids(value: str | None) -> list[str]:
-    return _ID_RX.findall(value or "")
+def _ids(value) -> list[str]:
+    return _ID_RX.findall(str(value or ""))
+
+
+def _plain(value: str) -> str:
+    """The string without lone surrogates, which some charsets decode to and no table can hold."""
+    return value.encode("utf-8", "replace").decode("utf-8")
 
 
 def _decode(value) -> str | None:
-    """Header value with RFC 2047 encoded words decoded."""
+    """Header value with RFC 2047 encoded words decoded; raw bytes and unknown charsets become replacement characters."""
     if value is None:
         return None
     try:
-        return str(email.header.make_header(email.header.decode_header(str(value))))
-    except (UnicodeError, LookupError, email.errors.HeaderParseError):
-        return str(value)
+        return _plain(str(email.header.make_header(email.header.decode_header(str(value)))))
+    except (ValueError, LookupError, TypeError, email.errors.MessageError):
+        return _plain(str(value))
 
 
 def _text_of(part) -> str:
     payload = part.get_payload(decode=True) or b""
-    charset = part.get_content_charset() or "utf-8"
-    try:
-        return payload.decode(charset, "replace")
-    except LookupError:
-        return payload.decode("utf-8", "replace")
+    for charset in (part.get_content_charset() or "utf-8", "utf-8"):
+        try:
+            return _plain(payload.decode(charset, "replace"))
+        except (ValueError, LookupError):  # not a charset, or one that can't replace
+            continue
+    return ""
+
+
+def _addresses(values: list) -> Iterator[tuple[str | None, str]]:
+    """(name, address) of each mailbox. A header is parsed as it is written and its names are decoded after, so that an encoded comma
+    parts nothing; a malformed entry costs no other one."""
+    for value in values:
+        for name, addr in email.utils.getaddresses([str(value)], strict=False):
+            if addr:
+                yield _decode(name) or None, _plain(addr)
+
+
+def _mailbox(name: str | None, addr: str) -> str:
+    if not name:
+        return addr
+    return f'"{email.utils.quote(name)}" <{addr}>' if _QUOTED_RX.search(name) else f"{name} <{addr}>"
+
+
+def _params(node) -> dict[str, str]:
+    """Content-type parameters, those of RFC 2231 (charset, language, value) decoded."""
+    return {_plain(k.lower()): _plain(email.utils.collapse_rfc2231_value(v)) for k, v in (node.get_params() or [])[1:]}
 
 
 def _nodes(msg) -> Iterator:
@@ -183,22 +212,19 @@ def parse_one(path: str, content: bytes) -> dict:
     """Headers, contacts and parts of one RFC 822 message (compat32 parser: the
     fast path of the standard package; headers decoded explicitly)."""
     msg = email.message_from_bytes(content)
-    headers = {k.lower(): _decode(v) for k, v in reversed(msg.items())}  # of repeated headers, the first
+    headers = {_plain(k.lower()): _decode(v) for k, v in reversed(msg.items())}  # of repeated headers, the first
     mid = _ids(msg.get("message-id"))
     date = None
     if msg.get("date"):
         try:
             d = email.utils.parsedate_to_datetime(str(msg.get("date")))
             date = d.astimezone(dt.timezone.utc).replace(tzinfo=None) if d.tzinfo else d
-        except (TypeError, ValueError, IndexError):
+        except (TypeError, ValueError, IndexError, OverflowError):
             date = None
     contacts = []
     for ctype in ("from", "to", "cc", "bcc", "reply-to"):
-        values = [_decode(v) for v in msg.get_all(ctype, [])]
-        for name, addr in email.utils.getaddresses(values):
-            if addr:
-                contacts.append({"type": ctype.replace("-", ""), "name": name or None, "email": addr,
-                                 "full_address": email.utils.formataddr((name, addr)) if name else addr})
+        for name, addr in _addresses(msg.get_all(ctype, [])):
+            contacts.append({"type": ctype.replace("-", ""), "name": name, "email": addr, "full_address": _mailbox(name, addr)})
     parts, texts, htmls, embedded = [], [], [], []
     flags = 0
     for node in _nodes(msg):
@@ -214,9 +240,8 @@ def parse_one(path: str, content: bytes) -> dict:
         else:
             embedded += _embedded(node)
         parts.append({"index": len(parts) + 1, "mime_type": ctype, "size": len(_payload(node)), "disposition": disp,
-                      "filename": _decode(node.get_filename()), "cid": (node.get("content-id") or "").strip("<> ") or None,
-                      "charset": node.get_content_charset(),
-                      "params": {k.lower(): str(v) for k, v in (node.get_params() or [])[1:]}})
+                      "filename": _decode(node.get_filename()), "cid": _plain(str(node.get("content-id") or "")).strip("<> ") or None,
+                      "charset": node.get_content_charset(), "params": _params(node)})
 
     def disp_of(t):
         return ", ".join(c["name"] or c["email"] for c in contacts if c["type"] == t) or None
@@ -228,6 +253,14 @@ def parse_one(path: str, content: bytes) -> dict:
             "embedded_text": "\n".join(embedded) if embedded else None, "parts": parts, "headers": headers}
 
 
+def parse_safely(path: str, content: bytes) -> dict:
+    """``parse_one``, or a row with the reason in ``error``: a message that can't be parsed doesn't end a job."""
+    try:
+        return parse_one(path, content) | {"error": None}
+    except Exception as e:  # whatever the standard package raises on what strangers send
+        return dict.fromkeys(PARSED.names) | {"path": path, "contacts": [], "content_flags": 0, "parts": [], "headers": {}, "error": _plain(f"{type(e).__name__}: {e}")}
+
+
 def _chunks(rows: Iterator[dict], weight, columns: list[str]) -> Iterator[pd.DataFrame]:
     """Rows as frames of up to CHUNK_BYTES by ``weight``, or of one row."""
     held, size = [], 0
@@ -248,7 +281,7 @@ def _parse_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows(pdf: pd.DataFrame) -> Iterator[dict]:
         for p, mt, sz, c in zip(pdf["path"], pdf["mtime"], pdf["size"], pdf["content"]):
             raw = bytes(c)
-            yield parse_one(p, raw) | {"mtime": mt, "size": int(sz), "sha": hashlib.sha256(raw).hexdigest()}
+            yield parse_safely(p, raw) | {"mtime": mt, "size": int(sz), "sha": hashlib.sha256(raw).hexdigest()}
 
     for pdf in it:
         yield from _chunks(rows(pdf), lambda r: r["size"], cols)
@@ -258,7 +291,8 @@ def parse_messages(files: DataFrame, root: str | None = None) -> DataFrame:
     """SRC4: files (path, mtime, size, content) -> messages.
 
     msgid falls back to '<sha256 of content>@postlake' (FN31); flags combine the
-    file name (FN20), the content (AGG21) and the list; thread_id is THR1.
+    file name (FN20), the content (AGG21) and the list; thread_id is THR1. A message that can't be parsed
+    has a row with its path, size and stamp and the reason in ``error``, which is null for all others.
     """
     j = files.select("path", "mtime", "size", "content").mapInPandas(_parse_batches, PARSED)
     msgid = F.when(F.col("msgid").isNotNull() & (F.octet_length("msgid") < 240), F.col("msgid")).otherwise(
@@ -317,12 +351,16 @@ def part_payloads(files: DataFrame) -> DataFrame:
 
         def rows(pdf: pd.DataFrame) -> Iterator[dict]:
             for path, content in zip(pdf["path"], pdf["content"]):
-                msg = email.message_from_bytes(bytes(content))
-                mid = _ids(msg.get("message-id"))
-                for idx, part in enumerate(filter(_is_leaf, _nodes(msg)), 1):
-                    yield {"path": path, "msgid": mid[0] if mid else None, "part_index": idx,
-                           "mime_type": part.get_content_type(), "disposition": part.get_content_disposition(),
-                           "filename": _decode(part.get_filename()), "payload": _payload(part)}
+                try:
+                    msg = email.message_from_bytes(bytes(content))
+                    mid = _ids(msg.get("message-id"))
+                    leaves = [{"path": path, "msgid": mid[0] if mid else None, "part_index": idx,
+                               "mime_type": part.get_content_type(), "disposition": part.get_content_disposition(),
+                               "filename": _decode(part.get_filename()), "payload": _payload(part)}
+                              for idx, part in enumerate(filter(_is_leaf, _nodes(msg)), 1)]
+                except Exception:  # as in parse_safely; such a message has no parts to export
+                    continue
+                yield from leaves
 
         for pdf in it:
             yield from _chunks(rows(pdf), lambda r: len(r["payload"]), cols)
@@ -332,6 +370,7 @@ def part_payloads(files: DataFrame) -> DataFrame:
 # --- listing and reading on the executors ---
 
 def _list_children(fs_path: str):
+    """(entries, path in its file system) of a folder; no entries where there is no such folder."""
     from pyarrow import fs as pafs
     filesystem, base = _fs_for(fs_path)
     try:
@@ -340,43 +379,83 @@ def _list_children(fs_path: str):
         return [], base
 
 
-def list_folders(spark: SparkSession, root: str, full: bool = False) -> DataFrame:
-    """Directories below root that hold a cur/ or new/ folder, found by a
-    breadth-first walk whose frontier is a DataFrame listed on the executors.
-    Subtrees with a .noindex marker (and .noupdate unless ``full``) are not
-    entered (SRC3). Only the frontier size is counted on the driver."""
-    markers = {".noindex"} if full else {".noindex", ".noupdate"}
-    out_schema = "dir string, kind string"
-
-    def expand(it):
-        from pyarrow import fs as pafs
+FOLDER_ROW = T.StructType([
+    T.StructField("dir", T.StringType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("cur", T.LongType()),
+    T.StructField("new", T.LongType()),
+])
+# folders that a task lists before it hands on what is below them
+WALK_STEP = 500
+
+
+def local_root(root: str) -> str:
+    return re.sub(r"^file:/*", "/", root) if root.startswith("file:") else root
+
+
+def markers_of(full: bool) -> set[str]:
+    return {".noindex"} if full else {".noindex", ".noupdate"}
+
+
+def walk_from(dirs: list[str], markers: set[str], most: int | None = None) -> Iterator[tuple]:
+    """Rows of FOLDER_ROW for the trees below ``dirs``, breadth first; after ``most`` listings, the rest as kind ``dir``.
+
+    kind ``maildir``: holds cur or new, whose own modification times in ns are in those columns (null where there is none, or
+    the file system keeps none for folders). ``marked``: a marker is in it, and it isn't entered. ``failed``: it can't be listed.
+    """
+    from collections import deque
+
+    from pyarrow import fs as pafs
+    todo = deque(dirs)
+    while todo and (most is None or most > 0):
+        d, most = todo.popleft(), most - 1 if most is not None else None
+        filesystem, base = _fs_for(d)
+        try:
+            infos = {i.base_name: i for i in filesystem.get_file_info(pafs.FileSelector(base, recursive=False))}
+        except OSError:
+            yield d, "failed", None, None
+            continue
+        if markers & set(infos):
+            yield d, "marked", None, None
+            continue
+        stamps = [infos[k].mtime_ns if k in infos and infos[k].type == pafs.FileType.Directory else None for k in ("cur", "new")]
+        if any(k in infos and infos[k].type == pafs.FileType.Directory for k in ("cur", "new")):
+            yield d, "maildir", *stamps
+        todo.extend(d.rstrip("/") + "/" + name for name, i in infos.items()
+                    if i.type == pafs.FileType.Directory and name not in ("cur", "new", "tmp"))
+    for d in todo:
+        yield d, "dir", None, None
+
+
+def walk_folders(spark: SparkSession, root: str, full: bool = False) -> DataFrame:
+    """Folders below root as rows of FOLDER_ROW (kinds maildir, marked, failed), found by a breadth-first walk whose
+    frontier is a DataFrame listed on the executors. Subtrees with a .noindex marker (and .noupdate unless
+    ``full``) are not entered (SRC3). Only the frontier's size is counted on the driver. A root that can't be listed is an error."""
+    markers = markers_of(full)
+
+    def expand(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = []
-            for d in pdf["dir"]:
-                infos, base = _list_children(d)
-                names = {i.base_name: i for i in infos}
-                if markers & set(names):
-                    continue
-                if "cur" in names or "new" in names:
-                    rows.append((d, "maildir"))
-                for name, info in names.items():
-                    if info.type == pafs.FileType.Directory and name not in ("cur", "new", "tmp") and name not in (".", ".."):
-                        rows.append((d.rstrip("/") + "/" + name, "dir"))
-            yield pd.DataFrame(rows, columns=["dir", "kind"])
-
-    root_dir = re.sub(r"^file:/*", "/", root) if root.startswith("file:") else root
-    frontier = spark.createDataFrame([(root_dir,)], "dir string")
-    found = None
+            yield pd.DataFrame(list(walk_from(pdf["dir"].tolist(), markers, WALK_STEP)), columns=FOLDER_ROW.names).astype({"cur": "Int64", "new": "Int64"})
+
+    top = local_root(root)
+    frontier, found = spark.createDataFrame([(top,)], "dir string"), None
+    n = max(1, spark.sparkContext.defaultParallelism)
     while True:
-        step = checkpoint_df(frontier.repartition(max(1, spark.sparkContext.defaultParallelism), "dir")
-                             .mapInPandas(expand, out_schema))
-        maildirs = step.where(F.col("kind") == "maildir").select("dir")
-        found = maildirs if found is None else found.unionByName(maildirs)
-        frontier = step.where(F.col("kind") == "dir").select("dir")
+        step = checkpoint_df((frontier if found is None else frontier.repartition(n, "dir")).mapInPandas(expand, FOLDER_ROW))
+        if found is None and not step.where((F.col("kind") == "failed") & (F.col("dir") == top)).isEmpty():
+            raise FileNotFoundError(f"{root}: not a folder that can be listed")
+        own = step.where("kind <> 'dir'")
+        found = own if found is None else found.unionByName(own)
+        frontier = step.where("kind = 'dir'").select("dir")
         if frontier.isEmpty():
             return found
 
 
+def list_folders(spark: SparkSession, root: str, full: bool = False) -> DataFrame:
+    """Directories below root that hold a cur/ or new/ folder (SRC1, SRC3)."""
+    return walk_folders(spark, root, full).where("kind = 'maildir'").select("dir")
+
+
 def checkpoint_df(df: DataFrame) -> DataFrame:
     from ..session import checkpointed
     return checkpointed(df)
@@ -389,32 +468,56 @@ FILE_ROW = T.StructType([
 ])
 
 
-def list_files(folders: DataFrame) -> DataFrame:
-    """Files directly inside each folder's cur/ and new/ (executor-side listing)."""
-    def run(it):
+def list_files(folders: DataFrame, full: bool = False) -> DataFrame:
+    """Files directly inside each folder's cur/ and new/ (executor-side listing), but for one that holds a marker itself."""
+    return list_message_dirs(folders.select(F.explode(F.array(F.concat("dir", F.lit("/cur")), F.concat("dir", F.lit("/new")))).alias("folder")), full).where(
+        "kind = 'file'").select(FILE_ROW.names)
+
+
+LISTED = T.StructType([T.StructField("folder", T.StringType()), T.StructField("kind", T.StringType()), *FILE_ROW.fields])
+
+
+def list_message_dirs(folders: DataFrame, full: bool = False) -> DataFrame:
+    """For each ``folder`` (a cur or new), rows of kind ``file``; or one row of kind ``kept`` if it holds a marker or can't be
+    listed, so that nothing is known of its files. A folder that is gone has no rows."""
+    markers = markers_of(full)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
         for pdf in it:
-            for folder in (d.rstrip("/") + "/" + sub for d in pdf["dir"] for sub in ("cur", "new")):
-                rows = [(folder + "/" + i.base_name, i.mtime.replace(tzinfo=None) if i.mtime is not None else None, int(i.size))
-                        for i in _list_children(folder)[0] if i.type == pafs.FileType.File]
-                yield pd.DataFrame(rows, columns=["path", "mtime", "size"])
-    return folders.mapInPandas(run, FILE_ROW)
+            for folder in (d.rstrip("/") for d in pdf["folder"]):
+                try:
+                    infos = _list_children(folder)[0]
+                except OSError:
+                    infos = None
+                if infos is None or markers & {i.base_name for i in infos}:
+                    rows = [(folder, "kept", None, None, None)]
+                else:
+                    rows = [(folder, "file", folder + "/" + i.base_name, i.mtime.replace(tzinfo=None) if i.mtime is not None else None, int(i.size))
+                            for i in infos if i.type == pafs.FileType.File]
+                yield pd.DataFrame(rows, columns=LISTED.names).astype({"size": "Int64"})
+    return folders.select("folder").mapInPandas(run, LISTED)
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """(path, mtime, size) -> plus content, read on the executors."""
+    """(path, mtime, size) -> plus content, read on the executors. A file that can't be read, or is gone by then, has no
+    row, and a later run finds it again."""
     schema = T.StructType(FILE_ROW.fields + [T.StructField("content", T.BinaryType())])
 
     def run(it):
         def rows(pdf: pd.DataFrame) -> Iterator[dict]:
             for p, mt, size in zip(pdf["path"], pdf["mtime"], pdf["size"]):
                 filesystem, base = _fs_for(p)
-                with filesystem.open_input_stream(base) as fh:
-                    yield {"path": p, "mtime": mt, "size": size, "content": fh.read()}
+                try:
+                    with filesystem.open_input_stream(base) as fh:
+                        content = fh.read()
+                except OSError:
+                    continue
+                yield {"path": p, "mtime": mt, "size": size, "content": content}
 
         for pdf in it:
             yield from _chunks(rows(pdf), lambda r: len(r["content"]), schema.names)
-    return files.mapInPandas(run, schema)
+    return files.select(FILE_ROW.names).mapInPandas(run, schema)
 
 
 def list_maildir(spark: SparkSession, root: str, max_bytes: int | None = None, full: bool = False,
@@ -423,7 +526,7 @@ def list_maildir(spark: SparkSession, root: str, max_bytes: int | None = None, f
     marked subtrees; folders are walked and files listed on the executors."""
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folders = list_folders(spark, root, full)
-    return cap_size(list_files(folders.repartition(n, "dir")), max_bytes)
+    return cap_size(list_files(folders.repartition(n, "dir"), full), max_bytes)
 
 
 def scan_maildir(spark: SparkSession, root: str, max_bytes: int | None = None,

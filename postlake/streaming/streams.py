@@ -11,19 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.flags import is_unread
-from ..session import scratch_path
-from ..sources.maildir import MAILDIR_FILE, _fs_for, cap_size, parse_messages
-
-BINARY_FILE_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("modificationTime", T.TimestampType()),
-    T.StructField("length", T.LongType()),
-    T.StructField("content", T.BinaryType()),
-])
-
+from ..session import checkpointed, scratch_path
+from ..sources.incremental import new_or_changed
+from ..sources.maildir import _fs_for, cap_size, parse_messages, read_files
+from ..sources.store import KeyedStore
+from .source import register
 
 class EpochStore:
     """An append-only Parquet table in a shared folder: each micro-batch writes
@@ -70,26 +64,29 @@ def _run(writer, name: str, spark: SparkSession, checkpoint: str | None = None):
     return q
 
 
-def stream_index(spark: SparkSession, root: str, max_files_per_trigger: int = 1000, store_path: str | None = None,
-                 checkpoint: str | None = None, max_size: int | None = None) -> DataFrame:
-    """STR1: new message files below root are parsed batch by batch and
-    appended; the store reads as the newest version per path (upsert).
-    Spark's file stream can't read names with ':' nor list names that begin with '.'; the batch index can."""
-    store = EpochStore(spark, store_path or scratch_path(spark, "stream-index"), key="path")
-    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-             .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_per_trigger).load(root))
-    files = files.where(F.col("path").rlike(MAILDIR_FILE)).select(
-        F.regexp_replace("path", "^file:", "").alias("path"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("mtime"), F.col("length").alias("size"), "content")
+def stream_index(spark: SparkSession, root: str, store_path: str | None = None, checkpoint: str | None = None,
+                 max_size: int | None = None, settle: float = 2.0, full: bool = False) -> DataFrame:
+    """STR1: message files that are new below root since the last run are read, parsed and put into the store by path.
+
+    Folders are found and listed by the tasks of the ``maildir`` source; of a changed folder's files, only those that the store doesn't hold
+    as they are get read. The store is a ``KeyedStore``, the same that ``refresh_store`` keeps, so a batch index and a stream can
+    take turns. The stream adds and replaces; removal is the batch index's. A batch that is replayed finds its files stored.
+    Returns the stored messages.
+    """
+    register(spark)
+    store = KeyedStore(spark, store_path or scratch_path(spark, "stream-index"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = (spark.readStream.format("maildir").option("settle", settle).option("parts", n).option("full", full).load(root))
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        store.write(parse_messages(cap_size(batch, max_size), root), epoch)
+        listed, stored = cap_size(batch, max_size), store.read()
+        todo = checkpointed(new_or_changed(listed, stored) if stored is not None else listed)
+        store.upsert(parse_messages(read_files(todo.repartition(n, "path")), root), keys=todo)
 
     _run(files.writeStream.foreachBatch(upsert), "stream-index", spark, checkpoint)
-    out = store.read_latest()
+    out = store.read()
     if out is None:
-        empty = spark.createDataFrame([], "path string, mtime timestamp_ntz, size bigint, content binary")
-        return parse_messages(empty, root)
+        return parse_messages(spark.createDataFrame([], "path string, mtime timestamp_ntz, size bigint, content binary"), root)
     return out
 
 

@@ -1,13 +1,18 @@
 """Streams: epoch store upserts across micro-batches; dedupe keeps one copy per id."""
 
 import datetime as dt
+import glob
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from postlake.session import scratch_path
+from postlake.sources import maildir as MD
+from postlake.sources.store import KeyedStore
 from postlake.streaming import streams as S
+from postlake.streaming.source import MaildirStreamReader
 
 
 def _two_batches(spark):
@@ -39,13 +44,58 @@ def test_stream_dedupe_one_per_key(spark):
     assert out.where(F.col("key") == "a").first()["v"] == 1  # the first copy wins
 
 
-def test_stream_index_resumes(spark):
+def _mail(root, rel, k):
+    os.makedirs(os.path.dirname(f"{root}/{rel}"), exist_ok=True)
+    with open(f"{root}/{rel}", "wb") as fh:
+        fh.write(b"Message-Id: <m%d@x>\n\nbody\n" % k)
+
+
+def _files(base):
+    return {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{base}/rows/_bucket=*/part-*")}
+
+
+def test_stream_index_resumes(spark, monkeypatch):
     r, out = tempfile.mkdtemp(prefix="postlake-res-"), tempfile.mkdtemp(prefix="postlake-res-out-")
-    os.makedirs(f"{r}/cur")
-    for k in (1, 2):
-        with open(f"{r}/cur/{k}!2,S", "wb") as fh:
-            fh.write(b"Message-Id: <m%d@x>\n\nbody\n" % k)
-        got = S.stream_index(spark, r, store_path=f"{out}/store", checkpoint=f"{out}/ckpt")
+    read = []
+    real = S.read_files
+    monkeypatch.setattr(S, "read_files", lambda files: (read.append(sorted(x["path"][len(r):] for x in files.select("path").collect())), real(files))[1])
+    names = ["cur/1:2,S", ".Work.Sub/new/2", "deep/er/cur/3:2,FS", "cur/4:2,"]
+    for k, name in enumerate(names, 1):
+        _mail(r, name, k)
+        before = _files(f"{out}/store")
+        got = S.stream_index(spark, r, store_path=f"{out}/store", checkpoint=f"{out}/ckpt", settle=0)
         assert sorted(x["msgid"] for x in got.collect()) == [f"m{j}@x" for j in range(1, k + 1)]
-    epochs = S.EpochStore(spark, f"{out}/store").read_all().groupBy("epoch").count().collect()
-    assert sorted(x["count"] for x in epochs) == [1, 1]  # the second run parsed the new file only
+        after = _files(f"{out}/store")
+        assert len(set(after) - set(before)) == 1 and len(set(before) - set(after)) <= 1  # one bucket is written
+    assert read == [["/" + n] for n in names]  # each run reads the new file only
+    S.stream_index(spark, r, store_path=f"{out}/store", checkpoint=f"{out}/ckpt", settle=0)
+    assert _files(f"{out}/store") == after and read[4:] in ([], [[]])
+    batch = MD.index_maildir(spark, r)
+    key = lambda df: sorted((x["path"], x["msgid"], x["maildir"], x["flags"], x["size"]) for x in df.collect())
+    assert key(batch) == key(KeyedStore(spark, f"{out}/store").read())
+
+
+def test_stream_skips_marked_folders_and_names_a_missing_root(spark):
+    r = tempfile.mkdtemp(prefix="postlake-mark-")
+    for k, d in enumerate(("a/cur", "skip/cur", "skip/below/cur", "frozen/new", "half/cur")):
+        _mail(r, f"{d}/{k}", k)
+    for f in ("skip/.noindex", "frozen/.noupdate", "half/cur/.noindex"):
+        open(f"{r}/{f}", "w").close()
+    ids = lambda **o: sorted(x["msgid"] for x in S.stream_index(spark, r, settle=0, **o).collect())
+    assert ids() == ["m0@x"] and ids(full=True) == ["m0@x", "m3@x"]
+    with pytest.raises(Exception, match="not a folder"):
+        S.stream_index(spark, f"{r}/misspelt", settle=0)
+
+
+def test_stream_parts_cover_the_tree():
+    r = tempfile.mkdtemp(prefix="postlake-parts-")
+    for k in range(30):
+        _mail(r, f"top/d{k % 3}/e{k}/cur/{k}", k)
+    _mail(r, "cur/30", 30)
+    for parts in (1, 4, 64):
+        reader = MaildirStreamReader({"path": r, "settle": "0", "parts": str(parts)})
+        end = reader.latestOffset()
+        some = reader.partitions({"ns": 0}, end)
+        paths = [p for part in some for b in reader.read(part) for p in b.column("path").to_pylist()]
+        assert len(paths) == len(set(paths)) == 31 and len(some) <= 2 * parts
+        assert [b for part in reader.partitions(end, end) for b in reader.read(part)] == []
