@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fulltext as FT
+from ..operators import textindex as TI
 from ..sources import tables as T
 from .catalog import query
 from .sqlviews import tokens_sql
@@ -72,3 +73,67 @@ def fts_regex(spark, sf):
     r = FT.match_regex(p, "body", "^th[a-z]*ion$")
     pre = FT.match_prefix(p, "body", "ther*").agg(F.lit(-1).cast("bigint").alias("doc_id"), F.count("*").alias("n_terms"))
     return r.unionByName(pre)
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf):
+    """The stored index of the documents, written once per session."""
+    from ..session import scratch_path
+    key = (sf, spark.sparkContext.getCheckpointDir() or "")
+    if key not in _STORED:
+        path = scratch_path(spark, "text-index")
+        TI.write_index(T.msgs_from_documents(spark, sf), path, {"body": "body_text"})
+        _STORED[key] = path
+    return TI.TextIndex(spark, _STORED[key])
+
+
+@query("index_postings", sql=f"""
+SELECT term, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_occ, CAST(sum(s) AS BIGINT) AS pos_sum, CAST(sum(doc_id) AS BIGINT) AS doc_sum
+FROM (SELECT term, doc_id, count(*) AS n, sum(pos) AS s FROM {_POSTINGS_SQL} p GROUP BY term, doc_id) GROUP BY term""")
+def index_postings(spark, sf):
+    rows = _index(spark, sf)._table("postings", "body").select("term", F.explode(F.arrays_zip("docs", "pos")).alias("e"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum(F.size("e.pos")).alias("n_occ"),
+                                    F.sum(add("e.pos")).alias("pos_sum"), F.sum("e.docs").alias("doc_sum"))
+
+
+@query("index_dictionary", sql=f"""
+SELECT field, term, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(count(*) AS BIGINT) AS n_occ
+FROM {_POSTINGS_SQL} p GROUP BY field, term""")
+def index_dictionary(spark, sf):
+    return _index(spark, sf).dictionary("body").drop("n_blocks")
+
+
+@query("index_and", sql=f"""
+SELECT DISTINCT doc_id FROM {_POSTINGS_SQL} p WHERE term = 'der'
+  AND doc_id IN (SELECT doc_id FROM {_POSTINGS_SQL} q WHERE term = 'die')
+  AND doc_id NOT IN (SELECT doc_id FROM {_POSTINGS_SQL} r WHERE term = 'das')
+UNION ALL SELECT -1 - count(*) FROM (SELECT DISTINCT doc_id FROM {_POSTINGS_SQL} s WHERE term IN ('und', 'que'))""")
+def index_and(spark, sf):
+    x = _index(spark, sf)
+    a = x.match([("body", "DER"), ("body", "die")], "and", exclude=[("body", "das")])
+    return a.unionByName(x.match([("body", "und"), ("body", "que")], "or").agg((F.lit(-1) - F.count("*")).alias("doc_id")))
+
+
+@query("index_phrase", sql=f"""
+SELECT DISTINCT a.doc_id FROM {_POSTINGS_SQL} a JOIN {_POSTINGS_SQL} b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+  JOIN {_POSTINGS_SQL} c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'and' AND b.term = 'of' AND c.term = 'the'
+UNION ALL SELECT DISTINCT -1 - a.doc_id FROM {_POSTINGS_SQL} a JOIN {_POSTINGS_SQL} b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+  WHERE a.term = 'of' AND b.term = 'the'""")
+def index_phrase(spark, sf):
+    x = _index(spark, sf)
+    return x.match_phrase("body", "and of the").unionByName(x.match_phrase("body", "Of The").select((F.lit(-1) - F.col("doc_id")).alias("doc_id")))
+
+
+@query("index_regex", sql=f"""
+SELECT doc_id, CAST(count(DISTINCT term) AS BIGINT) AS n_terms FROM {_POSTINGS_SQL} p
+WHERE regexp_matches(term, '^ther[a-z]*ion$') GROUP BY doc_id
+UNION ALL SELECT -1, CAST(count(DISTINCT doc_id) AS BIGINT) FROM {_POSTINGS_SQL} q WHERE starts_with(term, 'ther')
+UNION ALL SELECT -2, CAST(count(DISTINCT doc_id) AS BIGINT) FROM {_POSTINGS_SQL} r WHERE regexp_matches(term, 'x|q.?i')""")
+def index_regex(spark, sf):
+    x = _index(spark, sf)
+    total = lambda df, n: df.agg(F.lit(n).cast("bigint").alias("doc_id"), F.count("*").alias("n_terms"))
+    return (x.match_regex("body", "^ther[a-z]*ion$").unionByName(total(x.match_prefix("body", "ther*"), -1))
+            .unionByName(total(x.match_regex("body", "x|q.?i"), -2)))

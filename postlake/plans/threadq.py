@@ -9,6 +9,7 @@ from ..functions.people import thread_prefix_subject
 from ..operators import predicates as Q
 from ..operators import threads as TH
 from ..operators.aggregates import thread_summary as agg_thread_summary
+from ..operators.components import thread_components as components
 from ..sources import tables as T
 from .catalog import query
 from .sqlviews import CONV_MSGS, CONV_MSGS_GAPS
@@ -140,3 +141,21 @@ def show_thread(spark, sf):
     m = T.msgs_from_conversations(spark, sf)
     out = TH.run_threaded(m, Q.msgid_is("msgid", "7-1"), related=True)
     return out.select("doc_id", "thread_level")
+
+
+# first turns of every fourth conversation also refer to another conversation's first turn, so components span conversations
+_LINKED_SQL = f"""(SELECT doc_id, msgid, list_concat(refs, CASE WHEN conv_id % 4 = 0 AND turn = 0 THEN [CAST(conv_id // 3 AS VARCHAR) || '-0'] ELSE [] END) AS refs
+  FROM {CONV_MSGS_GAPS} x)"""
+
+
+@query("thread_components", sql=f"""
+WITH RECURSIVE l AS (SELECT msgid AS a, unnest(refs) AS b FROM {_LINKED_SQL} m),
+ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT r.node, w.b FROM reach r JOIN ways w ON r.other = w.a),
+least_ AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT doc_id, coalesce(component, msgid) AS component FROM {_LINKED_SQL} m LEFT JOIN least_ ON node = msgid""")
+def thread_components(spark, sf):
+    m = _gap_msgs(spark, sf)
+    more = F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") == 0), F.array(F.concat(F.floor(F.col("conv_id") / 3).cast("string"), F.lit("-0"))))
+    linked = m.withColumn("refs", F.concat("refs", F.coalesce(more, F.array().cast("array<string>"))))
+    return components(linked.select("doc_id", "msgid", "refs")).select("doc_id", "component")
