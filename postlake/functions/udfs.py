@@ -6,7 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +63,7 @@ def for_each_contact(c: DataFrame, proc: Callable[[dict], dict | None], schema:
 
 @F.udtf(returnType="pos: int, token: string")
 class TokenTable:
-    """UDF9: table function message text -> (pos, token) rows (JVM explode of
-    functions.text.tokens is the fast path; this is the Python form)."""
+    """UDF9 on one row at a time, for a lateral join: message text -> (pos, token) rows. ``MessageTokens`` takes whole batches."""
 
     def eval(self, text: str | None):
         import regex
@@ -72,3 +74,53 @@ class TokenTable:
             if t:
                 yield pos, t
                 pos += 1
+
+
+def _owners(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(row, place in its list) of each element; null lists have none."""
+    owner = pc.list_parent_indices(lists)
+    at = owner.to_numpy(zero_copy_only=False)
+    return owner, np.arange(len(at)) - np.searchsorted(at, at)
+
+
+def _flat(rows: pa.RecordBatch, lists: str, fields: dict[str, pa.DataType]) -> pa.Table:
+    """doc_id and some fields of each struct in a list column."""
+    column = rows.column(lists)
+    owner, _ = _owners(column)
+    elements = column.flatten()
+    return pa.table({"doc_id": rows.column("doc_id").take(owner).cast(pa.int64())} | {
+        name: pc.struct_field(elements, name).cast(kind) for name, kind in fields.items()})
+
+
+# UDF9: table functions over a table argument, e.g. MessageTokens(m.select("doc_id", "text").asTable()). Each call gets an Arrow batch of
+# rows and returns one of any size; nothing is shuffled and no row is a Python object. Other columns of the table don't matter.
+
+@F.arrow_udtf(returnType="doc_id: bigint, pos: int, token: string")
+class MessageTokens:
+    """(doc_id, text) -> a row per word: runs of letters and digits, lower-cased, numbered from 0. Null texts have none."""
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        split = pc.split_pattern_regex(pc.utf8_lower(rows.column("text").cast(pa.string())), r"[^\p{L}\p{N}]+")
+        owner, _ = _owners(split)
+        words = split.flatten()
+        some = pc.not_equal(words, "")  # before the first word, after the last
+        owner, words = owner.filter(some), words.filter(some)
+        at = owner.to_numpy(zero_copy_only=False)
+        yield pa.table({"doc_id": rows.column("doc_id").take(owner).cast(pa.int64()),
+                        "pos": pa.array((np.arange(len(at)) - np.searchsorted(at, at)).astype(np.int32)), "token": words.cast(pa.string())})
+
+
+@F.arrow_udtf(returnType="doc_id: bigint, type: string, name: string, email: string")
+class MessageContacts:
+    """(doc_id, contacts) -> a row per contact, in order."""
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        yield _flat(rows, "contacts", {"type": pa.string(), "name": pa.string(), "email": pa.string()})
+
+
+@F.arrow_udtf(returnType="doc_id: bigint, index: int, mime_type: string, size: bigint, disposition: string, filename: string")
+class MessageParts:
+    """(doc_id, parts) -> a row per part, in order."""
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        yield _flat(rows, "parts", {"index": pa.int32(), "mime_type": pa.string(), "size": pa.int64(), "disposition": pa.string(), "filename": pa.string()})

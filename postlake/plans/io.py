@@ -124,6 +124,21 @@ def stream_dedupe(spark, sf):
     return S.collect_stream(spark, d, "stream-dedupe").select("msgid")
 
 
+@query("stream_first_copies", sql="""
+SELECT CAST(user_id AS VARCHAR) || '-' || event_type AS msgid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen
+FROM events GROUP BY ALL""")
+def stream_first_copies(spark, sf):
+    """The events in four files by time, a batch each; most ids come again days later."""
+    e = T.read(spark, sf, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")).alias("msgid"), F.col("ts").alias("date"))
+    lo, hi = e.agg(F.min(F.unix_micros(F.col("date").cast("timestamp"))), F.max(F.unix_micros(F.col("date").cast("timestamp")))).first()
+    at = F.floor((F.unix_micros(F.col("date").cast("timestamp")) - F.lit(lo)) * 4 / F.lit(hi - lo + 1))
+    folder = scratch_path(spark, "stream-events")
+    for k in range(4):
+        e.where(at == k).coalesce(1).write.parquet(f"{folder}/part{k}")
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    return S.stream_first_copies(spark, s).select("msgid", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
+
+
 @query("stream_contacts", sql=f"""
 SELECT lower(email) AS key, CAST(count(*) AS BIGINT) AS freq, strftime(max(date), '%Y-%m-%d %H:%M:%S') AS last_seen
 FROM {OCC_ORDERS} o GROUP BY lower(email)""")
@@ -254,3 +269,30 @@ def token_udtf(spark, sf):
     d = T.read(spark, sf, "documents")
     t = d.select("doc_id", "text").lateralJoin(U.TokenTable(F.col("text").outer()))
     return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+
+
+@query("udtf_tokens", sql="""
+SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token FROM (SELECT doc_id,
+  list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents)""")
+def udtf_tokens(spark, sf):
+    return U.MessageTokens(T.read(spark, sf, "documents").select("doc_id", "text").asTable())
+
+
+@query("udtf_contacts", sql=f"""
+SELECT doc_id, 'from' AS type, "from" AS name, from_email AS email FROM {CONV_MSGS} m
+UNION ALL SELECT doc_id, 'to', "to", "to" || '@conv.example' FROM {CONV_MSGS} m""")
+def udtf_contacts(spark, sf):
+    m = MD.index_maildir(spark, maildir_root(spark, sf))
+    k = F.split(F.split("msgid", "@")[0], "-")
+    return U.MessageContacts(m.select((k[0].cast("long") * 1000 + k[1].cast("long")).alias("doc_id"), "contacts").asTable())
+
+
+@query("udtf_parts", sql=f"""
+SELECT doc_id, CAST(1 AS INTEGER) AS index, 'text/plain' AS mime_type, CAST(octet_length(encode(body_text)) AS BIGINT) AS size,
+  NULL AS disposition, NULL AS filename FROM {CONV_MSGS} m
+UNION ALL SELECT doc_id, CAST(2 AS INTEGER), 'text/plain', CAST(octet_length(encode(body_text)) AS BIGINT), 'attachment',
+  'turn' || CAST(turn AS VARCHAR) || '.txt' FROM {CONV_MSGS} m WHERE turn % 4 = 1""")
+def udtf_parts(spark, sf):
+    m = MD.index_maildir(spark, maildir_root(spark, sf))
+    k = F.split(F.split("msgid", "@")[0], "-")
+    return U.MessageParts(m.select((k[0].cast("long") * 1000 + k[1].cast("long")).alias("doc_id"), "parts").asTable())

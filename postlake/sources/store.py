@@ -55,6 +55,15 @@ class KeyedStore:
         rows = self._rows()
         return None if rows is None else rows.where(~F.col(GONE)).drop(BUCKET, GONE)
 
+    def read_for(self, keys: DataFrame) -> DataFrame | None:
+        """The rows of some keys; only the folders of their buckets are read."""
+        rows = self._rows()
+        if rows is None:
+            return None
+        keys = checkpointed(keys.select(self.key).where(F.col(self.key).isNotNull()).distinct())
+        buckets = [r[0] for r in keys.select(self.bucket_of(F.col(self.key))).distinct().collect()]
+        return rows.where(F.col(BUCKET).isin(buckets) & ~F.col(GONE)).drop(BUCKET, GONE).join(keys, self.key, "left_semi")
+
     def upsert(self, batch: DataFrame, keys: DataFrame | None = None, removed: DataFrame | None = None, newest: str | None = None) -> list[int]:
         """Insert or replace the rows of ``batch`` by key, remove the keys of ``removed``, and return the buckets written.
 

@@ -105,11 +105,32 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int =
 
 
 def stream_dedupe(s: DataFrame, key: str = "msgid", event_time: str = "date", delay: str = "1 day") -> DataFrame:
-    """STR2: the first copy of each message id within the watermark delay.
-    Copies arriving after the watermark has passed the first copy re-appear."""
+    """STR2 with bounded state: the first copy of each message id within the watermark delay.
+    Copies arriving after the watermark has passed the first copy re-appear; ``stream_first_copies`` keeps them out."""
     return s.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def stream_first_copies(spark: SparkSession, s: DataFrame, key: str = "msgid", order: str = "date", store_path: str | None = None,
+                        checkpoint: str | None = None) -> DataFrame:
+    """STR2 without a watermark: of each key the first copy ever seen, by ``order`` within its batch; later copies stay out however late.
+
+    The ids seen are the store's own rows, and a batch reads only the buckets of its keys, so memory doesn't grow with the stream.
+    A replayed batch finds its rows stored. Null keys are left out.
+    """
+    store = KeyedStore(spark, store_path or scratch_path(spark, "stream-first"), key=key)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        others = [c for c in batch.columns if c != key]
+        first = checkpointed(batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*others), order).alias("_r")).select(key, "_r.*"))
+        known = store.read_for(first)
+        new = first if known is None else checkpointed(first.join(known.select(key), key, "left_anti"))
+        store.upsert(new, keys=new)
+
+    _run(s.writeStream.foreachBatch(keep), "stream-first", spark, checkpoint)
+    out = store.read()
+    return spark.createDataFrame([], s.schema) if out is None else out.select(*s.columns)
+
+
 def collect_stream(spark: SparkSession, s: DataFrame, name: str, mode: str = "append", store_path: str | None = None,
                    checkpoint: str | None = None) -> DataFrame:
     """Run a stream to completion into an epoch store; return what it wrote
