@@ -104,6 +104,13 @@ def asciify(c: Column | str) -> Column:
     return F.regexp_replace(c, r"[^\x20-\x7E]", ".")
 
 
+def utf8ify(c: Column | str) -> Column:
+    """FN5 on bytes: their text if they are UTF-8, else each byte that is neither printable ASCII nor white space as '.'."""
+    c = F.col(c) if isinstance(c, str) else c
+    plain = F.regexp_replace(F.decode(c, "ISO-8859-1"), r"[^\x20-\x7E\t\n\x0B\f\r]", ".")
+    return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(plain)
+
+
 def split_list(c: Column | str, sep: str = ",", strip: bool = True) -> Column:
     """FN6: split on a literal separator, optionally trimming each item."""
     c = F.col(c) if isinstance(c, str) else c

@@ -108,8 +108,8 @@ def nicks(c: DataFrame, name: str = "name", order: list[Column] | None = None) -
 def contacts_text(c: DataFrame, fmt: str, today: dt.date | None = None) -> DataFrame:
     """SNK5: one text line (or block) per contact in a named format.
 
-    plain, mutt-alias, mutt-ab, wl, org-contact, bbdb, csv. Formats that need
-    a nick expect a ``nick`` column (see :func:`nicks`). Contacts without a
+    plain, mutt-alias, mutt-ab, wl, org-contact, org-contact-nick, quoted, bbdb, csv. Formats that need
+    a nick expect a ``nick`` column (see :func:`nicks`); org-contact-nick makes its own, letters and '_' only. Contacts without a
     name are skipped by mutt-alias, wl and org-contact.
     """
     name = F.coalesce(F.col("name"), F.lit(""))
@@ -125,6 +125,13 @@ def contacts_text(c: DataFrame, fmt: str, today: dt.date | None = None) -> DataF
         line = F.when(has_name, F.concat(email, F.lit(' "'), F.col("nick"), F.lit('" "'), name, F.lit('"')))
     elif fmt == "org-contact":
         line = F.when(has_name, F.concat(F.lit("* "), name, F.lit("\n:PROPERTIES:\n:EMAIL: "), email, F.lit("\n:END:\n")))
+    elif fmt == "org-contact-nick":
+        nick = F.regexp_replace(F.lower(F.when(has_name, name).otherwise(email)), r"\P{L}", "_")
+        shown = F.replace(F.replace(F.when(has_name, name).otherwise(email), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        line = F.concat(F.lit('* "'), shown, F.lit('"\n:PROPERTIES:\n:EMAIL:'), email, F.lit("\n:NICK:"), nick, F.lit("\n:END:"))
+    elif fmt == "quoted":
+        whole = F.concat(F.when(has_name, F.concat(F.lit('"'), name, F.lit('" '))).otherwise(F.lit("")), F.lit("<"), email, F.lit(">"))
+        line = F.concat(F.lit('"'), F.replace(whole, F.lit('"'), F.lit('\\"')), F.lit('"'))
     elif fmt == "bbdb":
         today_s = (today or dt.date.today()).isoformat()
         line = F.concat(F.lit('["'), first_name(name), F.lit('" "'), last_name(name), F.lit('" nil nil nil nil ("'),

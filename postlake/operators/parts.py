@@ -89,3 +89,13 @@ def message_flags_from_parts(p: DataFrame) -> DataFrame:
         F.bool_or(is_attachment("disposition", "mime_type")).alias("has_attach"),
         F.bool_or(mt.isin("application/pgp-signature", "application/pkcs7-signature", "multipart/signed")).alias("signed"),
         F.bool_or(mt.isin("application/pgp-encrypted", "application/pkcs7-mime", "multipart/encrypted")).alias("encrypted"))
+
+
+def content_flags_from_parts(p: DataFrame) -> DataFrame:
+    """AGG21 by disposition, as the parse sets the flags: a part counts as attached if it says so, or has another disposition and
+    is an image, audio, application or text part but no body or signature. Signed and encrypted are multiparts of that type."""
+    mt, disp = F.lower("mime_type"), F.lower("disposition")
+    kind = mt.rlike("^(image|audio|application|text)/") & ~mt.isin("text/plain", "text/html") & ~F.endswith(mt, F.lit("/pgp-signature"))
+    return p.groupBy("doc_id").agg(
+        F.bool_or(F.coalesce((disp == "attachment") | (disp.isNotNull() & kind), F.lit(False))).alias("has_attach"),
+        F.bool_or(mt == "multipart/signed").alias("signed"), F.bool_or(mt == "multipart/encrypted").alias("encrypted"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flags import has_flag, is_unread  # noqa: F401  (re-exported)
-from ..functions.text import flatten, flatten_py, tokens
+from ..functions.text import flatten, flatten_py, strip_html, tokens
 
 
 def _col(c):
@@ -57,9 +57,16 @@ def has_term(text: Column | str, word: str) -> Column:
 DEFAULT_FIELDS = ("to", "cc", "bcc", "from", "subject", "body_text")
 
 
-def has_term_default(word: str, fields: tuple[str, ...] = DEFAULT_FIELDS, contacts: str | None = None) -> Column:
-    """FLT3: the word in any default field (contacts, subject, body)."""
-    preds = [has_term(f, word) for f in fields]
+def search_body(text: Column | str = "body_text", html: Column | str = "body_html") -> Column:
+    """The body that searches read: the plain text, or the text of the HTML where a message has no plain text."""
+    return F.coalesce(_col(text), strip_html(html))
+
+
+def has_term_default(word: str, fields: tuple[str, ...] = DEFAULT_FIELDS, contacts: str | None = None,
+                     html: Column | str | None = None) -> Column:
+    """FLT3: the word in any default field (contacts, subject, body). With ``html``, the column of HTML bodies (parsed
+    messages have it), a message without plain text is searched by its HTML."""
+    preds = [has_term(search_body(f, html) if f == "body_text" and html is not None else f, word) for f in fields]
     if contacts:
         preds.append(contact_term(contacts, ("to", "cc", "bcc", "from"), word))
     return reduce(lambda a, b: a | b, preds)
@@ -73,7 +80,7 @@ def contact_term(contacts: Column | str, types: tuple[str, ...], x: str) -> Colu
     from ..functions.people import email_domain, email_local
 
     def one(c):
-        email = F.lower(F.coalesce(c["email"], F.lit("")))
+        email = flatten(F.coalesce(c["email"], F.lit("")))  # folded as the value is
         name_hit = F.array_contains(tokens(F.coalesce(c["name"], F.lit(""))), v)
         return c["type"].isin(*types) & (name_hit | (email == v) | (email_local(email) == v)
                                          | (email_domain(email) == v))
@@ -107,6 +114,16 @@ def regex_terms(text: Column | str, rx: str) -> Column:
     return _safe(F.exists(tokens(text), lambda t: t.rlike(rx)))
 
 
+def regex_value(c: Column | str, rx: str) -> Column:
+    """FLT8 on a field of one whole value (maildir, msgid, list): the flattened value holds a match of the flattened expression."""
+    return _safe(flatten(c).rlike(flatten_py(rx)))
+
+
+def regex_any(c: Column | str, rx: str) -> Column:
+    """FLT8 on a field of several whole values (tags, refs, files, mimes): some flattened value holds a match."""
+    return _safe(F.exists(_col(c), lambda v: flatten(v).rlike(flatten_py(rx))))
+
+
 def value_is(c: Column | str, x: str) -> Column:
     """FLT9: whole-value match of a term field, flattened (maildir, msgid, list)."""
     return _safe(flatten(c) == F.lit(flatten_py(x)))

@@ -23,14 +23,22 @@ def project(m: DataFrame, fields: str | list[str], keep: list[str] | None = None
     return m.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def _envelope(m: DataFrame) -> list[Column]:
+    base = [c for c in ("doc_id", "path", "maildir", "msgid", "subject", "date", "size", "flags", "prio", "tags") if c in m.columns]
+    of_type = lambda t: F.filter("contacts", lambda c: c["type"] == t)
+    return [F.col(c) for c in base] + [of_type(t).alias(f"{t}_contacts") for t in ("from", "to", "cc", "bcc")]
+
+
 def headers_only(m: DataFrame) -> DataFrame:
     """PRJ2: header fields with contacts grouped per type; no bodies or parts."""
-    def of_type(t):
-        return F.filter("contacts", lambda c: c["type"] == t)
-    by_type = {t: of_type(t) for t in ("from", "to", "cc", "bcc")}
-    base = [c for c in ("doc_id", "path", "maildir", "msgid", "subject", "date", "size", "flags", "prio", "tags")
-            if c in m.columns]
-    return m.select(*base, *[v.alias(f"{k}_contacts") for k, v in by_type.items()])
+    return m.select(*_envelope(m))
+
+
+def full(m: DataFrame) -> DataFrame:
+    """PRJ2: ``headers_only`` with parts, both bodies, the user agent, and the content-type parameters of the part that the plain body is."""
+    body = F.try_element_at(F.filter("parts", lambda p: (p["mime_type"] == "text/plain") & ~(F.coalesce(p["disposition"], F.lit("")) == "attachment")), F.lit(1))
+    return m.select(*_envelope(m), "parts", user_agent("headers").alias("user_agent"), body["params"].alias("body_txt_params"),
+                    F.col("body_text").alias("body_txt"), "body_html")
 
 
 def with_custom_field(m: DataFrame, name: str, fn: Column) -> DataFrame:

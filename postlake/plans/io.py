@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import udfs as U
 from ..operators import contacts as C
 from ..operators import predicates as Q
-from ..operators.projection import header
+from ..operators.projection import full, header
 from ..session import scratch_path
 from ..sinks import link_manifest, write_contacts_csv, write_json, write_xml
 from ..sources import incremental as INC
@@ -17,7 +17,7 @@ from ..sources import tables as T
 from ..sources.store import KeyedStore
 from ..streaming import streams as S
 from .catalog import query
-from .sqlviews import CONV_MSGS, EVENT_MSGS, OCC_ORDERS
+from .sqlviews import CONV_MSGS, EVENT_MSGS, OCC_ORDERS, tokens_sql
 
 _ROOTS: dict[tuple[str, str, str], str] = {}
 
@@ -296,3 +296,25 @@ def udtf_parts(spark, sf):
     m = MD.index_maildir(spark, maildir_root(spark, sf))
     k = F.split(F.split("msgid", "@")[0], "-")
     return U.MessageParts(m.select((k[0].cast("long") * 1000 + k[1].cast("long")).alias("doc_id"), "parts").asTable())
+
+
+_ID_OF = lambda: (F.split(F.split("msgid", "@")[0], "-")[0].cast("long") * 1000 + F.split(F.split("msgid", "@")[0], "-")[1].cast("long")).alias("doc_id")
+
+
+@query("html_only_search", sql=f"""
+SELECT doc_id, 'agent-' || "to" AS user_agent, list_contains({tokens_sql('body_text')}, 'der') AS in_body FROM {CONV_MSGS} m
+WHERE list_contains({tokens_sql('body_text')}, 'der') OR list_contains({tokens_sql('"from"')}, 'assistant')""")
+def html_only_search(spark, sf):
+    """Mail without plain text: default fields, the body alone, and the full view (PRJ2)."""
+    root = scratch_path(spark, "html-mail")
+    MD.write_files(T.html_rfc822_from_conversations(spark, sf).select("relpath", "content"), root)
+    m = MD.index_maildir(spark, root)
+    hits = m.where(Q.has_term_default("Der", html="body_html") | Q.has_term("from", "assistant"))
+    return full(hits).select(_ID_OF(), "user_agent", Q.has_term(Q.search_body("body_txt"), "der").alias("in_body"))
+
+
+@query("embedded_search", sql=f"""
+SELECT doc_id FROM {CONV_MSGS} m WHERE turn % 4 = 1 AND list_contains({tokens_sql('body_text')}, 'der')""")
+def embedded_search(spark, sf):
+    """Text of attachments (FLT13, PRT8), as the parse extracts it."""
+    return MD.index_maildir(spark, maildir_root(spark, sf)).where(Q.embedded("embedded_text", "DER")).select(_ID_OF())

@@ -75,3 +75,23 @@ SELECT doc_id, bool_or({_ATTACH}) AS has_attach, false AS signed, false AS encry
 FROM {PARTS_LINEITEM} p GROUP BY doc_id""")
 def part_flags(spark, sf):
     return PT.message_flags_from_parts(_parts(spark, sf))
+
+
+# item 1 of an order stands for the multipart that holds the others, item 2 for its signature
+_TYPED = f"""(SELECT doc_id, disposition, CASE WHEN part_index = 1 AND disposition = 'attachment' THEN 'multipart/signed'
+  WHEN part_index = 1 AND disposition = 'inline' THEN 'multipart/encrypted' WHEN part_index = 2 THEN 'application/pgp-signature'
+  WHEN part_index = 3 THEN 'image/' || subtype ELSE mime_type END AS mime_type, part_index FROM {PARTS_LINEITEM} p)"""
+
+
+@query("part_content_flags", sql=f"""
+SELECT doc_id, bool_or(coalesce(part_index > 1 AND disposition = 'attachment' OR disposition IS NOT NULL AND part_index <> 2
+  AND regexp_matches(mime_type, '^(image|audio|application|text)/') AND mime_type NOT IN ('text/plain', 'text/html'), false)) AS has_attach,
+  bool_or(mime_type = 'multipart/signed') AS signed, bool_or(mime_type = 'multipart/encrypted') AS encrypted FROM {_TYPED} t GROUP BY doc_id""")
+def part_content_flags(spark, sf):
+    p = _parts(spark, sf)
+    first, disp = F.col("part_index") == 1, F.col("disposition")
+    typed = (F.when(first & (disp == "attachment"), "multipart/signed").when(first & (disp == "inline"), "multipart/encrypted")
+             .when(F.col("part_index") == 2, "application/pgp-signature").when(F.col("part_index") == 3, F.concat(F.lit("image/"), "subtype"))
+             .otherwise(F.col("mime_type")))
+    # a multipart isn't a part of its own: it has no disposition
+    return PT.content_flags_from_parts(p.withColumns({"mime_type": typed, "disposition": F.when(~typed.startswith("multipart/"), disp)}))

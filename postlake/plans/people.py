@@ -164,3 +164,14 @@ def contacts_alias(spark, sf):
     a = C.contacts_text(n, "mutt-alias").select(F.lit("mutt-alias").alias("fmt"), "email", "line")
     w = C.contacts_text(n, "wl").select(F.lit("wl").alias("fmt"), "email", "line")
     return a.unionByName(w)
+
+
+@query("contacts_quoted", sql=f"""
+WITH c AS ({_contacts_sql(OCC_ORDERS)})
+SELECT 'quoted' AS fmt, email, '"' || replace(CASE WHEN coalesce(name, '') <> '' THEN '"' || name || '" ' ELSE '' END || '<' || email || '>', '"', chr(92) || '"') || '"' AS line FROM c
+UNION ALL SELECT 'org-contact-nick', email, '* "' || coalesce(nullif(name, ''), email) || '"' || chr(10) || ':PROPERTIES:' || chr(10) || ':EMAIL:' || email || chr(10)
+  || ':NICK:' || regexp_replace(lower(coalesce(nullif(name, ''), email)), '\\P{{L}}', '_', 'g') || chr(10) || ':END:' FROM c""")
+def contacts_quoted(spark, sf):
+    c = _orders_contacts(spark, sf)
+    each = [C.contacts_text(c, fmt).select(F.lit(fmt).alias("fmt"), "email", "line") for fmt in ("quoted", "org-contact-nick")]
+    return each[0].unionByName(each[1])

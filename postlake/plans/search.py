@@ -325,3 +325,14 @@ def collated_sort(spark, sf):
     from ..operators.windows import ranked
     m = T.msgs_from_conversations(spark, sf).select("doc_id", "subject")
     return ranked(m, [ordering.collation_key("subject"), F.col("doc_id")], out="pos")
+
+
+@query("regex_values", sql=f"""
+SELECT doc_id, regexp_matches(maildir, '^/src1') AS in_dir, regexp_matches(msgid, '[0-9]a[0-9]$') AS by_id, regexp_matches(mailing_list, '7$') AS on_list,
+  len(list_filter(tags, lambda t: regexp_matches(t, '^f|9'))) > 0 AS tagged FROM {DOC_MSGS} m
+WHERE regexp_matches(maildir, '^/src1') OR regexp_matches(msgid, '[0-9]a[0-9]$') OR regexp_matches(mailing_list, '7$') OR len(list_filter(tags, lambda t: regexp_matches(t, '^f|9'))) > 0""")
+def regex_values(spark, sf):
+    m = T.msgs_from_documents(spark, sf)
+    found = {"in_dir": Q.regex_value("maildir", "^/SRC1"), "by_id": Q.regex_value("msgid", "[0-9]a[0-9]$"), "on_list": Q.regex_value("mailing_list", "7$"),
+             "tagged": Q.regex_any("tags", "^f|9")}
+    return m.withColumns(found).where("in_dir or by_id or on_list or tagged").select("doc_id", *found)

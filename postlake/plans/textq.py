@@ -172,3 +172,17 @@ def format_lines(spark, sf):
         P.display_contacts("contacts").alias("people"),
         X.join_list(X.split_list(F.concat_ws(",", "maildir", "from"), ","), "|").alias("split_join"),
     )
+
+
+# the first bytes of a text, cut where they fall: within a letter for some
+_CUT = "(SELECT doc_id, left(text, 40) AS t, 7 + doc_id % 20 AS n FROM documents WHERE strlen(left(text, 40)) >= 27)"
+
+
+@query("utf8ify", sql=f"""
+SELECT doc_id, CASE WHEN list_contains(ends, n) THEN t[1:CAST(list_position(ends, n) AS INTEGER)] ELSE left(bytes, CAST(n AS INTEGER)) END AS s FROM (
+  SELECT doc_id, t, n, list_transform(range(1, length(t) + 1), lambda k: CAST(strlen(left(t, CAST(k AS INTEGER))) AS BIGINT)) AS ends,
+    array_to_string(list_transform(range(1, length(t) + 1), lambda k: CASE WHEN strlen(t[k]) = 1 THEN t[k] ELSE repeat('.', strlen(t[k])) END), '') AS bytes FROM {_CUT} c)""")
+def utf8ify(spark, sf):
+    t = F.encode(F.substring("text", 1, 40), "UTF-8")
+    d = T.read(spark, sf, "documents").where(F.length(t) >= 27)
+    return d.select("doc_id", X.utf8ify(F.substring(t, F.lit(1), (F.lit(7) + F.col("doc_id") % 20).cast("int"))).alias("s"))

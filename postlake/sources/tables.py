@@ -188,3 +188,16 @@ def rfc822_from_conversations(spark: SparkSession, sf_dir: str, separator: str =
     if separator == ":":
         relpath = F.regexp_replace(relpath, "^/sent/", "/.Sent/")  # nor do they list folders with a leading dot
     return m.select("doc_id", relpath.alias("relpath"), F.encode(content, "UTF-8").alias("content"))
+
+
+def html_rfc822_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as message files (relpath, content) without plain text: the body is HTML, with a style sheet, tags
+    between paragraphs and escaped characters."""
+    m = msgs_from_conversations(spark, sf_dir)
+    text = F.col("body_text")
+    for ch, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "</p>\n<p class=\"x\">")):
+        text = F.replace(text, F.lit(ch), F.lit(entity))
+    content = F.concat(F.lit("Message-Id: <"), "msgid", F.lit("@conv.example>\nFrom: "), "from", F.lit(" <"), "from_email", F.lit(">\nUser-Agent: agent-"), "to",
+                       F.lit("\nMIME-Version: 1.0\nContent-Type: text/html; charset=utf-8; format=flowed\nContent-Transfer-Encoding: 8bit\n\n"
+                             "<html><head><style>p.der { color: red }</style></head><body><p>"), text, F.lit("</p></body></html>\n"))
+    return m.select("doc_id", F.regexp_replace("path", "^/mail", "").alias("relpath"), F.encode(content, "UTF-8").alias("content"))

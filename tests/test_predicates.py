@@ -1,5 +1,7 @@
 """Search predicates on literal messages, incl. the missing-field rule of NOT."""
 
+from pyspark.sql import functions as F
+
 from postlake.operators import predicates as Q
 
 SCHEMA = ("doc_id int, subject string, maildir string, tags array<string>, files array<string>, "
@@ -60,3 +62,28 @@ def test_contacts(spark):
     mine = ["me@mine.org", "/team-[0-9]+@north.ex.*/"]
     assert _ids(m.where(Q.is_personal_message("contacts", mine))) == [1, 3]
     assert _ids(m.where(Q.sent_by_me("contacts", mine))) == []
+
+
+def test_html_only_bodies_are_searched(spark):
+    rows = [(1, None, "<style>.red {}</style><p>Gr&uuml;n &amp; <b>café</b>s</p>"), (2, "plain green", "<p>red</p>"), (3, None, None)]
+    m = spark.createDataFrame(rows, "doc_id long, body_text string, body_html string")
+    for c in ("to", "cc", "bcc", "from", "subject"):
+        m = m.withColumn(c, F.lit(None).cast("string"))
+    hits = lambda w, **o: sorted(r[0] for r in m.where(Q.has_term_default(w, **o)).select("doc_id").collect())
+    assert hits("cafe", html="body_html") == [1] and hits("red", html="body_html") == []  # style sheets and hidden HTML aren't text
+    assert hits("green", html="body_html") == [2] and hits("cafe") == []
+
+
+def test_contact_value_and_address_fold_alike(spark):
+    m = spark.createDataFrame([(1, [("from", "Jørg", "JÖRG@Hél.example", None)])],
+                              "doc_id long, contacts array<struct<type string, name string, email string, full_address string>>")
+    for value in ("jörg", "JORG@HEL.example", "hél.EXAMPLE", "Jorg"):
+        assert m.where(Q.contact_term("contacts", ("from",), value)).count() == 1, value
+    assert m.where(Q.contact_term("contacts", ("to",), "jorg")).count() == 0
+
+
+def test_regex_on_whole_values(spark):
+    m = spark.createDataFrame([(1, "/Archív/2024", ["Work", "tél"]), (2, "/inbox", None), (3, None, [])], "doc_id long, maildir string, tags array<string>")
+    at = lambda p: [r[0] for r in m.where(p).select("doc_id").orderBy("doc_id").collect()]
+    assert at(Q.regex_value("maildir", "^/ARCHIV/[0-9]+$")) == [1] and at(~Q.regex_value("maildir", "x")) == [1, 3]
+    assert at(Q.regex_any("tags", "^tel|^w")) == [1] and at(Q.regex_any("tags", "^ork")) == []

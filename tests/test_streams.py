@@ -99,3 +99,29 @@ def test_stream_parts_cover_the_tree():
         paths = [p for part in some for b in reader.read(part) for p in b.column("path").to_pylist()]
         assert len(paths) == len(set(paths)) == 31 and len(some) <= 2 * parts
         assert [b for part in reader.partitions(end, end) for b in reader.read(part)] == []
+
+
+def test_first_copies_stay_whatever_comes_later(spark):
+    folder, out = tempfile.mkdtemp(prefix="postlake-first-"), tempfile.mkdtemp(prefix="postlake-first-out-")
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    batches = [[("a", 1, day(0)), ("a", 2, day(-1)), ("b", 1, day(0)), (None, 1, day(0))], [("c", 1, day(50)), ("a", 3, day(50))], [("a", 4, day(-9)), ("b", 5, day(400)), ("d", 1, day(0))]]
+    schema = "key string, v int, ts timestamp"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/part{k}")
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+        got = S.stream_first_copies(spark, s, "key", "ts", f"{out}/store", f"{out}/ckpt")
+    assert {(r["key"], r["v"]) for r in got.collect()} == {("a", 2), ("b", 1), ("c", 1), ("d", 1)}
+
+
+def test_table_functions_on_batches(spark):
+    from postlake.functions import udfs as U
+    rows = [(k, t, [("from", "N", f"e{k}@x")] * (k % 3), [(1, "text/plain", k, None, "f")] if k % 2 else None) for k, t in enumerate(["One, two", None, "", "  ÉTÉ x1", "..."] * 40)]
+    m = spark.createDataFrame(rows, "doc_id long, text string, contacts array<struct<type string, name string, email string>>, "
+                                    "parts array<struct<index int, mime_type string, size long, disposition string, filename string>>").repartition(3)
+    tokens = {tuple(r) for r in U.MessageTokens(m.select("doc_id", "text").asTable()).collect()}
+    plain = {0: ["one", "two"], 3: ["été", "x1"]}
+    assert tokens == {(k, p, w) for k in range(200) for p, w in enumerate(plain.get(k % 5, []))}
+    contacts = U.MessageContacts(m.asTable()).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in contacts} == {k: k % 3 for k in range(200) if k % 3}
+    parts = {tuple(r) for r in U.MessageParts(m.asTable()).collect()}
+    assert parts == {(k, 1, "text/plain", k, None, "f") for k in range(200) if k % 2}

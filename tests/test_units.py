@@ -131,3 +131,27 @@ def test_reversed_ranges(spark):
 def test_flatten_whole_unicode(spark, src, flat):
     assert _one(spark, X.flatten("s"), src) == flat
     assert X.flatten_py(src) == flat
+
+
+def test_utf8ify_bytes(spark):
+    from postlake.functions.text import utf8ify
+    raw = [b"plain\ttext\n", "hé".encode(), b"h\xc3", b"\xff\x00a b\r", b"", None]
+    got = [r[0] for r in spark.createDataFrame([(i, b) for i, b in enumerate(raw)], "i int, b binary").orderBy("i").select(utf8ify("b")).collect()]
+    assert got == ["plain\ttext\n", "hé", "h.", "..a b\r", "", None]
+
+
+def test_content_flags_by_disposition(spark):
+    from postlake.operators.parts import content_flags_from_parts
+    rows = [(1, "text/plain", "inline"), (1, "multipart/signed", None), (1, "application/pgp-signature", "inline"), (2, "image/png", "inline"),
+            (3, "image/png", None), (4, "text/plain", "ATTACHMENT"), (5, "multipart/encrypted", None), (5, "text/x-diff", "inline"), (6, "message/rfc822", "inline")]
+    got = {r["doc_id"]: (r["has_attach"], r["signed"], r["encrypted"]) for r in
+           content_flags_from_parts(spark.createDataFrame(rows, "doc_id long, mime_type string, disposition string")).collect()}
+    assert got == {1: (False, True, False), 2: (True, False, False), 3: (False, False, False), 4: (True, False, False), 5: (True, False, True), 6: (False, False, False)}
+
+
+def test_contact_formats_quoted_and_nick(spark):
+    from postlake.operators.contacts import contacts_text
+    c = spark.createDataFrame([('Ann "A" B', "a@x"), (None, "b1@x")], "name string, email string")
+    line = lambda fmt: [r["line"] for r in contacts_text(c, fmt).orderBy("email").collect()]
+    assert line("quoted") == ['"\\"Ann \\"A\\" B\\" <a@x>"', '"<b1@x>"']
+    assert line("org-contact-nick") == ['* "Ann \\"A\\" B"\n:PROPERTIES:\n:EMAIL:a@x\n:NICK:ann__a__b\n:END:', '* "b1@x"\n:PROPERTIES:\n:EMAIL:b1@x\n:NICK:b__x\n:END:']
