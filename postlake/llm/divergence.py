@@ -6,6 +6,7 @@ sources are compared in cells of a block of terms and two blocks of sources; ter
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,25 +17,97 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stored
-from .urls import LOWER, UPPER
+from .words import LOWER as BYTES
+from .words import slices, text_bytes
 
-#: fixed value: what counts as a term, after A-Z are lower-cased
+#: fixed values: what counts as a term, after A-Z are lower-cased, and its bytes
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_IN_TERM = np.ones(256, bool)
+_IN_TERM[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 #: fixed values: what p is scaled by, and what is added to each count
 SCALE, PRIOR = 1_000_000_000, 5
 #: distinct terms of a vectorizer, terms and sources of a cell, on average
 VOCABULARY, TERMS, SOURCES = 4_000_000, 4096, 256
+#: sums that a task holds
+SUMMED = 2_000_000
 
 CELL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("other", pa.string()), ("value", pa.int64())])
 
 
+def term_lists(texts: pa.Array, langs: pa.Array) -> pa.ListArray:
+    """The terms of each text, each behind its language and U+0000, which no term holds."""
+    data, offsets = text_bytes(texts)
+    data = BYTES[data]
+    inside = _IN_TERM[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    first = inside & (np.concatenate([[True], ~inside[:-1]]) | cut[:-1]) if len(data) else inside
+    start = np.flatnonzero(first)
+    spell = data[inside]
+    at = np.concatenate([np.cumsum(inside, dtype=np.int32)[start] - 1, [len(spell)]]).astype(np.int64)
+    ends = np.searchsorted(start, offsets)
+    marks, edges = text_bytes(pc.binary_join_element_wise(langs.cast(pa.string()), "", "\0"))  # a mark per text
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
+    size = np.diff(edges)[doc]  # of the mark before each term
+    out_at = at + np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(out_at[-1]), np.uint8)
+    spot = np.repeat(out_at[:-1], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    free = np.ones(len(out), bool)
+    free[spot] = False
+    out[free] = spell
+    out[spot] = marks[spot - np.repeat(out_at[:-1] - edges[doc], size)]
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(out_at), pa.py_buffer(out)).cast(pa.string())
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words)
+
+
 def term_arrays(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, terms) of each row; a term stands behind its language and U+0000, which no term holds."""
+    """(lang, source, terms) of each row, by slices of a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                lang = part.column("lang").cast(pa.string())
+                yield pa.RecordBatch.from_arrays([lang, part.column("source").cast(pa.string()), term_lists(part.column("text"), lang)], ["lang", "source", "terms"])
+
     named = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-                        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-                        F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).alias("_text"))
-    return named.select("lang", "source", F.transform(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)),
-                                                      lambda t: F.concat("lang", F.lit("\0"), t)).alias("terms"))
+                        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
+    return named.mapInArrow(run, "lang string, source string, terms array<string>")
+
+
+def summed(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.RecordBatch]:
+    """(lang, source, index, count): sums of the sparse vectors of each group, held by the task up to ``SUMMED`` entries."""
+    codes: dict[tuple, int] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[at], np.add.reduceat(counts[order], at)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        keys, counts = merged()
+        names = list(codes)
+        for k in range(0, len(keys), 100_000):
+            some = keys[k:k + 100_000]
+            group = pa.array(some // n_terms)
+            yield pa.RecordBatch.from_arrays([*(pa.array([n[j] for n in names], pa.string()).take(group) for j in (0, 1)),
+                                              pa.array((some % n_terms).astype(np.int32)), pa.array(counts[k:k + 100_000])], ["lang", "source", "index", "count"])
+
+    for batch in batches:
+        pairs = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
+        group = np.array([codes.setdefault(p, len(codes)) for p in pairs], np.int64)
+        lists = batch.column("indices")
+        size = np.diff(lists.offsets.to_numpy())
+        index = lists.flatten().to_numpy().astype(np.int64)
+        if len(index):
+            held = [*held, (np.repeat(group, size) * n_terms + index, batch.column("values").flatten().to_numpy().astype(np.int64))]
+            held = [merged()]
+            if len(held[0][0]) > SUMMED:
+                yield from flush()
+                held = []
+    if held:
+        yield from flush()
 
 
 def group_counts(terms: DataFrame, min_docs: int, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -55,9 +128,9 @@ def group_counts(terms: DataFrame, min_docs: int, vocabulary: int = VOCABULARY)
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1).fit(some)
         words = model.vocabulary
         names = spark.createDataFrame(pa.table({"index": pa.array(range(len(words)), pa.int32()), "name": pa.array(words, pa.string())}))
-        vector = model.transform(own).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-        sums = (vector.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-                .groupBy("lang", "source", F.col("e.indices").alias("index")).agg(F.sum(F.col("e.values").cast("long")).alias("count")))
+        vector = model.transform(own).select("lang", "source", F.unwrap_udt("vector").alias("v")).select("lang", "source", "v.indices", "v.values")
+        sums = (vector.mapInArrow(lambda b, n=len(words): summed(b, n), "lang string, source string, index int, count long")
+                .groupBy("lang", "source", "index").agg(F.sum("count").alias("count")))
         out.append(stored(sums.join(names, "index").select("lang", "source", F.substring_index("name", "\0", -1).alias("term"), "count"), "terms"))
     return reduce(DataFrame.unionAll, out)
 
