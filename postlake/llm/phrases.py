@@ -23,7 +23,7 @@ from .words import LOWER, mix, powers, span_hashes, text_bytes
 #: fixed values: bytes that end a piece, and that part its words
 PIECE_END, BLANK = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: words of the longest phrase; bytes of text to a block, of text to a bucket, and from which a text is cut at piece ends
-LONGEST, BLOCK_BYTES, BUCKET_BYTES, CUT_BYTES = 4, 8_000_000, 32_000_000, 1_000_000
+LONGEST, BLOCK_BYTES, BUCKET_BYTES, CUT_BYTES = 4, 4_000_000, 32_000_000, 1_000_000
 #: counters of a summary, as a multiple of mass / threshold; from 1 on, no frequent n-gram is lost
 SPARE = 2
 _ENDS = np.isin(np.arange(256), list(PIECE_END))
@@ -82,9 +82,9 @@ class Grams:
         start = np.flatnonzero(first)
         doc = np.searchsorted(offsets, start, side="right")
         # words of one text with no piece end between them have the same number
-        self.piece = np.cumsum(_ENDS[data], dtype=np.int64)[start] + doc
+        self.piece = np.cumsum(_ENDS[data], dtype=np.int32)[start] + doc
         spell = data[inside]  # all words, one after the other
-        at = np.concatenate([np.cumsum(inside, dtype=np.int64)[start] - 1, [len(spell)]]).astype(np.int64)
+        at = np.concatenate([np.cumsum(inside, dtype=np.int32)[start] - 1, [len(spell)]]).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(spell))).dictionary_encode()
         self.codes, self.words = words.indices.to_numpy(), words.dictionary
         own, ends = text_bytes(self.words)
@@ -120,7 +120,7 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def summaries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each run of rows of a block and each bucket: its keys, sorted, and how often each occurs (255 stands for more rows)."""
+    """For each run of rows of a block and each bucket: its keys, sorted, and how often each occurs."""
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
         grams = Grams(table.column("text"), table.column("lang"))
