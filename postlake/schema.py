@@ -50,49 +50,6 @@ CONTACT = T.StructType([
     T.StructField("full_address", T.StringType()),
 ])
 
-PART = T.StructType([
-    T.StructField("index", T.IntegerType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("subtype", T.StringType()),
-    T.StructField("size", T.LongType()),
-    T.StructField("disposition", T.StringType()),
-    T.StructField("filename", T.StringType()),
-    T.StructField("cid", T.StringType()),
-    T.StructField("is_leaf", T.BooleanType()),
-    T.StructField("is_msg", T.BooleanType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("params", T.MapType(T.StringType(), T.StringType())),
-])
-
-MESSAGE = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("maildir", T.StringType()),
-    T.StructField("mtime", T.TimestampNTZType()),
-    T.StructField("size", T.LongType()),
-    T.StructField("msgid", T.StringType()),
-    T.StructField("refs", T.ArrayType(T.StringType())),
-    T.StructField("subject", T.StringType()),
-    T.StructField("date", T.TimestampNTZType()),
-    T.StructField("from", T.StringType()),
-    T.StructField("to", T.StringType()),
-    T.StructField("cc", T.StringType()),
-    T.StructField("bcc", T.StringType()),
-    T.StructField("contacts", T.ArrayType(CONTACT)),
-    T.StructField("mailing_list", T.StringType()),
-    T.StructField("prio", T.StringType()),
-    T.StructField("flags", T.IntegerType()),
-    T.StructField("tags", T.ArrayType(T.StringType())),
-    T.StructField("body_text", T.StringType()),
-    T.StructField("body_html", T.StringType()),
-    T.StructField("embedded_text", T.StringType()),
-    T.StructField("parts", T.ArrayType(PART)),
-    T.StructField("files", T.ArrayType(T.StringType())),
-    T.StructField("mimes", T.ArrayType(T.StringType())),
-    T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
-])
-
-
 def field_column(name_or_shortcut: str) -> str:
     """Column name for a field name or one-letter shortcut."""
     name = FIELD_SHORTCUTS.get(name_or_shortcut, name_or_shortcut)
