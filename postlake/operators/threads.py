@@ -11,15 +11,14 @@ Here every step is a distributed job; no thread is gathered into one task:
 1. Each message proposes links ``ref[i] -> ref[i+1]`` and ``ref[-1] -> id``
    in processing order (date, doc_id). Of equal proposals the first is kept
    (a partial aggregation, so a hot parent costs one row per task), and the first per child wins.
-2. Ancestor lists are built by pointer doubling (log2(depth) rounds), each
-   round checkpointed to ``spark.checkpoint.dir``. A node that finds itself
-   among its ancestors is on a loop; per loop the latest proposed link is refused, its
-   child takes its next proposal, and the doubling restarts until no loop is left.
-3. Placeholders are pruned from the ancestor lists; duplicates (later copies of
+2. Parents and roots are found by pointer doubling (log2(depth) rounds), each
+   round written to ``spark.checkpoint.dir``. When pointers stop closing, the open ones lead into loops; per loop
+   the latest proposed link is refused, its child takes its next proposal, and the doubling restarts until no loop is left.
+3. Pointers jump over placeholders to the nearest message above; duplicates (later copies of
    a message id) hang under the first copy.
-4. Subtree dates, sibling indices (skew-safe distributed ranking per parent),
-   root order and the paths are joins over the exploded ancestor lists; their
-   size is the size of the output paths (sum of depths), as in the reference.
+4. Subtree dates and paths double likewise: a node takes what the nodes 2^k below hold, and puts its path
+   behind that of the node 2^k above. A round has a row per node, and no list of ancestors is made; only the
+   paths themselves grow with the depth. Sibling order is a skew-safe distributed ranking per parent.
 """
 
 from __future__ import annotations
@@ -30,15 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import subject_tail
-from ..session import checkpointed, ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 from .windows import ranked
 
 DUP_PREFIX = "\u0000dup-"
-MAX_ROUNDS = 64
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
-    return checkpointed(df)
+    """Lineage cut by a table written to the shared folder. A checkpoint would hand on what the optimiser knows of a column's
+    origin, which doubles with each round of joins of a table with itself."""
+    path = scratch_path(df.sparkSession, "threads")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parent_edges(m: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,50 +60,86 @@ def parent_edges(m: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, ids
 
 
-def ancestors(ids: DataFrame, proposals: DataFrame) -> DataFrame:
-    """(id, anc): ancestor ids from parent to root, loops cut as described above.
+def parents(ids: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(id, parent, root) of each id, loops cut as described above: pointers double until each has reached its root.
 
-    Every link before the latest of a loop stands, so that one is refused for good; each restart
-    refuses one proposal at least, and so the restarts end."""
-    spark = ids.sparkSession
-    ensure_checkpoint_dir(spark)
+    After k rounds a node's pointer is 2^k links up, and a node is open if its root is farther. While any node of a tree is open, one closes
+    in each round; so when none does, all open nodes lead into loops. Every link before the latest of a loop stands,
+    so that one is refused for good; each restart refuses one proposal at least, and so the restarts end."""
+    ensure_checkpoint_dir(ids.sparkSession)
     proposals = _ckpt(proposals)
     while True:
         edges = _ckpt(proposals.groupBy("child").agg(F.min(F.struct("order", "parent")).alias("own"))
                       .select("child", "own.parent", "own.order"))
-        state = (ids.join(edges.select(F.col("child").alias("id"), "parent"), "id", "left")
-                 .select("id", F.when(F.col("parent").isNull(), F.array().cast("array<string>"))
-                         .otherwise(F.array("parent")).alias("anc"),
-                         F.col("parent").isNull().alias("done")))
-        state = _ckpt(state)
-        cut = None
-        for _round in range(MAX_ROUNDS):
-            stats = state.agg(F.count_if(~F.col("done")).alias("open"),
-                              F.count_if(F.array_contains("anc", F.col("id"))).alias("loops")).first()
-            if stats["loops"]:
-                cut = _loop_cuts(state, edges)
+        state = _ckpt(ids.join(edges.select(F.col("child").alias("id"), "parent"), "id", "left")
+                      .select("id", "parent", F.coalesce("parent", "id").alias("far"), F.col("parent").isNull().alias("done")))
+        left = state.where("not done").count()
+        while left:
+            b = state.select(F.col("id").alias("far"), F.col("far").alias("_far"), F.col("done").alias("_done"))
+            state = _ckpt(state.where("done").unionByName(state.where("not done").join(b, "far")
+                          .select("id", "parent", F.col("_far").alias("far"), F.col("_done").alias("done"))))
+            before, left = left, state.where("not done").count()
+            if left == before:
                 break
-            if not stats["open"]:
-                return state.select("id", "anc")
-            a = state.where(~F.col("done")).alias("a")
-            b = state.select(F.col("id").alias("b_id"), F.col("anc").alias("b_anc"), F.col("done").alias("b_done"))
-            step = (a.join(b, F.element_at(F.col("a.anc"), -1) == F.col("b_id"), "left")
-                    .select(F.col("a.id").alias("id"),
-                            F.concat(F.col("a.anc"), F.coalesce(F.col("b_anc"), F.array().cast("array<string>"))).alias("anc"),
-                            F.coalesce(F.col("b_done"), F.lit(True)).alias("done")))
-            state = _ckpt(state.where("done").unionByName(step))
-        if cut is None:
-            raise RuntimeError("ancestor doubling did not converge")
+        if not left:
+            return state.select("id", "parent", F.col("far").alias("root"))
+        cut = _loop_cuts(state.where("not done").select("id", "parent"), edges)
         proposals = _ckpt(proposals.join(cut, ["child", "parent"], "left_anti"))
 
 
-def _loop_cuts(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each loop, the link (child, parent) that was proposed last."""
-    on_loop = state.where(F.array_contains("anc", F.col("id")))
-    members = on_loop.select("id", F.explode(F.slice("anc", 1, F.array_position("anc", F.col("id")).cast("int"))).alias("member"))
-    with_order = members.join(edges.select(F.col("child").alias("member"), "parent", "order"), "member", "inner")
-    last = with_order.groupBy("id").agg(F.max(F.struct("order", F.col("member").alias("child"), "parent")).alias("link"))
-    return last.select("link.child", "link.parent").distinct()
+def _loop_cuts(links: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each loop, the link (child, parent) that was proposed last. All of ``links`` lead into loops.
+
+    The nodes that pointers reach after enough doublings are those on loops; a loop is named by the least node that its
+    pointers have passed, once they have passed as many as there are such nodes."""
+    state, step, reached = _ckpt(links.select("id", F.col("parent").alias("far"), F.col("id").alias("low"))), 1, None
+    while True:
+        before, reached = reached, state.select("far").distinct().count()
+        if reached == before and step >= reached:
+            break
+        b = state.select(F.col("id").alias("far"), F.col("far").alias("_far"), F.col("low").alias("_low"))
+        state = _ckpt(state.join(b, "far").select("id", F.col("_far").alias("far"), F.least("low", "_low").alias("low")))
+        step *= 2
+    on_loop = state.join(state.select(F.col("far").alias("id")).distinct(), "id", "left_semi")
+    own = on_loop.select(F.col("id").alias("child"), "low").join(edges, "child")
+    return own.groupBy("low").agg(F.max(F.struct("order", "child", "parent")).alias("link")).select("link.child", "link.parent")
+
+
+def _real_parents(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (id, is_real, parent, root) with ``up``, the nearest real id above, or null: pointers jump over placeholders, doubling."""
+    real = nodes.where("is_real").select(F.col("id").alias("parent"), F.lit(True).alias("_real"))
+    state = _ckpt(nodes.join(real, "parent", "left").select("id", "is_real", "root", F.col("parent").alias("up"),
+                                                            (F.col("parent").isNull() | F.coalesce("_real", F.lit(False))).alias("done")))
+    while not state.where("not done").isEmpty():
+        b = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("done").alias("_done"))
+        state = _ckpt(state.where("done").unionByName(state.where("not done").join(b, "up")
+                      .select("id", "is_real", "root", F.col("_up").alias("up"), F.col("_done").alias("done"))))
+    return state.drop("done")
+
+
+def _newest_below(nodes: DataFrame) -> DataFrame:
+    """(node, newest): the greatest ``value`` of a node and all below it, for (node, up, value). In round k a node takes
+    what the nodes 2^k below it hold, which covers all that lie less far below them; a hot parent's children are maximised before the shuffle."""
+    state = _ckpt(nodes.select("node", "up", "value"))
+    while not state.where("up is not null").isEmpty():
+        more = state.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.max("value").alias("_more"))
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("_up"))
+        state = _ckpt(state.join(more, "node", "left").join(above, "up", "left")
+                      .select("node", F.col("_up").alias("up"), F.greatest("value", "_more").alias("value")))
+    return state.select("node", F.col("value").alias("newest"))
+
+
+def _paths(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """(node, top, level, and for each name the path of its segments from the top) for (node, up, and segments): a node's path so
+    far is put behind that of the node it points to, and its pointer moves there."""
+    state = _ckpt(nodes.select("node", "up", F.col("node").alias("top"), F.lit(0).cast("bigint").alias("level"), *names))
+    while not state.where("up is not null").isEmpty():
+        b = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("level").alias("_level"),
+                         *[F.col(n).alias(f"_{n}") for n in names])
+        state = _ckpt(state.where("up is null").unionByName(state.join(b, "up").select(
+            "node", F.col("_up").alias("up"), F.col("_top").alias("top"), (F.col("level") + F.col("_level") + 1).alias("level"),
+            *[F.concat(f"_{n}", F.lit(":"), n).alias(n) for n in names])))
+    return state.drop("up")
 
 
 def _seg(idx: Column, width: int) -> Column:
@@ -125,48 +163,34 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
     dups = b.where(F.col("is_dup"))
 
     edges, ids = parent_edges(real)
-    anc = ancestors(ids, edges)
+    tree = parents(ids, edges)
 
     # --- prune placeholders -------------------------------------------------
     real_ids = real.select("id", F.lit(True).alias("is_real"))
-    ex = anc.select("id", F.posexplode("anc").alias("pos", "a"))
-    ex = ex.join(real_ids.withColumnRenamed("id", "a"), "a", "left")
-    packed = ex.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "a", F.coalesce("is_real", F.lit(False)).alias("r")))).alias("chain"))
-    nodes = (anc.join(packed, "id", "left").join(real_ids, "id", "left")
-             .select("id", F.coalesce("is_real", F.lit(False)).alias("is_real"),
-                     F.coalesce(F.try_element_at("anc", F.lit(-1)), F.col("id")).alias("root"),
-                     F.transform(F.filter(F.coalesce("chain", F.array()), lambda s: s["r"]), lambda s: s["a"]).alias("real_anc")))
-    top = nodes.where(F.col("is_real") & (F.size("real_anc") == 0) & (F.col("root") != F.col("id")))
+    nodes = _real_parents(tree.join(real_ids, "id", "left").withColumn("is_real", F.coalesce("is_real", F.lit(False))))
+    top = nodes.where(F.col("is_real") & F.col("up").isNull() & (F.col("root") != F.col("id")))
     kept = (top.groupBy("root").agg(F.count("*").alias("n_top")).where(F.col("n_top") >= 2)
-            .select(F.col("root").alias("kept_root"), F.lit(True).alias("is_kept")))
+            .select(F.col("root").alias("kept_root")))
     rn = nodes.where("is_real").join(kept, F.col("root") == F.col("kept_root"), "left")
-    eff_anc = F.when((F.size("real_anc") == 0) & F.coalesce(F.col("is_kept"), F.lit(False)),
-                     F.array(F.col("root"))).otherwise(
-        F.concat(F.col("real_anc"), F.when(F.coalesce(F.col("is_kept"), F.lit(False)), F.array(F.col("root")))
-                 .otherwise(F.array().cast("array<string>"))))
+    date_type = real.schema["date"].dataType
     real_nodes = (rn.join(real.select("id", "doc_id", "date", "subject"), "id")
                   .select(F.col("id").alias("node"), "doc_id", "date", "subject", F.lit(False).alias("is_dup"),
-                          F.lit(False).alias("is_placeholder"), eff_anc.alias("eff_anc")))
-    dup_nodes = (dups.join(real_nodes.select(F.col("node").alias("id"), F.col("eff_anc").alias("first_anc")), "id")
-                 .select(F.concat(F.lit(DUP_PREFIX), F.col("doc_id").cast("string")).alias("node"), "doc_id",
-                         F.lit(None).cast(real.schema["date"].dataType).alias("date"), "subject",
-                         F.lit(True).alias("is_dup"), F.lit(False).alias("is_placeholder"),
-                         F.concat(F.array(F.col("id")), F.col("first_anc")).alias("eff_anc")))
+                          F.lit(False).alias("is_placeholder"), F.coalesce("up", "kept_root").alias("parent")))
+    dup_nodes = dups.select(F.concat(F.lit(DUP_PREFIX), F.col("doc_id").cast("string")).alias("node"), "doc_id",
+                            F.lit(None).cast(date_type).alias("date"), "subject", F.lit(True).alias("is_dup"),
+                            F.lit(False).alias("is_placeholder"), F.col("id").alias("parent"))
     ph_nodes = kept.select(F.col("kept_root").alias("node"), F.lit(None).cast("bigint").alias("doc_id"),
-                           F.lit(None).cast(real.schema["date"].dataType).alias("date"),
-                           F.lit(None).cast("string").alias("subject"), F.lit(False).alias("is_dup"),
-                           F.lit(True).alias("is_placeholder"), F.array().cast("array<string>").alias("eff_anc"))
-    fin = real_nodes.unionByName(dup_nodes).unionByName(ph_nodes)
-    fin = _ckpt(fin.withColumn("parent", F.try_element_at("eff_anc", F.lit(1))))
+                           F.lit(None).cast(date_type).alias("date"), F.lit(None).cast("string").alias("subject"),
+                           F.lit(False).alias("is_dup"), F.lit(True).alias("is_placeholder"), F.lit(None).cast("string").alias("parent"))
+    fin = _ckpt(real_nodes.unionByName(dup_nodes).unionByName(ph_nodes))
 
     # --- subtree date keys: newest date of the (non-duplicate) leaves --------
     nd = fin.where(~F.col("is_dup"))
-    parents = nd.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
-    leaves = nd.join(parents, "node", "left_anti").where(~F.col("is_placeholder"))
-    contrib = leaves.select(F.explode(F.concat(F.array("node"), "eff_anc")).alias("node"), "date")
-    leaf_key = contrib.groupBy("node").agg(F.max("date").alias("leaf_key"))
+    inner = nd.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node"), F.lit(True).alias("_inner")).distinct()
+    is_leaf = F.col("_inner").isNull() & ~F.col("is_placeholder")
+    leaf_key = _newest_below(nd.join(inner, "node", "left").select("node", F.col("parent").alias("up"), F.when(is_leaf, F.col("date")).alias("value")))
     fin = fin.join(leaf_key, "node", "left").withColumn(
-        "key", F.when(F.col("is_dup"), F.lit(None)).otherwise(F.coalesce("leaf_key", "date"))).drop("leaf_key")
+        "key", F.when(F.col("is_dup"), F.lit(None)).otherwise(F.coalesce("newest", "date"))).drop("newest")
     fin = _ckpt(fin)
 
     # --- sibling and root order ----------------------------------------------
@@ -184,23 +208,18 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
     fin = _ckpt(fin.join(n_sibs.withColumnRenamed("parent", "p2"), F.col("parent") == F.col("p2"), "left").drop("p2"))
 
     # id-table size decides the hex width of a path segment
-    n_ids = anc.count() + dups.count()  # anc is checkpointed: one row per container id
+    n_ids = tree.count() + dups.count()  # the tree is a written table: one row per container id
     width = int(math.ceil(math.log2(n_ids) / 4.0)) if n_ids > 0 else 0
     full = (1 << (4 * width)) - 1
 
-    # --- paths: sibling indices along root..self ------------------------------
-    chain = fin.select("node", F.posexplode(F.concat(F.reverse("eff_anc"), F.array("node"))).alias("pos", "elem"))
-    chain = chain.join(fin.select(F.col("node").alias("elem"), F.col("sib").alias("esib")), "elem", "inner")
-    segs = chain.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "esib"))).alias("segs"))
-    fin = fin.join(segs, "node", "left").withColumn("seg_idx", F.transform("segs", lambda s: s["esib"])).drop("segs")
-
-    if descending:
-        seg_strs = F.transform("seg_idx", lambda x, i: F.when(i == 0, _seg(x, width)).otherwise(_seg(F.lit(full) - x, width)))
-        path = F.concat(F.array_join(seg_strs, ":"), F.lit(":z"))
-    else:
-        path = F.array_join(F.transform("seg_idx", lambda x: _seg(x, width)), ":")
-    fin = fin.withColumn("thread_path", path).withColumn("thread_level", (F.size("seg_idx") - 1).cast("bigint"))
-    fin = fin.withColumn("thread_root", F.coalesce(F.try_element_at(F.reverse("eff_anc"), F.lit(1)), F.col("node")))
+    # --- paths: sibling indices along root..self; of one width, so that they order as their numbers do --------
+    is_root = F.col("parent").isNull()
+    segs = fin.select("node", F.col("parent").alias("up"), _seg(F.col("sib"), width).alias("order"),
+                      F.when(is_root, _seg(F.col("sib"), width)).otherwise(_seg(F.lit(full) - F.col("sib"), width)).alias("shown"))
+    paths = _paths(segs, ["order", "shown"] if descending else ["order"])
+    path = F.concat("shown", F.lit(":z")) if descending else F.col("order")
+    fin = fin.join(paths.select("node", F.col("order").alias("_order"), path.alias("thread_path"), F.col("level").alias("thread_level"),
+                                F.col("top").alias("thread_root")), "node")
     has_child = fin.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct().withColumn("hc", F.lit(True))
     placeholders = fin.where("is_placeholder").select(F.col("node").alias("parent"), F.lit(True).alias("parent_empty"))
     fin = fin.join(has_child, "node", "left").join(placeholders, "parent", "left")
@@ -208,7 +227,7 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
 
     # --- thread-subject: subject differs from the previous message in thread order
     msgs = fin.where(~F.col("is_placeholder"))
-    pos = ranked(msgs, [F.col("seg_idx"), F.col("node")], ["thread_root"], out="tpos")
+    pos = ranked(msgs, [F.col("_order"), F.col("node")], ["thread_root"], out="tpos")
     prev = pos.select("thread_root", (F.col("tpos") + 1).alias("tpos"), F.col("subject").alias("prev_subject"))
     out = pos.join(prev, ["thread_root", "tpos"], "left")
     is_root = F.col("parent").isNull()

@@ -85,3 +85,57 @@ def test_two_loops_share_a_later_proposal(spark):
     p, _ = _paths(spark, [("b", 1, ["a"]), ("a", 2, ["b"]), ("c", 3, ["y", "a"]), ("y", 4, []),
                           ("e", 5, ["d"]), ("d", 6, ["e"])])
     assert p == {"y": "0", "a": "0:0", "b": "0:0:0", "c": "0:0:1", "d": "1", "e": "1:0"}
+
+
+def test_long_chain_has_a_row_per_message_and_round(spark):
+    """1 500 messages, each naming only the one before: levels, roots and dates come right at any depth."""
+    from pyspark.sql import functions as F
+    n = 1500
+    ident = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    none = F.array().cast("array<string>")
+    m = spark.range(n).select(F.col("id").alias("doc_id"), ident(F.col("id")).alias("msgid"), F.lit("/p").alias("path"),
+                              F.when(F.col("id") > 0, F.array(ident(F.col("id") - 1))).otherwise(none).alias("refs"),
+                              (F.lit(dt.datetime(2020, 1, 1)) + F.make_dt_interval(mins=F.col("id").cast("int"))).cast("timestamp_ntz").alias("date"),
+                              F.lit("s").alias("subject"))
+    rows = build_threads(m).select("doc_id", "thread_level", "thread_root", F.length("thread_path").alias("n"), "thread_date").collect()
+    assert {(r["doc_id"], r["thread_level"], r["thread_root"]) for r in rows} == {(k, k, "m0") for k in range(n)}
+    assert all(r["n"] == 4 * r["thread_level"] + 3 and r["thread_date"] == dt.datetime(2020, 1, 1) + dt.timedelta(minutes=n - 1) for r in rows)
+
+
+def test_loops_and_placeholders_as_a_plain_walk(spark):
+    """Parents of random references, loops among them, against links tried one by one in order, the latest of a loop refused."""
+    import random
+
+    from postlake.operators import threads as TH
+    rng = random.Random(6)
+    links = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(110)})
+    rng.shuffle(links)
+    proposals = [(f"n{a}", f"n{b}", k) for k, (a, b) in enumerate(links) if a != b]
+    ids = spark.createDataFrame([(f"n{k}",) for k in range(60)], "id string")
+    got = {r["id"]: (r["parent"], r["root"]) for r in TH.parents(ids, spark.createDataFrame(proposals, "child string, parent string, order int")).collect()}
+    left = list(proposals)
+    while True:
+        own = {}
+        for c, p, k in left:
+            if c not in own:
+                own[c] = (p, k)
+        bad = set()
+        for c in own:
+            seen, at = [], c
+            while at in own and at not in seen:
+                seen.append(at)
+                at = own[at][0]
+            if at in seen:
+                loop = seen[seen.index(at):]
+                child = max(loop, key=lambda x: own[x][1])
+                bad.add((child, *own[child]))
+        if not bad:
+            break
+        left = [x for x in left if (x[0], x[1], x[2]) not in bad]
+
+    def root(x):
+        while x in own:
+            x = own[x][0]
+        return x
+
+    assert got == {f"n{k}": (own.get(f"n{k}", (None,))[0], root(f"n{k}")) for k in range(60)}
