@@ -150,6 +150,9 @@ def refresh_store(spark: SparkSession, root: str, store: KeyedStore, max_size: i
     state = checkpointed(here.withColumn("here", F.lit(True)).join(known.select("folder", F.col("stamp").alias("was")).withColumn("known", F.lit(True)), "folder", "full")
                          .select("folder", "stamp", F.coalesce("here", F.lit(False)).alias("here"),
                                  F.coalesce(sure & (F.col("stamp") == F.col("was")), F.lit(False)).alias("same")))
+    n_here, n_due, n_gone = state.agg(F.count_if("here"), F.count_if(F.col("here") & ~F.col("same")), F.count_if(~F.col("here"))).first()
+    if stored is not None and not n_due and not n_gone:
+        return spark.createDataFrame([(n_here, 0, 0, 0, 0)], "folders long, listed long, processed long, updated long, removed long")
     closed = walked.where("kind in ('marked', 'failed')").select("dir")
     gone = _outside(state.where("not here"), closed, "folder")
     due = state.where("here and not same").select("folder", "stamp")
