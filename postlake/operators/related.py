@@ -56,7 +56,21 @@ def rank_addresses(addr: DataFrame, ranked_contacts: DataFrame, key: str = "emai
     return addr.join(ranked_contacts.select(key, "rank"), key, "left")
 
 
-MAX_PERSONAL_REGEX = 1000
+#: personal regexes up to this many become one expression; more of them are a table, met in blocks of REGEX_BLOCK
+MAX_PERSONAL_REGEX, REGEX_BLOCK = 1000, 200
+
+
+def _regex_hits(occ: DataFrame, rx: DataFrame, n: int, email: str) -> DataFrame:
+    """(_addr): distinct addresses that one of ``n`` patterns in ``rx`` matches whole, case-blind.
+
+    A block of patterns is one alternation; every distinct address meets every block by an equi join on its number.
+    """
+    blocks = -(-n // REGEX_BLOCK)
+    alternations = (rx.select(F.col("rx"), F.pmod(F.xxhash64("rx"), F.lit(blocks)).alias("_b")).groupBy("_b")
+                    .agg(F.concat(F.lit("(?i)^(?:(?:"), F.array_join(F.sort_array(F.collect_set("rx")), ")|(?:"), F.lit("))$")).alias("_any")))
+    addresses = occ.select(F.col(email).alias("_addr")).where("_addr is not null").distinct()
+    dealt = addresses.select("_addr", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_b"))
+    return dealt.join(alternations, "_b").where("_addr rlike _any").select("_addr").distinct()
 
 
 def personal_join(occ: DataFrame, personal: DataFrame | list[str], email: str = "email") -> DataFrame:
@@ -64,30 +78,33 @@ def personal_join(occ: DataFrame, personal: DataFrame | list[str], email: str =
 
     ``personal`` is a table with an ``address`` column (plain addresses and
     ``/regex/`` entries) or a list. Plain addresses are an equi join on the
-    lower-cased address; regex entries (few, from the user's settings) are
-    OR-ed into one expression.
+    lower-cased address. Up to MAX_PERSONAL_REGEX regex entries (user settings)
+    are OR-ed into one expression; more are matched in blocks with the distinct
+    addresses, without gathering them.
     """
+    hits = None
     if isinstance(personal, list):
         plain, rxs = personal_regex(personal)
         plain_df = occ.sparkSession.createDataFrame([(p,) for p in plain], "address string") if plain else None
     else:
-        rx_rows = personal.where(F.col("address").rlike(r"^/.+/$")).select("address")
-        # regex entries are user settings; they become one expression, so their
-        # number is checked before they are gathered
-        n_rx = rx_rows.count()
-        if n_rx > MAX_PERSONAL_REGEX:
-            raise ValueError(f"{n_rx} personal regex entries; at most {MAX_PERSONAL_REGEX} are supported")
-        rxs = [r[0][1:-1] for r in rx_rows.collect()]
-        plain_df = personal.where(~F.col("address").rlike(r"^/.+/$")).select(F.lower("address").alias("address"))
+        is_rx = F.col("address").rlike(r"^/.+/$")
+        rx = personal.where(is_rx).select(F.expr("substring(address, 2, length(address) - 2)").alias("rx")).distinct()
+        few = [r.rx for r in rx.limit(MAX_PERSONAL_REGEX + 1).collect()]
+        rxs = few if len(few) <= MAX_PERSONAL_REGEX else []
+        if not rxs and few:
+            hits = _regex_hits(occ, rx, rx.count(), email)
+        plain_df = personal.where(~is_rx).select(F.lower("address").alias("address"))
     o = occ.withColumn("_le", F.lower(F.col(email)))
     if plain_df is not None:
-        hits = plain_df.select(F.lower("address").alias("_le")).distinct().withColumn("_plain", F.lit(True))
-        o = o.join(hits, "_le", "left")
+        known = plain_df.select(F.lower("address").alias("_le")).distinct().withColumn("_plain", F.lit(True))
+        o = o.join(known, "_le", "left")
     else:
         o = o.withColumn("_plain", F.lit(None).cast("boolean"))
-    rx_pred = reduce(lambda a, b: a | b, [F.col(email).rlike(f"(?i)^(?:{r})$") for r in rxs]) if rxs else F.lit(False)
-    return o.withColumn("is_personal", F.coalesce(F.col("_plain"), F.lit(False)) | F.coalesce(rx_pred, F.lit(False))) \
-            .drop("_le", "_plain")
+    if hits is not None:
+        o = o.join(hits.withColumn("_rx", F.lit(True)), F.col(email) == F.col("_addr"), "left").drop("_addr")
+    else:
+        o = o.withColumn("_rx", reduce(lambda a, b: a | b, [F.col(email).rlike(f"(?i)^(?:{r})$") for r in rxs]) if rxs else F.lit(False))
+    return o.withColumn("is_personal", F.coalesce("_plain", F.lit(False)) | F.coalesce("_rx", F.lit(False))).drop("_le", "_plain", "_rx")
 
 
 def find_with_related(m: DataFrame, expr: Column, max_results: int = 0, field: str = "date",

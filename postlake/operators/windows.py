@@ -2,34 +2,79 @@
 
 ``row_number() over (partition by g order by k)`` sends a whole group to one
 task; a global ``row_number() over (order by k)`` sends the whole table to one
-task. Here rows are range-partitioned on (g, k) so a hot group spans many
-tasks, numbered inside each task, and corrected by per-task offsets. The
-offset table has at most two rows per task (a task's first and last group),
-so it is broadcast with a proven size bound.
+task. Here rows are range-partitioned on (g, k) once, so a hot group spans many
+tasks, numbered where they lie in the sorted task, and corrected by per-task
+offsets. The offset table has at most two rows per task (a task's first and last
+group), so it is broadcast with a proven size bound.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
+
+#: bits of a row's place within its task in ``monotonically_increasing_id``
+PLACE_BITS = 33
+
+
+def _alike(now: pa.Array, before: pa.Array) -> pa.Array:
+    """Whether values are equal, null to null and NaN to NaN included."""
+    same = pc.or_(pc.fill_null(pc.equal(now, before), False), pc.and_(pc.is_null(now), pc.is_null(before)))
+    if pa.types.is_floating(now.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(now), pc.is_nan(before)), False))
+    return same
+
+
+def _numbering(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds ``_lrn`` to the batches of a sorted task: the 1-based place of a row in its run of equal groups."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(name) for name in names]
+            same = np.ones(n, bool)
+            for k, col in enumerate(columns):
+                both = pa.concat_arrays([last[k] if last else col[:1], col])
+                same &= _alike(both[1:], both[:-1]).to_numpy(zero_copy_only=False)
+            if last is None:
+                same[0] = False
+            at = np.arange(n)
+            begin = np.maximum.accumulate(np.where(same, -1, at))
+            place = np.where(begin >= 0, at - begin, at + held) + 1
+            last, held = [col[n - 1:] for col in columns], int(place[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "_lrn"])
+    return number
 
 
 def ranked(df: DataFrame, order: list[Column], group: list[str] | None = None, out: str = "rank",
            num_partitions: int | None = None) -> DataFrame:
-    """Add a 1-based ``out`` column: row number of each row in ``order`` within ``group``.
+    """Add a 1-based ``out`` column: row number of each row in ``order`` within ``group`` (columns of simple types).
 
-    ``order`` must make rows unique (end it with a key) for a deterministic result.
+    ``order`` must make rows unique (end it with a key) for a deterministic result. The rows cross one
+    exchange; those of a group lie together in a sorted task, so their places there are counted in passing.
     """
     group = group or []
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group] + list(order)
     parted = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    parted = parted.withColumn("_pid", F.spark_partition_id())
-    # local number inside (task, group): a window on (pid, group) keeps hot groups split
-    w_local = Window.partitionBy("_pid", *group).orderBy(*order)
     from ..session import checkpointed
-    local = checkpointed(parted.withColumn("_lrn", F.row_number().over(w_local)))
+    if group:
+        tasked = parted.withColumn("_pid", F.spark_partition_id())
+        numbered = tasked.mapInArrow(_numbering(group), StructType([*tasked.schema.fields]).add("_lrn", LongType()))
+    else:
+        place = F.monotonically_increasing_id()
+        numbered = parted.withColumn("_lrn", place).select(
+            "*", F.shiftright("_lrn", PLACE_BITS).cast("int").alias("_pid")).withColumn("_lrn", F.col("_lrn").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1)
+    local = checkpointed(numbered)
     # per (task, group) counts; only first and last group of each task can span tasks
     counts = local.groupBy("_pid", *group).agg(F.max("_lrn").alias("_cnt"))
     if group:
@@ -44,7 +89,10 @@ def ranked(df: DataFrame, order: list[Column], group: list[str] | None = None, o
         bounds = counts
         wcum = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bounds.withColumn("_off", F.coalesce(F.sum("_cnt").over(wcum), F.lit(0))).drop("_cnt")
-    out_df = (local.join(F.broadcast(offsets), ["_pid", *group], "left")
-              .withColumn(out, (F.col("_lrn") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint"))
-              .drop("_pid", "_lrn", "_off"))
-    return out_df
+    same = F.col("_pid") == F.col("_opid")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
+    offsets = offsets.select(F.col("_pid").alias("_opid"), *[F.col(g).alias(f"_o_{g}") for g in group], "_off")
+    return (local.join(F.broadcast(offsets), same, "left")
+            .withColumn(out, (F.col("_lrn") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint"))
+            .drop("_pid", "_lrn", "_off", "_opid", *[f"_o_{g}" for g in group]))

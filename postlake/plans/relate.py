@@ -32,8 +32,7 @@ SELECT doc_id, doc_id <> min(doc_id) OVER (PARTITION BY md5(text)) AS is_dup,
 FROM documents""")
 def dup_flag(spark, sf):
     d = T.msgs_from_documents(spark, sf).select("doc_id", "msgid", "path")
-    f = dedupe.flag_duplicates(d)
-    return dedupe.dup_ordinal(f).select("doc_id", "is_dup", "dup_rank")
+    return dedupe.dup_ordinal(d).select("doc_id", (F.col("dup_rank") > 1).alias("is_dup"), "dup_rank")
 
 
 @query("skip_dups", sql=f"""

@@ -124,9 +124,7 @@ SELECT doc_id, date, "from", subject, size, maildir,
 FROM {CONV_MSGS} m""")
 def project_fields(spark, sf):
     m = T.msgs_from_conversations(spark, sf)
-    p = PR.project(m, "d f s z maildir", keep=["doc_id"])
-    return PR.with_custom_field(p.join(m.select("doc_id", "body_text"), "doc_id"), "n_words",
-                                F.size(X.tokens("body_text")).cast("bigint")).drop("body_text")
+    return PR.project(PR.with_custom_field(m, "n_words", F.size(X.tokens("body_text")).cast("bigint")), "d f s z maildir n_words", keep=["doc_id"])
 
 
 @query("from_or_to", sql=f"""

@@ -64,14 +64,15 @@ def observe_progress(batch: DataFrame, name: str = "index_progress") -> tuple[Da
 
 
 def index_progress(files: DataFrame, m: DataFrame) -> DataFrame:
-    """SRC10 as a table: processed (listed), updated (new or changed), removed."""
-    z = F.lit(0).cast("bigint")
-    o = F.lit(1).cast("bigint")
-    tagged = (files.select(o.alias("p"), z.alias("u"), z.alias("r"))
-              .unionByName(new_or_changed(files, m).select(z.alias("p"), o.alias("u"), z.alias("r")))
-              .unionByName(m.join(files.select("path"), "path", "left_anti").select(z.alias("p"), z.alias("u"), o.alias("r"))))
-    return tagged.agg(F.coalesce(F.sum("p"), z).alias("processed"), F.coalesce(F.sum("u"), z).alias("updated"),
-                      F.coalesce(F.sum("r"), z).alias("removed"))
+    """SRC10 as a table: processed (listed), updated (new or changed), removed. Listing and store meet once, in a
+    full join on the path (unique in each)."""
+    both = (files.select("path", "mtime", F.lit(1).alias("_listed"))
+            .join(m.select("path", F.col("mtime").alias("_stored"), F.lit(1).alias("_known")), "path", "full_outer"))
+    count = lambda what: F.count_if(what).cast("bigint")
+    listed = F.col("_listed").isNotNull()
+    return both.agg(count(listed).alias("processed"),
+                    count(listed & (F.col("_stored").isNull() | (F.col("mtime") > F.col("_stored")))).alias("updated"),
+                    count(~listed & F.col("_known").isNotNull()).alias("removed"))
 
 
 FOLDER_OF = r"^(.*/(?:cur|new))/[^/]+$"

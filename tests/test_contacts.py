@@ -46,3 +46,15 @@ def test_nicks_unique(spark):
     n = {r["email"]: r["nick"] for r in C.nicks(c).collect()}
     assert n["HK@example.com"] == "HelmutK"
     assert n["ann@example.com"] == "AnntheS"  # first name 'Ann "the"' + 'S', punctuation and spaces dropped
+
+
+def test_personal_join_with_many_patterns(spark):
+    """More patterns than fit one expression, in blocks: the same marks as few patterns give."""
+    from postlake.operators.related import MAX_PERSONAL_REGEX, personal_join
+    occ = spark.createDataFrame([(k, f"User{k}@x.example") for k in range(30)] + [(99, None), (100, "user3@x.example.org")], "doc_id long, email string")
+    some = [("/user[0-4]@x\\.example/",), ("/user7@.*|zed/",), ("USER9@x.example",)]
+    many = some + [(f"/nobody{k}@(a|b)/",) for k in range(MAX_PERSONAL_REGEX + 50)]
+    for rows in (some, many):
+        got = personal_join(occ, spark.createDataFrame(rows, "address string"))
+        assert got.columns == ["doc_id", "email", "is_personal"] and got.count() == 32
+        assert {r.doc_id for r in got.where("is_personal").collect()} == {0, 1, 2, 3, 4, 7, 9}
