@@ -19,10 +19,14 @@ from .common import stored
 CLASS, LEAST = "A-Za-z0-9+/_-", 16
 #: names that a secret of any form and length is assigned to, and what may stand between; the password of a url's user
 NAMES = "password|passwd|pwd|passphrase|secret|token|api_?key|access_?key|private_?key"
-GIVEN = (rf"(?<=[=:>\"'\s])(?=[^\s\"'=>])(?<=[=:>][ \t]{{0,4}}[\"']?)(?i)(?<=(?:{NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|==?|:)[ \t]{{0,4}}[\"']?)"
-         r"|(?<=:)(?=[^\s/@]{1,256}@)(?<=://[^\s/:@?#]{0,64}:)")
-#: characters of context kept on either side
-CONTEXT = 80
+#: a lookbehind needs bounds: blanks on a side of an assignment, and characters of a url's user
+BLANKS, USER = 16, 256
+GIVEN = (rf"(?<=[=:>\"'\s])(?=[^\s\"'=>])(?<=[=:>][ \t]{{0,{BLANKS}}}[\"']?)(?i)(?<=(?:{NAMES})[\"']?[ \t]{{0,{BLANKS}}}(?::=|=>|==?|:)[ \t]{{0,{BLANKS}}}[\"']?)"
+         rf"|(?<=:)(?<=://[^\s/:@?#]{{0,{USER}}}:)(?=[^\s/@]+@)")
+#: characters of context kept on either side; pieces of text that surely hold them, as candidates begin 3 characters apart or more
+CONTEXT, NEAR = 80, 32
+#: pieces to a block of running lengths
+SPAN = 256
 FEATURES = ["f_length", "f_digits", "f_upper", "f_symbols", "f_switches", "f_chars", "f_dictionary", "f_slashes", "f_url", "f_path",
             "f_before", "f_after", "f_assigned", "f_quoted"]
 
@@ -31,25 +35,44 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, start, candidate, left, right, path): every run of 16 or more of A-Za-z0-9+/_- of every whole text, and every
     value given to a secret's name, with padding.
 
-    A value is the non-blank run, of any length, after a name like password and an assignment, without its quotes,
-    punctuation at its end, or further parameters of a url; or the password of a url's user. A run that begins where a
-    value does is one candidate with it. ``start`` is the place of its first character in the text, from 0.
-    The text is cut before each candidate of a form, so the scan is linear in its length.
+    A value is the non-blank run, of any length, after a name like password and an assignment (with at most BLANKS
+    blanks on a side), without its quotes, punctuation at its end, or further parameters of a url; or the password of a
+    url's user (of at most USER characters). A run that begins where a value does is one candidate with it. ``start`` is the
+    place of its first character in the text, from 0; ``left`` and ``right`` are the CONTEXT characters beside it.
+    The text is cut once before each candidate of a form. Places are running lengths by blocks of SPAN pieces, so the
+    work is linear in the text and, up to some hundred thousand candidates of one text, in these.
     """
-    def starts(cut: str) -> Column:
-        return F.aggregate(F.col(cut), F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<long>").alias("all")),
-                           lambda acc, s: F.struct((acc["at"] + F.length(s)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+    def held(df: DataFrame, **columns: Column) -> DataFrame:
+        """Columns that pass a generator, so that they are computed once a row and not once an element that uses them."""
+        return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
-    def pieces(cut: str, at: str, run: bool) -> Column:
+    def upto(sizes: Column) -> Column:
+        return F.aggregate(sizes, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+    def sums(sizes: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / SPAN).cast("int")), lambda b: upto(F.slice(F.col(sizes), b * SPAN + 1, F.lit(SPAN))))
+
+    def offsets(blocks: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(blocks) - 1), lambda b: upto(F.slice(F.col(blocks), F.lit(1), b)))
+
+    def pieces(cut: str, sizes: str, before: str, run: bool) -> Column:
+        block = lambda i: F.floor(i / SPAN).cast("int")
+        start = lambda i: F.get(before, block(i)) + upto(F.slice(F.col(sizes), block(i) * SPAN + 1, i % SPAN)) - 1
+        tails = lambda i: F.transform(F.slice(F.col(cut), F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR))), lambda x: F.substring(x, -CONTEXT, CONTEXT))
+        heads = lambda i: F.transform(F.slice(F.col(cut), i + 2, F.lit(NEAR)), lambda x: F.substring(x, 1, CONTEXT))
         return F.transform(F.filter(F.sequence(F.lit(0), F.size(cut) - 1), lambda i: i > 0), lambda i: F.struct(
-            F.get(at, i).alias("start"), F.lit(run).alias("run"), F.get(cut, i).alias("piece"), F.substring(F.get(cut, i - 1), -CONTEXT, CONTEXT).alias("left")))
+            start(i).alias("start"), F.lit(run).alias("run"), F.get(cut, i).alias("piece"),
+            F.substring(F.array_join(tails(i), ""), -CONTEXT, CONTEXT).alias("left"), F.substring(F.array_join(heads(i), ""), 1, CONTEXT).alias("next")))
 
     path = F.col(path_col) if path_col and path_col in docs.columns else F.lit(None)
     text = F.concat(F.lit(" "), F.col("text"))
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.cast("string").alias("path"))
-            .select("id", "path", F.split(text, f"(?<![{CLASS}])(?=[{CLASS}]{{{LEAST},}})").alias("runs"), F.split(text, GIVEN).alias("given"))
-            .where((F.size("runs") > 1) | (F.size("given") > 1)).withColumns({"runs_at": starts("runs"), "given_at": starts("given")})
-            .withColumn("all", F.sort_array(F.concat(pieces("runs", "runs_at", True), pieces("given", "given_at", False)))))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.cast("string").alias("path"))
+    rows = held(rows.where("text is not null"), runs=F.split(text, f"(?<![{CLASS}])(?=[{CLASS}]{{{LEAST},}})"), given=F.split(text, GIVEN)).drop("text")
+    rows = held(rows.where((F.size("runs") > 1) | (F.size("given") > 1)), **{f"{c}_sizes": F.transform(c, lambda x: F.length(x).cast("long")) for c in ("runs", "given")})
+    rows = held(rows, **{f"{c}_sums": sums(f"{c}_sizes") for c in ("runs", "given")})
+    rows = held(rows, **{f"{c}_before": offsets(f"{c}_sums") for c in ("runs", "given")})
+    every = [pieces(c, f"{c}_sizes", f"{c}_before", c == "runs") for c in ("runs", "given")]
+    rows = held(rows, all=F.sort_array(F.concat(*every))).select("id", "path", "all")
     once = F.filter("all", lambda x, i: (i == 0) | (x["start"] != F.get("all", i - 1)["start"]))  # a value stands before a run
     found = rows.select("id", "path", F.explode(once).alias("c")).select("id", "path", "c.*")
     end = ",;.)\\]}>\"'"
@@ -59,7 +82,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .otherwise(F.regexp_replace(F.regexp_extract("piece", r"^\S+", 0), f"(?<=[^{end}])[{end}]+$", "")))
     hit = F.when(F.col("run"), F.regexp_extract("piece", f"^[{CLASS}]+={{0,2}}", 0)).otherwise(value)
     return (found.withColumn("candidate", hit).where("candidate <> ''")
-            .select("id", "start", "candidate", "left", F.expr(f"substring(piece, length(candidate) + 1, {CONTEXT})").alias("right"), "path"))
+            .select("id", "start", "candidate", "left", F.expr(f"substring(concat(substring(piece, length(candidate) + 1, {CONTEXT}), next), 1, {CONTEXT})").alias("right"), "path"))
 
 
 def folded(c: Column) -> Column:
@@ -88,8 +111,8 @@ def _odds(labelled: DataFrame, key: str, least: int = 5) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", least: int = 5) -> DataFrame:
-    """(word): letter words of 3 to 20 letters, lower-cased, that occur at least ``least`` times in all documents."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?<![a-z])[a-z]{3,20}(?![a-z])"), 0)).alias("word"))
+    """(word): letter words of 3 letters or more, lower-cased, that occur at least ``least`` times in all documents."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[a-z]{3,}"), 0)).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
 
 
@@ -159,14 +182,14 @@ def sample(marks: DataFrame, bound: int) -> DataFrame:
 
 def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
          threshold: float = 0.5, bound: int = 20_000, trees: int = 30, depth: int = 6, seed: int = 7) -> DataFrame:
-    """Every candidate of every whole text, judged: id, start, candidate, score, is_secret.
+    """Every candidate of every whole text, judged: id, start, candidate, score, is_secret, known_form.
 
     ``labels`` (id, start, label 0 or 1) has labelled findings; without, ``seed_labels``. The forest learns from
     at most ``bound`` of them, bound / 2 of each label or more where the other has fewer (see ``sample``), weighted
-    to the true counts of the labels. ``is_secret`` is score >= ``threshold``. Findings of a known form are
-    secrets with score 1 where labels are seeded, and where reviewed ones have no secret, unless they are labelled
-    none themselves. Without labelled secrets there is nothing to learn, and every other score is 0; with
-    labelled secrets only, every score is 1.
+    to the true counts of the labels. ``score`` is the forest's and ``is_secret`` is score >= ``threshold``, for findings of a
+    known form too; ``known_form`` tells these. Without labelled secrets there is nothing to learn: every score
+    is 0, and with reviewed labels findings of a known form are secrets unless they are labelled none themselves.
+    With labelled secrets only, every score is 1.
 
     Null and empty texts have no candidates. Rows of null id are scanned, and never labelled. Repeated rows
     give repeated findings. An empty table gives no rows. Other columns are ignored.
@@ -184,10 +207,9 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id
         train = vectors.transform(table.join(F.broadcast(labelled.select("key", "label", "weight")), "key").orderBy("id", "start"))
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", weightCol="weight").fit(train.select("features", "label", "weight"))
         judged = forest.transform(vectors.transform(table)).withColumn("score", vector_to_array("probability")[1])
-    if labels is None:
-        judged = judged.withColumn("score", F.when(known_form(), 1.0).otherwise(F.col("score")))
-    elif not got:
+    judged = judged.withColumns({"is_secret": F.col("score") >= threshold, "known_form": known_form()})
+    if labels is not None and not got:
         none = marks.select(F.col("id").alias("_id"), F.col("start").alias("_start"), F.lit(True).alias("_none"))
         judged = (judged.join(none, (F.col("id") == F.col("_id")) & (F.col("start") == F.col("_start")), "left")
-                  .withColumn("score", F.when(known_form() & F.col("_none").isNull(), 1.0).otherwise(F.col("score"))))
-    return judged.select(F.col("id").alias(id_col), "start", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
+                  .withColumn("is_secret", F.col("is_secret") | (F.col("known_form") & F.col("_none").isNull())))
+    return judged.select(F.col("id").alias(id_col), "start", "candidate", "score", "is_secret", "known_form")

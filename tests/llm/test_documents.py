@@ -447,6 +447,33 @@ def test_secret_candidates_of_any_form_after_a_name(spark):
     assert sorted(got) == [(k, t.rindex(c), c) for k, (t, c) in enumerate(GIVEN) if c]
 
 
+def test_secret_candidates_are_linear_and_keep_their_context(spark):
+    """Twenty thousand candidates of one text: places, and the 80 characters beside each, other candidates included."""
+    text = " ".join(f"x{k} key{k}abcdefghijklmnop," for k in range(20_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", 0), (2, "no candidates", "en", "s", 0), (3, None, "en", "s", 0)], DOCS)
+    got = secrets.candidates(docs).collect()
+    import re
+    want = [(m.start(), m.group()) for m in re.finditer("[A-Za-z0-9+/_-]{16,}", text)]
+    assert sorted((r.start, r.candidate) for r in got) == want and len(want) == 20_000
+    for r in got:
+        assert r.left == (" " + text)[:r.start + 1][-80:] and r.right == text[r.start + len(r.candidate):][:80]
+
+
+def test_secret_values_beyond_former_bounds(spark):
+    texts = ['password =      "hunter2x"', f"see https://{'u' * 70}:{'p' * 280}@db.example/x", "token" + "\t" * 12 + ":" + " " * 14 + "q!7"]
+    want = ["hunter2x", "p" * 280, "q!7"]
+    got = {r.id: r.candidate for r in secrets.candidates(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)).where("candidate not like 'u%'").collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_secret_forest_decides(spark):
+    """A finding of a known form has the forest's score, and a column of its own tells the form."""
+    docs = spark.createDataFrame(_secret_rows(), DOCS)
+    labels = secrets.candidates(docs).selectExpr("id", "start", "0 as label").where("id % 4 = 2").union(secrets.candidates(docs).selectExpr("id", "start", "1").where("id % 4 = 0 and start < 20"))
+    got = [r for r in secrets.scan(docs, labels).collect() if r.known_form]
+    assert {r.doc_id % 4 for r in got} == {0, 2} and all(r.is_secret == (r.doc_id % 4 == 0) for r in got)
+
+
 def test_secret_scan_of_short_values_and_url_keys(spark):
     """Short values are judged, and url text that is no word isn't taken for harmless."""
     rows = _secret_rows() + [(1000, 'now password = "hunter2x7" holds', "en", "s", 0), (1001, "https://h.example/a?id=9f8e7d6c5b4a39281706f5e4 there", "en", "s", 0)]
