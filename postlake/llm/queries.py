@@ -95,7 +95,8 @@ def op13_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
 
 ORACLE["op3_chat_format"] = """
-WITH convs AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS turns, count(*) AS n FROM conversations GROUP BY conv_id),
+WITH convs AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT conv_id, [struct_pack(r := role, t := text)], 1 FROM conversations WHERE conv_id IS NULL),
 whole AS (SELECT min(conv_id) AS conv_id, turns, any_value(n) AS n, count(*) AS n_copies FROM convs GROUP BY turns),
 inner_ AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM convs)),
 kept AS (SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM inner_ WHERE inner_.turns = whole.turns)),

@@ -45,9 +45,10 @@ def test_min_labels(spark):
 # chat
 
 def _plain_chats(rows: list[tuple]) -> set:
+    """(id, turns, copies, text) of each conversation that stays; a row without an id is a conversation of its own."""
     convs: dict = {}
     for n, (c, *rest) in enumerate(rows):
-        key = ("c", c) if c is not None else ("n", *map(repr, rest))
+        key = ("c", c) if c is not None else ("n", n)
         convs.setdefault(key, []).append((c, *rest))
     order = lambda t: tuple((x is not None, x or 0 if k == 0 else x or "") for k, x in enumerate(t[1:]))
     lists = {k: [(t[2], t[3]) for t in sorted(v, key=order)] for k, v in convs.items()}
@@ -60,7 +61,7 @@ def _plain_chats(rows: list[tuple]) -> set:
             continue
         safe = lambda x, e: (e if x is None else x).replace("<|", "< |")
         text = "".join(f"<|im_start|>{safe(r, 'unknown')}\n{safe(t, '')}<|im_end|>\n" for r, t in turns)
-        out.add((key[1] if key[0] == "c" else None, len(turns), text))
+        out.add((key[1] if key[0] == "c" else None, len(turns), len(equal), text))
     return out
 
 
@@ -71,18 +72,39 @@ def test_chats_as_plain(spark):
         base = rng.randrange(25)
         for t in range(rng.randint(1, 6)):
             rows.append((c, t, "user" if t % 2 == 0 else "assistant", f"turn {t} of {base if t < 4 else c}"))
-    rows += [(500, 0, None, None), (501, 0, None, ""), (502, None, "user", "<|im_start|>x"), (502, None, "user", "<|im_start|>x"), (None, 0, "user", "turn 0 of 3"), (None, 1, "user", "alone"), (None, 1, "user", "alone")]
+    rows += [(500, 0, None, None), (501, 0, None, ""), (502, None, "user", "<|im_start|>x"), (502, None, "user", "<|im_start|>x"), (None, 0, "user", "turn 0 of 3"), (None, 1, "user", "alone"), (None, 1, "user", "alone"), (None, 2, "user", "alone"), (None, None, None, None)]
+    rows += [(510, 0, "user", "same")] * 3 + [(511, 0, "user", x) for x in ("b", None, "a", "b")] + [(511, None, None, "z"), (511, None, None, "y")]
+    rows += [(520, 7, "user", "hot")] * (chat.PART + 40) + [(520, 8, "user", "end")]
     rows += [(900, t, "user", f"long {t}") for t in range(chat.PART * 2 + 5)]
     got = chat.format_chats(spark.createDataFrame(rows, TURNS)).collect()
     whole: dict = {}
     for r in sorted(got, key=lambda r: (r.conv_id is None, r.conv_id or 0, r.text if r.conv_id is None else "", r.part)):
-        key = (r.conv_id, r.n_turns, r.text if r.conv_id is None else None)
+        key = (r.conv_id, r.n_turns, r.n_copies, r.text if r.conv_id is None else None)
         whole[key] = whole.get(key, "") + r.text
-    assert {(c, n, text) for (c, n, _), text in whole.items()} == _plain_chats(rows)
+    assert {(c, n, m, text) for (c, n, m, _), text in whole.items()} == _plain_chats(rows)
     assert sum(r.conv_id == 900 for r in got) == 3
     assert chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_chats_ignore_other_columns(spark):
+    from pyspark.sql import functions as F
+    rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (None, 0, "user", "c")]
+    turns = spark.createDataFrame(rows, TURNS).withColumns({c: F.lit(9) for c in ("conv", "place", "n", "h1", "c1", "i1", "i2", "nth", "part", "key", "first", "many")})
+    got = {(r.conv_id, r.n_turns, r.n_copies) for r in chat.format_chats(turns).collect()}
+    assert got == {(2, 2, 1), (None, 1, 1)}
+
+
+@given
+def test_chats_without_ids_as_sql(spark, tmp_path):
+    import duckdb
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 3, "user", "b"), (4, 0, "user", "b"), (5, 0, "user", "c"), (5, 1, "x", "d"), (None, 1, "user", "c")]
+    spark.createDataFrame(rows, TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(map(repr, con.sql(ORACLE["op3_chat_format"]).fetchall()))
+    assert sorted(repr(tuple(r)) for r in QUERIES["op3_chat_format"](spark, str(tmp_path)).collect()) == want and len(want) == 3
+
+
 # nearest neighbours
 
 def _plain_search(ids: list, vectors: list, k: int) -> dict:
