@@ -14,6 +14,10 @@ from .common import stored
 
 #: vectors to a shard on average, to a leaf, queries to a block, and blocks that a task holds beside a tree
 SHARD, LEAF, BLOCK, HELD = 8192, 128, 1024, 16
+#: bytes of vectors to a shard on average, at most; values that are scored at once
+SHARD_BYTES, SCORED = 64 << 20, 1 << 22
+#: decimals of a unit vector's components that tell directions apart
+DIRECTION = 9
 #: distances are square roots of small differences; what rounding may add to them
 SLACK = 1e-6
 
@@ -29,18 +33,25 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 class Tree:
     """Nodes over unit vectors: a vantage point and the least and greatest distance to each half, by median.
 
-    Equal vectors are one point with all their ids. Distances are Euclidean between unit vectors,
-    which order as cosines do and satisfy the triangle inequality.
+    Vectors of one direction are one point, with each distinct vector and its ids. Distances are Euclidean between
+    unit vectors, which order as cosines do and satisfy the triangle inequality.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, seed: int = 5):
-        _, first, point = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
-        order = np.lexsort((ids, point.ravel()))
-        self.ids, self.ptr = ids[order], np.searchsorted(point.ravel()[order], np.arange(len(first) + 1))
-        self.raw = vectors[first]
-        self.unit = unit(self.raw)
+        _, first, which = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+        raw = vectors[first]
+        _, lead, point = np.unique(np.round(unit(raw), DIRECTION) + 0.0, axis=0, return_index=True, return_inverse=True)
+        # distinct vectors in order of their points, and ids in order of their vectors
+        by_point = np.argsort(point.ravel(), kind="stable")
+        place = np.empty_like(by_point)
+        place[by_point] = np.arange(len(by_point))
+        self.raw, self.raw_ptr = raw[by_point], np.searchsorted(point.ravel()[by_point], np.arange(len(lead) + 1))
+        own = place[which.ravel()]
+        order = np.lexsort((ids, own))
+        self.ids, self.ptr = ids[order], np.searchsorted(own[order], np.arange(len(raw) + 1))
+        self.unit = unit(raw[lead])
         self.rng = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(first)), leaf)
+        self.root = self._build(np.arange(len(lead)), leaf)
         del self.rng
 
     def _build(self, own: np.ndarray, leaf: int):
@@ -105,43 +116,55 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
     """A row (dim, shard, tree) per shard; every usable vector is in one tree.
 
-    Shards are dealt by a hash of the id, so equal vectors spread over shards. The number of shards follows the
-    number of vectors. Vectors of different dimensions are in different shards.
+    Shards are dealt by a hash of id and vector, so equal vectors and rows of one id spread over shards. The number of
+    shards follows the number of vectors and their bytes. Vectors of different dimensions are in different shards.
     """
     rows = usable(vectors, id_col, vector_col)
-    n = max(1, -(-rows.count() // shard))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("values")).first()
+    n = max(1, -(-size.n // shard), -(-8 * (size["values"] or 0) // SHARD_BYTES))
 
     def build(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         tree = Tree(batch["id"].to_numpy(np.int64), np.stack(batch["vector"].to_numpy()).astype(float), leaf)
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(tree)]})
 
-    dealt = rows.select("id", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("shard"))
+    dealt = rows.select("id", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("id", "vector"), F.lit(n)).alias("shard"))
     return stored(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, tree binary"), "trees")
 
 
 HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def _spread(ptr: np.ndarray, groups: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``groups``, member) of the members ptr[g] to ptr[g + 1] of each group, the first ``most`` of each."""
+    size = np.diff(ptr)[groups]
+    size = size if most is None else np.minimum(size, most)
+    each = np.repeat(np.arange(len(groups)), size)
+    return each, ptr[groups[each]] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+
+
 def _ranked(tree: Tree, asked: pa.StructArray, k: int, factor: float) -> pa.Table:
     """(query_id, vec_id, score) of the best 2 k candidates of each query in one tree, its own id left out."""
     qid = asked.field("id").to_numpy()
     q = asked.field("vector").flatten().to_numpy().reshape(len(qid), -1)
     found, _ = tree.search(q, k, factor)
-    # of each point found the first k + 1 ids: the query's own may be one
-    at, col = np.nonzero(found >= 0)
-    point = found[at, col]
-    size = np.minimum(np.diff(tree.ptr)[point], k + 1)
-    each = np.repeat(np.arange(len(point)), size)
-    inside = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-    vec = tree.ids[tree.ptr[point[each]] + inside]
-    score = cosines(q[at], tree.raw[point])[each]
-    who = at[each]
-    ok = vec != qid[who]
-    who, vec, score = who[ok], vec[ok], score[ok]
-    order = np.lexsort((vec, -score, who))
-    who, vec, score = who[order], vec[order], score[order]
-    ok = np.arange(len(who)) - np.searchsorted(who, who) < 2 * k
-    return pa.table([qid[who[ok]], vec[ok], score[ok]], schema=HITS)
+    vectors = np.diff(tree.raw_ptr)  # distinct vectors of a point
+    load = np.where(found >= 0, vectors[found], 0).sum(axis=1).cumsum() * q.shape[1] // SCORED
+    out = [HITS.empty_table()]
+    for rows in np.split(np.arange(len(qid)), np.flatnonzero(np.diff(load)) + 1):
+        at, col = np.nonzero(found[rows] >= 0)
+        each, vector = _spread(tree.raw_ptr, found[rows][at, col])
+        who = rows[at[each]]
+        score = cosines(q[who], tree.raw[vector])
+        # of each vector the first k + 1 ids: the query's own may be one
+        each, member = _spread(tree.ptr, vector, k + 1)
+        who, vec, score = who[each], tree.ids[member], score[each]
+        ok = vec != qid[who]
+        who, vec, score = who[ok], vec[ok], score[ok]
+        order = np.lexsort((vec, -score, who))
+        who, vec, score = who[order], vec[order], score[order]
+        ok = np.arange(len(who)) - np.searchsorted(who, who) < 2 * k
+        out.append(pa.table([qid[who[ok]], vec[ok], score[ok]], schema=HITS))
+    return pa.concat_tables(out)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 0.25, id_col: str = "vec_id",
@@ -156,7 +179,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 0.2
     """
     rows = usable(queries, id_col, vector_col)
     blocks = max(1, -(-rows.count() // block))
-    dealt = (rows.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"), F.struct("id", "vector").alias("query"))
+    dealt = (rows.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id", "vector", F.lit(1)), F.lit(blocks)).alias("block"), F.struct("id", "vector").alias("query"))
              .groupBy("dim", "block").agg(F.sort_array(F.collect_list("query")).alias("queries")))
 
     def run(trees: pa.Table, asked: pa.Table) -> pa.Table:

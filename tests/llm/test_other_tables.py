@@ -120,6 +120,24 @@ def _plain_search(ids: list, vectors: list, k: int) -> dict:
     return out
 
 
+def test_search_ties_of_one_direction(spark):
+    """Forty multiples of one vector, an id with very many rows, and names that the index uses: ties go to smaller ids."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(4)
+    base, other = rng.normal(size=8), rng.normal(size=(60, 8))
+    rows = [(k, [float(x) for x in base * 2.0 ** (20 - k)]) for k in range(40)] + [(100 + k, [float(x) for x in v]) for k, v in enumerate(other)]
+    rows += [(77, [float(x) for x in v]) for v in rng.normal(size=(400, 8))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "vector", "dim", "shard", "part", "block", "tree")})
+    index = vptree.build_index(df, shard=64, leaf=4)
+    got: dict = {}
+    for r in vptree.search(index, df.where("vec_id in (0, 3, 39)"), factor=1.0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert {q: [g[k + 1][0] for k in range(5)] for q, g in got.items()} == {0: [1, 2, 3, 4, 5], 3: [0, 1, 2, 4, 5], 39: [0, 1, 2, 3, 4]}
+    assert all(s == pytest.approx(1) for g in got.values() for _, s in g.values())
+    sizes = df.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(8)).alias("s")).where("vec_id = 77").groupBy("s").count()
+    assert sizes.count() == 8  # one id's rows are on all shards
+
+
 @pytest.mark.parametrize("factor", [1.0, 0.25])
 def test_search_against_brute_force(spark, factor):
     rng = np.random.default_rng(3)
