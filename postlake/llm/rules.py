@@ -14,6 +14,8 @@ from .words import Words, slices, span_hashes, windows
 
 #: bits of a hashed n-gram, and bytes to an n-gram
 BITS, GRAM = 18, 4
+#: pseudo-counts of the target as a share of its n-grams
+SHARE = 0.1
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 STATS = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -40,7 +42,6 @@ def _lines(words: Words) -> np.ndarray:
     if not len(words.start):
         return out
     breaks = np.flatnonzero(data == 10)
-    cuts = np.union1d(np.r_[offsets[:-1], breaks + 1], words.start[:1])  # starts of lines, and of the first word at least
     starts = np.unique(np.r_[offsets[:-1], breaks + 1])
     starts = starts[starts < len(data)]
     ends = np.minimum(np.r_[starts[1:], len(data)], len(data))
@@ -52,7 +53,6 @@ def _lines(words: Words) -> np.ndarray:
     seen: set = set()
     last = -1
     hashes = span_hashes(data, starts, ends)
-    del cuts
     for d, h, a, b in zip(doc.tolist(), hashes.tolist(), starts.tolist(), ends.tolist()):
         if d != last:
             seen, last = set(), d
@@ -107,11 +107,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
 
-def gram_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def gram_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> np.ndarray:
     """log(p_target / p_raw) of each hash bucket, over the n-grams of all documents.
 
     ``trusted`` has the ids of target documents. The target is smoothed towards the raw multinomial
-    with one pseudo-count per bucket, so that a bucket without evidence says nothing. Counts
+    with ``share`` of its own n-grams as pseudo-counts, so a ratio means the same for every size of corpus: it is at
+    least log(share / (1 + share)), that of n-grams which the target lacks. Counts
     are summed per task before the shuffle; the driver gets one row per bucket, 2 ** BITS at most.
     """
     ids = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(True)).hint("merge")  # target ids grow with the corpus: never broadcast
@@ -123,20 +124,21 @@ def gram_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     ratio = np.zeros((1 << BITS) + 1)
     if raw.sum() and target.sum():
         p = raw / raw.sum()
-        smooth = float(1 << BITS)
+        smooth = share * target.sum()
         seen = raw > 0
         ratio[:-1][seen] = np.log((target[seen] + smooth * p[seen]) / (target.sum() + smooth) / p[seen])
     return ratio
 
 
 def apply_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                least_words: int = 50, most_repeat: int = 50, least_ratio: float = -0.35) -> DataFrame:
+                least_words: int = 50, most_repeat: int = 50, least_ratio: float = -0.45) -> DataFrame:
     """Base counts, base verdict, length-normalised ratio and final verdict of every whole text.
 
     Returns id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than
     ``least_words`` words, or more than ``most_repeat`` % of them in repeated 3-word windows), ratio (mean
     log-likelihood ratio of its n-grams, 0 without any) and kept: not base_failed and ratio at least
-    ``least_ratio``. The threshold is the same for every document and size of corpus.
+    ``least_ratio``. The threshold is the same for every document, and as pseudo-counts are a share of the target, a ratio
+    means the same for every size of corpus.
 
     Null and empty texts have no words and fail the base rules. Null ids are no target. Repeated rows are
     judged each. Without target documents every ratio is 0. Other columns are ignored.
@@ -151,9 +153,11 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
                 texts = part.column("text")
                 stats = text_stats(texts)
                 words = Words(texts)
-                worth = np.concatenate([[0.0], np.cumsum(table[grams(words.data, words.offsets)])])
-                sizes = np.maximum(np.diff(words.offsets) - GRAM + 1, 1)
-                ratio = (worth[words.offsets[1:]] - worth[words.offsets[:-1]]) / sizes
+                bytes_ = np.diff(words.offsets)
+                ratio, some = np.zeros(len(bytes_)), np.flatnonzero(bytes_)
+                if len(some):
+                    ratio[some] = np.add.reduceat(table[grams(words.data, words.offsets)], words.offsets[some])
+                ratio /= np.maximum(bytes_ - GRAM + 1, 1)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, stats.values()), pa.array(ratio)], names=["id", *stats, "ratio"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
