@@ -113,16 +113,30 @@ def test_distinct_of_ranges():
 
 # line dedup
 
+def _plain_runs(raw: list[str]) -> set[tuple[int, int]]:
+    """Removable runs (first line, lines) that hold no smaller one, each also with the blank lines beside it; own code."""
+    some = [k for k, x in enumerate(raw) if words(x)]
+    size = {k: len(words(raw[k])) for k in some}
+    may = lambda i, j: 0 <= i <= j < len(some) and ((j > i and sum(size[k] for k in some[i:j + 1]) >= 10))
+    runs = {(k, k) for k in some if size[k] >= 50}
+    ends = [next((j for j in range(i, len(some)) if may(i, j)), None) for i in range(len(some))]
+    starts = [next((i for i in range(j, -1, -1) if may(i, j)), None) for j in range(len(some))]
+    fore = {(some[i], some[j]) for i, j in enumerate(ends) if j is not None} | runs
+    back = {(some[i], some[j]) for j, i in enumerate(starts) if i is not None} | runs
+    last = lambda a: max([k for k in some if k < a], default=-1) + 1
+    after = lambda b: min([k for k in some if k > b], default=len(raw) - (raw[-1] == "")) - 1
+    whole = fore | back | {(last(a), b) for a, b in fore} | {(a, max(b, after(b))) for a, b in back}
+    return {(a, b - a + 1) for a, b in whole}
+
+
 def _plain_dedup(rows: list[tuple[int, str]]) -> dict[int, str]:
-    """Chunks from the operator's own boundaries, dropped by comparing their bytes in order of id and place."""
+    """Runs dropped where their bytes lie at an earlier place, by id and line."""
     seen, out = {}, {}
     for i, text in sorted(rows):
         raw = (text or "").split("\n")
-        lines = linededup.Lines(pa.array([text], pa.string()))
-        places = sorted({(int(a), int(n)) for d in range(linededup.DEALS) for a, n, _, r in zip(*lines.chunks(d)) if r})
         gone = set()
-        for a, n in places:
-            if seen.setdefault("\n".join(raw[a:a + n]), (i, a)) != (i, a):
+        for a, n in sorted(_plain_runs(raw)):
+            if seen.setdefault((n, "\n".join(raw[a:a + n])), (i, a)) != (i, a):
                 gone |= set(range(a, a + n))
         out[i] = "\n".join(x for k, x in enumerate(raw) if k not in gone)
     return out
