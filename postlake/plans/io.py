@@ -19,13 +19,13 @@ from ..streaming import streams as S
 from .catalog import query
 from .sqlviews import CONV_MSGS, EVENT_MSGS, OCC_ORDERS, tokens_sql
 
-_ROOTS: dict[tuple[str, str, str], str] = {}
+_ROOTS: dict[tuple, str] = {}
 
 
 def maildir_root(spark, sf, separator: str = ":") -> str:
     """A maildir written (once per session) from the conversations table into the
     shared checkpoint folder, plus one excluded folder holding a .noindex marker."""
-    key = (sf, separator, spark.sparkContext.getCheckpointDir() or "")
+    key = (sf, separator, spark.sparkContext.getCheckpointDir() or "", T.version(spark, sf, "conversations"))
     if key not in _ROOTS:
         root = scratch_path(spark, "maildir")
         msgs = T.rfc822_from_conversations(spark, sf, separator)

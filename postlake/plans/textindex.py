@@ -14,14 +14,14 @@ _POSTINGS_SQL = f"""(SELECT doc_id, 'body' AS field, unnest(toks) AS term, CAST(
   FROM (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents))"""
 
 
-_INDEX: dict[tuple[str, str], str] = {}
+_INDEX: dict[tuple, str] = {}
 
 
 def _postings(spark, sf):
     """The documents' postings index: built by Spark from the table once per
     session, written as a sorted Parquet table, then read by every query."""
     from ..session import scratch_path
-    key = (sf, spark.sparkContext.getCheckpointDir() or "")
+    key = (sf, spark.sparkContext.getCheckpointDir() or "", T.version(spark, sf, "documents"))
     if key not in _INDEX:
         path = scratch_path(spark, "postings")
         FT.write_postings(FT.build_postings(T.msgs_from_documents(spark, sf), {"body": "body_text"}), path)
@@ -75,13 +75,13 @@ def fts_regex(spark, sf):
     return r.unionByName(pre)
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
 def _index(spark, sf):
     """The stored index of the documents, written once per session."""
     from ..session import scratch_path
-    key = (sf, spark.sparkContext.getCheckpointDir() or "")
+    key = (sf, spark.sparkContext.getCheckpointDir() or "", T.version(spark, sf, "documents"))
     if key not in _STORED:
         path = scratch_path(spark, "text-index")
         TI.write_index(T.msgs_from_documents(spark, sf), path, {"body": "body_text"})

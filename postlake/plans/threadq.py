@@ -24,10 +24,10 @@ _THREADS: dict[tuple, str] = {}
 
 def threads_table(spark, sf, gaps: bool, descending: bool = False):
     """Thread info of the conversation messages, computed by Spark once per
-    session and stored as a table in the shared folder; every thread query of
-    the catalogue reads it (as a mail store keeps its thread fields)."""
+    session and version of the table, and stored as a table in the shared folder; every thread
+    query of the catalogue reads it (as a mail store keeps its thread fields)."""
     from ..session import scratch_path
-    key = (sf, gaps, descending, spark.sparkContext.getCheckpointDir() or "")
+    key = (sf, gaps, descending, spark.sparkContext.getCheckpointDir() or "", T.version(spark, sf, "conversations"))
     if key not in _THREADS:
         path = scratch_path(spark, "threads")
         TH.build_threads(T.msgs_from_conversations(spark, sf, gaps=gaps), descending).write.parquet(path)

@@ -18,6 +18,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def version(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Number, bytes and newest change of a table's files, from their metadata (no column is read): what is
+    derived from a table holds as long as this is the same."""
+    files = read(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(files.agg(F.count("*"), F.sum("file_size"), F.max("file_modification_time").cast("string")).first())
+
+
 def _base_plus_seconds(secs: Column) -> Column:
     return F.lit(BASE_DATE).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs.cast("decimal(18,6)"))
 
