@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import flatten_py, tokens
+from ..session import scratch_path
 from .predicates import words_of
 
+#: bytes of a row group of tokens on their way to the index
+TOKEN_BLOCK = 2 << 20
+
 
 def build_postings(m: DataFrame, fields: dict[str, str] | list[str]) -> DataFrame:
     """FTS1: one row per token occurrence; ``fields`` maps field name -> column."""
@@ -29,9 +33,14 @@ def build_postings(m: DataFrame, fields: dict[str, str] | list[str]) -> DataFram
 def write_postings(postings: DataFrame, path: str, num_partitions: int | None = None) -> None:
     """Store postings as the index table: partitioned by field, dealt by range of
     (field, term, doc_id) and sorted inside each file, so a term lookup reads only the row groups
-    whose min/max cover it, and a stop word's postings are spread over many tasks."""
-    n = num_partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (postings.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id", "pos")
+    whose min/max cover it, and a stop word's postings are spread over many tasks. Tokens are written
+    first, in row groups small enough to be read by many tasks, so that sampling the ranges doesn't split the texts a
+    second time and a table of few files is dealt in parallel."""
+    spark = postings.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens_path = scratch_path(spark, "tokens")
+    postings.write.option("parquet.block.size", TOKEN_BLOCK).parquet(tokens_path)
+    (spark.read.schema(postings.schema).parquet(tokens_path).repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id", "pos")
      .write.mode("overwrite").partitionBy("field").parquet(path))
 
 
