@@ -350,6 +350,26 @@ def test_mix_takes_by_key_and_meets_targets(spark):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mixing.mix_sources(docs.repartition(7)).collect())
 
 
+def test_mix_weights_of_nothing_come_last(spark):
+    rows = [(k, "w " * 10, "en", "a" if k < 40 else "b", k) for k in range(60)]
+    weigh = lambda q: {r.doc_id: r.times for r in mixing.mix_sources(spark.createDataFrame(rows, DOCS), quality=q).collect()}
+    from pyspark.sql import functions as F
+    for nothing in (0.0, -3.0):
+        got = weigh(F.when(F.col("doc_id") % 2 == 0, F.lit(nothing)).otherwise(1.0))
+        # a: 400 words with a target of 200; all of them are of documents with a weight
+        assert {k for k in range(40) if got[k]} == set(range(1, 40, 2))
+    plain = weigh(F.lit(1.0))
+    assert weigh(F.lit(None).cast("double")) == weigh(F.lit(float("nan"))) == plain
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(8)
+    sizes = {f"site{k:04d}": rng.choice([0, 1, 5, 100, 10_000]) for k in range(3000)} | {None: 7}
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    want = _plain_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 def test_mix_odd_rows(odd, empty):
     got = mixing.mix_sources(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.taken <= 3 * r.size for r in got)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 import subprocess
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -259,6 +260,28 @@ def test_query_matches_its_sql(spark, key):
     assert digest(got.columns, [tuple(r) for r in got.collect()])[1] == digest(cols, cur.fetchall())[1]
 
 
+def _plain_mix(spark, docs, machine) -> Counter:
+    """How often each document is taken: whole epochs, then by -ln(u) / score up to the rest, u the draw of seed 1."""
+    from postlake.llm import quality
+
+    from .helpers import words
+    from .test_documents import _plain_targets
+    draws = {r.doc_id: ((r.h % 2**64 >> 11) + 0.5) / 2**53 for r in docs.selectExpr("doc_id", "xxhash64(1, doc_id, text) AS h").collect()}
+    scores = {r.doc_id: r.score for r in quality.score(docs, machine).collect()}
+    by = defaultdict(list)
+    for r in docs.collect():
+        by[r.source].append((-math.log(draws[r.doc_id]) / max(scores[r.doc_id], 1e-9), r.doc_id, len(words(r.text))))
+    totals = {s: sum(size for *_, size in own) for s, own in by.items()}
+    targets, out = _plain_targets(totals), Counter()
+    for s, own in by.items():
+        epochs = int(targets[s] // totals[s]) if totals[s] else 0
+        before, rest = 0, targets[s] - epochs * totals[s]
+        for _, i, size in sorted(own):
+            out[i] += epochs + (size > 0 and before + size / 2 <= rest)
+            before += size
+    return +out
+
+
 @given
 @pytest.mark.skipif(not os.path.exists("/opt/tokenizers/piece_bpe_32k.model"), reason="public tokenizers not present")
 def test_pipeline_stages(spark):
@@ -268,6 +291,7 @@ def test_pipeline_stages(spark):
     from postlake.llm.common import stored, table
 
     from .helpers import components, shingles, words
+    from .test_documents import _plain_dedup
     docs = table(spark, SF, "documents")
     columns, kept = docs.columns, {}
     assert [n for n, _ in p.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "mixing sources", "SentencePiece"]
@@ -283,7 +307,11 @@ def test_pipeline_stages(spark):
             rows = before.collect()
             own = components([r.doc_id for r in rows], [shingles(r.text) for r in rows])
             assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r, c in zip(rows, own) if r.doc_id == c)
+        if name == "line dedup":
+            assert {r.doc_id: r.text for r in docs.collect()} == _plain_dedup([(r.doc_id, r.text) for r in before.collect()])
+            assert all(r.n_chars == len(r.text) for r in docs.collect() if r.text is not None)
         if name == "mixing sources":
+            assert Counter(r.doc_id for r in docs.collect()) == _plain_mix(spark, before, quality.train(table(spark, SF, "documents"), table(spark, SF, "labels")))
             total = sum(len(words(r.text)) for r in before.collect())
             assert abs(sum(len(words(r.text)) for r in docs.collect()) - total) < 0.5 * total
             assert max(Counter(r.doc_id for r in docs.collect()).values()) <= 3
