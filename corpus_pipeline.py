@@ -30,8 +30,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.repeat_mixed(docs)
+    """Each document as often as the mix takes it; in a partial epoch, the classifier's score is its quality weight.
+
+    The score isn't a column of documents, so the classifier is fitted again, on the same rows as in the first stage.
+    """
+    machine = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality.with_score(docs.select("doc_id", "text", "source", "n_chars"), machine)
+    return mixing.repeat_mixed(docs, scored=scored, quality=F.col("score"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
