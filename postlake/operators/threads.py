@@ -37,10 +37,11 @@ DUP_PREFIX = "\u0000dup-"
 
 def _ckpt(df: DataFrame) -> DataFrame:
     """Lineage cut by a table written to the shared folder. A checkpoint would hand on what the optimiser knows of a column's
-    origin, which doubles with each round of joins of a table with itself."""
+    origin, which doubles with each round of joins of a table with itself. Tables of a row per node are joined by sorting: the files
+    are so small that Spark would send them through the driver to all tasks, in each round."""
     path = scratch_path(df.sparkSession, "threads")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def parent_edges(m: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +109,7 @@ def _loop_cuts(links: DataFrame, edges: DataFrame) -> DataFrame:
 def _real_parents(nodes: DataFrame) -> DataFrame:
     """``nodes`` (id, is_real, parent, root) with ``up``, the nearest real id above, or null: pointers jump over placeholders, doubling."""
     real = nodes.where("is_real").select(F.col("id").alias("parent"), F.lit(True).alias("_real"))
-    state = _ckpt(nodes.join(real, "parent", "left").select("id", "is_real", "root", F.col("parent").alias("up"),
+    state = _ckpt(nodes.join(real.hint("merge"), "parent", "left").select("id", "is_real", "root", F.col("parent").alias("up"),
                                                             (F.col("parent").isNull() | F.coalesce("_real", F.lit(False))).alias("done")))
     while not state.where("not done").isEmpty():
         b = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("done").alias("_done"))
@@ -158,22 +159,22 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
     ensure_checkpoint_dir(spark)
     base = m.select("doc_id", F.coalesce("msgid", "path").alias("id"), "refs", "date", "subject")
     firsts = base.groupBy("id").agg(F.min("doc_id").alias("first_doc"))
-    b = base.join(firsts, "id").withColumn("is_dup", F.col("doc_id") != F.col("first_doc")).drop("first_doc")
+    b = base.join(firsts.hint("merge"), "id").withColumn("is_dup", F.col("doc_id") != F.col("first_doc")).drop("first_doc")
     real = b.where(~F.col("is_dup"))
     dups = b.where(F.col("is_dup"))
 
     edges, ids = parent_edges(real)
-    tree = parents(ids, edges)
+    tree = parents(ids, edges).hint("merge")
 
     # --- prune placeholders -------------------------------------------------
     real_ids = real.select("id", F.lit(True).alias("is_real"))
-    nodes = _real_parents(tree.join(real_ids, "id", "left").withColumn("is_real", F.coalesce("is_real", F.lit(False))))
+    nodes = _real_parents(tree.join(real_ids.hint("merge"), "id", "left").withColumn("is_real", F.coalesce("is_real", F.lit(False))))
     top = nodes.where(F.col("is_real") & F.col("up").isNull() & (F.col("root") != F.col("id")))
     kept = (top.groupBy("root").agg(F.count("*").alias("n_top")).where(F.col("n_top") >= 2)
             .select(F.col("root").alias("kept_root")))
-    rn = nodes.where("is_real").join(kept, F.col("root") == F.col("kept_root"), "left")
+    rn = nodes.where("is_real").join(kept.hint("merge"), F.col("root") == F.col("kept_root"), "left")
     date_type = real.schema["date"].dataType
-    real_nodes = (rn.join(real.select("id", "doc_id", "date", "subject"), "id")
+    real_nodes = (rn.join(real.select("id", "doc_id", "date", "subject").hint("merge"), "id")
                   .select(F.col("id").alias("node"), "doc_id", "date", "subject", F.lit(False).alias("is_dup"),
                           F.lit(False).alias("is_placeholder"), F.coalesce("up", "kept_root").alias("parent")))
     dup_nodes = dups.select(F.concat(F.lit(DUP_PREFIX), F.col("doc_id").cast("string")).alias("node"), "doc_id",
@@ -188,8 +189,8 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
     nd = fin.where(~F.col("is_dup"))
     inner = nd.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node"), F.lit(True).alias("_inner")).distinct()
     is_leaf = F.col("_inner").isNull() & ~F.col("is_placeholder")
-    leaf_key = _newest_below(nd.join(inner, "node", "left").select("node", F.col("parent").alias("up"), F.when(is_leaf, F.col("date")).alias("value")))
-    fin = fin.join(leaf_key, "node", "left").withColumn(
+    leaf_key = _newest_below(nd.join(inner.hint("merge"), "node", "left").select("node", F.col("parent").alias("up"), F.when(is_leaf, F.col("date")).alias("value")))
+    fin = fin.join(leaf_key.hint("merge"), "node", "left").withColumn(
         "key", F.when(F.col("is_dup"), F.lit(None)).otherwise(F.coalesce("newest", "date"))).drop("newest")
     fin = _ckpt(fin)
 
@@ -205,7 +206,7 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
                          F.col("doc_id").asc_nulls_last(), F.col("node").asc()], ["_grp"], out="sib")
     fin = fin.withColumn("sib", F.col("sib") - 1).drop("_grp", "_ka", "_kd")
     n_sibs = fin.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.max("sib").alias("max_sib"))
-    fin = _ckpt(fin.join(n_sibs.withColumnRenamed("parent", "p2"), F.col("parent") == F.col("p2"), "left").drop("p2"))
+    fin = _ckpt(fin.join(n_sibs.withColumnRenamed("parent", "p2").hint("merge"), F.col("parent") == F.col("p2"), "left").drop("p2"))
 
     # id-table size decides the hex width of a path segment
     n_ids = tree.count() + dups.count()  # the tree is a written table: one row per container id
@@ -219,17 +220,17 @@ def build_threads(m: DataFrame, descending: bool = False) -> DataFrame:
     paths = _paths(segs, ["order", "shown"] if descending else ["order"])
     path = F.concat("shown", F.lit(":z")) if descending else F.col("order")
     fin = fin.join(paths.select("node", F.col("order").alias("_order"), path.alias("thread_path"), F.col("level").alias("thread_level"),
-                                F.col("top").alias("thread_root")), "node")
+                                F.col("top").alias("thread_root")).hint("merge"), "node")
     has_child = fin.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct().withColumn("hc", F.lit(True))
     placeholders = fin.where("is_placeholder").select(F.col("node").alias("parent"), F.lit(True).alias("parent_empty"))
-    fin = fin.join(has_child, "node", "left").join(placeholders, "parent", "left")
+    fin = fin.join(has_child.hint("merge"), "node", "left").join(placeholders.hint("merge"), "parent", "left")
     fin = _ckpt(fin)
 
     # --- thread-subject: subject differs from the previous message in thread order
     msgs = fin.where(~F.col("is_placeholder"))
     pos = ranked(msgs, [F.col("_order"), F.col("node")], ["thread_root"], out="tpos")
     prev = pos.select("thread_root", (F.col("tpos") + 1).alias("tpos"), F.col("subject").alias("prev_subject"))
-    out = pos.join(prev, ["thread_root", "tpos"], "left")
+    out = pos.join(prev.hint("merge"), ["thread_root", "tpos"], "left")
     is_root = F.col("parent").isNull()
     tsubj = (is_root | F.coalesce(F.col("prev_subject"), F.lit("")).eqNullSafe("")
              | (subject_tail(F.coalesce("prev_subject", F.lit(""))) != subject_tail(F.coalesce("subject", F.lit("")))))

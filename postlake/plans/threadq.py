@@ -87,7 +87,7 @@ SELECT doc_id, level = 0 AS thread_subject, CASE WHEN level = 0 THEN subject ELS
 FROM ({_chain_sql()})""")
 def thread_subject(spark, sf):
     m = _gap_msgs(spark, sf)
-    th = threads_table(spark, sf, gaps=True).join(m.select("doc_id", "subject"), "doc_id")
+    th = threads_table(spark, sf, gaps=True).join(m.select("doc_id", "subject").hint("merge"), "doc_id")
     return th.select("doc_id", "thread_subject", thread_prefix_subject("subject", "thread_subject").alias("shown_subject"))
 
 
@@ -115,7 +115,7 @@ def thread_summary(spark, sf):
 
 def _full_threads(spark, sf):
     m = T.msgs_from_conversations(spark, sf)
-    return m, threads_table(spark, sf, gaps=False).join(m.select("doc_id", "conv_id", "turn", "msgid"), "doc_id")
+    return m, threads_table(spark, sf, gaps=False).join(m.select("doc_id", "conv_id", "turn", "msgid").hint("merge"), "doc_id")
 
 
 @query("whole_thread", sql=f"SELECT doc_id FROM {CONV_MSGS} m WHERE conv_id = 5")

@@ -64,4 +64,4 @@ def export_parts(parts: DataFrame, path: str, payload: str = "payload") -> None:
 def with_thread_info(res: DataFrame, threads: DataFrame) -> DataFrame:
     """SNK8: thread info packed as one struct column of the output row."""
     info = threads.select("doc_id", F.struct(*[c for c in threads.columns if c != "doc_id"]).alias("thread"))
-    return res.join(info, "doc_id", "left")
+    return res.join(info.hint("merge"), "doc_id", "left")  # a row per message: not sent through the driver

@@ -139,3 +139,14 @@ def test_loops_and_placeholders_as_a_plain_walk(spark):
         return x
 
     assert got == {f"n{k}": (own.get(f"n{k}", (None,))[0], root(f"n{k}")) for k in range(60)}
+
+
+def test_node_tables_are_joined_by_sorting(spark):
+    """Tables of a row per node are small as files, and none goes through the driver to all tasks."""
+    from postlake.operators import threads as TH
+    from postlake.sinks import with_thread_info
+    a, b = (TH._ckpt(spark.range(1000).selectExpr("id", f"id % {k} as v{k}")) for k in (3, 5))
+    for j in (a.join(b.select("id", "v5"), "id"), a.where("v3 = 1").join(b.groupBy("id").count(), "id", "left"),
+              with_thread_info(spark.range(10).withColumnRenamed("id", "doc_id"), spark.range(1000).selectExpr("id as doc_id", "id as level"))):
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
