@@ -76,6 +76,20 @@ class TokenTable:
                 pos += 1
 
 
+#: bytes of text that a table function splits at once
+SLICE_BYTES = 1_000_000
+
+
+def _slices(rows: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of up to SLICE_BYTES of text, or of one row, so that memory follows the slice."""
+    ends = np.cumsum(pc.binary_length(rows.column(column).cast(pa.string())).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < rows.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield rows.slice(at, stop - at)
+        at = stop
+
+
 def _owners(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(row, place in its list) of each element; null lists have none."""
     owner = pc.list_parent_indices(lists)
@@ -100,14 +114,18 @@ class MessageTokens:
     """(doc_id, text) -> a row per word: runs of letters and digits, lower-cased, numbered from 0. Null texts have none."""
 
     def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        for part in _slices(rows, "text"):
+            yield self._words(part)
+
+    def _words(self, rows: pa.RecordBatch) -> pa.Table:
         split = pc.split_pattern_regex(pc.utf8_lower(rows.column("text").cast(pa.string())), r"[^\p{L}\p{N}]+")
         owner, _ = _owners(split)
         words = split.flatten()
         some = pc.not_equal(words, "")  # before the first word, after the last
         owner, words = owner.filter(some), words.filter(some)
         at = owner.to_numpy(zero_copy_only=False)
-        yield pa.table({"doc_id": rows.column("doc_id").take(owner).cast(pa.int64()),
-                        "pos": pa.array((np.arange(len(at)) - np.searchsorted(at, at)).astype(np.int32)), "token": words.cast(pa.string())})
+        return pa.table({"doc_id": rows.column("doc_id").take(owner).cast(pa.int64()),
+                         "pos": pa.array((np.arange(len(at)) - np.searchsorted(at, at)).astype(np.int32)), "token": words.cast(pa.string())})
 
 
 @F.arrow_udtf(returnType="doc_id: bigint, type: string, name: string, email: string")

@@ -155,3 +155,23 @@ def test_contact_formats_quoted_and_nick(spark):
     line = lambda fmt: [r["line"] for r in contacts_text(c, fmt).orderBy("email").collect()]
     assert line("quoted") == ['"\\"Ann \\"A\\" B\\" <a@x>"', '"<b1@x>"']
     assert line("org-contact-nick") == ['* "Ann \\"A\\" B"\n:PROPERTIES:\n:EMAIL:a@x\n:NICK:ann__a__b\n:END:', '* "b1@x"\n:PROPERTIES:\n:EMAIL:b1@x\n:NICK:b__x\n:END:']
+
+
+def test_table_function_slices():
+    """Batches are split a slice at a time: no more than SLICE_BYTES of text, or one row."""
+    import pyarrow as pa
+
+    from postlake.functions import udfs as U
+    texts = ["a" * 400_000, None, "b" * 700_000, "c" * 3_000_000, "", "d"]
+    parts = list(U._slices(pa.RecordBatch.from_pydict({"text": texts}), "text"))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert [p.num_rows for p in parts] == [2, 1, 1, 2]
+    assert list(U._slices(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}), "text")) == []
+
+
+def test_message_chunks_by_rows():
+    """Small messages are bounded by their number: parsed, each is far larger than its bytes."""
+    from postlake.sources import maildir as MD
+    frames = list(MD._chunks(({"a": k} for k in range(1700)), lambda r: 10, ["a"]))
+    assert [len(f) for f in frames] == [500, 500, 500, 200]
+    assert [v for f in frames for v in f["a"]] == list(range(1700))
