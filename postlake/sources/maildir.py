@@ -30,7 +30,7 @@ from ..schema import CONTACT, FLAG_BITS
 
 MAILDIR_FILE = r"/(cur|new)/[^/]+$"
 # bytes of messages that a Python worker holds at once (one larger message is held alone)
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 500
 
 
 def cap_size(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -262,12 +262,12 @@ def parse_safely(path: str, content: bytes) -> dict:
 
 
 def _chunks(rows: Iterator[dict], weight, columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows as frames of up to CHUNK_BYTES by ``weight``, or of one row."""
+    """Rows as frames of up to CHUNK_BYTES by ``weight`` and CHUNK_ROWS rows, or of one row."""
     held, size = [], 0
     for r in rows:
         held.append(r)
         size += weight(r)
-        if size >= CHUNK_BYTES:
+        if size >= CHUNK_BYTES or len(held) >= CHUNK_ROWS:
             yield pd.DataFrame(held, columns=columns)
             held, size = [], 0
     if held:
