@@ -1,6 +1,7 @@
 """How far the sources of a language differ in their use of words.
 
-Exact counts come from Spark ML's CountVectorizer: a sparse vector per document, summed by language and source. Pairs of
+Exact counts come from Spark ML's CountVectorizer. Tasks count their documents beforehand and give out bags of distinct terms; the
+vectorizer is fitted on those and gives a sparse vector of each, and these are summed by language and source. Pairs of
 sources are compared in cells of a block of terms and two blocks of sources; terms that neither holds add a closed form.
 """
 
@@ -28,8 +29,8 @@ _IN_TERM[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 SCALE, PRIOR = 1_000_000_000, 5
 #: distinct terms of a vectorizer, terms and sources of a cell, on average
 VOCABULARY, TERMS, SOURCES = 4_000_000, 4096, 256
-#: sums that a task holds
-SUMMED = 2_000_000
+#: sums that a task holds, different terms of groups that it counts before they go to bags, and terms of a bag
+SUMMED, COUNTED, BAG = 2_000_000, 300_000, 20_000
 
 CELL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("other", pa.string()), ("value", pa.int64())])
 
@@ -60,21 +61,80 @@ def term_lists(texts: pa.Array, langs: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words)
 
 
+def bag_rows(langs: pa.Array, sources: pa.Array, bags: pa.Array, weights: np.ndarray) -> pa.RecordBatch:
+    """Bags of a language and source; of none, those that count documents."""
+    none = pa.nulls(len(bags), bags.type)
+    both = [none, bags] if not langs.null_count else [bags, none]
+    return pa.RecordBatch.from_arrays([langs, sources, *both, pa.array(weights)], ["lang", "source", "terms", "bag", "weight"])
+
+
+class Bags:
+    """Counts of terms by (language, source), or by none, given out as bags of distinct terms with a weight: a term that occurs n times is in
+    the bag of each power of two that n is made of, so bags give n exactly."""
+
+    def __init__(self):
+        self.codes: dict[tuple, int] = {}
+        self.held: list[pa.Table] = []
+        self.n_held = self.n_merged = 0
+
+    def add(self, groups: np.ndarray, terms: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(pa.table({"group": pa.array(groups), "term": terms, "n": pa.array(counts)}))
+        self.n_held += len(terms)
+        if self.n_held > 2 * self.n_merged + COUNTED // 4:
+            merged = pa.concat_tables(self.held).group_by(["group", "term"]).aggregate([("n", "sum")]).rename_columns(["group", "term", "n"])
+            self.held, self.n_held, self.n_merged = [merged], merged.num_rows, merged.num_rows
+            if self.n_held > COUNTED:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        rows = pa.concat_tables(self.held).group_by(["group", "term"]).aggregate([("n", "sum")]).sort_by("group").combine_chunks()
+        self.held, self.n_held, self.n_merged = [], 0, 0
+        group, n, terms = rows.column("group").to_numpy(), rows.column("n_sum").to_numpy(), rows.column("term").combine_chunks()
+        names = list(self.codes)
+        for bit in range(int(n.max(initial=0)).bit_length()):
+            on = np.flatnonzero(n >> bit & 1)
+            first = np.flatnonzero(np.r_[len(on) > 0, group[on][1:] != group[on][:-1]])
+            cuts = np.unique(np.r_[first, np.arange(0, len(on), BAG), len(on)])
+            own = group[on][cuts[:-1]]
+            bags = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), terms.take(pa.array(on)))
+            yield bag_rows(*(pa.array([names[g][k] for g in own], pa.string()) for k in (0, 1)), bags, np.full(len(own), 1 << bit))
+
+
 def term_arrays(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, terms) of each row, by slices of a batch."""
+    """What the tasks have counted, as bags of distinct terms: (terms, weight) counts the documents of a term, (lang, source, bag, weight)
+    its occurrences, as sums of the weights of the bags that hold it. Each language and source has a bag, which may be empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, places = Bags(), Bags()
+        held.codes = {(None, None): 0}
         for batch in batches:
             for part in slices(batch):
-                lang = part.column("lang").cast(pa.string())
-                yield pa.RecordBatch.from_arrays([lang, part.column("source").cast(pa.string()), term_lists(part.column("text"), lang)], ["lang", "source", "terms"])
+                lang, source = part.column("lang").cast(pa.string()), part.column("source").cast(pa.string())
+                group = np.array([places.codes.setdefault(p, len(places.codes)) for p in zip(lang.to_pylist(), source.to_pylist())], np.int64)
+                lists = term_lists(part.column("text"), lang)
+                words = lists.flatten().dictionary_encode()
+                code, many = words.indices.to_numpy().astype(np.int64), max(len(words.dictionary), 1)
+                doc = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                key, n = np.unique(group[doc] * many + code, return_counts=True)
+                own, at = np.divmod(key, many)
+                yield from places.add(own, words.dictionary.take(pa.array(at)), n)
+                n = np.bincount(np.unique(doc * many + code) % many, minlength=len(words.dictionary))
+                yield from held.add(np.zeros(len(n), np.int64), words.dictionary, n)
+        yield from held.flush()
+        yield from places.flush()
+        if places.codes:
+            langs, sources = (pa.array([p[k] for p in places.codes], pa.string()) for k in (0, 1))
+            yield bag_rows(langs, sources, pa.array([[]] * len(langs), pa.list_(pa.string())), np.ones(len(langs), np.int64))
 
     named = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, "lang string, source string, terms array<string>")
+    return named.mapInArrow(run, "lang string, source string, terms array<string>, bag array<string>, weight long")
 
 
 def summed(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.RecordBatch]:
-    """(lang, source, index, count): sums of the sparse vectors of each group, held by the task up to ``SUMMED`` entries."""
+    """(lang, source, index, count): sums of the sparse vectors of each group, each as often as its ``weight`` says (once without one), held
+    by the task up to ``SUMMED`` entries."""
     codes: dict[tuple, int] = {}
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -101,7 +161,8 @@ def summed(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.Recor
         size = np.diff(lists.offsets.to_numpy())
         index = lists.flatten().to_numpy().astype(np.int64)
         if len(index):
-            held = [*held, (np.repeat(group, size) * n_terms + index, batch.column("values").flatten().to_numpy().astype(np.int64))]
+            weight = batch.column("weight").to_numpy() if "weight" in batch.schema.names else np.ones(len(size), np.int64)
+            held = [*held, (np.repeat(group, size) * n_terms + index, batch.column("values").flatten().to_numpy().astype(np.int64) * np.repeat(weight, size))]
             held = [merged()]
             if len(held[0][0]) > SUMMED:
                 yield from flush()
@@ -111,24 +172,28 @@ def summed(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.Recor
 
 
 def group_counts(terms: DataFrame, min_docs: int, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(lang, source, term, count) of the terms in at least ``min_docs`` documents of their language.
+    """(lang, source, term, count) of the terms in at least ``min_docs`` documents of their language, for rows of ``term_arrays``.
 
     CountVectorizer keeps its vocabulary on the driver and sends it to all tasks. So that its size is bounded, terms are dealt by
     hash to as many vectorizers as ``vocabulary`` asks for, by the number of distinct terms; most corpora need one.
     Each takes the largest vocabulary there is, so only ``min_docs`` decides. Its vectors, sparse and exact, are summed by group.
     """
     spark = terms.sparkSession
-    distinct = terms.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.05)).first()[0]
+    # a row of the vectorizer is a document to it; a term in min_docs of them is in enough, so a bag of a greater weight is so many
+    times = F.least(F.col("weight"), F.lit(min_docs)).cast("int")
+    docs = terms.where("terms is not null").select("terms", F.explode(F.array_repeat(F.lit(0), times))).select("terms")
+    bags = terms.where("bag is not null").select("lang", "source", F.col("bag").alias("terms"), "weight")
+    distinct = bags.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.05)).first()[0]
     shards = -(-int(distinct * 1.2) // vocabulary) or 1
     out = []
     for shard in range(shards):
-        own = terms if shards == 1 else terms.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == shard))
+        own, bag = (x if shards == 1 else x.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == shard)) for x in (docs, bags))  # noqa: B023
         # rows of one empty term, which no text holds: a vectorizer without any term can't be fitted
-        some = own.select("terms").unionAll(spark.range(min_docs).select(F.array(F.lit("")).alias("terms")))
+        some = own.unionAll(spark.range(min_docs).select(F.array(F.lit("")).alias("terms")))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1).fit(some)
         words = model.vocabulary
         names = spark.createDataFrame(pa.table({"index": pa.array(range(len(words)), pa.int32()), "name": pa.array(words, pa.string())}))
-        vector = model.transform(own).select("lang", "source", F.unwrap_udt("vector").alias("v")).select("lang", "source", "v.indices", "v.values")
+        vector = model.transform(bag).select("lang", "source", "weight", F.unwrap_udt("vector").alias("v")).select("lang", "source", "weight", "v.indices", "v.values")
         sums = (vector.mapInArrow(lambda b, n=len(words): summed(b, n), "lang string, source string, index int, count long")
                 .groupBy("lang", "source", "index").agg(F.sum("count").alias("count")))
         out.append(stored(sums.join(names, "index").select("lang", "source", F.substring_index("name", "\0", -1).alias("term"), "count"), "terms"))
@@ -191,7 +256,7 @@ def audit_sources(docs: DataFrame, min_docs: int = 30, top: int = 50, text_col:
     counts = group_counts(terms, min_docs)
     both = stored(counts.groupBy("lang", "term").agg(F.sum("count").alias("count")), "langs")
     langs = both.groupBy("lang").agg(F.sum("count").alias("_total"), F.count("*").alias("_v"))
-    groups = (terms.select("lang", "source").distinct().join(langs.select("lang", "_v"), "lang", "left")
+    groups = (terms.where("bag is not null").select("lang", "source").distinct().join(langs.select("lang", "_v"), "lang", "left")
               .join(counts.groupBy("lang", "source").agg(F.sum("count").alias("_total")), ["lang", "source"], "left")
               .fillna(0, ["_total", "_v"]))
     groups = stored(groups.withColumn("_base", scaled(F.lit(0), "_total", "_v").cast("long")), "groups")

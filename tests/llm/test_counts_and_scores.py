@@ -220,3 +220,23 @@ def test_search_odd_rows(spark):
     assert _searched(spark, [(4, [1.0])] * 500 + [(k, [0.5]) for k in range(5, 9)], [(1, [1.0]), (4, [2.0])], 3, shard_bytes=100) == {
         (1, 1, 4, 1048576), (1, 2, 5, 524288), (1, 3, 6, 524288), (4, 1, 5, 1048576), (4, 2, 6, 1048576), (4, 3, 7, 1048576)}
     assert _searched(spark, [], rows, 3) == set() and _searched(spark, rows, [], 3) == set()
+
+
+def test_bags_give_exact_counts(monkeypatch):
+    """Weights of the bags that hold a term sum to its occurrences, however often the task empties what it holds."""
+    monkeypatch.setattr(divergence, "BAG", 3)
+    for most in (4, 300_000):
+        monkeypatch.setattr(divergence, "COUNTED", most)
+        rng, plain, got, bags = random.Random(5), Counter(), Counter(), divergence.Bags()
+        bags.codes = {("en", "a"): 0, ("de", "b"): 1}
+        rows = []
+        for _ in range(40):
+            some = {(rng.randrange(2), f"t{rng.randrange(9)}"): rng.randint(1, 20) for _ in range(6)}
+            for (g, t), n in some.items():
+                plain[list(bags.codes)[g], t] += n
+            rows += bags.add(np.array([g for g, _ in some]), pa.array([t for _, t in some]), np.array(list(some.values())))
+        for r in (r for b in [*rows, *bags.flush()] for r in b.to_pylist()):
+            assert len(set(r["bag"])) == len(r["bag"]) <= 3 and r["terms"] is None
+            for t in r["bag"]:
+                got[(r["lang"], r["source"]), t] += r["weight"]
+        assert got == plain
