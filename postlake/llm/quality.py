@@ -17,6 +17,8 @@ from .words import Words, distinct, mix, slices
 
 #: hash buckets of words, factors, and structure statistics that follow the buckets
 BUCKETS, FACTORS, STATISTICS = 1 << 13, 8, 12
+#: bytes of text that are scored at once
+SCORED = 500_000
 
 
 @dataclass
@@ -157,7 +159,7 @@ def with_score(docs: DataFrame, machine: Machine, text_col: str = "text", chars_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SCORED):
                 stated = part.column(chars_col).cast(pa.int64()) if chars_col in part.schema.names else None
                 scores = shared.value.scores(*features(part.column(text_col), stated))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, out])

@@ -20,8 +20,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 #: letters that a run of text is cut around, where no piece has one beside another character
 LETTERS = "A-Za-z\u00c0-\u024f"
-#: distinct units of text whose ids a task keeps
-CACHE = 500_000
+#: distinct units of text whose ids a task keeps, bytes of text that it splits at once
+CACHE, SLICE_BYTES = 100_000, 500_000
 BASE = np.uint64(0x100000001B3)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1) << 40
@@ -251,7 +251,7 @@ class Pieces:
         tokens, sizes, rows = [], [], []
         for length in np.unique(lengths).tolist():
             own = np.flatnonzero(lengths == length)
-            step = max(1, 2_000_000 // (length * self.longest))
+            step = max(1, 500_000 // (length * self.longest))
             for k in range(0, len(own), step):
                 some = own[k:k + step]
                 t, n = self._viterbi([cores[i] for i in some.tolist()])
@@ -367,7 +367,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         pieces = shared.value
         cache = Cache(pieces)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE_BYTES):
                 texts = part.column("text")
                 ids, ptr = encode_texts(texts.to_pylist(), cache)
                 data, offsets = decode_bytes(pieces, ids, ptr)
