@@ -1,7 +1,8 @@
 """How far the sources of a language differ in their use of words.
 
 Exact counts come from Spark ML's CountVectorizer. Tasks count their documents beforehand and give out bags of distinct terms; the
-vectorizer is fitted on those and gives a sparse vector of each, and these are summed by language and source. Pairs of
+vectorizer is fitted on those and gives a sparse vector of each, and these are summed by language and source, by the task and then over
+tasks in rows of a range of indices. Pairs of
 sources are compared in cells of a block of terms and two blocks of sources; terms that neither holds add a closed form.
 """
 
@@ -31,12 +32,14 @@ SCALE, PRIOR = 1_000_000_000, 5
 VOCABULARY, TERMS, SOURCES = 4_000_000, 4096, 256
 #: sums that a task holds, different terms of groups that it counts before they go to bags, and terms of a bag
 SUMMED, COUNTED, BAG = 2_000_000, 300_000, 20_000
+#: indices of a row of sums, least number of bags for the terms that some task has met in enough documents
+RUN, ENOUGH = 256, 64
 
 CELL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("other", pa.string()), ("value", pa.int64())])
 
 
-def term_lists(texts: pa.Array, langs: pa.Array) -> pa.ListArray:
-    """The terms of each text, each behind its language and U+0000, which no term holds."""
+def term_lists(texts: pa.Array) -> pa.ListArray:
+    """The terms of each text."""
     data, offsets = text_bytes(texts)
     data = BYTES[data]
     inside = _IN_TERM[data]
@@ -45,20 +48,14 @@ def term_lists(texts: pa.Array, langs: pa.Array) -> pa.ListArray:
     first = inside & (np.concatenate([[True], ~inside[:-1]]) | cut[:-1]) if len(data) else inside
     start = np.flatnonzero(first)
     spell = data[inside]
-    at = np.concatenate([np.cumsum(inside, dtype=np.int32)[start] - 1, [len(spell)]]).astype(np.int64)
-    ends = np.searchsorted(start, offsets)
-    marks, edges = text_bytes(pc.binary_join_element_wise(langs.cast(pa.string()), "", "\0"))  # a mark per text
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
-    size = np.diff(edges)[doc]  # of the mark before each term
-    out_at = at + np.concatenate([[0], np.cumsum(size)])
-    out = np.zeros(int(out_at[-1]), np.uint8)
-    spot = np.repeat(out_at[:-1], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    free = np.ones(len(out), bool)
-    free[spot] = False
-    out[free] = spell
-    out[spot] = marks[spot - np.repeat(out_at[:-1] - edges[doc], size)]
-    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(out_at), pa.py_buffer(out)).cast(pa.string())
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words)
+    at = np.concatenate([np.flatnonzero(first[inside]), [len(spell)]]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(spell)).cast(pa.string())
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(start, offsets).astype(np.int32)), words)
+
+
+def marked(langs: pa.Array, terms: pa.Array) -> pa.Array:
+    """The terms, each behind its language and U+0000, which no term holds."""
+    return pc.binary_join_element_wise(langs, terms, "\0")
 
 
 def bag_rows(langs: pa.Array, sources: pa.Array, bags: pa.Array, weights: np.ndarray) -> pa.RecordBatch:
@@ -72,26 +69,45 @@ class Bags:
     """Counts of terms by (language, source), or by none, given out as bags of distinct terms with a weight: a term that occurs n times is in
     the bag of each power of two that n is made of, so bags give n exactly."""
 
-    def __init__(self):
+    def __init__(self, enough: int | None = None):
         self.codes: dict[tuple, int] = {}
         self.held: list[pa.Table] = []
         self.n_held = self.n_merged = 0
+        self.enough = enough  # counts from here on go as the next power of two, if no more need be known of them
 
     def add(self, groups: np.ndarray, terms: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(pa.table({"group": pa.array(groups), "term": terms, "n": pa.array(counts)}))
         self.n_held += len(terms)
-        if self.n_held > 2 * self.n_merged + COUNTED // 4:
-            merged = pa.concat_tables(self.held).group_by(["group", "term"]).aggregate([("n", "sum")]).rename_columns(["group", "term", "n"])
-            self.held, self.n_held, self.n_merged = [merged], merged.num_rows, merged.num_rows
+        if self.n_held > 2 * self.n_merged + COUNTED // 2:
+            self._merge()
             if self.n_held > COUNTED:
                 yield from self.flush()
 
+    def _merge(self) -> None:
+        """Leaves one table, with a row per group and term, by group."""
+        if self.n_held == self.n_merged:
+            return
+        rows = pa.concat_tables(self.held).combine_chunks()
+        words = rows.column("term").combine_chunks().dictionary_encode()
+        many = max(len(words.dictionary), 1)
+        key = rows.column("group").to_numpy() * many + words.indices.to_numpy()
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+        group, code = np.divmod(key[first], many)
+        n = np.add.reduceat(rows.column("n").to_numpy()[order], first) if len(first) else key
+        self.held = [pa.table({"group": pa.array(group), "term": words.dictionary.take(pa.array(code)), "n": pa.array(n)})]
+        self.n_held = self.n_merged = len(first)
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        rows = pa.concat_tables(self.held).group_by(["group", "term"]).aggregate([("n", "sum")]).sort_by("group").combine_chunks()
+        self._merge()
+        rows = self.held[0]
         self.held, self.n_held, self.n_merged = [], 0, 0
-        group, n, terms = rows.column("group").to_numpy(), rows.column("n_sum").to_numpy(), rows.column("term").combine_chunks()
+        group, n, terms = rows.column("group").to_numpy(), rows.column("n").to_numpy(), rows.column("term").combine_chunks()
+        if self.enough is not None:
+            n = np.where(n < self.enough, n, 1 << (self.enough - 1).bit_length())
         names = list(self.codes)
         for bit in range(int(n.max(initial=0)).bit_length()):
             on = np.flatnonzero(n >> bit & 1)
@@ -102,25 +118,30 @@ class Bags:
             yield bag_rows(*(pa.array([names[g][k] for g in own], pa.string()) for k in (0, 1)), bags, np.full(len(own), 1 << bit))
 
 
-def term_arrays(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+def term_arrays(docs: DataFrame, text_col: str, lang_col: str, source_col: str, min_docs: int | None = None) -> DataFrame:
     """What the tasks have counted, as bags of distinct terms: (terms, weight) counts the documents of a term, (lang, source, bag, weight)
-    its occurrences, as sums of the weights of the bags that hold it. Each language and source has a bag, which may be empty."""
+    its occurrences, as sums of the weights of the bags that hold it. Each language and source has a bag, which may be empty.
+    A task that counts ``min_docs`` documents of a term or more says so with one weight of that size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, places = Bags(), Bags()
+        held, places = Bags(min_docs), Bags()
         held.codes = {(None, None): 0}
         for batch in batches:
             for part in slices(batch):
                 lang, source = part.column("lang").cast(pa.string()), part.column("source").cast(pa.string())
                 group = np.array([places.codes.setdefault(p, len(places.codes)) for p in zip(lang.to_pylist(), source.to_pylist())], np.int64)
-                lists = term_lists(part.column("text"), lang)
+                tongue = lang.dictionary_encode()
+                lists = term_lists(part.column("text"))
                 words = lists.flatten().dictionary_encode()
                 code, many = words.indices.to_numpy().astype(np.int64), max(len(words.dictionary), 1)
                 doc = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 key, n = np.unique(group[doc] * many + code, return_counts=True)
                 own, at = np.divmod(key, many)
-                yield from places.add(own, words.dictionary.take(pa.array(at)), n)
-                n = np.bincount(np.unique(doc * many + code) % many, minlength=len(words.dictionary))
-                yield from held.add(np.zeros(len(n), np.int64), words.dictionary, n)
+                langs = pa.array([p[0] for p in places.codes], pa.string())
+                yield from places.add(own, marked(langs.take(pa.array(own)), words.dictionary.take(pa.array(at))), n)
+                doc, at = np.divmod(np.unique(doc * many + code, return_counts=True)[0], many)  # with counts it sorts, which is faster
+                key, n = np.unique(tongue.indices.to_numpy()[doc].astype(np.int64) * many + at, return_counts=True)
+                own, at = np.divmod(key, many)
+                yield from held.add(np.zeros(len(n), np.int64), marked(tongue.dictionary.take(pa.array(own)), words.dictionary.take(pa.array(at))), n)
         yield from held.flush()
         yield from places.flush()
         if places.codes:
@@ -132,27 +153,35 @@ def term_arrays(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
     return named.mapInArrow(run, "lang string, source string, terms array<string>, bag array<string>, weight long")
 
 
-def summed(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.RecordBatch]:
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of some (keys, counts), sorted, and the sum of each."""
+    keys, counts = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(counts[order], at)
+
+
+def summed(batches: Iterator[pa.RecordBatch], n_terms: int, run: int = 0) -> Iterator[pa.RecordBatch]:
     """(lang, source, index, count): sums of the sparse vectors of each group, each as often as its ``weight`` says (once without one), held
-    by the task up to ``SUMMED`` entries."""
+    by the task up to ``SUMMED`` entries. With ``run``, (lang, source, part, index, count) with lists: part k has the entries of a group
+    whose index divided by ``run`` is k."""
     codes: dict[tuple, int] = {}
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[at], np.add.reduceat(counts[order], at)
-
     def flush() -> Iterator[pa.RecordBatch]:
-        keys, counts = merged()
+        keys, counts = _merged(held)
         names = list(codes)
         for k in range(0, len(keys), 100_000):
-            some = keys[k:k + 100_000]
-            group = pa.array(some // n_terms)
-            yield pa.RecordBatch.from_arrays([*(pa.array([n[j] for n in names], pa.string()).take(group) for j in (0, 1)),
-                                              pa.array((some % n_terms).astype(np.int32)), pa.array(counts[k:k + 100_000])], ["lang", "source", "index", "count"])
+            some, group = keys[k:k + 100_000], keys[k:k + 100_000] // n_terms
+            columns, labels = [pa.array((some % n_terms).astype(np.int32)), pa.array(counts[k:k + 100_000])], ["index", "count"]
+            if run:
+                part = some % n_terms // run
+                first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])])
+                cuts = pa.array(np.r_[first, len(some)].astype(np.int32))
+                columns = [pa.array(part[first].astype(np.int32)), *(pa.ListArray.from_arrays(cuts, c) for c in columns)]
+                group, labels = group[first], ["part", *labels]
+            yield pa.RecordBatch.from_arrays([*(pa.array([n[j] for n in names], pa.string()).take(pa.array(group)) for j in (0, 1)), *columns], ["lang", "source", *labels])
 
     for batch in batches:
         pairs = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
@@ -163,7 +192,7 @@ def summed(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.Recor
         if len(index):
             weight = batch.column("weight").to_numpy() if "weight" in batch.schema.names else np.ones(len(size), np.int64)
             held = [*held, (np.repeat(group, size) * n_terms + index, batch.column("values").flatten().to_numpy().astype(np.int64) * np.repeat(weight, size))]
-            held = [merged()]
+            held = [_merged(held)]
             if len(held[0][0]) > SUMMED:
                 yield from flush()
                 held = []
@@ -171,6 +200,36 @@ def summed(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.Recor
         yield from flush()
 
 
+def added(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.RecordBatch]:
+    """(lang, source, index, count) of rows of ``summed`` with lists, which come sorted by (lang, source, part): counts of an index are added.
+    The task holds a batch and the rows of one part."""
+    last: pa.Table | None = None
+
+    def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        codes: dict[tuple, int] = {}
+        group = np.array([codes.setdefault(p, len(codes)) for p in zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist())], np.int64)
+        lists = rows.column("index").combine_chunks()
+        keys, counts = _merged([(np.repeat(group, np.diff(lists.offsets.to_numpy())) * n_terms + lists.flatten().to_numpy(), rows.column("count").combine_chunks().flatten().to_numpy())])
+        for k in range(0, len(keys), 100_000):
+            group, index = np.divmod(keys[k:k + 100_000], n_terms)
+            yield pa.RecordBatch.from_arrays([*(pa.array([c[j] for c in codes], pa.string()).take(pa.array(group)) for j in (0, 1)),
+                                              pa.array(index.astype(np.int32)), pa.array(counts[k:k + 100_000])], ["lang", "source", "index", "count"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([last, rows]) if last is not None else rows
+        end = [rows.column(c)[-1] for c in ("lang", "source", "part")]
+        same = pc.and_(pc.and_(pc.equal(rows.column("lang"), end[0]), pc.equal(rows.column("source"), end[1])), pc.equal(rows.column("part"), end[2]))
+        done = rows.num_rows - pc.sum(same).as_py()
+        if done:
+            yield from out(rows.slice(0, done).combine_chunks())
+        last = rows.slice(done)
+    if last is not None:
+        yield from out(last.combine_chunks())
+
+
 def group_counts(terms: DataFrame, min_docs: int, vocabulary: int = VOCABULARY) -> DataFrame:
     """(lang, source, term, count) of the terms in at least ``min_docs`` documents of their language, for rows of ``term_arrays``.
 
@@ -179,11 +238,15 @@ def group_counts(terms: DataFrame, min_docs: int, vocabulary: int = VOCABULARY)
     Each takes the largest vocabulary there is, so only ``min_docs`` decides. Its vectors, sparse and exact, are summed by group.
     """
     spark = terms.sparkSession
-    # a row of the vectorizer is a document to it; a term in min_docs of them is in enough, so a bag of a greater weight is so many
-    times = F.least(F.col("weight"), F.lit(min_docs)).cast("int")
-    docs = terms.where("terms is not null").select("terms", F.explode(F.array_repeat(F.lit(0), times))).select("terms")
+    # a row of the vectorizer is a document to it; a term in min_docs of them is in enough, so all bags of that weight or more that hold it are
+    # so many together
+    held = terms.where("terms is not null")
+    enough = (held.where(F.col("weight") >= min_docs).select(F.explode("terms").alias("t")).distinct()
+              .groupBy(F.pmod(F.xxhash64("t"), F.lit(max(ENOUGH, shuffle_partitions(spark))))).agg(F.collect_list("t").alias("terms")))
+    held = held.where(F.col("weight") < min_docs).select("terms", "weight").unionAll(enough.select("terms", F.lit(min_docs).cast("long")))
+    docs = held.select("terms", F.explode(F.array_repeat(F.lit(0), F.col("weight").cast("int")))).select("terms")
     bags = terms.where("bag is not null").select("lang", "source", F.col("bag").alias("terms"), "weight")
-    distinct = bags.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.05)).first()[0]
+    distinct = terms.where("terms is not null").select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.05)).first()[0]
     shards = -(-int(distinct * 1.2) // vocabulary) or 1
     out = []
     for shard in range(shards):
@@ -194,8 +257,9 @@ def group_counts(terms: DataFrame, min_docs: int, vocabulary: int = VOCABULARY)
         words = model.vocabulary
         names = spark.createDataFrame(pa.table({"index": pa.array(range(len(words)), pa.int32()), "name": pa.array(words, pa.string())}))
         vector = model.transform(bag).select("lang", "source", "weight", F.unwrap_udt("vector").alias("v")).select("lang", "source", "weight", "v.indices", "v.values")
-        sums = (vector.mapInArrow(lambda b, n=len(words): summed(b, n), "lang string, source string, index int, count long")
-                .groupBy("lang", "source", "index").agg(F.sum("count").alias("count")))
+        parts = vector.mapInArrow(lambda b, n=len(words): summed(b, n, RUN), "lang string, source string, part int, index array<int>, count array<long>")
+        sums = (parts.repartition(shuffle_partitions(spark), "lang", "source", "part").sortWithinPartitions("lang", "source", "part")
+                .mapInArrow(lambda b, n=len(words): added(b, n), "lang string, source string, index int, count long"))
         out.append(stored(sums.join(names, "index").select("lang", "source", F.substring_index("name", "\0", -1).alias("term"), "count"), "terms"))
     return reduce(DataFrame.unionAll, out)
 
@@ -252,7 +316,7 @@ def audit_sources(docs: DataFrame, min_docs: int = 30, top: int = 50, text_col:
     time. Other columns don't matter. An empty table gives no rows. A term of any length counts.
     """
     spark = docs.sparkSession
-    terms = stored(term_arrays(docs, text_col, lang_col, source_col), "arrays")
+    terms = stored(term_arrays(docs, text_col, lang_col, source_col, min_docs), "arrays")
     counts = group_counts(terms, min_docs)
     both = stored(counts.groupBy("lang", "term").agg(F.sum("count").alias("count")), "langs")
     langs = both.groupBy("lang").agg(F.sum("count").alias("_total"), F.count("*").alias("_v"))

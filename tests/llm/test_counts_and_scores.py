@@ -240,3 +240,39 @@ def test_bags_give_exact_counts(monkeypatch):
             for t in r["bag"]:
                 got[(r["lang"], r["source"]), t] += r["weight"]
         assert got == plain
+
+
+def test_sums_of_tasks_go_in_runs():
+    """A task gives a row for a range of indices, not one for each, and the rows of all tasks add up."""
+    rng, plain, rows = random.Random(6), Counter(), []
+    for _ in range(4):
+        batches = []
+        for _ in range(3):
+            vectors = [(rng.choice(["en", "de"]), rng.choice(["a", "b", ""]), sorted(rng.sample(range(40), 12)), rng.choice([1, 2, 64])) for _ in range(9)]
+            for lang, source, indices, weight in vectors:
+                plain.update({(lang, source, i): 3 * weight for i in indices})
+            lang, source, indices, weight = zip(*vectors)
+            batches.append(pa.RecordBatch.from_pydict({"lang": lang, "source": source, "indices": pa.array(indices, pa.list_(pa.int32())),
+                                                       "values": pa.array([[3.0] * 12] * 9, pa.list_(pa.float64())), "weight": weight}))
+        task = [r for b in divergence.summed(iter(batches), 40, 16) for r in b.to_pylist()]
+        assert len(task) <= 6 * 3 and all(i // 16 == r["part"] for r in task for i in r["index"])
+        rows += task
+    rows.sort(key=lambda r: (r["lang"], r["source"], r["part"]))
+    types = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.int32()), ("index", pa.list_(pa.int32())), ("count", pa.list_(pa.int64()))])
+    for size in (1, 5, 1000):
+        batches = [pa.RecordBatch.from_pylist(rows[k:k + size], schema=types) for k in range(0, len(rows), size)]
+        got = [r for b in divergence.added(iter([*batches, pa.RecordBatch.from_pylist([], schema=types)]), 40) for r in b.to_pylist()]
+        assert len(got) == len(plain) and {(r["lang"], r["source"], r["index"]): r["count"] for r in got} == plain
+    assert list(divergence.added(iter([]), 40)) == []
+
+
+def test_enough_documents_are_told_once(spark):
+    """A term that a task meets in enough documents is in one bag of that weight, not in one of each power of two."""
+    docs = spark.createDataFrame([("often" + " twice" * (k < 31) + " thrice" * (k < 6), "en", "a") for k in range(95)], "text string, lang string, source string").coalesce(1)
+    terms = divergence.term_arrays(docs, "text", "lang", "source", 30)
+    held = {(t.split("\0")[1], r.weight) for r in terms.where("terms is not null").collect() for t in r.terms}
+    assert held == {("often", 32), ("twice", 32), ("thrice", 2), ("thrice", 4)}
+    assert {tuple(r) for r in divergence.group_counts(terms, 30).collect()} == {("en", "a", "often", 95), ("en", "a", "twice", 31)}
+    # no task alone meets them in enough documents
+    terms = divergence.term_arrays(docs.repartition(8), "text", "lang", "source", 30)
+    assert {tuple(r) for r in divergence.group_counts(terms, 30).collect()} == {("en", "a", "often", 95), ("en", "a", "twice", 31)}
